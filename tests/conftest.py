@@ -21,5 +21,8 @@ def spark(tmp_path_factory):
         .getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")
+    from undula.ship import ship
+
+    ship(session)
     yield session
     session.stop()
