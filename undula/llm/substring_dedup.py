@@ -22,7 +22,6 @@ if there is one of them).  An empty table gives an empty table.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,7 +33,6 @@ from . import bitfilter, textops
 
 #: A task hands on what it has found after so many windows, which bounds its memory.
 HELD = 1 << 21
-RUNS = "doc_id long, runs binary"
 
 
 def _words(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -68,10 +66,8 @@ def _runs_of(doc: np.ndarray, at: np.ndarray, n: int) -> pa.RecordBatch:
 
 
 def repeated_runs(spark: SparkSession, docs: DataFrame, window: int = 20, filter_bits: int = 28) -> DataFrame:
-    """Rows (doc_id, runs): word ranges, as little-endian int32 pairs, that repeat an earlier place.
-
-    A document may have several rows; their union is what it repeats.
-    """
+    """Rows (doc_id, at, runs): the starts of windows that repeat an earlier place, and word ranges
+    that do, as little-endian int32 pairs.  Together they are what a document repeats."""
     block, bits = window // 2, filter_bits
     docs = docs.select("doc_id", "text")
 
@@ -114,7 +110,8 @@ def repeated_runs(spark: SparkSession, docs: DataFrame, window: int = 20, filter
             held.clear()
             late = _runs_of(doc[~first], at[~first], window)
             n = len(late)
-            yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), late.column(0), pa.nulls(n, pa.int32()), late.column(1)], names=names)
+            own = textops.mix(late.column(0).to_numpy().view(np.uint64)).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(own), late.column(0), pa.nulls(n, pa.int32()), late.column(1)], names=names)
             n = int(first.sum())
             yield pa.RecordBatch.from_arrays([pa.array(h[first].view(np.int64)), pa.array(doc[first]), pa.array(at[first].astype(np.int32)), pa.nulls(n, pa.binary())], names=names)
 
@@ -132,40 +129,28 @@ def repeated_runs(spark: SparkSession, docs: DataFrame, window: int = 20, filter
             yield from flush()
 
     found = docs.mapInArrow(extend, "h long, doc_id long, at int, runs binary")
-    # What a task settled by itself travels with its windows in one shuffle, dealt by document.
-    key = F.coalesce("h", F.xxhash64("doc_id"))
-    order = Window.partitionBy("key").orderBy(F.col("h").isNull(), "doc_id", "at")
-    ranked = found.withColumn("key", key).withColumn("place", F.row_number().over(order))
-    late = ranked.where("h is null or place > 1").select("doc_id", "at", "runs")
-
-    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            single = batch.filter(batch.column(1).is_valid())
-            if len(single):
-                yield _runs_of(single.column(0).to_numpy(zero_copy_only=False), single.column(1).to_numpy(zero_copy_only=False).astype(np.int64), window)
-            ready = batch.filter(batch.column(2).is_valid())
-            yield pa.RecordBatch.from_arrays([ready.column(0), ready.column(2)], names=["doc_id", "runs"])
-
-    return late.mapInArrow(merged, RUNS)
+    # What a task settled by itself travels with its windows, under a hash of the document.
+    order = Window.partitionBy("h").orderBy(F.col("at").isNull(), "doc_id", "at")
+    late = found.withColumn("place", F.row_number().over(order)).where("at is null or place > 1")
+    return late.groupBy("doc_id").agg(F.collect_list("at").alias("at"), F.collect_list("runs").alias("runs"))
 
 
 def dedup_substrings(spark: SparkSession, docs: DataFrame, window: int = 20, filter_bits: int = 28) -> DataFrame:
     """Rows (doc_id, n_words, n_removed, text): each document with its later repeats removed; the
     words that stay are joined by one space."""
-    runs = repeated_runs(spark, docs, window, filter_bits).groupBy("doc_id").agg(F.collect_list("runs").alias("runs"))
-    both = docs.select("doc_id", "text").join(runs, "doc_id", "left")
+    both = docs.select("doc_id", "text").join(repeated_runs(spark, docs, window, filter_bits), "doc_id", "left")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            runs = batch.column(2)
             for lo, hi, buf, offsets in textops.slices(batch.column(1)):
                 starts, ends, first = textops.words(buf, offsets)
                 mark = np.zeros(int(first[-1]) + 1, np.int32)
-                for i, parts in enumerate(runs.slice(lo, hi - lo).to_pylist()):
-                    if parts:
-                        run = np.frombuffer(b"".join(parts), "<i4").reshape(-1, 2)
-                        np.add.at(mark, first[i] + run[:, 0], 1)
-                        np.subtract.at(mark, first[i] + run[:, 1], 1)
+                single, runs = (batch.column(c).slice(lo, hi - lo).to_pylist() for c in (2, 3))
+                for i in range(hi - lo):
+                    at = np.array(single[i] or [], np.int64)
+                    run = np.frombuffer(b"".join(runs[i] or []), "<i4").reshape(-1, 2)
+                    np.add.at(mark, first[i] + np.concatenate([at, run[:, 0]]), 1)
+                    np.subtract.at(mark, first[i] + np.concatenate([at + window, run[:, 1]]), 1)
                 gone = np.cumsum(mark)[:-1] > 0
                 kept = np.flatnonzero(~gone)
                 lens = ends[kept] - starts[kept]
@@ -181,7 +166,3 @@ def dedup_substrings(spark: SparkSession, docs: DataFrame, window: int = 20, fil
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(n), pa.array(n - np.diff(row_first)), pa.array(texts, pa.string())], names=["doc_id", "n_words", "n_removed", "text"])
 
     return both.mapInArrow(cut, "doc_id long, n_words long, n_removed long, text string")
-
-
-def digest(text: bytes) -> str:
-    return hashlib.sha256(text).hexdigest()
