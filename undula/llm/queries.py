@@ -10,11 +10,44 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ngram_join import join
+
+    return join(spark, table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
+def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .bpe import decode, encode
+
+    found = decode(encode(spark, table(spark, sf_dir, "documents")))
+    return found.select("doc_id", F.expr("length(ids) div 4").cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))
+
+
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .warc import read, write
+
+    return read(spark, write(spark, table(spark, sf_dir, "pages"))).drop("url")
+
+
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontamination import scan
+
+    found = scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
+def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .embedding_dedup import near_duplicates
+
+    return near_duplicates(spark, table(spark, sf_dir, "embeddings"))
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .substring_dedup import dedup_substrings
 
     return dedup_substrings(spark, table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op10_substring_dedup,)}
+OPERATORS = (op1_ngram_jaccard_join, op2_bpe, op4_warc, op6_decontamination, op7_embedding_dedup, op10_substring_dedup)
+QUERIES = {f.__name__: f for f in OPERATORS}
 ORACLE_SQL: dict[str, str] = {}
