@@ -23,12 +23,28 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.expr("length(ids) div 4").cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import toxicity
+
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = toxicity.train(docs, labels.where(~toxicity.held_out()))
+    scored = toxicity.score(spark, docs.select("doc_id", "text"), model)
+    return scored.select("doc_id", toxicity.held_out().alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
+
+
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .warc import read, write
 
     return read(spark, write(spark, table(spark, sf_dir, "pages"))).drop("url")
 
 
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .secret_scan import findings
+
+    found = findings(spark, table(spark, sf_dir, "documents"))
+    return found.where("is_secret").select("doc_id", F.col("start").alias("start_byte"), F.col("end").alias("end_byte"), F.sha2("value", 256).alias("value_sha256"), "score")
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .decontamination import scan
 
@@ -42,12 +58,26 @@ def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark, table(spark, sf_dir, "embeddings"))
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import resample
+
+    labels = table(spark, sf_dir, "labels").where("quality is not null")
+    share = labels.agg(F.avg("quality")).first()[0] or 0.0
+    return resample(spark, table(spark, sf_dir, "documents"), labels.where("quality = 1").select("doc_id"), share)
+
+
+def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .token_files import read, write
+
+    return read(write(spark, table(spark, sf_dir, "documents")))
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .substring_dedup import dedup_substrings
 
     return dedup_substrings(spark, table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 
-OPERATORS = (op1_ngram_jaccard_join, op2_bpe, op4_warc, op6_decontamination, op7_embedding_dedup, op10_substring_dedup)
+OPERATORS = (op1_ngram_jaccard_join, op2_bpe, op3_toxicity, op4_warc, op5_secret_scan, op6_decontamination, op7_embedding_dedup, op8_quality, op9_token_files, op10_substring_dedup)
 QUERIES = {f.__name__: f for f in OPERATORS}
 ORACLE_SQL: dict[str, str] = {}
