@@ -14,7 +14,7 @@ no such chain.  Ranges are then read from their entries.
 
 Defined cases: a null html is an empty payload; payloads under `least` bytes are always responses;
 ties go to the smallest page_id; further columns are ignored; an empty table gives an empty table.
-page_id must be unique and not null.
+page_id must be unique; rows without one are left out.
 """
 
 from __future__ import annotations
@@ -23,17 +23,19 @@ import hashlib
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import bitfilter, textops
 from .shared import fresh, kept, open_store
 
 MAGIC = b"WARC/1.1\r\n"
 RANGE = 8 << 20
 #: A header is no longer than this.
 HEAD = 1 << 20
+MARK_BITS = 24
 DATE = "2024-01-01T00:00:00Z"
 RECORD = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long"
 
@@ -70,33 +72,60 @@ def record(page_id: int, url: str | None, payload: bytes, digest: str, refers_to
 
 
 def write(spark: SparkSession, pages: DataFrame, least: int = 100) -> DataFrame:
-    """Writes the archives; the manifest, rows (path, size, records)."""
+    """Writes the archives; the manifest, rows (path, size, records).
+
+    Payloads of responses are written where they are read.  Only pages that a bitmap of fixed size
+    marks as possible revisits meet their decision in a join.
+    """
     folder = fresh(spark, "warc")
-    rows = pages.select("page_id", "url", "html").join(decisions(pages, least), "page_id", "left")
+    pages = pages.where("page_id is not null").select(F.col("page_id").cast("long").alias("page_id"), "url", "html")
+    decided = kept(spark, decisions(pages, least), "decisions")
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = path = None
-        size = count = 0
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return bitfilter.places((textops.mix(b.column(0).to_numpy().view(np.uint64)) for b in batches), MARK_BITS)
+
+    marks = spark.sparkContext.broadcast(bitfilter.build(spark, decided.mapInArrow(places, bitfilter.SCHEMA), MARK_BITS))
+
+    def marked(batch: pa.RecordBatch) -> np.ndarray:
+        return bitfilter.has(marks.value, textops.mix(batch.column(0).to_numpy().view(np.uint64)), MARK_BITS)
+
+    def possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not len(batch):
-                continue
-            if out is None:
-                path = f"{folder}/part-{TaskContext.get().partitionId():05d}-{uuid.uuid4().hex}.warc"
-                store, at = open_store(path)
-                store.create_dir(at.rpartition("/")[0], recursive=True)
-                out = store.open_output_stream(at, buffer_size=1 << 20)
-            for page_id, url, html, refers_to in zip(*(batch.column(i) for i in range(4)), strict=True):
-                payload = html.as_buffer() if html.is_valid else b""
-                payload = bytes(payload)
-                made = record(page_id.as_py(), url.as_py(), payload, hashlib.sha256(payload).hexdigest(), refers_to.as_py())
-                out.write(made)
-                size += len(made)
-                count += 1
-        if out is not None:
-            out.close()
-            yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([size]), pa.array([count])], names=["path", "size", "records"])
-
-    return kept(spark, rows.mapInArrow(work, "path string, size long, records long"), "manifest")
+            yield batch.filter(pa.array(marked(batch)))
+
+    def responses(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _write(folder, (batch.filter(pa.array(~marked(batch))) for batch in batches))
+
+    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _write(folder, batches)
+
+    schema = "path string, size long, records long"
+    rest = pages.mapInArrow(possible, "page_id long, url string, html string").join(decided, "page_id", "left")
+    return kept(spark, pages.mapInArrow(responses, schema).union(rest.mapInArrow(decide, schema)), "manifest")
+
+
+def _write(folder: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Streams rows (page_id, url, html[, refers_to]) to one archive, inside a task."""
+    out = path = None
+    size = count = 0
+    for batch in batches:
+        if not len(batch):
+            continue
+        if out is None:
+            path = f"{folder}/{uuid.uuid4().hex}.warc"
+            store, at = open_store(path)
+            store.create_dir(at.rpartition("/")[0], recursive=True)
+            out = store.open_output_stream(at, buffer_size=1 << 20)
+        refers = batch.column(3).to_pylist() if batch.num_columns > 3 else [None] * len(batch)
+        for page_id, url, html, refers_to in zip(*(batch.column(i) for i in range(3)), refers, strict=True):
+            payload = bytes(html.as_buffer()) if html.is_valid else b""
+            made = record(page_id.as_py(), url.as_py(), payload, hashlib.sha256(payload).hexdigest(), refers_to)
+            out.write(made)
+            size += len(made)
+            count += 1
+    if out is not None:
+        out.close()
+        yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([size]), pa.array([count])], names=["path", "size", "records"])
 
 
 def _header(raw: bytes, at: int) -> tuple[dict[str, str], int] | None:
