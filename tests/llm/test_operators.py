@@ -1,0 +1,392 @@
+"""The numbered operators against brute force, with nulls, empty and long texts, ties and clashing columns."""
+
+from __future__ import annotations
+
+import hashlib
+import math
+import random
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+
+from undula.llm import bpe, bytebpe, components, decontamination, embedding_dedup, lexicon, ngram_join, quality, repair, secret_scan, substring_dedup, textops, token_files, toxicity, warc
+
+SPACE = re.compile(r"[^\x20\x09-\x0D]+")
+ALNUM = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+
+
+def lower(text):
+    return re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
+
+
+def sha(raw: bytes) -> str:
+    return hashlib.sha256(raw).hexdigest()
+
+
+@pytest.fixture(scope="module")
+def texts():
+    rnd = random.Random(5)
+    vocab = ["".join(rnd.choice("abcdeéñ") for _ in range(rnd.randint(1, 7))) for _ in range(300)]
+    line = lambda n: " ".join(rnd.choice(vocab) for _ in range(n))
+    base, shared = line(200), line(60)
+    out = [None, "", " \n\t ", "one", "one two", "One TWO", base, base, base.upper(), shared, shared]
+    for k in range(40):  # near copies of one text
+        words = base.split()
+        for _ in range(rnd.choice([0, 1, 2, 5, 9])):
+            words[rnd.randrange(len(words))] = rnd.choice(vocab)
+        out.append(" ".join(words))
+    out += [f"{line(30)} {shared} {line(rnd.randint(1, 40))}" for _ in range(25)]
+    out += [line(rnd.randint(1, 120)) for _ in range(60)]
+    out.append(line(40_000))  # a long one, and again with more
+    out.append(out[-1] + " " + line(50))
+    out += ["x " * 100, "it's we'll <|endoftext|> 'S  \n\n  end  ", "日本語 テキスト １２３ 😀😀", "a b c"]
+    return list(enumerate(out))
+
+
+@pytest.fixture(scope="module")
+def docs(spark, texts):
+    rows = [(i, t, "junk", 1.0, i, None) for i, t in texts] + [(None, "no id", "junk", 1.0, 0, None)]
+    # names that operators use for themselves
+    return spark.createDataFrame(rows, "doc_id long, text string, runs string, score double, id long, h string").repartition(3)
+
+
+@pytest.fixture(scope="module")
+def none(spark):
+    return spark.createDataFrame([], "doc_id long, text string, source string, n_chars long")
+
+
+def groups(pairs, ids):
+    top = {i: i for i in ids}
+
+    def find(x):
+        while top[x] != x:
+            x = top[x]
+        return x
+
+    for a, b in pairs:
+        a, b = find(a), find(b)
+        top[max(a, b)] = min(a, b)
+    return {i: find(i) for i in ids}
+
+
+@pytest.mark.parametrize("n, percent", [(3, 90), (5, 80)])
+def test_ngram_join(spark, docs, texts, none, n, percent):
+    sets = {}
+    for i, t in texts:
+        w = SPACE.findall(lower(t))
+        sets[i] = {tuple(w[k : k + n]) for k in range(len(w) - n + 1)} if len(w) >= n else ({tuple(w)} if w else set())
+    ids = sorted(sets)
+    links = [(a, b) for a in ids for b in ids if a < b and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b])]
+    want = groups(links, ids)
+    got = {r.doc_id: r for r in ngram_join.join(spark, docs, n, percent).collect()}
+    assert {i: (len(sets[i]), want[i]) for i in ids} == {i: (r.n_shingles, r.component_id) for i, r in got.items()}
+    assert len({v for v in want.values()}) < len(ids) - 20
+    assert ngram_join.join(spark, none, n, percent).count() == 0
+
+
+def test_ngram_join_with_frequent_tokens(spark):
+    """A cluster whose every token is frequent: only combinations can find it."""
+    rnd = random.Random(1)
+    base = [f"w{k}" for k in range(120)]
+    rows = []
+    for i in range(60):
+        words = list(base)
+        for _ in range(i % 4):
+            words[rnd.randrange(len(words))] = f"x{rnd.random()}"
+        rows.append((i, " ".join(words)))
+    got = ngram_join.join(spark, spark.createDataFrame(rows, "doc_id long, text string"), frequent=4).collect()
+    sets = {i: {tuple(t.split()[k : k + 3]) for k in range(118)} for i, t in rows}
+    want = groups([(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 90 * len(sets[a] | sets[b])], sets)
+    assert {r.doc_id: r.component_id for r in got} == want
+
+
+def test_signatures_meet():
+    """Any two sets over the threshold share a signature, whichever tokens are frequent."""
+    rnd = np.random.default_rng(3)
+    for _ in range(300):
+        n = int(rnd.integers(9, 400))
+        x = np.unique(rnd.integers(0, 1 << 63, n, dtype=np.uint64))
+        lost = int(rnd.integers(0, len(x) // 10 + 1))
+        y = np.unique(np.concatenate([rnd.permutation(x)[lost:], rnd.integers(0, 1 << 63, int(rnd.integers(0, 3)), dtype=np.uint64)]))
+        common = len(np.intersect1d(x, y))
+        if 100 * common >= 90 * (len(x) + len(y) - common) and common < max(len(x), len(y)):
+            limit = np.uint64(int(rnd.random() * 2**63))
+            a, b = (ngram_join.signatures(s, (textops.mix(s) >> np.uint64(1)) < limit, 90) for s in (x, y))
+            assert len(np.intersect1d(a, b))
+
+
+def test_components_of_a_chain(spark):
+    links = spark.createDataFrame([(i + 1, i) for i in range(50)] + [(100, 101)], "a long, b long")
+    assert {r.id: r.component for r in components.components(spark, links).collect()} == {**{i: 0 for i in range(51)}, 100: 100, 101: 100}
+
+
+def test_bpe_matches_the_library(spark, docs, texts, none):
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(bpe.vocabulary())
+    got = {r.doc_id: r for r in bpe.decode(bpe.encode(spark, docs.where("doc_id is not null"))).collect()}
+    for i, t in texts:
+        ids = library.encode(t or "", add_special_tokens=False).ids
+        assert np.frombuffer(got[i].ids, "<u4").tolist() == ids
+        assert got[i].text == library.decode(ids, skip_special_tokens=False)
+    assert bpe.decode(bpe.encode(spark, none)).count() == 0
+
+
+def test_pretokens_match_on_random_strings():
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    rnd, library = random.Random(2), Tokenizer.from_file(bpe.vocabulary())
+    texts = ["".join(rnd.choice("ab's tlremvd  \n\t1½é日.,’ \x1c") for _ in range(rnd.randint(0, 50))) for _ in range(1500)]
+    merge = bytebpe.merger(bpe.vocabulary())
+    for lo, hi, buf, offsets in textops.slices(pa.array(texts)):
+        starts, ends, first = bytebpe.pretokens(buf, offsets)
+        ids, at = merge.encode(buf, starts, ends)
+        for i in range(hi - lo):
+            assert ids[at[first[i]] : at[first[i + 1]]].tolist() == library.encode(texts[lo + i], add_special_tokens=False).ids
+
+
+def test_lexicon_is_minimal_and_exact(tmp_path):
+    words = sorted({b"tap", b"taps", b"top", b"tops", b"stops", b"stop", b"x", "é".encode()})
+    made = lexicon.compile_words(words)
+    assert len(made["final"]) < sum(map(len, words)) / 2  # suffixes are shared
+    lexicon.write(str(tmp_path / "l"), words, [np.array([i, i], np.int32) for i in range(len(words))])
+    known = lexicon.Lexicon(str(tmp_path / "l"))
+    ask = [*words, b"ta", b"tapsx", b"", b"y"]
+    buf = np.frombuffer(b"".join(ask), np.uint8)
+    lens = np.array([len(w) for w in ask])
+    assert known.find(buf, np.cumsum(lens) - lens, np.cumsum(lens)).tolist() == [*range(len(words)), -1, -1, -1, -1]
+
+
+def test_toxicity(spark, none):
+    rnd = random.Random(4)
+    vocab = ["".join(rnd.choice("aeiourstlnm") for _ in range(rnd.randint(2, 8))) for _ in range(150)]
+    bad = ["grumblef", "snarkwit", "vexidol"]
+    spelled = lambda w, k: [w, w.replace("i", "1"), w[:3] + w[2] * 3 + w[3:], " ".join(w), w.replace("o", "0")][k]
+    rows, labels = [], []
+    for i in range(400):
+        words = [rnd.choice(vocab) for _ in range(rnd.randint(5, 60))]
+        if i % 4 == 0:
+            for _ in range(2):
+                words.insert(rnd.randrange(len(words)), spelled(rnd.choice(bad), 0 if i < 300 else rnd.randrange(5)))
+        rows.append((i, " ".join(words), "x", 9.0))
+        labels.append((i, int(i % 4 == 0)))
+    rows += [(1000, None, "x", 9.0), (1001, "", "x", 9.0), (None, "no id", "x", 9.0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, label string, score double")
+    known = spark.createDataFrame([*labels[:300], (1000, None), (None, 1)], "doc_id long, toxic int")
+    got = {r.doc_id: r.score for r in toxicity.score(spark, docs, toxicity.train(docs, known)).collect()}
+    held = [(got[i] >= 0.3) == bool(y) for i, y in labels[300:]]
+    assert sum(held) >= 0.95 * len(held)
+    assert len(got) == len(rows) and got[1000] == got[1001] < 0.3 and all(0 <= v <= 1 for v in got.values())
+    same = toxicity.train(docs, known.where("toxic = 1"))
+    assert all(r.score > 0.99 for r in toxicity.score(spark, docs, same).collect())
+    empty = toxicity.train(none, known.limit(0))
+    assert toxicity.score(spark, none, empty).count() == 0
+
+
+def test_restore():
+    model = toxicity.CharModel(Counter({g: 50 for w in ("idiot", "clown", "table") for g in (f"^^{w}."[i : i + 3] for i in range(len(w) + 1))}))
+    assert [toxicity.restore(w, model) for w in ("1d10t", "cl0wn", "tttable", "id|ot", "cl*wn")] == ["idiot", "clown", "table", "idiot", "clown"]
+
+
+def test_warc(spark, tmp_path):
+    trap = "WARC/1.1\r\nWARC-Type: response\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n"
+    long = "é" * 300_000
+    html = [None, "", "short", "short", "a" * 100, "a" * 100, "a" * 99, "a" * 99, trap, trap, long, long + trap * 50, "b" * 150, "a" * 100]
+    rows = [(i, f"http://x/{i}" if i else None, h, 1) for i, h in enumerate(html)] + [(None, "u", "h", 1)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, size int").repartition(3)
+    first, want = {}, {}
+    for i, h in enumerate(html):
+        raw = (h or "").encode()
+        again = len(raw) >= 100 and raw in first
+        want[i] = (len(raw), sha(raw), "revisit" if again else "response", first[raw] if again else None)
+        first.setdefault(raw, i)
+    manifest = warc.write(spark, pages)
+    for size in (warc.RANGE, 1 << 16, 500):
+        got = warc.read(spark, manifest, size).collect()
+        assert len(got) == len(want)
+        assert {r.page_id: (r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in got} == want
+    assert warc.read(spark, warc.write(spark, pages.limit(0))).count() == 0
+
+
+def test_secret_scan(spark, none):
+    rnd = random.Random(6)
+    hexed = lambda n: "".join(rnd.choice("0123456789abcdef") for _ in range(n))
+    rows, want = [], set()
+    for i in range(120):
+        key, number = hexed(40), "".join(rnd.choice("0123456789") for _ in range(16))
+        kind = i % 4
+        if kind == 0:
+            rows.append((i, f'The é token = "{key}" is here', "src/a.py", 1))
+            want.add((i, key))
+        elif kind == 1:
+            rows.append((i, f"card {number}, mail someone{i}.9@mail7.example.com now", None, 1))
+        elif kind == 2:
+            rows.append((i, f"password={key[:18]} again", "b", 1))
+            want.add((i, key[:18]))
+        else:
+            rows.append((i, "only words, nothing else 12", "b", 1))
+    rows += [(500, None, "b", 1), (501, "", None, 1), (None, "x", None, 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, start int")
+    found = secret_scan.findings(spark, docs)
+    got = [r for r in found.collect() if r.is_secret]
+    assert {(r.doc_id, r.value) for r in got} == want
+    text = {r[0]: r[1] for r in rows}
+    assert all(text[r.doc_id].encode()[r.start : r.end].decode() == r.value for r in got)
+    clean = {r.doc_id: r for r in secret_scan.redact(docs, found.where("is_secret")).collect()}
+    assert clean[0].text == 'The é token = "[SECRET]" is here' and clean[2].text == "password=[SECRET] again"
+    assert clean[500].text is None and all(clean[i].text == text[i] for i in (1, 3, 501)) and clean[1].start == 1
+    assert secret_scan.findings(spark, none).count() == 0
+
+
+def test_decontamination(spark, docs, texts, none):
+    words = SPACE.findall(texts[6][1])
+    items = [(0, " ".join(words[20:45])), (1, "one  TWO"), (2, None), (3, ""), (4, " ".join(words[40:52])), (10, "x " * 12), (11, "ONE two"), (12, "never seen here at all in any of the texts ok")]
+    bench = spark.createDataFrame([(*x, 0) for x in items], "item_id long, text string, at int")
+    windows = {}
+    for i, t in items:
+        w = ALNUM.findall(lower(t))
+        for k in range(max(1, len(w) - 9) if w else 0):
+            windows.setdefault(tuple(w[k : k + 10]), set()).add(str(i))
+    want = {}
+    for i, t in texts:
+        w = ALNUM.findall(lower(t))
+        hit, names = [0] * len(w), set()
+        for size in {len(k) for k in windows}:
+            for k in range(len(w) - size + 1):
+                if own := windows.get(tuple(w[k : k + size])):
+                    hit[k : k + size] = [1] * size
+                    names |= own
+        want[i] = (len(w), sum(hit), sorted(names))
+    got = decontamination.scan(docs, bench).collect()
+    assert {r.doc_id: (r.n_words, r.n_hit, r["items"]) for r in got} == want and len(got) == len(texts)
+    left = decontamination.remove_documents(docs, bench)
+    assert {r.doc_id for r in left.collect() if r.doc_id is not None} == {i for i, v in want.items() if not v[1]} and left.columns[0] == "doc_id"
+    spans = {r.doc_id: r.text for r in decontamination.remove_spans(docs, bench).collect()}
+    assert all(len(ALNUM.findall(lower(spans[i]))) == v[0] - v[1] for i, v in want.items())
+    assert decontamination.scan(none, bench).count() == 0
+    assert all(r.n_hit == 0 for r in decontamination.scan(docs, bench.limit(0)).collect())
+
+
+def test_embedding_dedup(spark, monkeypatch):
+    rnd = np.random.default_rng(8)
+    base = rnd.normal(size=(40, 16))
+    rows = []
+    for k in range(600):
+        x = base[k % 40] + rnd.normal(size=16) * rnd.choice([0, 0.02, 0.1, 0.2])
+        rows.append((k, x.tolist(), None if k % 50 == 7 else k % 3, "x"))
+    rows += [(1000, None, 1, "x"), (1001, [0.0] * 16, 1, "x"), (1002, [math.nan] + [1.0] * 15, 1, "x"), (1003, [None] + [1.0] * 15, 1, "x"), (1004, [], 1, "x"), (1005, [1.0, 2.0], 1, "x"), (1006, [2.0, 4.0], 1, "x"), (1007, (base[0] * 3).tolist(), 0, "x"), (1008, (base[0] * 3).tolist(), 0, "x"), (1009, [math.inf] + [1.0] * 15, 1, "x")]
+    monkeypatch.setattr(embedding_dedup, "PER_CELL", 30)
+    monkeypatch.setattr(embedding_dedup, "BLOCK", 16)
+    good = [(i, np.array(v, float), y) for i, v, y, _ in rows if y is not None and v and all(a is not None and math.isfinite(a) for a in v) and any(v)]
+    good = [(i, v / np.sqrt(v @ v), y) for i, v, y in good]
+    links = [(a[0], b[0]) for n, a in enumerate(good) for b in good[:n] if a[2] == b[2] and len(a[1]) == len(b[1]) and a[1] @ b[1] >= 0.98]
+    count = Counter(x for pair in links for x in pair)
+    label = groups(links, [r[0] for r in rows])
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int, id string")
+    got = embedding_dedup.near_duplicates(spark, frame).collect()
+    assert {r.vec_id: (r.n_links, r.component_id, r.kept) for r in got} == {i: (count[i], label[i], label[i] == i) for i in label}
+    assert len(links) > 500
+    assert embedding_dedup.near_duplicates(spark, frame.limit(0)).count() == 0
+
+
+def test_quality(spark, none):
+    rnd = random.Random(9)
+    good, bad = ([f"{p}{k}" for k in range(80)] for p in "gb")
+    rows = [(i, " ".join(rnd.choice(good if i % 2 else bad) for _ in range(30)), 0) for i in range(200)]
+    docs = spark.createDataFrame([*rows, (500, None, 0), (501, "", 0)], "doc_id long, text string, n int")
+    target = spark.createDataFrame([(i,) for i in range(1, 80, 2)] + [(None,)], "doc_id long")
+    got = {r.doc_id: r for r in quality.resample(spark, docs, target, 0.5).collect()}
+    assert sum(r.kept for r in got.values()) == 101 and all(got[i].kept for i in range(1, 200, 2))
+    assert got[500].log_weight == got[501].log_weight == 0.0
+    keys = sorted(got.values(), key=lambda r: (-r.key, r.doc_id))
+    assert [r.kept for r in keys] == [True] * 101 + [False] * 101
+    assert quality.resample(spark, none, target, 0.5).count() == 0
+
+
+def test_largest_with_ties(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(quality, "FEW", 5)
+    df = spark.createDataFrame([(i, float(i % 4)) for i in range(200)], "i long, k double")
+    for k in (0, 1, 49, 50, 51, 120, 200):
+        want = sorted(((-(i % 4), i) for i in range(200)))[:k]
+        got = df.where(quality.largest(df, F.col("k"), F.col("i"), k)).collect()
+        assert {r.i for r in got} == {i for _, i in want}
+
+
+def test_token_files(spark, docs, texts, none, monkeypatch):
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(bpe.vocabulary())
+    want, start = {}, 0
+    for i, t in texts:
+        ids = np.array([*library.encode(t or "", add_special_tokens=False).ids, 0], "<u4")
+        want[i] = (start, len(ids), zlib.crc32(ids.tobytes()))
+        start += len(ids)
+    manifest = token_files.write(spark, docs)
+    got = token_files.read(manifest).collect()
+    assert {r.doc_id: (r.start, r.n_tokens, r.ids_crc32) for r in got} == want and len(got) == len(want)
+    assert token_files.read(token_files.write(spark, none)).count() == 0
+
+
+def test_repair_round_trip():
+    rnd = np.random.default_rng(2)
+    phrase = rnd.integers(0, 50, 40)
+    docs = [np.concatenate([phrase[: rnd.integers(0, 40)], rnd.integers(0, 50, rnd.integers(0, 30))]) for _ in range(300)] + [np.zeros(0, int), np.full(200, 7)]
+    ids = np.concatenate(docs).astype(np.uint32)
+    first = np.concatenate([[0], np.cumsum([len(d) for d in docs])])
+    seq, at, rules = repair.compress(ids, first, 50)
+    assert len(rules) and len(seq) < len(ids) and (repair.expand(seq, rules, 50) == ids).all()
+    for i, d in enumerate(docs):
+        assert repair.expand(seq[at[i] : at[i + 1]], rules, 50).tolist() == d.tolist()
+    lengths = repair.expansions(rules, 50)
+    assert lengths[seq].sum() == len(ids)
+    shard = token_files.Shard(token_files.pack(np.arange(len(docs)), ids, first, 50))
+    assert all(shard.token_at(i, k) == v for i in (0, 5, 301) for k, v in enumerate(docs[i].tolist()))
+
+
+def test_substring_dedup(spark, docs, texts, none):
+    seen, want = set(), {}
+    for i, t in texts:
+        w = SPACE.findall(t or "")
+        gone = [False] * len(w)
+        for k in range(len(w) - 19):
+            run = tuple(w[k : k + 20])
+            if run in seen:
+                gone[k : k + 20] = [True] * 20
+            seen.add(run)
+        want[i] = (len(w), sum(gone), " ".join(x for x, g in zip(w, gone, strict=True) if not g))
+    got = substring_dedup.dedup_substrings(spark, docs, filter_bits=20).collect()
+    assert {r.doc_id: (r.n_words, r.n_removed, r.text) for r in got} == want and len(got) == len(want)
+    assert sum(v[1] for v in want.values()) > 1000
+    assert substring_dedup.dedup_substrings(spark, none, filter_bits=20).count() == 0
+
+
+def test_full_bitmap_changes_nothing(spark, docs):
+    rows = [sorted(map(tuple, substring_dedup.dedup_substrings(spark, docs, filter_bits=b).collect())) for b in (8, 22)]
+    assert rows[0] == rows[1]
+
+
+def test_pipeline(spark, docs, texts, tmp_path):
+    import corpus_pipeline
+
+    folder = str(tmp_path / "sf")
+    full = docs.where("doc_id is not null").selectExpr("doc_id", "text", "'en' as lang", "'src' as source", "length(text) as n_chars", "1 as extra")
+    key = "token = \"0123456789abcdef0123456789abcdef01234567\""
+    more = spark.createDataFrame([(2000, f"some text with {key} inside", "en", "src", 60, 1)], full.schema)
+    full.union(more).write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([(i, i % 2, 0) for i in range(30)], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    spark.createDataFrame([(1, texts[9][1])], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    out = {r.doc_id: r for r in corpus_pipeline.run(spark, folder).collect()}
+    shared = set(zip(*[ALNUM.findall(lower(texts[9][1]))[k:] for k in range(10)], strict=False))
+    for i, r in out.items():
+        w = ALNUM.findall(lower(dict(texts).get(i, "")))
+        assert not shared & set(zip(*[w[k:] for k in range(10)], strict=False)) and r.n_tokens == len(r.ids) // 4
+    assert 7 not in out and 6 in out and 2000 in out  # copies go, their first stays
+    merge = bytebpe.merger(bpe.vocabulary())
+    ids = np.frombuffer(out[2000].ids, "<u4").astype(np.int64)
+    assert merge.decode(ids, np.array([0, len(ids)]))[0] == b"some text with token = \"[SECRET]\" inside"

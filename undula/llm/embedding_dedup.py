@@ -10,7 +10,7 @@ its links, never the pairs.
 
 Defined cases: vectors that are null, empty, zero or hold null or non-finite components, and rows
 with a null label, link with nothing; vectors of different lengths aren't compared; further columns
-are ignored; an empty table gives an empty table.  vec_id must be unique and not null.
+are ignored; an empty table gives an empty table.  vec_id must be unique; rows without one are left out.
 """
 
 from __future__ import annotations
@@ -55,7 +55,7 @@ def centroids(classes: DataFrame, n: int, seed: int) -> np.ndarray:
 
 def near_duplicates(spark: SparkSession, vectors: DataFrame, cosine: float = 0.98, seed: int = 7) -> DataFrame:
     """Rows (vec_id, n_links, component_id, kept) of all vectors."""
-    rows = vectors.select("vec_id", "label", F.col("embedding").alias("vector"))
+    rows = vectors.where("vec_id is not null").select("vec_id", "label", F.col("embedding").alias("vector"))
     finite = F.expr("label is not null and vector is not null and size(vector) > 0 and forall(vector, v -> v is not null and not isnan(v) and abs(v) < double('infinity')) and exists(vector, v -> v <> 0)")
     rows = rows.withColumn("usable", F.coalesce(finite, F.lit(False)))
     good = rows.where("usable")

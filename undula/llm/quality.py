@@ -29,7 +29,8 @@ from .shared import kept
 
 BITS = 16
 SAMPLE = 50_000
-SMOOTHING = 0.5
+#: Occurrences added to what is seen and to what is expected: rare n-grams weigh little.
+SMOOTHING = 1.0
 BINS, FEW = 1024, 2048
 
 
@@ -68,8 +69,7 @@ def fit(docs: DataFrame, target: DataFrame) -> np.ndarray:
         raw[r.bucket], own[r.bucket] = r.raw, r.own
     if not own.sum():
         return np.zeros(1 << BITS)
-    size = SMOOTHING * (1 << BITS)
-    return np.log((own + SMOOTHING) / (own.sum() + size)) - np.log((raw + SMOOTHING) / (raw.sum() + size))
+    return np.log((own + SMOOTHING) / (raw * (own.sum() / raw.sum()) + SMOOTHING))
 
 
 def weigh(spark: SparkSession, docs: DataFrame, log_ratio: np.ndarray) -> DataFrame:

@@ -16,8 +16,7 @@ Window hashes have 64 bits of well mixed state; equal hashes count as equal word
 
 Defined cases: a null or empty text has no words and keeps an empty text; texts of fewer than
 `window` words are untouched; further columns, whatever their names, are ignored; doc_id must be
-unique and not null (rows with a null doc_id are judged as documents that precede all others only
-if there is one of them).  An empty table gives an empty table.
+unique; rows without one are left out.  An empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -69,7 +68,7 @@ def repeated_runs(spark: SparkSession, docs: DataFrame, window: int = 20, filter
     """Rows (doc_id, at, runs): the starts of windows that repeat an earlier place, and word ranges
     that do, as little-endian int32 pairs.  Together they are what a document repeats."""
     block, bits = window // 2, filter_bits
-    docs = docs.select("doc_id", "text")
+    docs = docs.where("doc_id is not null").select("doc_id", "text")
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def blocks() -> Iterator[np.ndarray]:
@@ -138,7 +137,8 @@ def repeated_runs(spark: SparkSession, docs: DataFrame, window: int = 20, filter
 def dedup_substrings(spark: SparkSession, docs: DataFrame, window: int = 20, filter_bits: int = 28) -> DataFrame:
     """Rows (doc_id, n_words, n_removed, text): each document with its later repeats removed; the
     words that stay are joined by one space."""
-    both = docs.select("doc_id", "text").join(repeated_runs(spark, docs, window, filter_bits), "doc_id", "left")
+    docs = docs.where("doc_id is not null").select("doc_id", "text")
+    both = docs.join(repeated_runs(spark, docs, window, filter_bits), "doc_id", "left")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -10,7 +10,7 @@ Any token is found without decoding what precedes it: the document index gives i
 expansion lengths the symbol that holds the token (`token_at`).
 
 Defined cases: a null text is an empty one, which leaves the end id alone; further columns are
-ignored; an empty table gives no files and an empty table.  doc_id must be unique and not null.
+ignored; an empty table gives no files and an empty table.  doc_id must be unique; rows without one are left out.
 """
 
 from __future__ import annotations
@@ -158,7 +158,7 @@ def write(spark: SparkSession, docs: DataFrame, path: str | None = None) -> Data
     """Writes the files; the manifest, rows (file, first_doc, tokens, places)."""
     path = path or vocabulary()
     folder = fresh(spark, "tokens")
-    ordered = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    ordered = docs.where("doc_id is not null").select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = library(path)
