@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import oracle
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -80,4 +82,10 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OPERATORS = (op1_ngram_jaccard_join, op2_bpe, op3_toxicity, op4_warc, op5_secret_scan, op6_decontamination, op7_embedding_dedup, op8_quality, op9_token_files, op10_substring_dedup)
 QUERIES = {f.__name__: f for f in OPERATORS}
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {
+    "op1_ngram_jaccard_join": oracle.OP1,
+    "op4_warc": oracle.OP4,
+    "op6_decontamination": oracle.OP6,
+    "op7_embedding_dedup": oracle.OP7,
+    "op10_substring_dedup": oracle.OP10,
+}
