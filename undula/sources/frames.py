@@ -160,7 +160,7 @@ def write_avi(frames: DataFrame, path: str, fps: float) -> int:
 def read_matrix(spark: SparkSession, path: str, channels: int = 3) -> DataFrame:
     """A comma-separated matrix of H lines with W * channels values, as rows (y, x, ch, v)."""
     text = spark.read.text(path, wholetext=True)
-    lines = text.select(F.posexplode(F.split(F.rtrim(F.regexp_replace("value", "\r", "")), "\n")).alias("y", "line"))
+    lines = text.select(F.posexplode(F.split(F.regexp_replace("value", r"\s+$", ""), r"\r?\n")).alias("y", "line"))
     cells = lines.select("y", F.split("line", ",").alias("cells"))
     sizes = cells.agg(F.min(F.size("cells")).alias("low"), F.max(F.size("cells")).alias("high")).first()
     if sizes.low is None or sizes.low != sizes.high or sizes.low % channels:
