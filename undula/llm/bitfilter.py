@@ -13,6 +13,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from . import textops
+
 SCHEMA = "segment int, places binary"
 _ARROW = pa.schema([("segment", pa.int32()), ("places", pa.binary())])
 _HELD = 1 << 22
@@ -68,3 +70,37 @@ def build(spark: SparkSession, rows: DataFrame, bits: int) -> np.ndarray:
 def has(bitmap: np.ndarray, hashes: np.ndarray, bits: int) -> np.ndarray:
     at = hashes >> np.uint64(64 - bits)
     return (bitmap[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
+
+
+def marks(spark: SparkSession, ids: DataFrame, bits: int) -> np.ndarray:
+    """The bitmap of one column of 64-bit keys."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return places((textops.mix(b.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)) for b in batches), bits)
+
+    return build(spark, ids.mapInArrow(work, SCHEMA), bits)
+
+
+def split(spark: SparkSession, df: DataFrame, key: str, bitmap: np.ndarray, bits: int) -> tuple[DataFrame, DataFrame]:
+    """(rows whose key is certainly not in the bitmap, rows whose key may be), without an exchange.
+    Null keys are certainly not in it."""
+    shared = spark.sparkContext.broadcast(bitmap)
+    at = df.columns.index(key)
+
+    def half(wanted: bool):
+        def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                ids = batch.column(at)
+                held = has(shared.value, textops.mix(ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)), bits)
+                yield batch.filter(pa.array((held & ids.is_valid().to_numpy(zero_copy_only=False)) == wanted))
+
+        return df.mapInArrow(work, df.schema)
+
+    return half(False), half(True)
+
+
+def without(spark: SparkSession, df: DataFrame, key: str, ids: DataFrame, bits: int) -> DataFrame:
+    """An anti-join of wide rows: only rows that the bitmap marks are shuffled."""
+    ids = ids.select(ids[ids.columns[0]].alias(key))
+    clear, maybe = split(spark, df, key, marks(spark, ids, bits), bits)
+    return clear.unionByName(maybe.join(ids, key, "left_anti").select(*df.columns))

@@ -23,12 +23,11 @@ import hashlib
 import uuid
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bitfilter, textops
+from . import bitfilter
 from .shared import fresh, kept, open_store
 
 MAGIC = b"WARC/1.1\r\n"
@@ -81,27 +80,13 @@ def write(spark: SparkSession, pages: DataFrame, least: int = 100) -> DataFrame:
     pages = pages.where("page_id is not null").select(F.col("page_id").cast("long").alias("page_id"), "url", "html")
     decided = kept(spark, decisions(pages, least), "decisions")
 
-    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return bitfilter.places((textops.mix(b.column(0).to_numpy().view(np.uint64)) for b in batches), MARK_BITS)
+    clear, possible = bitfilter.split(spark, pages, "page_id", bitfilter.marks(spark, decided.select("page_id"), MARK_BITS), MARK_BITS)
 
-    marks = spark.sparkContext.broadcast(bitfilter.build(spark, decided.mapInArrow(places, bitfilter.SCHEMA), MARK_BITS))
-
-    def marked(batch: pa.RecordBatch) -> np.ndarray:
-        return bitfilter.has(marks.value, textops.mix(batch.column(0).to_numpy().view(np.uint64)), MARK_BITS)
-
-    def possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield batch.filter(pa.array(marked(batch)))
-
-    def responses(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return _write(folder, (batch.filter(pa.array(~marked(batch))) for batch in batches))
-
-    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return _write(folder, batches)
 
     schema = "path string, size long, records long"
-    rest = pages.mapInArrow(possible, "page_id long, url string, html string").join(decided, "page_id", "left")
-    return kept(spark, pages.mapInArrow(responses, schema).union(rest.mapInArrow(decide, schema)), "manifest")
+    return kept(spark, clear.mapInArrow(work, schema).union(possible.join(decided, "page_id", "left").mapInArrow(work, schema)), "manifest")
 
 
 def _write(folder: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
