@@ -7,7 +7,7 @@ it.  Matrix tables have a few entries per line of one frame and are broadcast on
 
 from __future__ import annotations
 
-from math import cos, pi, sin
+from math import pi
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -110,8 +110,3 @@ def recursive_lowpass(series: DataFrame, b0: float, b1: float, a1: float) -> Dat
         f"aggregate(sequence(1, size(data) - 1), array(data[0]), (acc, i) -> concat(acc, array({b0!r}D * data[i] + {b1!r}D * data[i - 1] - ({a1!r}D) * acc[i - 1])))"
     )
     return series.withColumn("data", F.when(F.size("data") > 1, step).otherwise(F.col("data")))
-
-
-def bin_terms(n: int, bins: list[tuple[int, float]], t: int) -> list[tuple[float, float]]:
-    """(cos, sin) weights of every kept bin at one t."""
-    return [(w / n * cos(2 * pi * k * t / n), w / n * sin(2 * pi * k * t / n)) for k, w in bins]

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
+from dataclasses import replace
 from math import hypot
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,10 +14,12 @@ from .functions import coeffs, color, stencils
 from .operators import arrays, metrics
 from .operators import pixels as px
 from .plans.magnify import magnify
+from .shared import fresh
 from .sources import frames as fr
 from .streaming.recursive import iir_stream
 
 FPS, LOW, HIGH = 30.0, 0.8333, 1.0
+SMALL_GAUSSIAN, SMALL_LAPLACIAN = replace(CPP, levels=1), replace(BABY, levels=2)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
@@ -131,9 +133,6 @@ def _sql_dot(row, names) -> str:
     return " + ".join(f"({w!r}::DOUBLE) * {n}" for w, n in zip(row, names, strict=True))
 
 
-_SQL_YIQ = ", ".join(f"{_sql_dot(row, 'rgb')} AS {n}" for row, n in zip(color.YIQ, "yiq", strict=True)).replace(" AS y", " AS yy")
-
-
 @query(sql_of(TRIPLES, select=f"SELECT t, y, x, round({_sql_dot(color.YIQ[0], 'rgb')}, 6) + 0.0 AS c0, round({_sql_dot(color.YIQ[1], 'rgb')}, 6) + 0.0 AS c1, round({_sql_dot(color.YIQ[2], 'rgb')}, 6) + 0.0 AS c2 FROM tri"))
 def rgb_to_yiq(spark, d):
     made = color.rgb_to_yiq(F.col("r"), F.col("g"), F.col("b"))
@@ -371,7 +370,7 @@ def iir_bandpass(spark, d):
 @query()
 def iir_stream_batches(spark, d):
     """The stateful stream over files of frames, one micro-batch a file, as its rows come out."""
-    folder = tempfile.mkdtemp(prefix="stream-")
+    folder = fresh(spark, "stream")
     series = _series(spark, d)
     n = _count(spark, d)
     for k in range(4):
@@ -565,13 +564,9 @@ def _sql_pipeline(kind: str) -> str:
 
 @query(_sql_pipeline("gaussian"))
 def magnify_gaussian(spark, d):
-    return _values(magnify(rgb_frames(spark, d), MagnifyGaussian, (4, 4)))
+    return _values(magnify(rgb_frames(spark, d), SMALL_GAUSSIAN, (4, 4)))
 
 
 @query(_sql_pipeline("laplacian"))
 def magnify_laplacian(spark, d):
-    return _values(magnify(rgb_frames(spark, d), MagnifyLaplacian, (4, 4)))
-
-
-MagnifyGaussian = CPP.__class__(levels=1)
-MagnifyLaplacian = BABY.__class__(mode="laplacian", levels=2, alpha=BABY.alpha, low_hz=BABY.low_hz, high_hz=BABY.high_hz, attenuation=BABY.attenuation)
+    return _values(magnify(rgb_frames(spark, d), SMALL_LAPLACIAN, (4, 4)))
