@@ -1,28 +1,12 @@
-"""The shared folder of the cluster, and what operators keep there."""
+"""What operators keep in the shared folder of the cluster."""
 
 from __future__ import annotations
 
 import contextlib
-import tempfile
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-
-def folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; where it is unset, as in tests, a folder of this machine."""
-    at = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        at = "file://" + tempfile.mkdtemp(prefix="undula-")
-        spark.conf.set("spark.checkpoint.dir", at)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(at)
-    return at if "://" in at else f"file://{at}"
-
-
-def fresh(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder that nothing uses yet."""
-    return f"{folder(spark)}/{name}-{uuid.uuid4().hex}"
+from ..shared import fresh
 
 
 def kept(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:

@@ -26,9 +26,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..shared import fresh
 from . import bytebpe, repair, textops
 from .bpe import vocabulary
-from .shared import fresh, kept, open_store
+from .shared import kept, open_store
 
 MAGIC = b"RPTOK01\n"
 HEAD = struct.Struct("<8sIIQQ")  # magic, terminals, rules, symbols, documents

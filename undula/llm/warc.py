@@ -28,7 +28,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bitfilter
-from .shared import fresh, kept, open_store
+from ..shared import fresh
+from .shared import kept, open_store
 
 MAGIC = b"WARC/1.1\r\n"
 RANGE = 8 << 20
