@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import kept
+from .shared import kept, scratch
 
 #: k-means sees at most about so many classes, whatever the input.
 SAMPLE = 50_000
@@ -55,6 +55,11 @@ def centroids(classes: DataFrame, n: int, seed: int) -> np.ndarray:
 
 def near_duplicates(spark: SparkSession, vectors: DataFrame, cosine: float = 0.98, seed: int = 7) -> DataFrame:
     """Rows (vec_id, n_links, component_id, kept) of all vectors."""
+    with scratch(spark):
+        return kept(spark, _near_duplicates(spark, vectors, cosine, seed), "vectors", stays=True)
+
+
+def _near_duplicates(spark: SparkSession, vectors: DataFrame, cosine: float, seed: int) -> DataFrame:
     rows = vectors.where("vec_id is not null").select("vec_id", "label", F.col("embedding").alias("vector"))
     finite = F.expr("label is not null and vector is not null and size(vector) > 0 and forall(vector, v -> v is not null and not isnan(v) and abs(v) < double('infinity')) and exists(vector, v -> v <> 0)")
     rows = rows.withColumn("usable", F.coalesce(finite, F.lit(False)))

@@ -9,14 +9,37 @@ from pyspark.sql import DataFrame, SparkSession
 from ..shared import fresh
 
 
-def kept(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
+#: Tables written by the operators that now run, innermost last.
+_scopes: list[list[str]] = []
+
+
+def kept(spark: SparkSession, df: DataFrame, name: str, stays: bool = False) -> DataFrame:
     """Writes df to the shared folder and reads it again: later jobs start from the files, whatever
-    executors are lost meanwhile."""
+    executors are lost meanwhile.  Within `scratch` the table goes at its end, unless it stays."""
     path = fresh(spark, name)
     df.write.parquet(path)
+    scopes = _scopes[:-1] if stays else _scopes
+    if scopes:
+        scopes[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession):
+    """Deletes the tables kept inside, but for those that stay (which go with an outer scratch)."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for path in _scopes.pop():
+            delete(spark, path)
+
+
 def unused(df: DataFrame, name: str) -> str:
     """A column name that df doesn't have."""
     while name in df.columns:
