@@ -19,7 +19,9 @@ _MIX = np.uint32(0x9E3779B1)
 def _frequent(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(pairs as left << 32 | right, counts) of pairs with LEAST places or more, most frequent first."""
     slot = ((left * _MIX) ^ (right * np.uint32(0x85EBCA6B))) * np.uint32(0xC2B2AE35) >> np.uint32(32 - COARSE_BITS)
-    heavy = (np.bincount(slot, minlength=1 << COARSE_BITS) >= LEAST)[slot]
+    count = np.bincount(slot, minlength=1 << COARSE_BITS)
+    # a pair is no more frequent than its slot, so the fullest slots hold all pairs that can be chosen
+    heavy = (count >= max(LEAST, int(np.partition(count, -4 * RULES)[-4 * RULES])))[slot]
     pair, n = np.unique(left[heavy].astype(np.uint64) << np.uint64(32) | right[heavy].astype(np.uint64), return_counts=True)
     pair, n = pair[n >= LEAST], n[n >= LEAST]
     order = np.lexsort((pair, -n))

@@ -65,23 +65,26 @@ class Library:
     def ids_of(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(ids, sizes).  Words that aren't white space are sent as lines of one text, where each is a
         pretoken of its own and the line ends are the newline's id."""
-        text = [w.decode() for w in words]
-        plain = [w for w, t in zip(words, text, strict=True) if not t.isspace() and w != bytebpe.SPECIAL]
-        lines = set(plain)
-        ids, sizes = {}, {}
-        if plain:
-            got = np.array(self.tokenizer.encode_batch_fast([(NEWLINE.join(plain) + NEWLINE).decode()], add_special_tokens=False)[0].ids, np.uint32)
+        alone = [w.isspace() or w == bytebpe.SPECIAL or not w.isascii() and w.decode().isspace() for w in words]
+        lines = np.flatnonzero(~np.array(alone, bool))
+        sizes = np.zeros(len(words), np.int64)
+        ids = np.zeros(0, np.uint32)
+        if len(lines):
+            text = NEWLINE.join([w for w, a in zip(words, alone, strict=True) if not a] + [b""]).decode()
+            got = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
             ends = np.flatnonzero(got == self.newline)
-            if len(ends) != len(plain):
+            if len(ends) != len(lines):
                 raise AssertionError("a line was not one pretoken")
-            begin = 0
-            for w, end in zip(plain, ends.tolist(), strict=True):
-                ids[w], sizes[w] = got[begin:end], end - begin
-                begin = end + 1
-        rest = [w for w in words if w not in lines]
-        for w, e in zip(rest, self.tokenizer.encode_batch_fast([w.decode() for w in rest], add_special_tokens=False), strict=True):
-            ids[w], sizes[w] = np.array(e.ids, np.uint32), len(e.ids)
-        return np.concatenate([*(ids[w] for w in words), np.zeros(0, np.uint32)]), np.array([sizes[w] for w in words], np.int64)
+            sizes[lines] = np.diff(ends, prepend=-1) - 1
+            ids = got[got != self.newline]
+        rest = np.flatnonzero(alone)
+        if not len(rest):
+            return ids, sizes
+        begin = np.cumsum(sizes) - sizes
+        more = [e.ids for e in self.tokenizer.encode_batch_fast([words[i].decode() for i in rest], add_special_tokens=False)]
+        sizes[rest] = [len(x) for x in more]
+        begin[rest] = len(ids) + np.cumsum(sizes[rest]) - sizes[rest]
+        return np.concatenate([ids, np.array([i for x in more for i in x], np.uint32)])[textops.spans(begin, sizes)], sizes
 
     def encode(self, buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids, first) of a slice of documents."""
@@ -220,4 +223,6 @@ def read(manifest: DataFrame) -> DataFrame:
                 crc = [zlib.crc32(memoryview(ids)[4 * a : 4 * b]) for a, b in zip(shard.token[:-1], shard.token[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(shard.doc_ids), pa.array(base + shard.token[:-1]), pa.array(n), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return shards(manifest).repartition("file", "start").mapInArrow(work, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    # an explicit number of partitions: rows are few and small, what they name is not
+    at_once = int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return shards(manifest).repartition(at_once, "file", "start").mapInArrow(work, "doc_id long, start long, n_tokens long, ids_crc32 long")
