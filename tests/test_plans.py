@@ -114,6 +114,11 @@ def test_matrix_and_vector_files(spark, tmp_path):
         fr.read_vector(spark, str(tmp_path / "w.txt"))
 
 
+def test_metrics_file(spark, tmp_path):
+    (tmp_path / "m.csv").write_text("Frame,PSNR,SSIM,MaxPixelDiff,MeanPixelDiff\n0,18.7,0.9,12,1.5\n")
+    assert list(fr.read_metrics(spark, str(tmp_path / "m.csv")).first()) == [0, 18.7, 0.9, 12.0, 1.5]
+
+
 def test_metrics(spark, tmp_path):
     a = fr.to_pixels(clip(spark, np.full((4, 2, 2, 3), 10.0))).drop("video_id")
     b = fr.to_pixels(clip(spark, np.full((3, 2, 2, 3), 12.0))).drop("video_id")

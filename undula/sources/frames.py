@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..functions.color import swap_channels
+from ..schemas import METRICS
 
 
 def frames_from_vectors(df: DataFrame, key: str, vector: str, h: int, w: int, c: int, video_id: str = "v") -> DataFrame:
@@ -183,6 +184,11 @@ def read_vector(spark: SparkSession, path: str) -> list[float]:
     return [float(v) for v in lines[0].split(",")]
 
 
+def read_metrics(spark: SparkSession, path: str) -> DataFrame:
+    """A CSV of frame metrics with a header, under the explicit METRICS schema."""
+    return spark.read.csv(path, header=True, schema=METRICS)
+
+
 def write_report(frames: DataFrame, path: str) -> None:
     """The quality report as text: summary, the ten lowest, then every frame in order."""
     from ..operators import metrics
