@@ -1,9 +1,8 @@
-"""Row layouts.  Frames and series carry production work; pixels is the relational form."""
+"""Row layouts, as DDL.  Frames and series carry production work; pixels is the relational form."""
 
-from pyspark.sql import types as T
 
-FRAMES = T.StructType.fromDDL("video_id string, t int, h int, w int, c int, data array<double>")
-BANDS = T.StructType.fromDDL("video_id string, level int, t int, h int, w int, c int, data array<double>")
-SERIES = T.StructType.fromDDL("video_id string, level int, tile int, t int, data array<double>")
-PIXELS = T.StructType.fromDDL("video_id string, t int, y int, x int, ch int, v double")
-METRICS = T.StructType.fromDDL("frame int, psnr double, ssim double, max_diff double, mean_diff double")
+FRAMES = "video_id string, t int, h int, w int, c int, data array<double>"
+BANDS = "video_id string, level int, t int, h int, w int, c int, data array<double>"
+SERIES = "video_id string, level int, tile int, t int, data array<double>"
+PIXELS = "video_id string, t int, y int, x int, ch int, v double"
+METRICS = "frame int, psnr double, ssim double, max_diff double, mean_diff double"
