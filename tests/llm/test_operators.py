@@ -192,6 +192,23 @@ def test_restore():
     assert [toxicity.restore(w, model) for w in ("1d10t", "cl0wn", "tttable", "id|ot", "cl*wn")] == ["idiot", "clown", "table", "idiot", "clown"]
 
 
+def test_char_model_counts_every_text(spark, none):
+    rows = [(i, f"common {'a' * (i % 3)}zq{chr(0x4E00 + i)}x ähm" + ", Vexidol!" * (i == 4321), "x", 1) for i in range(6000)]
+    rows += [(None, "no\u3000id " + "w" * 50, "x", 1), (7000, None, "x", 1)]
+    want: Counter[str] = Counter()
+    for r in rows:
+        for w in (r[1] or "").split():
+            w = w.strip(",!").lower()
+            want.update(f"^^{w}."[i : i + 3] for i in range(len(w) + 1))
+    docs = spark.createDataFrame(rows, none.schema).repartition(3)
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, toxic int")  # the rare words have no label
+    got, model = toxicity.train(docs, labels).chars, toxicity.CharModel(want)
+    assert got.grams.tolist() == sorted(toxicity._pack(*g) for g in want) and len(want) > 12_000
+    assert got.letters == model.letters and all(got.step(*g) == model.step(*g) for g in [*want, "xyz", "aaq"])
+    total = sum(n for g, n in want.items() if g[:2] == "ve")
+    assert got.step("v", "e", "x") == pytest.approx(-math.log((want["vex"] + 0.1) / (total + 0.1 * (len(got.letters) + 1))), rel=1e-5)
+
+
 def test_warc(spark, tmp_path):
     trap = "WARC/1.1\r\nWARC-Type: response\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n"
     long = "é" * 300_000

@@ -10,8 +10,8 @@ Each distinct restored word of a document gives hashed features (the word, and i
 and six bytes); an L1 logistic regression trained by Spark on labelled rows scores a document by the sum
 of their weights.
 
-Training reads a bounded sample of labelled rows (SAMPLE, chosen by hash over all of them); scoring
-reads every whole text.
+The character model counts the words of every whole text.  The regression reads a bounded sample of
+labelled rows (SAMPLE, chosen by hash over all of them); scoring reads every whole text.
 
 Defined cases: null and empty texts have no features and get the score of the intercept; null labels
 aren't used; if the training rows hold one label only, every score is that label's share; further
@@ -36,8 +36,10 @@ from . import textops
 
 FEATURE_BITS = 18
 PREFIXES = (4, 5, 6)
-#: Labelled rows for training, and texts for the character model: about so many at most.
-SAMPLE, MODEL_SAMPLE = 20_000, 4_000
+#: Labelled rows for the regression: about so many at most.
+SAMPLE = 20_000
+#: Distinct words a task counts before it hands on their trigrams.
+WORDS = 1 << 17
 THRESHOLD = 0.3
 
 # Letters that other characters imitate.
@@ -57,20 +59,45 @@ CUT_END[[ord(c) for c in "$@"]] = True
 
 
 class CharModel:
-    """Character trigrams of words, with add-one smoothing over the letters seen."""
-
-    def __init__(self, counts: dict[str, int]):
-        self.letters = sorted({c for gram in counts for c in gram if c not in "^."}) or list("abcdefghijklmnopqrstuvwxyz")
-        pairs: Counter[str] = Counter()
-        for gram, n in counts.items():
-            pairs[gram[:2]] += n
+    """Character trigrams of words, with add-one smoothing over the letters seen.
+
+    Sorted arrays of packed trigrams, since there may be millions; tasks remember the steps they take.
+    """
+
+    def __init__(self, counts: dict[str, int] | tuple[np.ndarray, np.ndarray]):
+        if isinstance(counts, dict):
+            counts = np.array([_pack(*gram) for gram in counts], np.int64), np.array(list(counts.values()), np.int64)
+        order = np.argsort(counts[0])
+        self.grams, n = counts[0][order], counts[1][order].astype(float)
+        pairs = self.grams >> 21
+        first = np.flatnonzero(np.diff(pairs, prepend=-1))
+        self.pairs, total = pairs[first], np.add.reduceat(n, first) if len(n) else n
+        letters = np.unique(np.concatenate([(self.grams >> k) & 0x1FFFFF for k in (42, 21, 0)]))
+        self.letters = [c for c in map(chr, letters.tolist()) if c not in "^."] or list("abcdefghijklmnopqrstuvwxyz")
         size = len(self.letters) + 1
-        self.cost = {gram: -log((n + 0.1) / (pairs[gram[:2]] + 0.1 * size)) for gram, n in counts.items()}
-        self.other = {pair: -log(0.1 / (n + 0.1 * size)) for pair, n in pairs.items()}
+        self.cost = -np.log((n + 0.1) / (np.repeat(total, np.diff(first, append=len(n))) + 0.1 * size)).astype(np.float32)
+        self.other = -np.log(0.1 / (total + 0.1 * size)).astype(np.float32)
         self.unseen = log(size)
+        self.steps: dict[tuple[str, str, str], float] = {}
 
     def step(self, a: str, b: str, c: str) -> float:
-        return self.cost.get(a + b + c) or self.other.get(a + b, self.unseen)
+        got = self.steps.get((a, b, c))
+        if got is None:
+            if len(self.steps) > 1_000_000:
+                self.steps.clear()
+            got = self.steps[a, b, c] = self._step(_pack(a, b, c))
+        return got
+
+    def _step(self, gram: int) -> float:
+        for known, cost, key in ((self.grams, self.cost, gram), (self.pairs, self.other, gram >> 21)):
+            i = int(np.searchsorted(known, key))
+            if i < len(known) and known[i] == key:
+                return float(cost[i])
+        return self.unseen
+
+
+def _pack(a: str, b: str, c: str) -> int:
+    return ord(a) << 42 | ord(b) << 21 | ord(c)
 
 
 #: Channel costs: keeping a character, reading a letter out of a sign, a mask, or dropping a character.
@@ -191,25 +218,42 @@ def _sampled(df: DataFrame, key: str, n: int, most: int) -> DataFrame:
     return df if n <= most else df.where(F.pmod(F.xxhash64(key, F.lit("sample")), F.lit(1 << 30)) < int((1 << 30) * most / n))
 
 
+def _trigrams(words: Counter[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(packed trigrams, occurrences) of words that occur so often."""
+    if not words:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    code = np.frombuffer("".join(f"^^{w}." for w in words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    lens = np.array([len(w) + 1 for w in words])
+    at = textops.spans(np.cumsum(lens + 2) - (lens + 2), lens)
+    grams, back = np.unique(code[at] << 42 | code[at + 1] << 21 | code[at + 2], return_inverse=True)
+    n = np.zeros(len(grams), np.int64)
+    np.add.at(n, back, np.repeat(np.array(list(words.values()), np.int64), lens))
+    return grams, n
+
+
 def char_model(texts: DataFrame) -> CharModel:
-    """Trigrams of the words of some texts."""
+    """Trigrams of the words of all texts."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        grams: Counter[str] = Counter()
+        words: Counter[str] = Counter()
+        hand_on = lambda: pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in _trigrams(words)], names=["gram", "n"])
         for batch in batches:
-            words: Counter[str] = Counter()
-            for text in batch.column(0).to_pylist():
-                words.update(w.strip(".,;:!?\"'()").lower() for w in (text or "").split())
-            for w, n in words.items():
-                if w.isalpha() and len(w) < 32:
-                    w = f"^^{w}."
-                    for i in range(len(w) - 2):
-                        grams[w[i : i + 3]] += n
-        yield pa.RecordBatch.from_arrays([pa.array(list(grams), pa.string()), pa.array(list(grams.values()), pa.int64())], names=["gram", "n"])
-
-    # trigrams of an alphabet: bounded, and the rare ones are left to smoothing
-    rows = texts.select("text").mapInArrow(count, "gram string, n long").groupBy("gram").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "gram").limit(50_000).collect()
-    return CharModel({r.gram: r.n for r in rows})
+            for _, _, buf, offsets in textops.slices(batch.column(0)):
+                starts, ends, _ = textops.words(buf, offsets)
+                _, at, times = np.unique(textops.hashes(buf, starts, ends), return_index=True, return_counts=True)
+                raw = buf.tobytes()
+                for a, b, n in zip(starts[at].tolist(), ends[at].tolist(), times.tolist(), strict=True):
+                    for w in raw[a:b].decode("utf-8", "replace").split():
+                        w = w.strip(".,;:!?\"'()").lower()
+                        if w.isalpha():
+                            words[w] += n
+                if len(words) > WORDS:
+                    yield hand_on()
+                    words.clear()
+        yield hand_on()
+
+    rows = texts.select("text").mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).toArrow()
+    return CharModel((rows["gram"].to_numpy(), rows["n"].to_numpy()))
 
 
 class Model:
@@ -227,7 +271,7 @@ def train(docs: DataFrame, labels: DataFrame, seed: int = 11) -> Model:
     share = sum(r["label"] * r["count"] for r in known) / total if total else 0.0
     sample = F.broadcast(_sampled(labels, "doc_id", total, SAMPLE))  # bounded by SAMPLE
     text = docs.select("doc_id", "text").join(sample, "doc_id")
-    chars = char_model(_sampled(text, "doc_id", min(total, SAMPLE), MODEL_SAMPLE))
+    chars = char_model(docs)
     if len(known) < 2:
         p = min(max(share, 1e-6), 1 - 1e-6)
         return Model(chars, np.zeros(1 << FEATURE_BITS), log(p / (1 - p)))
