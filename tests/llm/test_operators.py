@@ -209,6 +209,48 @@ def test_char_model_counts_every_text(spark, none):
     assert got.step("v", "e", "x") == pytest.approx(-math.log((want["vex"] + 0.1) / (total + 0.1 * (len(got.letters) + 1))), rel=1e-5)
 
 
+@pytest.fixture(scope="module")
+def spelled():
+    """restored(text): whether a text shares all features of a word; the model knows some words."""
+    plain = ("you", "are", "stupid", "always", "and", "grün", "glück")
+    make = toxicity.Features(toxicity.CharModel(Counter(g for w in plain for g in (f"^^{w}."[i : i + 3] for i in range(len(w) + 1)) for _ in range(50))))
+
+    def slots(text):
+        raw = text.encode()
+        _, which, slots = make.slice(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
+        return {tuple(slots[i]) for i in which.tolist()}
+
+    return lambda text, word: slots(word) <= slots(text)
+
+
+def test_long_runs_are_split_into_words(spelled):
+    long = "you are always " * 20 + "stupid and you"
+    assert all(spelled(" ".join(long.replace(" ", "")), w) for w in ("you", "always", "stupid"))
+    assert spelled(" ".join("grünstupid"), "grün") and spelled("g l ü c k", "glück")
+
+
+def test_long_tokens_are_restored(spelled):
+    assert spelled("st" + "u" * 90 + "pid", "stupid") and spelled("gl" + "ü" * 3 + "ck", "glück")
+    model = toxicity.CharModel({"^^a": 1})
+    assert toxicity.restore("ab1" * 40_000, model).startswith("ab")
+
+
+def test_letters_joined_by_signs(spelled):
+    assert all(spelled(sign.join("stupid"), "stupid") for sign in (".", "-", "/", "--"))
+    assert spelled("you-are/stupid", "stupid") and spelled("y.o.u.a.r.e.s.t.u.p.1.d", "stupid") and spelled("you-are", "you-are")
+
+
+def test_more_signs_than_letters(spelled):
+    assert spelled("57##1d", "stupid") and not spelled("57##1", "stupid")
+
+
+def test_prefixes_count_characters():
+    raw = "ééééééa ééééééb".encode()
+    a, b = toxicity.Features._slots(np.frombuffer(raw, np.uint8), np.array([0, 14]), np.array([13, 27]))
+    short = toxicity.Features._slots(np.frombuffer("ééééx".encode(), np.uint8), np.array([0]), np.array([9]))[0]
+    assert a[0] != b[0] and (a[1:] == b[1:]).all() and short[1] == a[1] and short[2] != a[2]
+
+
 def test_warc(spark, tmp_path):
     trap = "WARC/1.1\r\nWARC-Type: response\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n"
     long = "é" * 300_000

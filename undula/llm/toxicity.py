@@ -4,10 +4,12 @@ Obfuscated tokens (digits and signs for letters, repeated letters, letters apart
 become a lattice: each observed character may stand for itself, for the letters it imitates, for any
 letter if it is a mask, or for nothing where it repeats the one before or separates letters.  Viterbi
 decoding under a character trigram model picks the restored word.  Words that show no such sign stay
-as they are.
+as they are.  Runs of spaced letters, and words joined by points, dashes or slashes, are decoded further:
+each gap is closed or ends a word.  What comes of that, the words and the whole without gaps, is added.
+Runs and words may have any length.
 
 Each distinct restored word of a document gives hashed features (the word, and its first four, five
-and six bytes); an L1 logistic regression trained by Spark on labelled rows scores a document by the sum
+and six characters); an L1 logistic regression trained by Spark on labelled rows scores a document by the sum
 of their weights.
 
 The character model counts the words of every whole text.  The regression reads a bounded sample of
@@ -20,6 +22,7 @@ columns are ignored; an empty table gives an empty table.
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from collections.abc import Iterator
 from math import log
@@ -46,6 +49,7 @@ THRESHOLD = 0.3
 IMITATES = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e"}
 MASKS = "*#%_"
 APART = " .-_*|/"
+GAP = re.compile(r"[.\-/]+")
 
 LOOKALIKE = np.zeros(256, bool)
 LOOKALIKE[[ord(c) for c in "0123456789@$!|+(*#%_"]] = True
@@ -104,46 +108,85 @@ def _pack(a: str, b: str, c: str) -> int:
 KEEP, IMITATE, MASKED, REPEATED, DROPPED = 0.0, 0.7, 2.0, 0.4, 1.5
 
 
+#: More equal characters in a row than any word has are as many.
+REPEATS = re.compile(r"([^*#%_])\1{3,}", re.DOTALL)
+
+
 def restore(token: str, model: CharModel) -> str:
     """The likeliest word behind an obfuscated token (lower case)."""
-    if len(token) > 64:
-        return token
-    #: (last two letters) -> (cost, word)
-    beam: dict[tuple[str, str], tuple[float, str]] = {("^", "^"): (0.0, "")}
-    for i, seen in enumerate(token):
+    return "".join(restore_words([token], model)) or token
+
+
+def restore_words(chunks: list[str], model: CharModel) -> list[str]:
+    """The likeliest words behind obfuscated chunks (lower case): a word may end where a chunk does."""
+    token = REPEATS.sub(r"\1\1\1", "\n".join(chunks))
+    start = ("^", "^")
+    #: (last two letters) -> (cost, the characters so far, as a chain from the last one)
+    beam: dict[tuple[str, str], tuple[float, tuple | None]] = {start: (0.0, None)}
+    last = ""
+    for seen in token:
+        ahead: dict[tuple[str, str], tuple[float, tuple | None]] = {}
+        if seen == "\n":
+            ahead = dict(beam)
+            for (a, b), (cost, word) in beam.items():
+                total = cost + model.step(a, b, ".")
+                if b != "^" and ahead.get(start, (1e18,))[0] > total:
+                    ahead[start] = (total, (word, "\n"))
+            beam = ahead
+            continue
         options = [(seen, KEEP)] if seen.isalpha() else [(c, IMITATE) for c in IMITATES.get(seen, "")]
         if seen in MASKS:
             options += [(c, MASKED) for c in model.letters if c.isascii()]
-        repeated = i > 0 and (seen == token[i - 1] or seen in IMITATES.get(token[i - 1], "") or token[i - 1] in IMITATES.get(seen, ""))
+        repeated = last != "" and (seen == last or seen in IMITATES.get(last, "") or last in IMITATES.get(seen, ""))
         drop = REPEATED if repeated else None if seen.isalpha() or seen in IMITATES else DROPPED
-        ahead: dict[tuple[str, str], tuple[float, str]] = {}
+        last = seen
         for (a, b), (cost, word) in beam.items():
-            if drop is not None and ahead.get((a, b), (1e9,))[0] > cost + drop:
+            if drop is not None and ahead.get((a, b), (1e18,))[0] > cost + drop:
                 ahead[a, b] = (cost + drop, word)
             for c, channel in options:
                 total = cost + channel + model.step(a, b, c)
-                if ahead.get((b, c), (1e9,))[0] > total:
-                    ahead[b, c] = (total, word + c)
-        beam = dict(sorted(ahead.items(), key=lambda x: x[1][0])[:48])
-        if not beam:
-            return token
-    return min(((cost + model.step(a, b, "."), word) for (a, b), (cost, word) in beam.items()))[1]
-
-
-def _suspicious(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Words (edges cut) with a look-alike between letters, or a letter three times in a row."""
+                if ahead.get((b, c), (1e18,))[0] > total:
+                    ahead[b, c] = (total, (word, c))
+        if not ahead:
+            return chunks
+        beam = dict(sorted(ahead.items(), key=lambda x: x[1][0])[:48]) if len(ahead) > 48 else ahead
+    ends = [(cost + (0.0 if b == "^" and word else model.step(a, b, ".")), word) for (a, b), (cost, word) in beam.items()]
+    at, out = min(ends, key=lambda x: x[0])[1], []
+    while at:
+        at, c = at
+        out.append(c)
+    return "".join(reversed(out)).split("\n") if out else []
+
+
+def _characters(buf: np.ndarray) -> np.ndarray:
+    """Where the UTF-8 characters start, and the end."""
+    return np.append(np.flatnonzero((buf & 0xC0) != 0x80), len(buf))
+
+
+def _suspicious(buf: np.ndarray, places: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Words (edges cut) with a look-alike among letters, or a letter three times in a row."""
     out = np.zeros(len(starts), bool)
     if not len(starts):
         return out
-    look, letter = LOOKALIKE[buf], LETTER[buf]
-    looks, letters = np.concatenate([[0], np.cumsum(look)]), np.concatenate([[0], np.cumsum(letter)])
-    triple = np.zeros(len(buf) + 1, np.int64)
-    if len(buf) > 2:
-        low = textops.LOWER[buf]
-        triple[3:] = np.cumsum((low[2:] == low[1:-1]) & (low[1:-1] == low[:-2]) & letter[2:])
-    n_look, n_letter = looks[ends] - looks[starts], letters[ends] - letters[starts]
-    thrice = triple[ends] - triple[np.minimum(starts + 2, ends)] > 0
-    return ((n_look > 0) & (n_letter > 0) & (n_look <= 2 * n_letter)) | thrice
+    looks, letters = (np.concatenate([[0], np.cumsum(x[buf])]) for x in (LOOKALIKE, LETTER))
+    # characters as numbers of their bytes
+    code, size = textops.LOWER[buf[places[:-1]]].astype(np.uint32), np.diff(places)
+    for k in range(1, 4):
+        more = np.flatnonzero(size > k)
+        code[more] = code[more] << np.uint32(8) | buf[places[more] + k]
+    triple = np.zeros(len(code) + 1, np.int64)
+    if len(code) > 2:
+        triple[3:] = np.cumsum((code[2:] == code[1:-1]) & (code[1:-1] == code[:-2]) & LETTER[buf[places[2:-1]]])
+    i, j = np.searchsorted(places, starts), np.searchsorted(places, ends)
+    return ((looks[ends] > looks[starts]) & (letters[ends] > letters[starts])) | (triple[j] > triple[np.minimum(i + 2, j)])
+
+
+def _joined(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Words (edges cut) with points, dashes or slashes inside."""
+    sign = np.zeros(256, bool)
+    sign[[ord(c) for c in ".-/"]] = True
+    signs, letters = (np.concatenate([[0], np.cumsum(x[buf])]) for x in (sign, LETTER))
+    return (signs[ends] > signs[starts]) & (letters[ends] > letters[starts])
 
 
 class Features:
@@ -153,15 +196,29 @@ class Features:
         self.model = model
         self.restored: dict[bytes, bytes] = {}
 
-    def word(self, raw: bytes) -> bytes:
-        got = self.restored.get(raw)
+    def _known(self, key, make):
+        got = self.restored.get(key)
         if got is None:
             if len(self.restored) > 200_000:
                 self.restored.clear()
-            token = "".join(c for c in raw.decode("utf-8", "replace").lower() if c not in APART or c in MASKS)
-            got = self.restored[raw] = restore(token, self.model).encode()
+            got = make()
+            if len(key) <= 256:
+                self.restored[key] = got
         return got
 
+    def word(self, raw: bytes) -> bytes:
+        token = lambda: "".join(c for c in raw.decode("utf-8", "replace").lower() if c not in APART or c in MASKS)
+        return self._known(raw, lambda: restore(token(), self.model).encode())
+
+    def words(self, chunks: tuple[str, ...]) -> list[bytes]:
+        """The words behind letters or parts of words that are kept apart, and all of them as one."""
+
+        def make() -> list[bytes]:
+            parts = ["".join(c for c in x.lower() if c not in APART or c in MASKS) for x in chunks]
+            return sorted({x.encode() for x in (restore("".join(parts), self.model), *restore_words(parts, self.model)) if x})
+
+        return self._known(chunks, make)
+
     def slice(self, buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(rows, words, slots): occurrences of words in rows, and the features slots[w] of word w."""
         none = np.zeros(0, np.int64)
@@ -176,40 +233,59 @@ class Features:
         starts, ends, row = a[whole], b[whole], row[whole]
         h, at, back = np.unique(textops.hashes(buf, starts, ends, lower=True), return_index=True, return_inverse=True)
         word_start, word_end = starts[at], ends[at]
-        extra_rows, extra_words = [], []
+        places = _characters(buf)
+        extra: dict[bytes, int] = {}
+        extra_rows, extra_which = [none], [none]
+
+        def add(rows: np.ndarray, words: list[bytes]) -> None:
+            for w in words:
+                extra_rows.append(rows)
+                extra_which.append(np.full(len(rows), len(h) + extra.setdefault(w, len(extra)), np.int64))
+
         # letters apart by spaces: runs of three or more one-letter words
-        single = np.flatnonzero((ends - starts == 1) & (LETTER[buf[starts]] | LOOKALIKE[buf[starts]]))
+        one = np.searchsorted(places, ends) - np.searchsorted(places, starts) == 1
+        single = np.flatnonzero(one & (LETTER[buf[starts]] | LOOKALIKE[buf[starts]]))
         if len(single):
             cut = np.flatnonzero((np.diff(single) > 1) | (np.diff(row[single]) > 0)) + 1
             for run in np.split(single, cut):
-                if len(run) >= 3 and len({int(x) for x in buf[starts[run[:64]]]}) > 2:
-                    extra_rows.append(row[run[0]])
-                    extra_words.append(self.word(buf[starts[run[:64]]].tobytes()))
-        odd = np.flatnonzero(_suspicious(buf, word_start, word_end))
+                if len(run) >= 3:
+                    chunks = tuple(buf[starts[i] : ends[i]].tobytes().decode("utf-8", "replace") for i in run.tolist())
+                    if len(set(chunks)) > 1 and any(c.isalpha() for c in chunks):
+                        add(row[run[:1]], self.words(chunks))
+        # letters apart by other signs
+        joined = np.flatnonzero(_joined(buf, word_start, word_end))
+        if len(joined):
+            order = np.argsort(back, kind="stable")
+            lo, hi = np.searchsorted(back[order], joined), np.searchsorted(back[order], joined, "right")
+            for w, x, y in zip(joined.tolist(), lo.tolist(), hi.tolist(), strict=True):
+                chunks = tuple(c for c in GAP.split(buf[word_start[w] : word_end[w]].tobytes().decode("utf-8", "replace")) if c)
+                if len(chunks) > 1:
+                    add(row[order[x:y]], self.words(chunks))
+        odd = np.flatnonzero(_suspicious(buf, places, word_start, word_end))
         changed = [self.word(buf[x:y].tobytes()) for x, y in zip(word_start[odd], word_end[odd], strict=True)]
         # restored words replace the observed ones
         plain = np.ones(len(h), bool)
         plain[odd] = False
-        slots = np.zeros((len(h) + len(extra_words), 1 + len(PREFIXES)), np.int64)
+        slots = np.zeros((len(h) + len(extra), 1 + len(PREFIXES)), np.int64)
         order = np.flatnonzero(plain)
         order = order[np.argsort(word_start[order])]
         slots[order] = self._slots(buf, word_start[order], word_end[order])
-        made = [*changed, *extra_words]
+        made = [*changed, *extra]
         if made:
             text = np.frombuffer(b"\n".join(made) + b"\n", np.uint8)
             lens = np.array([len(x) for x in made])
             begin = np.cumsum(lens + 1) - (lens + 1)
             good = np.flatnonzero(lens > 0)
-            target = np.concatenate([odd, len(h) + np.arange(len(extra_words))]).astype(np.int64)
+            target = np.concatenate([odd, len(h) + np.arange(len(extra))]).astype(np.int64)
             slots[target[good]] = self._slots(text, begin[good], begin[good] + lens[good])
-        rows = np.concatenate([row, np.array(extra_rows, np.int64)]).astype(np.int64)
-        which = np.concatenate([back, len(h) + np.arange(len(extra_words))])
-        return rows, which, slots
+        return np.concatenate([row, *extra_rows]), np.concatenate([back, *extra_which]), slots
 
     @staticmethod
     def _slots(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        places = _characters(buf)
+        at = np.searchsorted(places, starts)
         parts = [textops.hashes(buf, starts, ends, lower=True)]
-        parts += [textops.mix(textops.hashes(buf, starts, np.minimum(ends, starts + k), lower=True) + np.uint64(k)) for k in PREFIXES]
+        parts += [textops.mix(textops.hashes(buf, starts, np.minimum(ends, places[np.minimum(at + k, len(places) - 1)]), lower=True) + np.uint64(k)) for k in PREFIXES]
         return np.stack([(p >> np.uint64(64 - FEATURE_BITS)).astype(np.int64) for p in parts], 1)
 
 
