@@ -1,6 +1,8 @@
 """Secret scanning with a random forest that removes false positives.
 
-Every long word with digits and letters is a candidate (keys, hashes, addresses, numbers alike).  Its
+Words of any length are cut at quotes, = : , ; & and where other than ASCII characters begin; every piece
+of LEAST characters or more is a candidate (keys, hashes, addresses, numbers, plain words alike), and so
+is a web address up to its parameters, and a whole word that holds : , ; but no quote, = or &.  Its
 features are the value's length and character classes, character transitions under a bigram model of
 the corpus's words, the share of it that dictionary words cover, where it was found (the path), and the
 words around it.  A random forest trained by Spark on labelled findings scores each candidate; those
@@ -32,7 +34,7 @@ from . import textops
 from .bpe import frequent_words
 from .shared import kept, unused
 
-LEAST, LONGEST = 12, 4096
+LEAST = 12
 #: Labelled findings for training: about so many at most.
 SAMPLE = 20_000
 DICTIONARY = 4096
@@ -41,11 +43,14 @@ CANDIDATE = "doc_id long, path string, start long, end long, value string, befor
 # Names that credentials are assigned to.
 NAMES = ("password", "passwd", "pwd", "secret", "token", "apikey", "api_key", "api-key", "access_key", "auth", "credential", "private_key")
 
-_PARTS = re.compile(r"^[\"'`(\[{<,;:]*(?:([A-Za-z][\w.\-]{0,40})(=|:=|:))?[\"'`]*(.*?)[\"'`)\]}>,;.:!?#$%&*]*$", re.DOTALL)
+_QUOTES, _ENDS = "\"'`", ")]}>,;.:!?#$%&*"
+_PIECE = re.compile(r"""[A-Za-z][A-Za-z0-9+.\-]*://[^\x00-\x20\x7f-\xff"'`=,;&?#]+|[^\x00-\x20\x7f-\xff"'`=:,;&]+(?:={1,2}(?=$|["'`:,;&)\]}>]|[^\x21-\x7e]))?""")
+_WHOLE = re.compile(r"[!-~]+")
+_NAME = re.compile(r"([A-Za-z][\w.\-]{0,40})[\"'`]*(=|:=|:)[\"'`(\[{<]*$", re.ASCII)
 _PROVIDER = re.compile(r"^(?:AKIA[0-9A-Z]{16}|gh[pousr]_[0-9A-Za-z]{36}|xox[abp]-[0-9A-Za-z-]{20,}|sk_live_[0-9A-Za-z]{24,})$")
 _HARMLESS = re.compile(r"^(?:[^@\s]+@[^@\s]+\.[A-Za-z.]+|[0-9.,:+/()-]+|https?://\S+|\d{4}-\d\d-\d\d\S*)$")
 _RANDOM = re.compile(r"^(?:[0-9a-f]{16,}|[0-9A-F]{16,}|[0-9A-Za-z+/_-]{16,}={0,2})$")
-_VALUE = re.compile(r"^[\x21-\x7e]+$")
+_PLAIN = re.compile(r"^[A-Za-z]?[a-z]+(?:[-/.'_][A-Za-z]?[a-z]+)*$")
 
 
 def seed_label(name: str, value: str, before: str) -> int | None:
@@ -54,6 +59,8 @@ def seed_label(name: str, value: str, before: str) -> int | None:
         return 0
     if _PROVIDER.match(value):
         return 1
+    if _PLAIN.match(value) and not name and not before.endswith(("=", ":")):
+        return 0
     near = f"{name} {before}".lower()
     if _RANDOM.match(value) and any(c.isdigit() for c in value) and any(x in near for x in NAMES):
         return 1
@@ -64,6 +71,7 @@ class Measures:
     """Features of candidates: small tables from the corpus's frequent words."""
 
     def __init__(self, words: list[str]):
+        self.shapes: dict[str, list[float]] = {}
         self.dictionary = {w for w in words if 3 <= len(w) <= 16}
         self.pairs = np.ones((27, 27))
         for w in words:
@@ -85,12 +93,20 @@ class Measures:
                 i += 1
         return covered / max(1, len(low))
 
-    def features(self, value: str, name: str, before: str, after: str, path: str) -> list[float]:
-        n, low = max(1, len(value)), value.lower()[:512]
-        kind = ["d" if c.isdigit() else "u" if c.isupper() else "l" if c.islower() else "s" for c in value[:512]]
+    def shape(self, value: str) -> list[float]:
+        """Features of the value itself; words come again and again."""
+        got = self.shapes.get(value)
+        if got is None:
+            got = self._shape(value)
+            if len(value) <= 64 and len(self.shapes) < 200_000:
+                self.shapes[value] = got
+        return got
+
+    def _shape(self, value: str) -> list[float]:
+        n, low = max(1, len(value)), value.lower()
+        kind = ["d" if c.isdigit() else "u" if c.isupper() else "l" if c.islower() else "s" for c in value]
         count = {c: value.count(c) for c in set(value)}
         at = [ord(c) - 96 if "a" <= c <= "z" else 0 for c in low]
-        near = f"{name} {before}".lower()
         return [
             float(len(value)),
             kind.count("d") / n, kind.count("u") / n, kind.count("l") / n, kind.count("s") / n,
@@ -99,20 +115,42 @@ class Measures:
             -sum(k / n * log2(k / n) for k in count.values()),
             float(np.mean(self.pairs[at[:-1], at[1:]])) if len(at) > 1 else 0.0,
             self.coverage(low),
+        ]
+
+    def features(self, value: str, name: str, before: str, after: str, path: str) -> list[float]:
+        near = f"{name} {before}".lower()
+        return [
+            *self.shape(value),
             float(any(x in near for x in NAMES)), float(bool(name)), float(before.endswith(("=", ":"))),
             float(len(before)), float(len(after)), float(sum(c.isdigit() for c in before + after)),
             float(path.count("/")), float(int.from_bytes(path.encode()[-4:], "big") % 64), float("." in path),
         ]
 
 
+def _text(raw: np.ndarray) -> str:
+    return raw.tobytes().decode("utf-8", "replace")
+
+
+def pieces(raw: str) -> list[tuple[int, int]]:
+    """Places of the values in a word, one character a byte."""
+    found = [m.span() for m in _PIECE.finditer(raw)]
+    if not any(c in raw for c in "\"'`=&"):
+        found += [m.span() for m in _WHOLE.finditer(raw)]
+    out = set()
+    for a, b in found:
+        a += len(raw[a:b]) - len(raw[a:b].lstrip("([{<,;:"))
+        b = a + len(raw[a:b].rstrip(_ENDS))
+        if b - a >= LEAST:
+            out.add((a, b))
+    return sorted(out)
+
+
 def candidates(spark: SparkSession, docs: DataFrame, path: str = "source", words: list[str] | None = None) -> DataFrame:
     """Rows of CANDIDATE; start and end are places in the UTF-8 text."""
     if words is None:
         spelled = (w.decode("utf-8", "replace").strip().lower() for w in frequent_words(docs))
         words = list(dict.fromkeys(w for w in spelled if w.isalpha()))[:DICTIONARY]
     shared = spark.sparkContext.broadcast(Measures(words))
-    digit = np.zeros(256, np.int64)
-    digit[0x30:0x3A] = 1
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         measures = shared.value
@@ -120,22 +158,22 @@ def candidates(spark: SparkSession, docs: DataFrame, path: str = "source", words
             ids, paths = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for lo, _, buf, offsets in textops.slices(batch.column(2)):
                 starts, ends, first = textops.words(buf, offsets)
-                digits = np.concatenate([[0], np.cumsum(digit[buf])])
-                long = np.flatnonzero((ends - starts >= LEAST) & (ends - starts <= LONGEST) & (digits[ends] > digits[starts]))
+                long = np.flatnonzero(ends - starts >= LEAST)
                 rows = np.searchsorted(first, long, "right") - 1
                 out: list[tuple] = []
                 for w, r in zip(long.tolist(), rows.tolist(), strict=True):
-                    raw = buf[starts[w] : ends[w]].tobytes().decode("utf-8", "replace")
-                    m = _PARTS.match(raw)
-                    name, sign, value = m[1] or "", m[2] or "", m[3]
-                    if len(value) < LEAST or not _VALUE.match(value):
+                    raw = buf[starts[w] : ends[w]].tobytes().decode("latin-1")
+                    spans = pieces(raw)
+                    if not spans:
                         continue
                     begin = max(first[r], w - 2)
-                    before = buf[starts[begin] : ends[w - 1]].tobytes().decode("utf-8", "replace")[-80:] if w > begin else ""
-                    after = buf[starts[w + 1] : ends[w + 1]].tobytes().decode("utf-8", "replace")[:80] if w + 1 < first[r + 1] else ""
-                    start = int(starts[w] - offsets[r]) + len(raw[: m.start(3)].encode())
-                    place = paths[lo + r] or ""
-                    out.append((ids[lo + r], place, start, start + len(value), value, f"{before} {name}{sign}".strip(), after, seed_label(name, value, before), measures.features(value, name, before, after, place)))
+                    before = _text(buf[max(starts[begin], ends[w - 1] - 320) : ends[w - 1]])[-80:] if w > begin else ""
+                    after = _text(buf[starts[w + 1] : min(ends[w + 1], starts[w + 1] + 320)])[:80] if w + 1 < first[r + 1] else ""
+                    at, place = int(starts[w] - offsets[r]), paths[lo + r] or ""
+                    for a, b in spans:
+                        m = _NAME.search(raw[max(0, a - 64) : a])
+                        name, sign, value = m[1] if m else "", m[2] if m else "", raw[a:b]
+                        out.append((ids[lo + r], place, at + a, at + b, value, f"{before} {name}{sign}".strip(), after, seed_label(name, value, before), measures.features(value, name, before, after, place)))
                 if out:
                     types = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.list_(pa.float64()))
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=["doc_id", "path", "start", "end", "value", "before", "after", "label", "features"])
@@ -146,12 +184,13 @@ def candidates(spark: SparkSession, docs: DataFrame, path: str = "source", words
 def train(labelled: DataFrame, seed: int = 5):
     """A forest from labelled findings (features, label); None if they hold fewer than two labels,
     with the label that there is."""
-    labelled = labelled.where("label is not null").select("label", "features", "value")
+    labelled = labelled.where("label is not null")
     counts = {r.label: r["count"] for r in labelled.groupBy("label").count().collect()}
     if len(counts) < 2:
         return None, float(next(iter(counts), 0))
-    share = min(1.0, SAMPLE / sum(counts.values()))
-    sample = labelled.where(F.pmod(F.xxhash64("value"), F.lit(1 << 30)) < int(share * (1 << 30)) + 1)
+    # each label has its part of the sample, or plain words would leave no room for secrets
+    share = F.coalesce(*[F.when(F.col("label") == y, F.lit(int(min(1.0, SAMPLE / len(counts) / n) * (1 << 30)) + 1)) for y, n in counts.items()])
+    sample = labelled.where(F.pmod(F.xxhash64("value", *[c for c in ("doc_id", "start") if c in labelled.columns]), F.lit(1 << 30)) < share)
     forest = RandomForestClassifier(numTrees=24, maxDepth=6, seed=seed, featuresCol="vector", labelCol="y")
     return forest.fit(sample.select(F.col("label").cast("double").alias("y"), array_to_vector("features").alias("vector")).coalesce(4)), 0.0
 
@@ -189,7 +228,7 @@ def redact(docs: DataFrame, secrets: DataFrame, mark: str = "[SECRET]") -> DataF
                         for s in own.as_py():
                             if s["start"] >= done:
                                 parts += [raw[done : s["start"]], mark.encode()]
-                                done = s["end"]
+                            done = max(done, s["end"])
                         raw = b"".join([*parts, raw[done:]]).decode("utf-8", "replace")
                     out.append(raw)
                 column = pa.array(out, column.type)
