@@ -320,6 +320,22 @@ def test_secret_candidates_in_any_word(spark, none):
     assert {r.doc_id: r.text for r in secret_scan.redact(docs, spans).collect()}[3] == "[SECRET]"
 
 
+def test_secret_word_counts_are_exact(spark, none, monkeypatch):
+    # each word comes once in a partition
+    rows = [(i, f"Alpha beta{i} été-{'xyz' if i % 2 else 'q'} once{'abcdefghijklmnopqrst'[i]}", "p", 1) for i in range(20)] + [(None, None, "p", 1)]
+    docs = spark.createDataFrame(rows, none.schema)
+    words = [w.lower() for r in rows if r[1] for w in re.findall(r"[^\W\d_]+", r[1])]
+    want = np.zeros((27, 27), int)
+    for w in words:
+        at = [0, *(ord(c) - 96 if "a" <= c <= "z" else 0 for c in w), 0]
+        for a, b in zip(at[:-1], at[1:], strict=True):
+            want[a, b] += 1
+    monkeypatch.setattr(secret_scan, "WORDS", 3)
+    for parts in (1, 21):
+        found, pairs = secret_scan.word_counts(spark, docs.repartition(parts))
+        assert found == ["alpha", "beta", "xyz", "été"] and (pairs == want).all()
+
+
 def test_decontamination(spark, docs, texts, none):
     words = SPACE.findall(texts[6][1])
     items = [(0, " ".join(words[20:45])), (1, "one  TWO"), (2, None), (3, ""), (4, " ".join(words[40:52])), (10, "x " * 12), (11, "ONE two"), (12, "never seen here at all in any of the texts ok")]

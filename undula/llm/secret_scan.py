@@ -20,6 +20,7 @@ gives an empty table.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from math import log2
 
@@ -31,13 +32,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textops
-from .bpe import frequent_words
 from .shared import kept, unused
 
 LEAST = 12
 #: Labelled findings for training: about so many at most.
 SAMPLE = 20_000
-DICTIONARY = 4096
+#: A dictionary word is one letter run in so many, and comes twice at least.
+RARE = 100_000
+#: Distinct words a task counts before it hands them on.
+WORDS = 1 << 17
 CANDIDATE = "doc_id long, path string, start long, end long, value string, before string, after string, label int, features array<double>"
 
 # Names that credentials are assigned to.
@@ -67,18 +70,61 @@ def seed_label(name: str, value: str, before: str) -> int | None:
     return None
 
 
+def word_counts(spark: SparkSession, docs: DataFrame) -> tuple[list[str], np.ndarray]:
+    """(dictionary words, 27 x 27 counts of neighbouring characters) of the letter runs of all texts."""
+    letter = np.zeros(256, bool)
+    letter[[*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: Counter[str] = Counter()
+
+        def hand_on() -> pa.RecordBatch:
+            # pairs as rows without a word
+            pairs = np.zeros(27 * 27, np.int64)
+            if total:
+                code = np.frombuffer("".join(f" {w} " for w in total).encode("utf-32-le"), np.uint32).astype(np.int64)
+                at = np.where((code >= 97) & (code <= 122), code - 96, 0)
+                lens = np.array([len(w) + 1 for w in total])
+                left = textops.spans(np.cumsum(lens + 1) - (lens + 1), lens)
+                np.add.at(pairs, at[left] * 27 + at[left + 1], np.repeat(np.array(list(total.values()), np.int64), lens))
+            known = {w: n for w, n in total.items() if 3 <= len(w) <= 16}
+            words = [None] * len(pairs) + list(known)
+            return pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array([*range(len(pairs)), *[-1] * len(known)], pa.int32()), pa.array([*pairs.tolist(), *known.values()], pa.int64())], names=["word", "pair", "n"])
+
+        for batch in batches:
+            for _, _, buf, offsets in textops.slices(batch.column(0)):
+                starts, ends, _ = textops.words(buf, offsets, letter)
+                _, at, times = np.unique(textops.hashes(buf, starts, ends), return_index=True, return_counts=True)
+                raw = buf.tobytes()
+                for a, b, n in zip(starts[at].tolist(), ends[at].tolist(), times.tolist(), strict=True):
+                    w = raw[a:b].decode("utf-8", "replace").lower()
+                    if w.isalpha():
+                        total[w] += n
+                if len(total) > WORDS:
+                    yield hand_on()
+                    total.clear()
+        yield hand_on()
+
+    counted = docs.select("text").mapInArrow(count, "word string, pair int, n long").groupBy("word", "pair").agg(F.sum("n").alias("n"))
+    counted = kept(spark, counted, "words")
+    pairs = np.zeros(27 * 27, np.int64)
+    for r in counted.where("word is null").collect():  # 729 rows
+        pairs[r.pair] = r.n
+    pairs = pairs.reshape(27, 27)
+    # a count of all runs that no order of the rows changes
+    runs = counted.where("word is not null").agg(F.sum("n")).first()[0] or 0
+    # at most RARE words are so frequent
+    words = [r.word for r in counted.where(F.col("word").isNotNull() & (F.col("n") >= max(2, -(-runs // RARE)))).select("word").collect()]
+    return sorted(words), pairs
+
+
 class Measures:
-    """Features of candidates: small tables from the corpus's frequent words."""
+    """Features of candidates: small tables of the corpus's words."""
 
-    def __init__(self, words: list[str]):
+    def __init__(self, words: list[str], pairs: np.ndarray):
         self.shapes: dict[str, list[float]] = {}
-        self.dictionary = {w for w in words if 3 <= len(w) <= 16}
-        self.pairs = np.ones((27, 27))
-        for w in words:
-            at = [0, *(ord(c) - 96 if "a" <= c <= "z" else 0 for c in w), 0]
-            for a, b in zip(at[:-1], at[1:], strict=True):
-                self.pairs[a, b] += 1
-        self.pairs = np.log(self.pairs / self.pairs.sum(1, keepdims=True))
+        self.dictionary = set(words)
+        self.pairs = np.log((pairs + 1) / (pairs + 1).sum(1, keepdims=True))
 
     def coverage(self, low: str) -> float:
         """Share of characters that dictionary words cover, longest first from the left."""
@@ -145,12 +191,9 @@ def pieces(raw: str) -> list[tuple[int, int]]:
     return sorted(out)
 
 
-def candidates(spark: SparkSession, docs: DataFrame, path: str = "source", words: list[str] | None = None) -> DataFrame:
+def candidates(spark: SparkSession, docs: DataFrame, path: str = "source") -> DataFrame:
     """Rows of CANDIDATE; start and end are places in the UTF-8 text."""
-    if words is None:
-        spelled = (w.decode("utf-8", "replace").strip().lower() for w in frequent_words(docs))
-        words = list(dict.fromkeys(w for w in spelled if w.isalpha()))[:DICTIONARY]
-    shared = spark.sparkContext.broadcast(Measures(words))
+    shared = spark.sparkContext.broadcast(Measures(*word_counts(spark, docs)))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         measures = shared.value
