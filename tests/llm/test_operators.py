@@ -192,6 +192,60 @@ def test_restore():
     assert [toxicity.restore(w, model) for w in ("1d10t", "cl0wn", "tttable", "id|ot", "cl*wn")] == ["idiot", "clown", "table", "idiot", "clown"]
 
 
+def test_restore_is_exact():
+    """The restored word has the least cost of all that the lattice holds, in one form and the other."""
+    words = ("idiot", "stupid", "outdo")
+    model = toxicity.CharModel(Counter({g: 50 for w in words for g in (f"^^{w}."[i : i + 3] for i in range(len(w) + 1))}))
+
+    def all_words(token, last="", word="", cost=0.0):
+        if not token:
+            yield cost + sum(model.step(*f"^^{word}."[i : i + 3]) for i in range(len(word) + 1)), word
+            return
+        options, drop = toxicity._options(token[0], last, model)
+        if drop is not None:
+            yield from all_words(token[1:], token[0], word, cost + drop)
+        for c, channel in options:
+            yield from all_words(token[1:], token[0], word + c, cost + channel)
+
+    rnd = random.Random(1)
+    for _ in range(200):
+        token = "".join(rnd.choice("idotu1!0s5") for _ in range(rnd.randint(1, 7)))
+        if rnd.random() < 0.3:
+            token = token[:3] + "*" + token[3:]
+        costs: dict[str, float] = {}
+        for cost, word in all_words(token):
+            costs[word] = min(cost, costs.get(word, 1e9))
+        got = {f(token, model) for f in (toxicity._restore_plain, toxicity._restore_masked)}
+        assert all(costs[word] == pytest.approx(min(costs.values()), abs=1e-4) for word in got)
+    for segment in (3, 2048):
+        toxicity.SEGMENT, before = segment, toxicity.SEGMENT
+        assert toxicity._restore_masked("stup*d\n1d*ot", model) == "stupid\nidiot"
+        toxicity.SEGMENT = before
+
+
+def test_scores_are_the_sum_of_weights(spark):
+    """Scores recomputed word by word from the weights."""
+    rnd = random.Random(12)
+    vocab = ["".join(rnd.choice("abcdeilos") for _ in range(rnd.randint(2, 9))) for _ in range(60)]
+    rows = [(i, " ".join(rnd.choice(vocab) for _ in range(rnd.randint(0, 30)))) for i in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model = toxicity.train(docs, spark.createDataFrame([(i, int(vocab[0] in t.split())) for i, t in rows], "doc_id long, toxic int"))
+    assert (model.weights != 0).any()
+    got = {r.doc_id: r.score for r in toxicity.score(spark, docs, model).collect()}
+
+    def weight(word):
+        raw = word.encode()
+        return model.weights[toxicity.Features._slots(np.frombuffer(raw, np.uint8), np.array([0]), np.array([len(raw)]))].sum()
+
+    for i, t in rows:  # no word here is obfuscated but by a letter that comes three times
+        z = model.intercept + sum(weight(w) for w in {toxicity.restore(w, model.chars) if re.search(r"(.)\1\1", w) else w for w in t.split()})
+        assert got[i] == pytest.approx(1 / (1 + math.exp(-z)), rel=1e-9)
+
+
+def test_wide_lookalikes(spelled):
+    assert spelled("ar€", "are") and spelled("$tupid", "stupid")
+
+
 def test_char_model_counts_every_text(spark, none):
     rows = [(i, f"common {'a' * (i % 3)}zq{chr(0x4E00 + i)}x ähm" + ", Vexidol!" * (i == 4321), "x", 1) for i in range(6000)]
     rows += [(None, "no\u3000id " + "w" * 50, "x", 1), (7000, None, "x", 1)]

@@ -3,25 +3,38 @@
 from __future__ import annotations
 
 import contextlib
+import threading
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 from ..shared import fresh
 
 
-#: Tables written by the operators that now run, innermost last.
-_scopes: list[list[str]] = []
+#: In each thread, what the operators that now run have written, innermost last.
+_own = threading.local()
 
 
-def kept(spark: SparkSession, df: DataFrame, name: str, stays: bool = False) -> DataFrame:
+def _scopes() -> list[list[str]]:
+    if not hasattr(_own, "scopes"):
+        _own.scopes = []
+    return _own.scopes
+
+
+def passing(path: str, stays: bool = False) -> str:
+    """Notes a path that goes with the `scratch` around it (or the one around that, if it stays)."""
+    scopes = _scopes()[:-1] if stays else _scopes()
+    if scopes:
+        scopes[-1].append(path)
+    return path
+
+
+def kept(spark: SparkSession, df: DataFrame, name: str, stays: bool = False, schema: StructType | None = None) -> DataFrame:
     """Writes df to the shared folder and reads it again: later jobs start from the files, whatever
     executors are lost meanwhile.  Within `scratch` the table goes at its end, unless it stays."""
-    path = fresh(spark, name)
+    path = passing(fresh(spark, name), stays)
     df.write.parquet(path)
-    scopes = _scopes[:-1] if stays else _scopes
-    if scopes:
-        scopes[-1].append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(schema or df.schema).parquet(path)
 
 
 def delete(spark: SparkSession, path: str) -> None:
@@ -32,11 +45,11 @@ def delete(spark: SparkSession, path: str) -> None:
 @contextlib.contextmanager
 def scratch(spark: SparkSession):
     """Deletes the tables kept inside, but for those that stay (which go with an outer scratch)."""
-    _scopes.append([])
+    _scopes().append([])
     try:
         yield
     finally:
-        for path in _scopes.pop():
+        for path in _scopes().pop():
             delete(spark, path)
 
 

@@ -30,12 +30,13 @@ from math import log
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.linalg import Vectors, VectorUDT
+from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textops
+from .shared import kept, scratch
 
 FEATURE_BITS = 18
 PREFIXES = (4, 5, 6)
@@ -53,6 +54,8 @@ GAP = re.compile(r"[.\-/]+")
 
 LOOKALIKE = np.zeros(256, bool)
 LOOKALIKE[[ord(c) for c in "0123456789@$!|+(*#%_"]] = True
+#: Those that aren't ASCII, as numbers of their bytes.
+LOOKALIKE_WIDE = np.array([int.from_bytes(c.encode(), "big") for c in IMITATES if not c.isascii()], np.uint32)
 LETTER = np.zeros(256, bool)
 LETTER[[*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
 #: What is cut from the start and from the end of a word; a leading $ or @ may stand for a letter.
@@ -82,6 +85,8 @@ class CharModel:
         self.cost = -np.log((n + 0.1) / (np.repeat(total, np.diff(first, append=len(n))) + 0.1 * size)).astype(np.float32)
         self.other = -np.log(0.1 / (total + 0.1 * size)).astype(np.float32)
         self.unseen = log(size)
+        self.ascii_letters = [c for c in self.letters if c.isascii()]
+        self.tensors: dict[tuple[str, ...], tuple[np.ndarray, np.ndarray]] = {}
         self.steps: dict[tuple[str, str, str], float] = {}
 
     def step(self, a: str, b: str, c: str) -> float:
@@ -92,6 +97,22 @@ class CharModel:
             got = self.steps[a, b, c] = self._step(_pack(a, b, c))
         return got
 
+    def tensor(self, letters: tuple[str, ...]) -> tuple[np.ndarray, np.ndarray]:
+        """(cost of c after a, b as [a, b, c]; of a word's end after a, b)."""
+        got = self.tensors.get(letters)
+        if got is None:
+            if len(self.tensors) > 64:
+                self.tensors.clear()
+            code = np.array([ord(c) for c in (*letters, ".")], np.int64)
+            gram = (code[:-1, None, None] << 42) | (code[None, :-1, None] << 21) | code
+            cost = np.full(gram.shape, self.unseen, np.float32)
+            for known, price, key in ((self.pairs, self.other, gram >> 21), (self.grams, self.cost, gram)):
+                if len(known):
+                    i = np.minimum(np.searchsorted(known, key), len(known) - 1)
+                    cost = np.where(known[i] == key, price[i], cost)
+            got = self.tensors[letters] = (cost[:, :, :-1], cost[:, :, -1])
+        return got
+
     def _step(self, gram: int) -> float:
         for known, cost, key in ((self.grams, self.cost, gram), (self.pairs, self.other, gram >> 21)):
             i = int(np.searchsorted(known, key))
@@ -118,29 +139,41 @@ def restore(token: str, model: CharModel) -> str:
 
 
 def restore_words(chunks: list[str], model: CharModel) -> list[str]:
-    """The likeliest words behind obfuscated chunks (lower case): a word may end where a chunk does."""
+    """The likeliest words behind obfuscated chunks (lower case): a word may end where a chunk does.
+
+    Exact: all states (last two letters) stay.  Masks stand for any letter, so tokens with masks, whose
+    states are many, are decoded on arrays.
+    """
     token = REPEATS.sub(r"\1\1\1", "\n".join(chunks))
+    word = _restore_masked(token, model) if any(c in MASKS for c in token) else _restore_plain(token, model)
+    return chunks if word is None else word.split("\n") if word else []
+
+
+def _options(seen: str, last: str, model: CharModel) -> tuple[list[tuple[str, float]], float | None]:
+    """(letters a character may stand for, with their costs; the cost of leaving it out, or None)."""
+    options = [(seen, KEEP)] if seen.isalpha() else [(c, IMITATE) for c in IMITATES.get(seen, "")]
+    if seen in MASKS:
+        options += [(c, MASKED) for c in model.ascii_letters]
+    repeated = last != "" and (seen == last or seen in IMITATES.get(last, "") or last in IMITATES.get(seen, ""))
+    return options, REPEATED if repeated else None if seen.isalpha() or seen in IMITATES else DROPPED
+
+
+def _restore_plain(token: str, model: CharModel) -> str | None:
     start = ("^", "^")
     #: (last two letters) -> (cost, the characters so far, as a chain from the last one)
-    beam: dict[tuple[str, str], tuple[float, tuple | None]] = {start: (0.0, None)}
+    states: dict[tuple[str, str], tuple[float, tuple | None]] = {start: (0.0, None)}
     last = ""
     for seen in token:
-        ahead: dict[tuple[str, str], tuple[float, tuple | None]] = {}
         if seen == "\n":
-            ahead = dict(beam)
-            for (a, b), (cost, word) in beam.items():
+            for (a, b), (cost, word) in list(states.items()):
                 total = cost + model.step(a, b, ".")
-                if b != "^" and ahead.get(start, (1e18,))[0] > total:
-                    ahead[start] = (total, (word, "\n"))
-            beam = ahead
+                if b != "^" and states.get(start, (1e18,))[0] > total:
+                    states[start] = (total, (word, "\n"))
             continue
-        options = [(seen, KEEP)] if seen.isalpha() else [(c, IMITATE) for c in IMITATES.get(seen, "")]
-        if seen in MASKS:
-            options += [(c, MASKED) for c in model.letters if c.isascii()]
-        repeated = last != "" and (seen == last or seen in IMITATES.get(last, "") or last in IMITATES.get(seen, ""))
-        drop = REPEATED if repeated else None if seen.isalpha() or seen in IMITATES else DROPPED
+        ahead: dict[tuple[str, str], tuple[float, tuple | None]] = {}
+        options, drop = _options(seen, last, model)
         last = seen
-        for (a, b), (cost, word) in beam.items():
+        for (a, b), (cost, word) in states.items():
             if drop is not None and ahead.get((a, b), (1e18,))[0] > cost + drop:
                 ahead[a, b] = (cost + drop, word)
             for c, channel in options:
@@ -148,14 +181,88 @@ def restore_words(chunks: list[str], model: CharModel) -> list[str]:
                 if ahead.get((b, c), (1e18,))[0] > total:
                     ahead[b, c] = (total, (word, c))
         if not ahead:
-            return chunks
-        beam = dict(sorted(ahead.items(), key=lambda x: x[1][0])[:48]) if len(ahead) > 48 else ahead
-    ends = [(cost + (0.0 if b == "^" and word else model.step(a, b, ".")), word) for (a, b), (cost, word) in beam.items()]
+            return None
+        states = ahead
+    ends = [(cost + (0.0 if b == "^" and word else model.step(a, b, ".")), word) for (a, b), (cost, word) in states.items()]
     at, out = min(ends, key=lambda x: x[0])[1], []
     while at:
         at, c = at
         out.append(c)
-    return "".join(reversed(out)).split("\n") if out else []
+    return "".join(reversed(out))
+
+
+#: Characters of a masked token whose back pointers are held at once.
+SEGMENT = 2048
+
+
+def _restore_masked(token: str, model: CharModel) -> str | None:
+    """The same over a matrix of states [a, b].  Only states between segments are kept on the way
+    forward; each segment's back pointers are made again on the way back."""
+    seen, last = [], ""
+    for c in token:
+        seen.append(_options(c, last, model) if c != "\n" else ([], None))
+        last = last if c == "\n" else c
+    letters = ["^", *sorted({c for options, _ in seen for c, _ in options})]
+    number = {c: i for i, c in enumerate(letters)}
+    step, end = model.tensor(tuple(letters))
+    n = len(letters)
+    grid = np.arange(n)
+
+    def run(states: np.ndarray, lo: int, hi: int, keep: bool) -> tuple[np.ndarray, list[np.ndarray | int]]:
+        back: list = []  # for each character: -1 where it was left out, else the letter two places back
+        for i in range(lo, hi):
+            if token[i] == "\n":
+                closed = states + end
+                closed[:, 0] = np.inf
+                best = int(closed.argmin())
+                ends_here = bool(closed.flat[best] < states[0, 0])
+                if ends_here:
+                    states = states.copy()
+                    states[0, 0] = closed.flat[best]
+                back.append(best if ends_here else None)
+                continue
+            options, drop = seen[i]
+            ahead = np.full((n, n), np.inf, np.float32) if drop is None else states + np.float32(drop)
+            came = np.full((n, n), -1, np.int16)
+            if options:
+                c = [number[x] for x, _ in options]
+                total = states[:, :, None] + step[:, :, c] + np.array([x for _, x in options], np.float32)
+                a = total.argmin(0)
+                least = total[a, grid[:, None], np.arange(len(c))]
+                better = least < ahead[:, c]
+                ahead[:, c] = np.where(better, least, ahead[:, c])
+                came[:, c] = np.where(better, a, -1)
+            states = ahead
+            back.append(came if keep else None)
+        return states, back
+
+    states = np.full((n, n), np.inf, np.float32)
+    states[0, 0] = 0.0
+    cuts = [*range(0, len(token), SEGMENT), len(token)]
+    held = []
+    for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+        held.append(states)
+        states, _ = run(states, lo, hi, False)
+        if not np.isfinite(states).any():
+            return None
+    final = states + end
+    if "\n" in token:
+        final[0, 0] = states[0, 0]  # the last word ended with its chunk
+    a, b = divmod(int(final.argmin()), n)
+    out = []
+    for k in range(len(held) - 1, -1, -1):
+        _, back = run(held[k], cuts[k], cuts[k + 1], True)
+        for came in reversed(back):
+            if came is None:
+                continue
+            if isinstance(came, int):  # a word's end
+                if (a, b) == (0, 0):
+                    a, b = divmod(came, n)
+                    out.append("\n")
+            elif came[a, b] >= 0:
+                out.append(letters[b])
+                a, b = int(came[a, b]), a
+    return "".join(reversed(out))
 
 
 def _characters(buf: np.ndarray) -> np.ndarray:
@@ -174,11 +281,13 @@ def _suspicious(buf: np.ndarray, places: np.ndarray, starts: np.ndarray, ends: n
     for k in range(1, 4):
         more = np.flatnonzero(size > k)
         code[more] = code[more] << np.uint32(8) | buf[places[more] + k]
+    wide = np.concatenate([[0], np.cumsum(np.isin(code, LOOKALIKE_WIDE))])
     triple = np.zeros(len(code) + 1, np.int64)
     if len(code) > 2:
         triple[3:] = np.cumsum((code[2:] == code[1:-1]) & (code[1:-1] == code[:-2]) & LETTER[buf[places[2:-1]]])
     i, j = np.searchsorted(places, starts), np.searchsorted(places, ends)
-    return ((looks[ends] > looks[starts]) & (letters[ends] > letters[starts])) | (triple[j] > triple[np.minimum(i + 2, j)])
+    signs = (looks[ends] > looks[starts]) | ((wide[j] > wide[i]) & (j - i > 1))
+    return (signs & (letters[ends] > letters[starts])) | (triple[j] > triple[np.minimum(i + 2, j)])
 
 
 def _joined(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -363,21 +472,30 @@ def train(docs: DataFrame, labels: DataFrame, seed: int = 11) -> Model:
                 lists = [pa.ListArray.from_arrays(first, pa.array(x, t)) for x, t in ((pair & 0xFFFFFFFF, pa.int32()), (times, pa.float64()))]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), *lists], names=["label", "slots", "times"])
 
-    rows = text.select("label", "text").mapInArrow(features, "label double, slots array<int>, times array<double>").repartition(6).cache()
-    # features of several positive rows; at most 2 ** FEATURE_BITS
-    seen = rows.where("label > 0").select(F.explode("slots").alias("slot")).groupBy("slot").count().where("count > 1").select("slot").toArrow()
-    used = np.sort(seen["slot"].to_numpy().astype(np.int64)) if len(seen) else np.zeros(1, np.int64)
-
-    def sparse(slots, times):
-        at = np.searchsorted(used, slots)
-        own = np.flatnonzero(used[np.minimum(at, len(used) - 1)] == slots) if slots else []
-        return Vectors.sparse(len(used), [int(at[i]) for i in own], [times[i] for i in own])
-
-    vector = F.udf(sparse, VectorUDT())  # only over the training sample
-    vectors = rows.select("label", vector("slots", "times").alias("features")).cache()
-    fitted = LogisticRegression(maxIter=60, regParam=0.0004, elasticNetParam=1.0, standardization=False).fit(vectors)
-    vectors.unpersist()
-    rows.unpersist()
+    spark = docs.sparkSession
+    with scratch(spark):
+        # Files cut the lineage, so that the regression's many small jobs carry no model along.
+        rows = kept(spark, text.select("label", "text").mapInArrow(features, "label double, slots array<int>, times array<double>"), "features")
+        # features of several positive rows; at most 2 ** FEATURE_BITS
+        seen = rows.where("label > 0").select(F.explode("slots").alias("slot")).groupBy("slot").count().where("count > 1").select("slot").toArrow()
+        used = np.sort(seen["slot"].to_numpy().astype(np.int64)) if len(seen) else np.zeros(1, np.int64)
+
+        def sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                slots = batch.column(1).flatten().to_numpy(zero_copy_only=False)
+                row = np.repeat(np.arange(len(batch)), batch.column(1).value_lengths().to_numpy(zero_copy_only=False))
+                at = np.minimum(np.searchsorted(used, slots), len(used) - 1)
+                own = used[at] == slots
+                first = pa.array(np.searchsorted(row[own], np.arange(len(batch) + 1)), pa.int32())
+                lists = [pa.ListArray.from_arrays(first, pa.array(x[own], t)) for x, t in ((at, pa.int32()), (batch.column(2).flatten().to_numpy(zero_copy_only=False), pa.float64()))]
+                same = lambda v, t: pa.array(np.full(len(batch), v), t)
+                vector = pa.StructArray.from_arrays([same(0, pa.int8()), same(len(used), pa.int32()), *lists], names=["type", "size", "indices", "values"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), vector], names=["label", "features"])
+
+        # a sparse vector's stored form, read back as vectors
+        made = rows.mapInArrow(sparse, "label double, features struct<type: tinyint, size: int, indices: array<int>, values: array<double>>")
+        vectors = kept(spark, made, "vectors", schema=T.StructType([T.StructField("label", T.DoubleType()), T.StructField("features", VectorUDT())]))
+        fitted = LogisticRegression(maxIter=60, regParam=0.0004, elasticNetParam=1.0, standardization=False).fit(vectors)
     weights = np.zeros(1 << FEATURE_BITS)
     weights[used] = fitted.coefficients.toArray()
     return Model(chars, weights, fitted.intercept)
