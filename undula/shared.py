@@ -9,9 +9,11 @@ from pyspark.sql import SparkSession
 
 
 def folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; where it is unset, as in tests, a folder of this machine."""
+    """spark.checkpoint.dir; where it is unset and all runs on this machine, as in tests, a folder of it."""
     at = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="undula-")
         spark.conf.set("spark.checkpoint.dir", at)
     return at if "://" in at else f"file://{at}"
