@@ -308,8 +308,9 @@ def test_prefixes_count_characters():
 def test_warc(spark, tmp_path):
     trap = "WARC/1.1\r\nWARC-Type: response\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n"
     long = "é" * 300_000
+    far = "http://y/" + "é" * 200_000
     html = [None, "", "short", "short", "a" * 100, "a" * 100, "a" * 99, "a" * 99, trap, trap, long, long + trap * 50, "b" * 150, "a" * 100]
-    rows = [(i, f"http://x/{i}" if i else None, h, 1) for i, h in enumerate(html)] + [(None, "u", "h", 1)]
+    rows = [(i, far if i == 3 else f"http://x/{i}" if i else None, h, 1) for i, h in enumerate(html)] + [(None, "u", "h", 1)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, size int").repartition(3)
     first, want = {}, {}
     for i, h in enumerate(html):
@@ -320,9 +321,12 @@ def test_warc(spark, tmp_path):
     manifest = warc.write(spark, pages)
     for size in (warc.RANGE, 1 << 16, 500):
         got = warc.read(spark, manifest, size).collect()
-        assert len(got) == len(want)
+        assert len(got) == len(want) and next(r.url for r in got if r.page_id == 3) == far
         assert {r.page_id: (r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in got} == want
     assert warc.read(spark, warc.write(spark, pages.limit(0))).count() == 0
+    assert warc.read(spark, manifest, 1 << 16).rdd.getNumPartitions() >= 4  # small rows, large files
+    twice = warc.read(spark, warc.write(spark, pages.union(pages).where("page_id = 12"))).collect()
+    assert [r.page_id for r in twice] == [12, 12] and {r.record_type for r in twice} == {"response"}
 
 
 def test_secret_scan(spark, none):
@@ -390,7 +394,9 @@ def test_secret_word_counts_are_exact(spark, none, monkeypatch):
         assert found == ["alpha", "beta", "xyz", "été"] and (pairs == want).all()
 
 
-def test_decontamination(spark, docs, texts, none):
+@pytest.mark.parametrize("most", [500_000, 7])
+def test_decontamination(spark, docs, texts, none, monkeypatch, most):
+    monkeypatch.setattr(decontamination, "MAX_WINDOWS", most)  # one broadcast, and several
     words = SPACE.findall(texts[6][1])
     items = [(0, " ".join(words[20:45])), (1, "one  TWO"), (2, None), (3, ""), (4, " ".join(words[40:52])), (10, "x " * 12), (11, "ONE two"), (12, "never seen here at all in any of the texts ok")]
     bench = spark.createDataFrame([(*x, 0) for x in items], "item_id long, text string, at int")
@@ -415,6 +421,8 @@ def test_decontamination(spark, docs, texts, none):
     assert {r.doc_id for r in left.collect() if r.doc_id is not None} == {i for i, v in want.items() if not v[1]} and left.columns[0] == "doc_id"
     spans = {r.doc_id: r.text for r in decontamination.remove_spans(docs, bench).collect()}
     assert all(len(ALNUM.findall(lower(spans[i]))) == v[0] - v[1] for i, v in want.items())
+    plan = left._jdf.queryExecution().executedPlan().toString()
+    assert not any(x in plan for x in ("Python", "Arrow", "Pandas"))
     assert decontamination.scan(none, bench).count() == 0
     assert all(r.n_hit == 0 for r in decontamination.scan(docs, bench.limit(0)).collect())
 
@@ -429,6 +437,7 @@ def test_embedding_dedup(spark, monkeypatch):
     rows += [(1000, None, 1, "x"), (1001, [0.0] * 16, 1, "x"), (1002, [math.nan] + [1.0] * 15, 1, "x"), (1003, [None] + [1.0] * 15, 1, "x"), (1004, [], 1, "x"), (1005, [1.0, 2.0], 1, "x"), (1006, [2.0, 4.0], 1, "x"), (1007, (base[0] * 3).tolist(), 0, "x"), (1008, (base[0] * 3).tolist(), 0, "x"), (1009, [math.inf] + [1.0] * 15, 1, "x")]
     monkeypatch.setattr(embedding_dedup, "PER_CELL", 30)
     monkeypatch.setattr(embedding_dedup, "BLOCK", 16)
+    monkeypatch.setattr(embedding_dedup, "STRIP", 5)
     good = [(i, np.array(v, float), y) for i, v, y, _ in rows if y is not None and v and all(a is not None and math.isfinite(a) for a in v) and any(v)]
     good = [(i, v / np.sqrt(v @ v), y) for i, v, y in good]
     links = [(a[0], b[0]) for n, a in enumerate(good) for b in good[:n] if a[2] == b[2] and len(a[1]) == len(b[1]) and a[1] @ b[1] >= 0.98]
@@ -438,6 +447,7 @@ def test_embedding_dedup(spark, monkeypatch):
     got = embedding_dedup.near_duplicates(spark, frame).collect()
     assert {r.vec_id: (r.n_links, r.component_id, r.kept) for r in got} == {i: (count[i], label[i], label[i] == i) for i in label}
     assert len(links) > 500
+    assert [embedding_dedup.cell_count(n) for n in (0, 1, 59, 900, 10_000, 10**8)] == [2, 2, 2, 30, 100, 10_000]
     assert embedding_dedup.near_duplicates(spark, frame.limit(0)).count() == 0
 
 

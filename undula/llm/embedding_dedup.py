@@ -4,18 +4,22 @@ Equal vectors of a label are one class from the start.  Unit centroids come from
 cosine distance, fitted on a bounded sample; every class is assigned to its nearest centroid's cell.
 Two unit vectors of cosine >= c are at most r = sqrt(2 - 2c) apart, so when a cell border runs
 between them, one of them is within r / 2 of it: classes that near a border are copied into the
-neighbouring cell as well, and no pair is lost to the cells.  Cells are split into blocks by hash,
-and each pair of blocks is one bounded matrix product.  A block pair returns one row per class with
-its links, never the pairs.
+neighbouring cell as well, and no pair is lost to the cells.  Only vectors of one label are compared,
+so the largest label decides the number of cells: two at least, one for PER_CELL of its classes, and
+their square root where that is less (assigning and comparing then both grow with n to the power 1.5).
+Cells are split into blocks by hash, and each pair of blocks is one bounded matrix product, taken in
+strips.  A block pair returns one row per class with its links, never the pairs.
 
 Defined cases: vectors that are null, empty, zero or hold null or non-finite components, and rows
 with a null label, link with nothing; vectors of different lengths aren't compared; further columns
-are ignored; an empty table gives an empty table.  vec_id must be unique; rows without one are left out.
+are ignored; an empty table gives an empty table.  Vectors of any length and magnitude are compared.  vec_id
+must be unique (rows that share one are vectors of their own with that id); rows without one are left out.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import isqrt
 
 import numpy as np
 import pyarrow as pa
@@ -24,13 +28,14 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import textops
 from .components import components
 from .shared import kept, scratch
 
 #: k-means sees at most about so many classes, whatever the input.
 SAMPLE = 50_000
-#: Classes aimed at in a cell, most centroids, classes in a block.
-PER_CELL, MOST_CELLS, BLOCK = 2048, 2048, 1024
+#: Classes of one label aimed at in a cell, classes in a block, rows of a strip.
+PER_CELL, BLOCK, STRIP = 2048, 4096, 512
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -43,16 +48,34 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
-def centroids(classes: DataFrame, n: int, seed: int) -> np.ndarray:
-    """Unit centroids of the most common vector length."""
-    k = int(min(MOST_CELLS, max(1, n // PER_CELL)))
-    if k == 1:
-        return _unit(np.ones((1, classes.select(F.size("vector")).first()[0])))
-    sample = classes.where(F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1_000_000)) < int(1_000_000 * min(1.0, SAMPLE / max(1, n))) + 1)
-    model = KMeans(k=k, distanceMeasure="cosine", maxIter=10, seed=seed, featuresCol="v", initSteps=2).fit(sample.select(array_to_vector(F.col("vector").cast("array<double>")).alias("v")))
+def cell_count(n: int) -> int:
+    """Cells for n classes of the largest label."""
+    return max(2, min(-(-n // PER_CELL), isqrt(n)))
+
+
+def centroids(classes: DataFrame, n: int, k: int, seed: int) -> np.ndarray:
+    """k unit centroids of n classes, or one for each class if they are fewer."""
+    sample = classes.where(F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1_000_000)) < int(1_000_000 * min(1.0, max(SAMPLE, 4 * k) / max(1, n))) + 1)
+    scaled = F.expr("transform(vector, x -> cast(x as double) / array_max(transform(vector, y -> abs(cast(y as double)))))")
+    model = KMeans(k=k, distanceMeasure="cosine", maxIter=10, seed=seed, featuresCol="v", initSteps=2).fit(sample.select(array_to_vector(scaled).alias("v")))
     return _unit(np.array(model.clusterCenters()))
 
 
+def merge(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The smallest node of each node's group, once the links (a, b) join groups."""
+    while True:
+        low, high = np.minimum(root[a], root[b]), np.maximum(root[a], root[b])
+        apart = low != high
+        if not apart.any():
+            return root
+        a, b = a[apart], b[apart]
+        up = np.arange(len(root))
+        np.minimum.at(up, high[apart], low[apart])
+        while (up[up] != up).any():
+            up = up[up]
+        root = up[root]
+
+
 def near_duplicates(spark: SparkSession, vectors: DataFrame, cosine: float = 0.98, seed: int = 7) -> DataFrame:
     """Rows (vec_id, n_links, component_id, kept) of all vectors."""
     with scratch(spark):
@@ -66,11 +89,12 @@ def _near_duplicates(spark: SparkSession, vectors: DataFrame, cosine: float, see
     good = rows.where("usable")
     # -0.0 is 0.0 here, as in grouping
     classes = kept(spark, good.groupBy("label", "vector").agg(F.min("vec_id").alias("id"), F.count("*").alias("size")), "vectors")
-    longest = classes.groupBy(F.size("vector").alias("dim")).count().orderBy(F.desc("count"), "dim").collect()
+    by_label = classes.groupBy(F.size("vector").alias("dim"), "label").count()
+    longest = by_label.groupBy("dim").agg(F.sum("count").alias("n"), F.max("count").alias("most")).orderBy("dim").collect()
     parts = []
-    for dim, n in longest:  # one round for each vector length in the table, in practice one
+    for dim, n, most in longest:  # one round for each vector length in the table, in practice one
         own = classes.where(F.size("vector") == dim)
-        parts.append(_linked(spark, own, centroids(own, n, seed), cosine))
+        parts.append(_linked(spark, own, centroids(own, n, cell_count(most), seed), cosine))
     if not parts:
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
     found = parts[0]
@@ -121,31 +145,29 @@ def _linked(spark: SparkSession, classes: DataFrame, centre: np.ndarray, cosine:
         x = _unit(_matrix(table["vector"].combine_chunks()))
         size, own, side = (table[n].to_numpy() for n in ("size", "own", "block"))
         cell, low, high = (table[n][0].as_py() for n in ("cell", "low", "high"))
-        close = x @ x.T >= cosine
-        np.fill_diagonal(close, False)
-        if low != high:
-            close &= side[:, None] != side[None, :]
-        a, b = np.nonzero(close)
-        # a pair counts in the cell that one of them belongs to; if each was copied to the other's, in the lower
-        home_a, home_b = own[a] == cell, own[b] == cell
-        count = home_a & home_b
-        cells = table["cells"].to_pylist()
-        for i in np.flatnonzero(home_a != home_b):
-            home, guest = (a[i], b[i]) if home_a[i] else (b[i], a[i])
-            count[i] = own[guest] not in cells[home] or cell < own[guest]
-        links = np.bincount(a[count], size[b[count]], len(ids)).astype(np.int64)
-        root = np.arange(len(ids))
-        order = np.argsort(ids)
+        cells = table["cells"].combine_chunks()
+        many = cells.value_lengths().to_numpy()
+        copied = np.full((len(ids), int(many.max())), -1, np.int32)
+        copied[np.repeat(np.arange(len(ids)), many), textops.spans(np.zeros(len(ids), np.int64), many)] = cells.flatten().to_numpy()
+        order = np.argsort(ids, kind="stable")
         rank = np.empty(len(ids), np.int64)
-        rank[order] = root
-        best = rank.copy()
-        while True:
-            step = best.copy()
-            np.minimum.at(step, a, best[b])
-            step = np.minimum(step, step[order[step]])
-            if (step == best).all():
-                break
-            best = step
+        rank[order] = np.arange(len(ids))
+        best, links = np.arange(len(ids)), np.zeros(len(ids), np.int64)
+        for lo in range(0, len(ids), STRIP):
+            close = x[lo : lo + STRIP] @ x.T >= cosine
+            close[np.arange(len(close)), lo + np.arange(len(close))] = False
+            if low != high:
+                close &= side[lo : lo + STRIP, None] != side[None, :]
+            a, b = np.nonzero(close)
+            a += lo
+            # a pair counts in the cell that one of them belongs to; if each was copied to the other's, in the lower
+            home_a, home_b = own[a] == cell, own[b] == cell
+            home, guest = np.where(home_a, a, b), np.where(home_a, b, a)
+            once = (copied[home] != own[guest][:, None]).all(1) | (cell < own[guest])
+            count = (home_a & home_b) | ((home_a != home_b) & once)
+            links += np.bincount(a[count], size[b[count]], len(ids)).astype(np.int64)
+            best = merge(best, rank[a], rank[b])
+        best = best[rank]
         touched = np.flatnonzero((links > 0) | (best != rank))
         return pa.table({"id": ids[touched], "links": links[touched], "root": ids[order[best[touched]]]})
 

@@ -14,7 +14,8 @@ no such chain.  Ranges are then read from their entries.
 
 Defined cases: a null html is an empty payload; payloads under `least` bytes are always responses;
 ties go to the smallest page_id; further columns are ignored; an empty table gives an empty table.
-page_id must be unique; rows without one are left out.
+URLs and payloads have any length; control characters of a URL are left out.  page_id must be unique
+(rows that share one give a record each, all with that id); rows without one are left out.
 """
 
 from __future__ import annotations
@@ -29,12 +30,14 @@ from pyspark.sql import functions as F
 
 from . import bitfilter
 from ..shared import fresh
-from .shared import kept, open_store
+from .shared import kept, open_store, scratch
 
 MAGIC = b"WARC/1.1\r\n"
 RANGE = 8 << 20
-#: A header is no longer than this.
-HEAD = 1 << 20
+#: What is read behind a range for headers that begin in it, and again where they are longer.
+HEAD = 1 << 16
+#: Ranges that one reading task has at least, where there are more than shuffle partitions.
+PER_TASK = 16
 MARK_BITS = 24
 DATE = "2024-01-01T00:00:00Z"
 RECORD = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long"
@@ -49,9 +52,8 @@ def decisions(pages: DataFrame, least: int = 100) -> DataFrame:
 
 
 def _clean(url: str | None) -> str:
-    """The URL in one header line; one that would not fit a header is left out."""
-    url = "".join(c for c in url or "" if c >= " ")
-    return url if 4 * len(url) < HEAD // 2 else ""
+    """The URL in one header line, of any length, without control characters."""
+    return "".join(c for c in url or "" if c >= " ")
 
 
 def record(page_id: int, url: str | None, payload: bytes, digest: str, refers_to: int | None) -> bytes:
@@ -77,6 +79,11 @@ def write(spark: SparkSession, pages: DataFrame, least: int = 100) -> DataFrame:
     Payloads of responses are written where they are read.  Only pages that a bitmap of fixed size
     marks as possible revisits meet their decision in a join.
     """
+    with scratch(spark):
+        return _write_all(spark, pages, least)
+
+
+def _write_all(spark: SparkSession, pages: DataFrame, least: int) -> DataFrame:
     folder = fresh(spark, "warc")
     pages = pages.where("page_id is not null").select(F.col("page_id").cast("long").alias("page_id"), "url", "html")
     decided = kept(spark, decisions(pages, least), "decisions")
@@ -87,7 +94,7 @@ def write(spark: SparkSession, pages: DataFrame, least: int = 100) -> DataFrame:
         return _write(folder, batches)
 
     schema = "path string, size long, records long"
-    return kept(spark, clear.mapInArrow(work, schema).union(possible.join(decided, "page_id", "left").mapInArrow(work, schema)), "manifest")
+    return kept(spark, clear.mapInArrow(work, schema).union(possible.join(decided, "page_id", "left").mapInArrow(work, schema)), "manifest", stays=True)
 
 
 def _write(folder: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -114,20 +121,24 @@ def _write(folder: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Record
         yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([size]), pa.array([count])], names=["path", "size", "records"])
 
 
-def _header(raw: bytes, at: int) -> tuple[dict[str, str], int] | None:
-    """(fields, place of the block) of a record header at `at`, or None."""
-    end = raw.find(b"\r\n\r\n", at, at + HEAD)
+def _header(f, raw: bytes, base: int, place: int, total: int) -> tuple[bytes, tuple[dict[str, str], int] | None]:
+    """The bytes from base on, with more of them where a header goes on, and (fields, place of the block)
+    of the record header at `place`, or None."""
+    seen = place
+    while (end := raw.find(b"\r\n\r\n", max(place, seen - 3) - base)) < 0 and base + len(raw) < total:
+        seen = base + len(raw)
+        raw += f.read_at(min(max(HEAD, len(raw)), total - seen), seen)
     if end < 0:
-        return None
+        return raw, None
     fields = {}
-    for line in raw[at + len(MAGIC) : end].split(b"\r\n"):
+    for line in raw[place - base + len(MAGIC) : end].split(b"\r\n"):
         name, colon, value = line.partition(b":")
         if not colon:
-            return None
+            return raw, None
         fields[name.decode("latin-1").strip().lower()] = value.decode("utf-8", "replace").strip()
     if not fields.get("content-length", "").isdigit() or "warc-type" not in fields:
-        return None
-    return fields, end + 4
+        return raw, None
+    return raw, (fields, base + end + 4)
 
 
 def ranges(manifest: DataFrame, size: int = RANGE) -> DataFrame:
@@ -135,6 +146,13 @@ def ranges(manifest: DataFrame, size: int = RANGE) -> DataFrame:
     return manifest.where("size > 0").select("path", "size", F.explode(F.sequence(F.lit(0), F.col("size") - 1, F.lit(size))).alias("start"))
 
 
+def reading_tasks(spark: SparkSession, parts: DataFrame) -> int:
+    """How many tasks read the ranges: their rows are few and small, what they name is not, so the number
+    is not left to the rows' size."""
+    n = parts.count()
+    return max(1, min(n, max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n // PER_TASK))))
+
+
 def candidates(parts: DataFrame, size: int = RANGE) -> DataFrame:
     """Rows (path, start, place, leaves): every place in a range where a record could begin, and where
     the chain from it leaves the range (null where it breaks off)."""
@@ -146,14 +164,14 @@ def candidates(parts: DataFrame, size: int = RANGE) -> DataFrame:
                 end = min(start + size, total)
                 with store.open_input_file(at) as f:
                     raw = f.read_at(min(end + HEAD, total) - start, start)
-                places, follows = [], []
-                found = raw.find(MAGIC)
-                while 0 <= found < end - start:
-                    head = _header(raw, found)
-                    if head:
-                        places.append(start + found)
-                        follows.append(start + head[1] + int(head[0]["content-length"]) + 4)
-                    found = raw.find(MAGIC, found + 1)
+                    places, follows = [], []
+                    found = raw.find(MAGIC)
+                    while 0 <= found < end - start:
+                        raw, head = _header(f, raw, start, start + found, total)
+                        if head:
+                            places.append(start + found)
+                            follows.append(head[1] + int(head[0]["content-length"]) + 4)
+                        found = raw.find(MAGIC, found + 1)
                 leaves: dict[int, int | None] = {}
                 for place, follow in zip(reversed(places), reversed(follows), strict=True):
                     leaves[place] = follow if follow >= end else leaves.get(follow)
@@ -184,8 +202,11 @@ def entries(spark: SparkSession, found: DataFrame) -> DataFrame:
 
 def read(spark: SparkSession, manifest: DataFrame, size: int = RANGE) -> DataFrame:
     """The archives' records.  A response's size and digest are those of its payload as read."""
-    parts = ranges(manifest, size)
-    start = parts.repartition("path", "start").join(entries(spark, candidates(parts.repartition("path", "start"), size)), ["path", "start"]).select("path", "size", "start", "place")
+    with scratch(spark):
+        parts = ranges(manifest, size)
+        tasks = reading_tasks(spark, parts)
+        found = entries(spark, candidates(parts.repartition(tasks, "path", "start"), size))
+        start = kept(spark, parts.join(found, ["path", "start"]).select("path", "size", "start", "place"), "starts", stays=True)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -196,12 +217,12 @@ def read(spark: SparkSession, manifest: DataFrame, size: int = RANGE) -> DataFra
                 with store.open_input_file(at) as f:
                     raw, base = f.read_at(min(end + HEAD, total) - place, place), place
                     while place < end:
-                        head = _header(raw, place - base)
+                        raw, head = _header(f, raw, base, place, total)
                         if head is None or not raw.startswith(MAGIC, place - base):
                             raise ValueError(f"no record at {place} of {path}")
                         fields, block = head
                         n = int(fields["content-length"])
-                        payload = raw[block : block + n] if base + block + n <= base + len(raw) else f.read_at(n, base + block)
+                        payload = raw[block - base : block - base + n] if block + n <= base + len(raw) else f.read_at(n, block)
                         kind, digest = fields["warc-type"], fields["warc-payload-digest"].removeprefix("sha256:")
                         if kind == "response":
                             if hashlib.sha256(payload).hexdigest() != digest:
@@ -212,9 +233,9 @@ def read(spark: SparkSession, manifest: DataFrame, size: int = RANGE) -> DataFra
                         number = lambda x: int(x.rpartition(":")[2].rstrip(">"))
                         refers = number(fields["warc-refers-to"]) if kind == "revisit" else None
                         rows.append((number(fields["warc-record-id"]), fields.get("warc-target-uri"), length, digest, kind, refers))
-                        place = base + block + n + 4
+                        place = block + n + 4
                 types = (pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64())
                 names = ["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to"]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
 
-    return start.mapInArrow(work, RECORD)
+    return start.repartition(tasks, "path", "start").mapInArrow(work, RECORD)
