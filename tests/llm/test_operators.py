@@ -485,26 +485,51 @@ def test_token_files(spark, docs, texts, none, monkeypatch):
         ids = np.array([*library.encode(t or "", add_special_tokens=False).ids, 0], "<u4")
         want[i] = (start, len(ids), zlib.crc32(ids.tobytes()))
         start += len(ids)
-    manifest = token_files.write(spark, docs)
-    got = token_files.read(manifest).collect()
-    assert {r.doc_id: (r.start, r.n_tokens, r.ids_crc32) for r in got} == want and len(got) == len(want)
+    monkeypatch.setattr(token_files, "SLICE", 2000)
+    for shard in (token_files.SHARD, 3000):  # one shard a file, and several
+        monkeypatch.setattr(token_files, "SHARD", shard)
+        manifest = token_files.write(spark, docs)
+        got = token_files.read(manifest).collect()
+        assert {r.doc_id: (r.start, r.n_tokens, r.ids_crc32) for r in got} == want and len(got) == len(want)
+    assert max(len(r.places) for r in manifest.collect()) > 3
     assert token_files.read(token_files.write(spark, none)).count() == 0
 
 
-def test_repair_round_trip():
+@pytest.mark.parametrize("wide", [False, True])
+def test_repair_round_trip(wide):
     rnd = np.random.default_rng(2)
     phrase = rnd.integers(0, 50, 40)
     docs = [np.concatenate([phrase[: rnd.integers(0, 40)], rnd.integers(0, 50, rnd.integers(0, 30))]) for _ in range(300)] + [np.zeros(0, int), np.full(200, 7)]
+    terminals = 70_000 if wide else 50
+    docs = [d + terminals - 50 for d in docs]
     ids = np.concatenate(docs).astype(np.uint32)
     first = np.concatenate([[0], np.cumsum([len(d) for d in docs])])
-    seq, at, rules = repair.compress(ids, first, 50)
-    assert len(rules) and len(seq) < len(ids) and (repair.expand(seq, rules, 50) == ids).all()
+    seq, at, rules = repair.compress(ids, first, terminals)
+    assert len(rules) and len(seq) < len(ids) and (repair.expand(seq, rules, terminals) == ids).all()
     for i, d in enumerate(docs):
-        assert repair.expand(seq[at[i] : at[i + 1]], rules, 50).tolist() == d.tolist()
-    lengths = repair.expansions(rules, 50)
+        assert repair.expand(seq[at[i] : at[i + 1]], rules, terminals).tolist() == d.tolist()
+    lengths = repair.expansions(rules, terminals)
     assert lengths[seq].sum() == len(ids)
-    shard = token_files.Shard(token_files.pack(np.arange(len(docs)), ids, first, 50))
+    shard = token_files.Shard(token_files.pack(np.arange(len(docs)), ids, first, terminals))
+    assert shard.seq.dtype.itemsize == (4 if wide else 2)
     assert all(shard.token_at(i, k) == v for i in (0, 5, 301) for k, v in enumerate(docs[i].tolist()))
+    # no pair is left that comes LEAST times without overlap within documents
+    left: Counter = Counter()
+    for i in range(len(docs)):
+        own, k = seq[at[i] : at[i + 1]].tolist(), 0
+        last: dict = {}
+        for k, p in enumerate(zip(own[:-1], own[1:], strict=True)):
+            if last.get(p, -2) < k - 1:
+                left[p] += 1
+                last[p] = k
+    assert max(left.values()) < repair.LEAST
+
+
+def test_repair_of_equal_ids():
+    for n in (0, 1, 2, 7, 100_000):
+        ids = np.full(n, 3, np.uint32)
+        seq, _, rules = repair.compress(ids, np.array([0, n]), 10)
+        assert len(seq) < 16 and (repair.expand(seq, rules, 10) == ids).all()
 
 
 def test_substring_dedup(spark, docs, texts, none):

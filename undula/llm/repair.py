@@ -1,31 +1,69 @@
 """Re-Pair grammar compression of one shard of token ids, on arrays.
 
-Rounds: pairs of neighbours are counted, the frequent ones become rules, and all their places are
-replaced together.  Within a round a symbol may be the left part of rules or the right part, never
-both, so the replaced places can't overlap.  No rule crosses a document's end, so a document is a
-range of the compressed sequence.  Every symbol's expansion length is kept: a cumulative sum over a
-document's symbols finds the symbol that holds any token.
+Pairs of neighbours are counted and frequent ones become rules, whose places become the new symbol,
+until no pair is left with LEAST places: fewer would not pay for a rule, which is stored in 12 bytes
+where a place saves 2 or 4.  Pairs come in order of frequency by halves: rounds replace those with at
+least half the places of the most frequent one, until a round finds few, and then rarer ones as well.
+The last rounds go on until they find none.  Where places of chosen pairs overlap, the more frequent pair takes the place, and in a run
+of equal symbols every other place.  A pair whose places shrink below LEAST by that waits.
+
+No rule crosses a document's end, so a document is a range of the compressed sequence.  Every symbol's
+expansion length is kept: a cumulative sum over a document's symbols finds the symbol that holds any
+token.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
-#: Rounds, rules of a round, least occurrences of a rule, and counters of the first, coarse count.
-ROUNDS, RULES, LEAST, COARSE_BITS = 6, 2000, 24, 18
-_MIX = np.uint32(0x9E3779B1)
+#: Least places of a rule, and counters of the first, coarse count.
+LEAST, COARSE_BITS = 4, 20
+_SHIFT = np.uint64(32)
 
 
-def _frequent(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(pairs as left << 32 | right, counts) of pairs with LEAST places or more, most frequent first."""
-    slot = ((left * _MIX) ^ (right * np.uint32(0x85EBCA6B))) * np.uint32(0xC2B2AE35) >> np.uint32(32 - COARSE_BITS)
+def _heavy(seq: np.ndarray, head: np.ndarray, least: int) -> tuple[np.ndarray, int]:
+    """(the places whose pair may come `least` times or more, the most that any pair may come)."""
+    left, right = seq[:-1], seq[1:]
+    slot = ((left * np.uint32(0x9E3779B1)) ^ (right * np.uint32(0x85EBCA6B))) * np.uint32(0xC2B2AE35) >> np.uint32(32 - COARSE_BITS)
     count = np.bincount(slot, minlength=1 << COARSE_BITS)
-    # a pair is no more frequent than its slot, so the fullest slots hold all pairs that can be chosen
-    heavy = (count >= max(LEAST, int(np.partition(count, -4 * RULES)[-4 * RULES])))[slot]
-    pair, n = np.unique(left[heavy].astype(np.uint64) << np.uint64(32) | right[heavy].astype(np.uint64), return_counts=True)
-    pair, n = pair[n >= LEAST], n[n >= LEAST]
-    order = np.lexsort((pair, -n))
-    return pair[order], n[order]
+    # a pair is no more frequent than its slot; pairs over a document's end only add to slots
+    at = np.flatnonzero((count >= least)[slot])
+    return at[~head[at + 1]], int(count.max())
+
+
+def _chosen(pair: np.ndarray, at: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """(places to replace, their pairs) among places `at` of pairs: pairs of at least `least` places, no
+    two places overlapping."""
+    values, which, count = np.unique(pair, return_inverse=True, return_counts=True)
+    good = count >= least
+    if not good.any():
+        return at[:0], pair[:0]
+    # rank 0 is the most frequent pair
+    rank = np.empty(len(values), np.int64)
+    rank[np.lexsort((values, -count))] = np.arange(len(values))
+    keep = good[which]
+    at, pair, own = at[keep], pair[keep], rank[which[keep]]
+    while True:
+        # a place stands if its neighbours, which it would overlap, are of rarer pairs
+        before = np.append(False, (at[1:] == at[:-1] + 1))
+        after = np.append(before[1:], False)
+        same = np.append(False, before[1:] & (own[1:] == own[:-1]))
+        # place in a run of one pair (x x x): every other one
+        head = np.flatnonzero(~same)
+        odd = (np.arange(len(at)) - np.repeat(head, np.diff(np.append(head, len(at))))) % 2 == 1
+        beaten = odd.copy()
+        beaten[1:] |= before[1:] & (own[:-1] < own[1:])
+        beaten[:-1] |= after[:-1] & (own[1:] < own[:-1])
+        won, won_pair = at[~beaten], pair[~beaten]
+        _, which, count = np.unique(won_pair, return_inverse=True, return_counts=True)
+        enough = (count >= LEAST)[which]
+        if enough.any():
+            return won[enough], won_pair[enough]
+        # every winner is short of places: without them others may stand
+        lost = np.isin(pair, won_pair)
+        at, pair, own = at[~lost], pair[~lost], own[~lost]
+        if not len(at):
+            return at, pair
 
 
 def compress(ids: np.ndarray, first: np.ndarray, terminals: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -35,37 +73,26 @@ def compress(ids: np.ndarray, first: np.ndarray, terminals: int) -> tuple[np.nda
     head = np.zeros(len(seq) + 1, bool)
     head[first] = True
     rules: list[np.ndarray] = []
-    size = terminals
-    for _ in range(ROUNDS):
-        if len(seq) < 2:
+    size, least, most = terminals, 1 << 40, 0
+    while len(seq) > 1:
+        at, top = _heavy(seq, head, min(least, len(seq)))
+        if least > LEAST and not len(at):
+            least, most = max(LEAST, min(least, top) // 2), 0
+            continue
+        at, pair = _chosen(seq[at].astype(np.uint64) << _SHIFT | seq[at + 1].astype(np.uint64), at, least)
+        if not len(at) and least <= LEAST:
             break
-        joined = np.flatnonzero(~head[1:-1])  # i and i + 1 are in one document
-        pair, _ = _frequent(seq[joined], seq[joined + 1])
-        lefts, rights, taken = set(), set(), []
-        for p in pair[: 4 * RULES].tolist():
-            a, b = p >> 32, p & 0xFFFFFFFF
-            if a != b and a not in rights and b not in lefts:
-                lefts.add(a)
-                rights.add(b)
-                taken.append(p)
-                if len(taken) == RULES:
-                    break
-        if not taken:
-            break
-        new = np.sort(np.array(taken, np.uint64))
-        is_left, is_right = np.zeros(size, bool), np.zeros(size, bool)
-        is_left[(new >> np.uint64(32)).astype(np.int64)] = True
-        is_right[(new & np.uint64(0xFFFFFFFF)).astype(np.int64)] = True
-        at = joined[is_left[seq[joined]] & is_right[seq[joined + 1]]]
-        key = seq[at].astype(np.uint64) << np.uint64(32) | seq[at + 1].astype(np.uint64)
-        rule = np.minimum(np.searchsorted(new, key), len(new) - 1)
-        hit = new[rule] == key
-        at, rule = at[hit], rule[hit]
+        most = max(most, len(at))
+        if least > LEAST and 8 * len(at) <= most:
+            least, most = max(LEAST, least // 2), 0
+        if not len(at):
+            continue
+        new, rule = np.unique(pair, return_inverse=True)
         seq[at] = (size + rule).astype(np.uint32)
         keep = np.ones(len(seq), bool)
         keep[at + 1] = False
         seq, head = seq[keep], np.append(head[:-1][keep], True)
-        rules.append(np.stack([new >> np.uint64(32), new & np.uint64(0xFFFFFFFF)], 1).astype(np.uint32))
+        rules.append(np.stack([new >> _SHIFT, new & np.uint64(0xFFFFFFFF)], 1).astype(np.uint32))
         size += len(new)
     # empty documents share a place with the next one, so ends are counted, not read from the marks
     ends = np.cumsum(expansions(rules, terminals)[seq]) if len(seq) else np.zeros(0, np.int64)
@@ -74,28 +101,29 @@ def compress(ids: np.ndarray, first: np.ndarray, terminals: int) -> tuple[np.nda
 
 def expansions(rules: list[np.ndarray] | np.ndarray, terminals: int) -> np.ndarray:
     """The number of terminals each symbol stands for."""
-    out = np.ones(terminals, np.int64)
-    blocks = rules if isinstance(rules, list) else [rules]
-    total = np.concatenate([*blocks, np.zeros((0, 2), np.uint32)])
+    total = np.concatenate([*(rules if isinstance(rules, list) else [rules]), np.zeros((0, 2), np.uint32)]).astype(np.int64)
+    out = np.ones(terminals + len(total), np.int64)
+    reach = np.maximum.accumulate(total.max(1)) if len(total) else np.zeros(0, np.int64)
     done = 0
     while done < len(total):  # the rules that only use symbols known so far come together
-        ready = (total[done:] < len(out)).all(1)
-        n = len(ready) if ready.all() else int(ready.argmin())
-        out = np.append(out, out[total[done : done + n, 0]] + out[total[done : done + n, 1]])
-        done += n
+        n = int(np.searchsorted(reach, terminals + done, "left"))
+        out[terminals + done : terminals + n] = out[total[done:n, 0]] + out[total[done:n, 1]]
+        done = n
     return out
 
 
-def expand(seq: np.ndarray, rules: np.ndarray, terminals: int) -> np.ndarray:
-    """The terminals of a range of symbols."""
-    while True:
-        inner = seq >= terminals
-        if not inner.any():
-            return seq
-        width = 1 + inner.astype(np.int64)
-        at = np.cumsum(width) - width
-        out = np.empty(int(width.sum()), np.uint32)
-        out[at[~inner]] = seq[~inner]
-        pair = rules[seq[inner] - terminals]
-        out[at[inner]], out[at[inner] + 1] = pair[:, 0], pair[:, 1]
-        seq = out
+def expand(seq: np.ndarray, rules: np.ndarray, terminals: int, lengths: np.ndarray | None = None) -> np.ndarray:
+    """The terminals of a range of symbols; lengths are the nonterminals' expansion lengths."""
+    size = np.append(np.ones(terminals, np.int64), lengths) if lengths is not None else expansions(rules, terminals)
+    symbol = seq.astype(np.int64)
+    own = size[symbol]
+    place = np.cumsum(own) - own
+    out = np.empty(int(own.sum()), np.uint32)
+    while len(symbol):  # one step down all derivations, each token is written once
+        done = symbol < terminals
+        out[place[done]] = symbol[done]
+        symbol, place = symbol[~done], place[~done]
+        pair = rules[symbol - terminals].astype(np.int64)
+        place = np.concatenate([place, place + size[pair[:, 0]]])
+        symbol = pair.T.ravel()
+    return out

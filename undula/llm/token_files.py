@@ -10,7 +10,8 @@ Any token is found without decoding what precedes it: the document index gives i
 expansion lengths the symbol that holds the token (`token_at`).
 
 Defined cases: a null text is an empty one, which leaves the end id alone; further columns are
-ignored; an empty table gives no files and an empty table.  doc_id must be unique; rows without one are left out.
+ignored; an empty table gives no files and an empty table.  Texts have any length.  doc_id must be unique (rows
+that share one follow each other, in no set order); rows without one are left out.
 """
 
 from __future__ import annotations
@@ -147,7 +148,7 @@ class Shard:
         self.seq = np.frombuffer(raw, "<u4" if wide else "<u2", symbols, at)
 
     def document(self, i: int) -> np.ndarray:
-        return repair.expand(self.seq[self.symbol[i] : self.symbol[i + 1]].astype(np.uint32), self.rules, self.terminals)
+        return repair.expand(self.seq[self.symbol[i] : self.symbol[i + 1]], self.rules, self.terminals, self.lengths)
 
     def token_at(self, i: int, k: int) -> int:
         """Token k of document i: only the symbol that holds it is expanded."""
@@ -155,7 +156,7 @@ class Shard:
         size = np.where(seq < self.terminals, 1, self.lengths[np.maximum(seq - self.terminals, 0)] if len(self.lengths) else 1)
         ends = np.cumsum(size)
         s = int(np.searchsorted(ends, k, "right"))
-        return int(repair.expand(seq[s : s + 1].astype(np.uint32), self.rules, self.terminals)[k - (ends[s] - size[s])])
+        return int(repair.expand(seq[s : s + 1], self.rules, self.terminals, self.lengths)[k - (ends[s] - size[s])])
 
 
 def write(spark: SparkSession, docs: DataFrame, path: str | None = None) -> DataFrame:
@@ -218,7 +219,7 @@ def read(manifest: DataFrame) -> DataFrame:
                 store, at = open_store(file)
                 with store.open_input_file(at) as f:
                     shard = Shard(f.read_at(size, start))
-                ids = repair.expand(shard.seq.astype(np.uint32), shard.rules, shard.terminals).astype("<u4").tobytes()
+                ids = repair.expand(shard.seq, shard.rules, shard.terminals, shard.lengths).astype("<u4").tobytes()
                 n = np.diff(shard.token)
                 crc = [zlib.crc32(memoryview(ids)[4 * a : 4 * b]) for a, b in zip(shard.token[:-1], shard.token[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(shard.doc_ids), pa.array(base + shard.token[:-1]), pa.array(n), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
