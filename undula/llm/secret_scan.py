@@ -5,16 +5,19 @@ of LEAST characters or more is a candidate (keys, hashes, addresses, numbers, pl
 is a web address up to its parameters, and a whole word that holds : , ; but no quote, = or &.  Its
 features are the value's length and character classes, character transitions under a bigram model of
 the corpus's words, the share of it that dictionary words cover, where it was found (the path), and the
-words around it.  A random forest trained by Spark on labelled findings scores each candidate; those
-under the threshold are dropped as false positives.
-
-Labelled findings are any table (candidate columns, label).  `seed_labels` makes them from candidates
-whose form proves what they are: provider keys and values assigned to a credential's name on one side;
-mail and network addresses, numbers and plain words on the other.  Form tests aren't features.
-
-Defined cases: null and empty texts have no candidates; a null path counts as an empty one; if the
-labelled findings hold one label only, that label decides; further columns are ignored; an empty table
-gives an empty table.
+words around it: two before and one after, within 80 characters.  A random forest trained by Spark on
+labelled findings scores each candidate; those under the threshold are dropped as false positives.
+
+Labelled findings are any table (features, label).  Without one they are candidates of documents made by
+rule (made_findings.py), which know their own secrets and hold hard negatives; no form or name test makes a
+label.  Word counts are exact and the forest learns from rows in a set order, so scores don't depend on
+how rows are partitioned.
+
+Defined cases: null and empty texts have no candidates; words of any length are cut and measured whole;
+a null path, or a table without that column, counts as an empty one; a score equal to the threshold is
+kept; rows that share a doc_id are scanned each; if the labelled findings hold one label only, that label
+decides; of overlapping secrets the text from the first start to the last end is replaced by one mark;
+further columns are ignored; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -31,8 +34,8 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import textops
-from .shared import kept, unused
+from . import made_findings, textops
+from .shared import kept, scratch, unused
 
 LEAST = 12
 #: Labelled findings for training: about so many at most.
@@ -41,33 +44,19 @@ SAMPLE = 20_000
 RARE = 100_000
 #: Distinct words a task counts before it hands them on.
 WORDS = 1 << 17
-CANDIDATE = "doc_id long, path string, start long, end long, value string, before string, after string, label int, features array<double>"
+CANDIDATE = "doc_id long, path string, start long, end long, value string, before string, after string, features array<double>"
 
 # Names that credentials are assigned to.
-NAMES = ("password", "passwd", "pwd", "secret", "token", "apikey", "api_key", "api-key", "access_key", "auth", "credential", "private_key")
+CREDENTIALS = ("password", "passwd", "pwd", "secret", "token", "apikey", "api_key", "api-key", "access_key", "auth", "credential", "private_key", "bearer")
+# Names of what looks like a key and is none.
+HARMLESS = ("checksum", "sha", "md5", "commit", "etag", "digest", "revision", "uuid", "hash", "build", "image", "_id", "base64", " id")
+# Endings of files that settings stand in.
+SETTINGS = ("env", "yml", "yaml", "json", "conf", "ini", "toml", "tf", "properties")
 
 _QUOTES, _ENDS = "\"'`", ")]}>,;.:!?#$%&*"
 _PIECE = re.compile(r"""[A-Za-z][A-Za-z0-9+.\-]*://[^\x00-\x20\x7f-\xff"'`=,;&?#]+|[^\x00-\x20\x7f-\xff"'`=:,;&]+(?:={1,2}(?=$|["'`:,;&)\]}>]|[^\x21-\x7e]))?""")
 _WHOLE = re.compile(r"[!-~]+")
 _NAME = re.compile(r"([A-Za-z][\w.\-]{0,40})[\"'`]*(=|:=|:)[\"'`(\[{<]*$", re.ASCII)
-_PROVIDER = re.compile(r"^(?:AKIA[0-9A-Z]{16}|gh[pousr]_[0-9A-Za-z]{36}|xox[abp]-[0-9A-Za-z-]{20,}|sk_live_[0-9A-Za-z]{24,})$")
-_HARMLESS = re.compile(r"^(?:[^@\s]+@[^@\s]+\.[A-Za-z.]+|[0-9.,:+/()-]+|https?://\S+|\d{4}-\d\d-\d\d\S*)$")
-_RANDOM = re.compile(r"^(?:[0-9a-f]{16,}|[0-9A-F]{16,}|[0-9A-Za-z+/_-]{16,}={0,2})$")
-_PLAIN = re.compile(r"^[A-Za-z]?[a-z]+(?:[-/.'_][A-Za-z]?[a-z]+)*$")
-
-
-def seed_label(name: str, value: str, before: str) -> int | None:
-    """1 or 0 where a finding's form proves it, else None."""
-    if _HARMLESS.match(value):
-        return 0
-    if _PROVIDER.match(value):
-        return 1
-    if _PLAIN.match(value) and not name and not before.endswith(("=", ":")):
-        return 0
-    near = f"{name} {before}".lower()
-    if _RANDOM.match(value) and any(c.isdigit() for c in value) and any(x in near for x in NAMES):
-        return 1
-    return None
 
 
 def word_counts(spark: SparkSession, docs: DataFrame) -> tuple[list[str], np.ndarray]:
@@ -159,17 +148,19 @@ class Measures:
             sum(a != b for a, b in zip(kind[:-1], kind[1:], strict=True)) / n,
             sum(c in "0123456789abcdef" for c in low) / n,
             -sum(k / n * log2(k / n) for k in count.values()),
+            len(count) / n,
             float(np.mean(self.pairs[at[:-1], at[1:]])) if len(at) > 1 else 0.0,
             self.coverage(low),
         ]
 
     def features(self, value: str, name: str, before: str, after: str, path: str) -> list[float]:
-        near = f"{name} {before}".lower()
+        near = f" {before} {name}".lower()
+        ending = path.rpartition(".")[2].lower() if "." in path else ""
         return [
             *self.shape(value),
-            float(any(x in near for x in NAMES)), float(bool(name)), float(before.endswith(("=", ":"))),
+            float(any(x in near for x in CREDENTIALS)), float(any(x in near for x in HARMLESS)), float(bool(name) or near.endswith(("=", ":"))),
             float(len(before)), float(len(after)), float(sum(c.isdigit() for c in before + after)),
-            float(path.count("/")), float(int.from_bytes(path.encode()[-4:], "big") % 64), float("." in path),
+            float(path.count("/")), float(bool(ending)), float(ending in SETTINGS),
         ]
 
 
@@ -191,9 +182,16 @@ def pieces(raw: str) -> list[tuple[int, int]]:
     return sorted(out)
 
 
-def candidates(spark: SparkSession, docs: DataFrame, path: str = "source") -> DataFrame:
-    """Rows of CANDIDATE; start and end are places in the UTF-8 text."""
-    shared = spark.sparkContext.broadcast(Measures(*word_counts(spark, docs)))
+def measured(spark: SparkSession, docs: DataFrame):
+    """The corpus's word tables, as a broadcast: at most RARE words and 729 counts."""
+    with scratch(spark):
+        return spark.sparkContext.broadcast(Measures(*word_counts(spark, docs)))
+
+
+def candidates(spark: SparkSession, docs: DataFrame, path: str = "source", shared=None) -> DataFrame:
+    """Rows of CANDIDATE; start and end are places in the UTF-8 text.  Measures are those of docs, if
+    not given."""
+    shared = shared or measured(spark, docs)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         measures = shared.value
@@ -216,33 +214,50 @@ def candidates(spark: SparkSession, docs: DataFrame, path: str = "source") -> Da
                     for a, b in spans:
                         m = _NAME.search(raw[max(0, a - 64) : a])
                         name, sign, value = m[1] if m else "", m[2] if m else "", raw[a:b]
-                        out.append((ids[lo + r], place, at + a, at + b, value, f"{before} {name}{sign}".strip(), after, seed_label(name, value, before), measures.features(value, name, before, after, place)))
+                        out.append((ids[lo + r], place, at + a, at + b, value, f"{before} {name}{sign}".strip(), after, measures.features(value, name, before, after, place)))
                 if out:
-                    types = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.list_(pa.float64()))
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=["doc_id", "path", "start", "end", "value", "before", "after", "label", "features"])
+                    types = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.list_(pa.float64()))
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=["doc_id", "path", "start", "end", "value", "before", "after", "features"])
+
+    where = F.col(path).cast("string") if path in docs.columns else F.lit("")
+    return docs.select("doc_id", where.alias("path"), "text").mapInArrow(work, CANDIDATE)
+
 
-    return docs.select("doc_id", F.col(path).cast("string").alias("path"), "text").mapInArrow(work, CANDIDATE)
+def labelled_findings(spark: SparkSession, shared) -> DataFrame:
+    """Candidates of the documents made by rule, with label 1 where the value is a secret of its document;
+    those that only share text with one have no label."""
+    made = made_findings.documents(spark)
+    found = candidates(spark, made, "path", shared).join(made.select("doc_id", "secrets"), "doc_id")
+    label = F.expr("case when array_contains(secrets, value) then 1 when not exists(secrets, s -> contains(s, value) or contains(value, s)) then 0 end")
+    return found.withColumn("label", label).drop("secrets")
 
 
 def train(labelled: DataFrame, seed: int = 5):
     """A forest from labelled findings (features, label); None if they hold fewer than two labels,
-    with the label that there is."""
+    with the label that there is.  Each label has its part of at most SAMPLE rows, chosen by hash."""
     labelled = labelled.where("label is not null")
-    counts = {r.label: r["count"] for r in labelled.groupBy("label").count().collect()}
-    if len(counts) < 2:
-        return None, float(next(iter(counts), 0))
-    # each label has its part of the sample, or plain words would leave no room for secrets
-    share = F.coalesce(*[F.when(F.col("label") == y, F.lit(int(min(1.0, SAMPLE / len(counts) / n) * (1 << 30)) + 1)) for y, n in counts.items()])
-    sample = labelled.where(F.pmod(F.xxhash64("value", *[c for c in ("doc_id", "start") if c in labelled.columns]), F.lit(1 << 30)) < share)
-    forest = RandomForestClassifier(numTrees=24, maxDepth=6, seed=seed, featuresCol="vector", labelCol="y")
-    return forest.fit(sample.select(F.col("label").cast("double").alias("y"), array_to_vector("features").alias("vector")).coalesce(4)), 0.0
+    labels = sorted(r.label for r in labelled.select("label").distinct().collect())
+    if len(labels) < 2:
+        return None, float(next(iter(labels), 0))
+    keys = [c for c in ("value", "doc_id", "start") if c in labelled.columns]
+    parts = [labelled.where(F.col("label") == y).orderBy(F.xxhash64(*keys, "features"), "features").limit(SAMPLE // len(labels)).select("label", "features") for y in labels]
+    sample = parts[0]
+    for part in parts[1:]:
+        sample = sample.union(part)
+    # bounded by SAMPLE: one partition, in a set order, or the forest would depend on the partitioning
+    ordered = sample.coalesce(1).sortWithinPartitions("label", "features")
+    forest = RandomForestClassifier(numTrees=32, maxDepth=8, seed=seed, featuresCol="vector", labelCol="y")
+    return forest.fit(ordered.select(F.col("label").cast("double").alias("y"), array_to_vector("features").alias("vector"))), 0.0
 
 
 def findings(spark: SparkSession, docs: DataFrame, path: str = "source", labelled: DataFrame | None = None, threshold: float = 0.5) -> DataFrame:
     """All candidates with their score and whether they are kept: (doc_id, path, start, end, value,
     before, after, score, is_secret)."""
-    found = kept(spark, candidates(spark, docs, path), "candidates")
-    model, only = train(found if labelled is None else labelled)
+    shared = measured(spark, docs)
+    with scratch(spark):
+        known = kept(spark, labelled_findings(spark, shared), "labelled") if labelled is None else labelled
+        model, only = train(known)
+    found = candidates(spark, docs, path, shared)
     if model is None:
         scored = found.withColumn("score", F.lit(only))
     else:
