@@ -103,6 +103,30 @@ def test_ngram_join_with_frequent_tokens(spark):
     assert {r.doc_id: r.component_id for r in got} == want
 
 
+def test_ngram_join_compares_large_buckets_in_blocks(spark, monkeypatch):
+    """Buckets whose stars leave several components: with tiny bounds, all goes through pairs of blocks."""
+    monkeypatch.setattr(ngram_join, "SMALL_BUCKET", 2)
+    monkeypatch.setattr(ngram_join, "BLOCK", 3)
+    monkeypatch.setattr(ngram_join, "STRIP", 2)
+    rnd = random.Random(3)
+    head = [f"h{k}" for k in range(40)]
+    rows = []
+    for g in range(6):  # groups share 60 of 100 words: one bucket, no links between groups
+        base = head * 1 + [f"g{g}x{k}" for k in range(60)]
+        for i in range(6):
+            words = list(base)
+            for _ in range(i % 3):
+                words[rnd.randrange(40, 100)] = f"x{rnd.random()}"
+            rows.append((len(rows), " ".join(words)))
+    called = []
+    real = ngram_join.blocked
+    monkeypatch.setattr(ngram_join, "blocked", lambda large, *rest: called.append(large.count()) or real(large, *rest))
+    got = {r.doc_id: r.component_id for r in ngram_join.join(spark, spark.createDataFrame(rows, "doc_id long, text string"), frequent=2).collect()}
+    sets = {i: {tuple(t.split()[k : k + 3]) for k in range(98)} for i, t in rows}
+    want = groups([(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 90 * len(sets[a] | sets[b])], sets)
+    assert got == want and called[0] > 20 and len(set(want.values())) >= 6
+
+
 def test_signatures_meet():
     """Any two sets over the threshold share a signature, whichever tokens are frequent."""
     rnd = np.random.default_rng(3)
@@ -149,6 +173,18 @@ def test_pretokens_match_on_random_strings():
             assert ids[at[first[i]] : at[first[i + 1]]].tolist() == library.encode(texts[lo + i], add_special_tokens=False).ids
 
 
+def test_long_words_match_the_library():
+    from tokenizers import Tokenizer
+
+    rnd, library, merge = random.Random(4), Tokenizer.from_file(bpe.vocabulary()), bytebpe.merger(bpe.vocabulary())
+    words = ["".join(rnd.choice("abcdefghijklmnopqrstuvwxyzé") for _ in range(n)) for n in (255, 256, 300, 5000)] + ["a" * 10_000, "ab" * 7001, "the" * 3000]
+    raw = [w.encode() for w in ["short", *words, "x"]]
+    ends = np.cumsum([len(x) for x in raw])
+    ids, first = merge.encode(np.frombuffer(b"".join(raw), np.uint8), ends - [len(x) for x in raw], ends)
+    for w, a, b in zip(raw, first[:-1], first[1:], strict=True):
+        assert ids[a:b].tolist() == library.encode(w.decode(), add_special_tokens=False).ids
+
+
 def test_lexicon_is_minimal_and_exact(tmp_path):
     words = sorted({b"tap", b"taps", b"top", b"tops", b"stops", b"stop", b"x", "é".encode()})
     made = lexicon.compile_words(words)
@@ -510,6 +546,37 @@ def test_quality(spark, none):
     assert quality.resample(spark, none, target, 0.5).count() == 0
 
 
+def test_quality_weights_by_brute_force(spark):
+    """Ratios and weights recomputed gram by gram from the hashes of words and pairs."""
+    import pyarrow as pa
+
+    rnd = random.Random(10)
+    rows = [(i, " ".join(rnd.choice("ab cd ef gh ij kl".split()) for _ in range(rnd.randint(0, 12)))) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    chosen = {i for i, _ in rows if i % 3 == 0}
+    ratio = quality.fit(docs, spark.createDataFrame([(i,) for i in chosen], "doc_id long"))
+
+    def buckets(text):  # one gram at a time
+        words = text.split()
+        out = []
+        for gram in [*words, *zip(words, words[1:], strict=False)]:
+            one = next(iter(quality._grams(pa.array([gram if isinstance(gram, str) else " ".join(gram)]))))[2].tolist()
+            out.append(one[-1])  # of a pair, what isn't its words
+        return out
+
+    raw, own = Counter(), Counter()
+    for i, t in rows:
+        raw.update(buckets(t))
+        own.update(buckets(t) if i in chosen else [])
+    share = sum(own.values()) / sum(raw.values())
+    want = {b: math.log((own[b] + 1) / (raw[b] * share + 1)) for b in raw}
+    assert {b: ratio[b] for b in raw} == pytest.approx(want) and (ratio != 0).sum() <= len(raw)
+    got = {r.doc_id: (r.n_grams, r.log_weight) for r in quality.weigh(spark, docs, ratio).collect()}
+    for i, t in rows:
+        b = buckets(t)
+        assert got[i][0] == len(b) and got[i][1] == pytest.approx(sum(want[x] for x in b), abs=1e-9)
+
+
 def test_largest_with_ties(spark, monkeypatch):
     from pyspark.sql import functions as F
 

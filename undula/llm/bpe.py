@@ -9,7 +9,9 @@
 The lexicon only decides how ids are found, never which: any lexicon gives the same ids.
 
 Defined cases: a null text is encoded as an empty one, to no ids; the special token's text becomes
-its id, as in the tokenizers library; further columns are ignored; empty tables give empty tables.
+its id, as in the tokenizers library; texts and words of any length are encoded whole, a word in time
+of its length times its logarithm; rows that share a doc_id are encoded each; further columns are ignored;
+empty tables give empty tables.
 """
 
 from __future__ import annotations

@@ -3,13 +3,15 @@
 `pretokens` cuts text as the vocabulary's pattern does
     's|'t|'re|'ve|'m|'ll|'d| ?\\p{L}+| ?\\p{N}+| ?[^\\s\\p{L}\\p{N}]+|\\s+(?!\\S)|\\s+
 but as array operations over a slice of documents; `Merger` applies the merges to all distinct words
-of a slice in step, always the pair of lowest rank in each word.
+of a slice in step, always the pair of lowest rank in each word.  Words over LONG bytes, whose steps
+would be many, are merged one by one from a heap of their pairs.
 """
 
 from __future__ import annotations
 
 import json
 from functools import cache
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 
@@ -18,6 +20,7 @@ SPECIAL = b"<|endoftext|>"
 # Code points with the White_Space property.
 WHITE_SPACE = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 OTHER, LETTER, NUMBER, SPACE = range(4)
+LONG = 256
 
 
 @cache
@@ -160,8 +163,32 @@ class Merger:
         left = np.array([vocab[a] for a, _ in merges], np.uint64)
         right = np.array([vocab[b] for _, b in merges], np.uint64)
         self.merged = np.array([vocab[a + b] for a, b in merges], np.int32)
+        self.rank_of = {int(a) << 32 | int(b): k for k, (a, b) in enumerate(zip(left.tolist(), right.tolist(), strict=True))}
         self.rank = StaticMap(left << np.uint64(32) | right, np.arange(len(merges)), 18)
 
+    def merge_long(self, ids: list[int]) -> list[int]:
+        """The merges of one word in order of rank and place, whatever its length."""
+        n, rank = len(ids), self.rank_of
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        heap = [r * n + i for i, (a, b) in enumerate(zip(ids[:-1], ids[1:], strict=True)) if (r := rank.get(a << 32 | b)) is not None]
+        heapify(heap)
+        while heap:
+            r, i = divmod(heappop(heap), n)
+            j = after[i]
+            # places merged meanwhile hold -1, or another pair
+            if ids[i] < 0 or j >= n or rank.get(ids[i] << 32 | ids[j]) != r:
+                continue
+            ids[i], ids[j] = int(self.merged[r]), -1
+            k = after[i] = after[j]
+            if k < n:
+                before[k] = i
+                if (new := rank.get(ids[i] << 32 | ids[k])) is not None:
+                    heappush(heap, new * n + i)
+            h = before[i]
+            if h >= 0 and (new := rank.get(ids[h] << 32 | ids[i])) is not None:
+                heappush(heap, new * n + h)
+        return [x for x in ids if x >= 0]
+
     def encode(self, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids, first): the ids of each byte range, first[i] to first[i + 1]."""
         lens = ends - starts
@@ -178,6 +205,15 @@ class Merger:
                     ids, word = ids[keep], word[keep]
         done_ids, done_word = [], []
         none = np.int32(1 << 30)
+        long = np.flatnonzero(lens > LONG)
+        if len(long):
+            edge = np.searchsorted(word, np.append(long, long + 1)).reshape(2, -1)
+            for w, lo, hi in zip(long.tolist(), *edge.tolist(), strict=True):
+                got = self.merge_long(ids[lo:hi].tolist())
+                done_ids.append(np.array(got, np.int32))
+                done_word.append(np.full(len(got), w))
+            rest = ~np.isin(word, long)
+            ids, word = ids[rest], word[rest]
         while len(ids):
             rank = np.full(len(ids), none, np.int32)
             inside = np.flatnonzero(word[1:] == word[:-1])

@@ -72,7 +72,8 @@ def _plain(rnd: random.Random) -> str:
         return _some(rnd, string.digits, 12, 19)
     if kind == 8:
         return f"{rnd.randint(1990, 2030)}-{rnd.randint(10, 12)}-{rnd.randint(10, 28)}T{rnd.randint(10, 23)}:{rnd.randint(10, 59)}:00Z"
-    return "".join(words) + words[0] + words[-1]
+    joined = "".join(words) + words[0] + words[-1]
+    return joined.upper() if rnd.random() < 0.3 else joined
 
 
 def _settled(rnd: random.Random, name: str, value: str) -> str:
