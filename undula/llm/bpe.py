@@ -32,7 +32,7 @@ from . import bytebpe, lexicon, textops
 
 #: Words a task hands on, and words of the lexicon.
 LISTED, LEXICON = 1 << 14, 1 << 16
-SLICE = 4 << 20
+SLICE = 2 << 20
 
 
 def vocabulary() -> str:
@@ -66,8 +66,8 @@ def frequent_words(docs: DataFrame) -> list[bytes]:
                 for a, b, n in zip(starts[again].tolist(), ends[again].tolist(), times[again].tolist(), strict=True):
                     word = raw[a:b]
                     total[word] = total.get(word, 0) + n
-            if len(total) > 64 * LISTED:
-                total = dict(sorted(total.items(), key=lambda x: -x[1])[: 16 * LISTED])
+            if len(total) > 16 * LISTED:
+                total = dict(sorted(total.items(), key=lambda x: -x[1])[: 4 * LISTED])
         best = sorted(total.items(), key=lambda x: (-x[1], x[0]))[:LISTED]
         yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in best], pa.binary()), pa.array([n for _, n in best], pa.int64())], names=["word", "n"])
 

@@ -133,7 +133,7 @@ class Measures:
         got = self.shapes.get(value)
         if got is None:
             got = self._shape(value)
-            if len(value) <= 64 and len(self.shapes) < 200_000:
+            if len(value) <= 64 and len(self.shapes) < 50_000:
                 self.shapes[value] = got
         return got
 
@@ -218,6 +218,7 @@ def candidates(spark: SparkSession, docs: DataFrame, path: str = "source", share
                 if out:
                     types = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.list_(pa.float64()))
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=["doc_id", "path", "start", "end", "value", "before", "after", "features"])
+        measures.shapes.clear()  # workers outlive tasks
 
     where = F.col(path).cast("string") if path in docs.columns else F.lit("")
     return docs.select("doc_id", where.alias("path"), "text").mapInArrow(work, CANDIDATE)
@@ -226,7 +227,7 @@ def candidates(spark: SparkSession, docs: DataFrame, path: str = "source", share
 def labelled_findings(spark: SparkSession, shared) -> DataFrame:
     """Candidates of the documents made by rule, with label 1 where the value is a secret of its document;
     those that only share text with one have no label."""
-    made = made_findings.documents(spark)
+    made = kept(spark, made_findings.documents(spark), "made")
     found = candidates(spark, made, "path", shared).join(made.select("doc_id", "secrets"), "doc_id")
     label = F.expr("case when array_contains(secrets, value) then 1 when not exists(secrets, s -> contains(s, value) or contains(value, s)) then 0 end")
     return found.withColumn("label", label).drop("secrets")

@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 #: `[\x20\x09-\x0D]` separates words.
 SPACE_WORD = np.ones(256, bool)

@@ -15,8 +15,9 @@ of their weights.
 The character model counts the words of every whole text.  The regression reads a bounded sample of
 labelled rows (SAMPLE, chosen by hash over all of them); scoring reads every whole text.
 
-Defined cases: null and empty texts have no features and get the score of the intercept; null labels
-aren't used; if the training rows hold one label only, every score is that label's share; further
+Defined cases: null and empty texts have no features and get the score of the intercept; texts of any
+length are scored whole; null labels aren't used; a document with several labels teaches each of them;
+rows that share a doc_id are scored each; if the training rows hold one label only, every score is that label's share; further
 columns are ignored; an empty table gives an empty table.
 """
 
@@ -92,7 +93,7 @@ class CharModel:
     def step(self, a: str, b: str, c: str) -> float:
         got = self.steps.get((a, b, c))
         if got is None:
-            if len(self.steps) > 1_000_000:
+            if len(self.steps) > 200_000:
                 self.steps.clear()
             got = self.steps[a, b, c] = self._step(_pack(a, b, c))
         return got
@@ -113,6 +114,11 @@ class CharModel:
             got = self.tensors[letters] = (cost[:, :, :-1], cost[:, :, -1])
         return got
 
+    def forget(self) -> None:
+        """Drops what a task has remembered; workers outlive tasks."""
+        self.steps.clear()
+        self.tensors.clear()
+
     def _step(self, gram: int) -> float:
         for known, cost, key in ((self.grams, self.cost, gram), (self.pairs, self.other, gram >> 21)):
             i = int(np.searchsorted(known, key))
@@ -265,17 +271,18 @@ def _restore_masked(token: str, model: CharModel) -> str | None:
     return "".join(reversed(out))
 
 
-def _characters(buf: np.ndarray) -> np.ndarray:
-    """Where the UTF-8 characters start, and the end."""
-    return np.append(np.flatnonzero((buf & 0xC0) != 0x80), len(buf))
+def _characters(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(where the UTF-8 characters start, and the end; how many start before each byte, and the end)."""
+    starts = (buf & 0xC0) != 0x80
+    return np.append(np.flatnonzero(starts), len(buf)), np.concatenate([np.zeros(1, np.int32), np.cumsum(starts, dtype=np.int32)])
 
 
-def _suspicious(buf: np.ndarray, places: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+def _suspicious(buf: np.ndarray, places: np.ndarray, number: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Words (edges cut) with a look-alike among letters, or a letter three times in a row."""
     out = np.zeros(len(starts), bool)
     if not len(starts):
         return out
-    looks, letters = (np.concatenate([[0], np.cumsum(x[buf])]) for x in (LOOKALIKE, LETTER))
+    looks, letters = (np.concatenate([np.zeros(1, np.int32), np.cumsum(x[buf], dtype=np.int32)]) for x in (LOOKALIKE, LETTER))
     # characters as numbers of their bytes
     code, size = textops.LOWER[buf[places[:-1]]].astype(np.uint32), np.diff(places)
     for k in range(1, 4):
@@ -285,7 +292,7 @@ def _suspicious(buf: np.ndarray, places: np.ndarray, starts: np.ndarray, ends: n
     triple = np.zeros(len(code) + 1, np.int64)
     if len(code) > 2:
         triple[3:] = np.cumsum((code[2:] == code[1:-1]) & (code[1:-1] == code[:-2]) & LETTER[buf[places[2:-1]]])
-    i, j = np.searchsorted(places, starts), np.searchsorted(places, ends)
+    i, j = number[starts], number[ends]
     signs = (looks[ends] > looks[starts]) | ((wide[j] > wide[i]) & (j - i > 1))
     return (signs & (letters[ends] > letters[starts])) | (triple[j] > triple[np.minimum(i + 2, j)])
 
@@ -294,7 +301,7 @@ def _joined(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray
     """Words (edges cut) with points, dashes or slashes inside."""
     sign = np.zeros(256, bool)
     sign[[ord(c) for c in ".-/"]] = True
-    signs, letters = (np.concatenate([[0], np.cumsum(x[buf])]) for x in (sign, LETTER))
+    signs, letters = (np.concatenate([np.zeros(1, np.int32), np.cumsum(x[buf], dtype=np.int32)]) for x in (sign, LETTER))
     return (signs[ends] > signs[starts]) & (letters[ends] > letters[starts])
 
 
@@ -308,7 +315,7 @@ class Features:
     def _known(self, key, make):
         got = self.restored.get(key)
         if got is None:
-            if len(self.restored) > 200_000:
+            if len(self.restored) > 50_000:
                 self.restored.clear()
             got = make()
             if len(key) <= 256:
@@ -342,7 +349,7 @@ class Features:
         starts, ends, row = a[whole], b[whole], row[whole]
         h, at, back = np.unique(textops.hashes(buf, starts, ends, lower=True), return_index=True, return_inverse=True)
         word_start, word_end = starts[at], ends[at]
-        places = _characters(buf)
+        places, number = _characters(buf)
         extra: dict[bytes, int] = {}
         extra_rows, extra_which = [none], [none]
 
@@ -352,7 +359,7 @@ class Features:
                 extra_which.append(np.full(len(rows), len(h) + extra.setdefault(w, len(extra)), np.int64))
 
         # letters apart by spaces: runs of three or more one-letter words
-        one = np.searchsorted(places, ends) - np.searchsorted(places, starts) == 1
+        one = number[ends] - number[starts] == 1
         single = np.flatnonzero(one & (LETTER[buf[starts]] | LOOKALIKE[buf[starts]]))
         if len(single):
             cut = np.flatnonzero((np.diff(single) > 1) | (np.diff(row[single]) > 0)) + 1
@@ -370,7 +377,7 @@ class Features:
                 chunks = tuple(c for c in GAP.split(buf[word_start[w] : word_end[w]].tobytes().decode("utf-8", "replace")) if c)
                 if len(chunks) > 1:
                     add(row[order[x:y]], self.words(chunks))
-        odd = np.flatnonzero(_suspicious(buf, places, word_start, word_end))
+        odd = np.flatnonzero(_suspicious(buf, places, number, word_start, word_end))
         changed = [self.word(buf[x:y].tobytes()) for x, y in zip(word_start[odd], word_end[odd], strict=True)]
         # restored words replace the observed ones
         plain = np.ones(len(h), bool)
@@ -391,8 +398,8 @@ class Features:
 
     @staticmethod
     def _slots(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        places = _characters(buf)
-        at = np.searchsorted(places, starts)
+        places, number = _characters(buf)
+        at = number[starts]
         parts = [textops.hashes(buf, starts, ends, lower=True)]
         parts += [textops.mix(textops.hashes(buf, starts, np.minimum(ends, places[np.minimum(at + k, len(places) - 1)]), lower=True) + np.uint64(k)) for k in PREFIXES]
         return np.stack([(p >> np.uint64(64 - FEATURE_BITS)).astype(np.int64) for p in parts], 1)
@@ -471,6 +478,7 @@ def train(docs: DataFrame, labels: DataFrame, seed: int = 11) -> Model:
                 first = pa.array(np.searchsorted(pair >> 32, np.arange(hi - lo + 1)), pa.int32())
                 lists = [pa.ListArray.from_arrays(first, pa.array(x, t)) for x, t in ((pair & 0xFFFFFFFF, pa.int32()), (times, pa.float64()))]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), *lists], names=["label", "slots", "times"])
+        chars.forget()
 
     spark = docs.sparkSession
     with scratch(spark):
@@ -520,6 +528,7 @@ def score(spark: SparkSession, docs: DataFrame, model: Model, name: str = "score
                 parts.append(np.bincount(pair >> 32, weight[pair & 0xFFFFFFFF], len(offsets) - 1))
             z = np.clip(np.concatenate([*parts, np.zeros(0)]) + model.intercept, -500, 500)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(1 / (1 + np.exp(-z)))], names=[*batch.schema.names, name])
+        model.chars.forget()
 
     return docs.mapInArrow(work, T.StructType([*docs.schema, T.StructField(name, T.DoubleType())]))
 
