@@ -61,7 +61,7 @@ def build(spark: SparkSession, rows: DataFrame, bits: int) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array([segment], pa.int32()), pa.array([np.packbits(bitmap, bitorder="little").tobytes()], pa.binary())], schema=_ARROW)
 
     out = np.zeros(1 << (bits - 3), np.uint8)
-    for row in rows.repartition("segment").mapInArrow(fold, SCHEMA).toLocalIterator():
+    for row in rows.repartition("segment").mapInArrow(textops.tidied(fold), SCHEMA).toLocalIterator():
         at = row.segment << (per - 3)
         out[at : at + (1 << (per - 3))] = np.frombuffer(row.places, np.uint8)
     return out
@@ -78,7 +78,7 @@ def marks(spark: SparkSession, ids: DataFrame, bits: int) -> np.ndarray:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return places((textops.mix(b.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)) for b in batches), bits)
 
-    return build(spark, ids.mapInArrow(work, SCHEMA), bits)
+    return build(spark, ids.mapInArrow(textops.tidied(work), SCHEMA), bits)
 
 
 def split(spark: SparkSession, df: DataFrame, key: str, bitmap: np.ndarray, bits: int) -> tuple[DataFrame, DataFrame]:
@@ -94,7 +94,7 @@ def split(spark: SparkSession, df: DataFrame, key: str, bitmap: np.ndarray, bits
                 held = has(shared.value, textops.mix(ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)), bits)
                 yield batch.filter(pa.array((held & ids.is_valid().to_numpy(zero_copy_only=False)) == wanted))
 
-        return df.mapInArrow(work, df.schema)
+        return df.mapInArrow(textops.tidied(work), df.schema)
 
     return half(False), half(True)
 

@@ -32,7 +32,7 @@ from . import bytebpe, lexicon, textops
 
 #: Words a task hands on, and words of the lexicon.
 LISTED, LEXICON = 1 << 14, 1 << 16
-SLICE = 2 << 20
+SLICE = 1 << 20
 
 
 def vocabulary() -> str:
@@ -71,7 +71,7 @@ def frequent_words(docs: DataFrame) -> list[bytes]:
         best = sorted(total.items(), key=lambda x: (-x[1], x[0]))[:LISTED]
         yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in best], pa.binary()), pa.array([n for _, n in best], pa.int64())], names=["word", "n"])
 
-    top = docs.select("text").mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(LEXICON)
+    top = docs.select("text").mapInArrow(textops.tidied(count), "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(LEXICON)
     return [bytes(r.word) for r in top.select("word").collect()]
 
 
@@ -122,7 +122,7 @@ def encode(spark: SparkSession, docs: DataFrame, path: str | None = None) -> Dat
                 raw = ids.astype("<u4").tobytes()
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array([raw[4 * a : 4 * b] for a, b in zip(first[:-1], first[1:], strict=True)], pa.binary())], names=["doc_id", "ids"])
 
-    return docs.select("doc_id", "text").mapInArrow(work, "doc_id long, ids binary")
+    return docs.select("doc_id", "text").mapInArrow(textops.tidied(work), "doc_id long, ids binary")
 
 
 def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
@@ -139,4 +139,4 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
                 text = merge.decode(np.concatenate([*rows, np.zeros(0, "<u4")]).astype(np.int64), first)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([x.decode() for x in text], pa.string())], names=["doc_id", "ids", "text"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(work, "doc_id long, ids binary, text string")
+    return encoded.select("doc_id", "ids").mapInArrow(textops.tidied(work), "doc_id long, ids binary, text string")

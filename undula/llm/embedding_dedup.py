@@ -133,7 +133,7 @@ def _linked(spark: SparkSession, classes: DataFrame, centre: np.ndarray, cosine:
 
     kind = classes.schema["vector"].dataType.simpleString()
     label = classes.schema["label"].dataType.simpleString()
-    dealt = kept(spark, classes.select("id", "vector", "size", "label").mapInArrow(assign, f"id long, vector {kind}, size long, label {label}, cell int, own int, cells array<int>"), "cells")
+    dealt = kept(spark, classes.select("id", "vector", "size", "label").mapInArrow(textops.tidied(assign), f"id long, vector {kind}, size long, label {label}, cell int, own int, cells array<int>"), "cells")
     blocks = kept(spark, dealt.groupBy("label", "cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")), "blocks")
     block = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
     placed = dealt.join(blocks, ["label", "cell"]).withColumn("block", block).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))

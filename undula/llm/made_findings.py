@@ -17,6 +17,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from . import textops
+
 #: Documents made: a bound on what the forest learns from.
 DOCUMENTS = 8_000
 
@@ -111,4 +113,4 @@ def documents(spark: SparkSession, n: int = DOCUMENTS, seed: int = 17) -> DataFr
             texts, paths, secrets = zip(*[document(k, seed) for k in ids], strict=True) if ids else ((), (), ())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), pa.array(paths, pa.string()), pa.array(secrets, pa.list_(pa.string()))], names=["doc_id", "text", "path", "secrets"])
 
-    return spark.range(0, n, 1, 4).mapInArrow(work, "doc_id long, text string, path string, secrets array<string>")
+    return spark.range(0, n, 1, 4).mapInArrow(textops.tidied(work), "doc_id long, text string, path string, secrets array<string>")

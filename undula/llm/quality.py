@@ -65,7 +65,7 @@ def fit(docs: DataFrame, target: DataFrame) -> np.ndarray:
 
     raw, own = np.zeros(1 << BITS), np.zeros(1 << BITS)
     # one row for each of 2 ** BITS buckets
-    for r in marked.mapInArrow(count, "bucket int, raw long, own long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("own").alias("own")).collect():
+    for r in marked.mapInArrow(textops.tidied(count), "bucket int, raw long, own long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("own").alias("own")).collect():
         raw[r.bucket], own[r.bucket] = r.raw, r.own
     if not own.sum():
         return np.zeros(1 << BITS)
@@ -82,7 +82,7 @@ def weigh(spark: SparkSession, docs: DataFrame, log_ratio: np.ndarray) -> DataFr
                 total = np.concatenate([[0.0], np.cumsum(shared.value[buckets])])
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(np.diff(first)), pa.array(total[first[1:]] - total[first[:-1]])], names=["doc_id", "n_grams", "log_weight"])
 
-    return docs.select("doc_id", "text").mapInArrow(work, "doc_id long, n_grams long, log_weight double")
+    return docs.select("doc_id", "text").mapInArrow(textops.tidied(work), "doc_id long, n_grams long, log_weight double")
 
 
 def kth_largest(df: DataFrame, key: Column, k: int):

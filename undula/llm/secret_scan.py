@@ -94,7 +94,7 @@ def word_counts(spark: SparkSession, docs: DataFrame) -> tuple[list[str], np.nda
                     total.clear()
         yield hand_on()
 
-    counted = docs.select("text").mapInArrow(count, "word string, pair int, n long").groupBy("word", "pair").agg(F.sum("n").alias("n"))
+    counted = docs.select("text").mapInArrow(textops.tidied(count), "word string, pair int, n long").groupBy("word", "pair").agg(F.sum("n").alias("n"))
     counted = kept(spark, counted, "words")
     pairs = np.zeros(27 * 27, np.int64)
     for r in counted.where("word is null").collect():  # 729 rows
@@ -221,7 +221,7 @@ def candidates(spark: SparkSession, docs: DataFrame, path: str = "source", share
         measures.shapes.clear()  # workers outlive tasks
 
     where = F.col(path).cast("string") if path in docs.columns else F.lit("")
-    return docs.select("doc_id", where.alias("path"), "text").mapInArrow(work, CANDIDATE)
+    return docs.select("doc_id", where.alias("path"), "text").mapInArrow(textops.tidied(work), CANDIDATE)
 
 
 def labelled_findings(spark: SparkSession, shared) -> DataFrame:
@@ -294,4 +294,4 @@ def redact(docs: DataFrame, secrets: DataFrame, mark: str = "[SECRET]") -> DataF
             columns = [column if i == text else batch.column(i) for i in range(len(schema))]
             yield pa.RecordBatch.from_arrays(columns, names=schema.fieldNames())
 
-    return docs.join(spans, "doc_id", "left").select(*schema.fieldNames(), own).mapInArrow(work, schema).select(*docs.columns)
+    return docs.join(spans, "doc_id", "left").select(*schema.fieldNames(), own).mapInArrow(textops.tidied(work), schema).select(*docs.columns)

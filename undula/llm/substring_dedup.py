@@ -79,7 +79,7 @@ def repeated_runs(spark: SparkSession, docs: DataFrame, window: int = 20, filter
 
         return bitfilter.places(blocks(), bits)
 
-    indexed = spark.sparkContext.broadcast(bitfilter.build(spark, docs.mapInArrow(index, bitfilter.SCHEMA), bits))
+    indexed = spark.sparkContext.broadcast(bitfilter.build(spark, docs.mapInArrow(textops.tidied(index), bitfilter.SCHEMA), bits))
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -93,12 +93,12 @@ def repeated_runs(spark: SparkSession, docs: DataFrame, window: int = 20, filter
                 anchor[back[whole]] = True
                 yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(np.minimum(n, 2).astype(np.int8)), pa.array(anchor)], names=["h", "n", "anchor"])
 
-    hits = docs.mapInArrow(probe, "h long, n byte, anchor boolean").groupBy("h").agg(F.sum("n").alias("n"), F.max("anchor").alias("anchor")).where("n > 1 and anchor").select("h")
+    hits = docs.mapInArrow(textops.tidied(probe), "h long, n byte, anchor boolean").groupBy("h").agg(F.sum("n").alias("n"), F.max("anchor").alias("anchor")).where("n > 1 and anchor").select("h")
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return bitfilter.places((b.column(0).to_numpy(zero_copy_only=False).view(np.uint64) for b in batches), bits)
 
-    anchors = spark.sparkContext.broadcast(bitfilter.build(spark, hits.mapInArrow(hashed, bitfilter.SCHEMA), bits))
+    anchors = spark.sparkContext.broadcast(bitfilter.build(spark, hits.mapInArrow(textops.tidied(hashed), bitfilter.SCHEMA), bits))
 
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
@@ -127,7 +127,7 @@ def repeated_runs(spark: SparkSession, docs: DataFrame, window: int = 20, filter
         if held:
             yield from flush()
 
-    found = docs.mapInArrow(extend, "h long, doc_id long, at int, runs binary")
+    found = docs.mapInArrow(textops.tidied(extend), "h long, doc_id long, at int, runs binary")
     # What a task settled by itself travels with its windows, under a hash of the document.
     order = Window.partitionBy("h").orderBy(F.col("at").isNull(), "doc_id", "at")
     late = found.withColumn("place", F.row_number().over(order)).where("at is null or place > 1")
@@ -165,4 +165,4 @@ def dedup_substrings(spark: SparkSession, docs: DataFrame, window: int = 20, fil
                 n = np.diff(first)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(n), pa.array(n - np.diff(row_first)), pa.array(texts, pa.string())], names=["doc_id", "n_words", "n_removed", "text"])
 
-    return both.mapInArrow(cut, "doc_id long, n_words long, n_removed long, text string")
+    return both.mapInArrow(textops.tidied(cut), "doc_id long, n_words long, n_removed long, text string")

@@ -8,6 +8,10 @@ about Spark; the operators decide how work is partitioned and shuffled.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -32,6 +36,19 @@ _BYTE_LOWER = _BYTE[LOWER]
 _power = np.ones(1, np.uint64)
 
 
+def tidied(work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """work, and after it the task's freed memory goes back to the system: Python workers are kept for
+    later tasks, and what they hold back counts for all of them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from work(batches)
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # only where the C library can
+            ctypes.CDLL(None).malloc_trim(0)
+
+    return run
+
+
 def powers(n: int, base: np.uint64 = _BASE) -> np.ndarray:
     """base ** 0 .. base ** (n - 1) modulo 2 ** 64."""
     global _power
@@ -99,9 +116,13 @@ def hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool =
         return np.zeros(0, np.uint64)
     lens = ends - starts
     first = np.cumsum(lens) - lens
-    at = np.arange(first[-1] + lens[-1]) - np.repeat(first, lens)  # place within its range
-    inside = at + np.repeat(starts, lens)
-    value = (_BYTE_LOWER if lower else _BYTE)[buf[inside]] * powers(int(lens.max()))[at]
+    total = int(first[-1] + lens[-1])
+    small = np.int32 if max(total, len(buf)) < 1 << 31 else np.int64
+    at = np.arange(total, dtype=small)
+    at -= np.repeat(first.astype(small), lens)  # place within its range
+    value = powers(int(lens.max()))[at]
+    at += np.repeat(starts.astype(small), lens)
+    value *= (_BYTE_LOWER if lower else _BYTE)[buf[at]]
     return mix(np.add.reduceat(value, first) + lens.astype(np.uint64))
 
 

@@ -199,7 +199,7 @@ def write(spark: SparkSession, docs: DataFrame, path: str | None = None) -> Data
             out.close()
             yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([first_doc], pa.int64()), pa.array([tokens], pa.int64()), pa.array([places], pa.list_(pa.struct([("start", pa.int64()), ("size", pa.int64()), ("before", pa.int64())])))], names=["file", "first_doc", "tokens", "places"])
 
-    return kept(spark, ordered.mapInArrow(work, "file string, first_doc long, tokens long, places array<struct<start: long, size: long, before: long>>"), "manifest")
+    return kept(spark, ordered.mapInArrow(textops.tidied(work), "file string, first_doc long, tokens long, places array<struct<start: long, size: long, before: long>>"), "manifest")
 
 
 def shards(manifest: DataFrame) -> DataFrame:
@@ -226,4 +226,4 @@ def read(manifest: DataFrame) -> DataFrame:
 
     # an explicit number of partitions: rows are few and small, what they name is not
     at_once = int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return shards(manifest).repartition(at_once, "file", "start").mapInArrow(work, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return shards(manifest).repartition(at_once, "file", "start").mapInArrow(textops.tidied(work), "doc_id long, start long, n_tokens long, ids_crc32 long")

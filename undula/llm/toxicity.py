@@ -444,7 +444,7 @@ def char_model(texts: DataFrame) -> CharModel:
                     words.clear()
         yield hand_on()
 
-    rows = texts.select("text").mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).toArrow()
+    rows = texts.select("text").mapInArrow(textops.tidied(count), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).toArrow()
     return CharModel((rows["gram"].to_numpy(), rows["n"].to_numpy()))
 
 
@@ -483,7 +483,7 @@ def train(docs: DataFrame, labels: DataFrame, seed: int = 11) -> Model:
     spark = docs.sparkSession
     with scratch(spark):
         # Files cut the lineage, so that the regression's many small jobs carry no model along.
-        rows = kept(spark, text.select("label", "text").mapInArrow(features, "label double, slots array<int>, times array<double>"), "features")
+        rows = kept(spark, text.select("label", "text").mapInArrow(textops.tidied(features), "label double, slots array<int>, times array<double>"), "features")
         # features of several positive rows; at most 2 ** FEATURE_BITS
         seen = rows.where("label > 0").select(F.explode("slots").alias("slot")).groupBy("slot").count().where("count > 1").select("slot").toArrow()
         used = np.sort(seen["slot"].to_numpy().astype(np.int64)) if len(seen) else np.zeros(1, np.int64)
@@ -501,7 +501,7 @@ def train(docs: DataFrame, labels: DataFrame, seed: int = 11) -> Model:
                 yield pa.RecordBatch.from_arrays([batch.column(0), vector], names=["label", "features"])
 
         # a sparse vector's stored form, read back as vectors
-        made = rows.mapInArrow(sparse, "label double, features struct<type: tinyint, size: int, indices: array<int>, values: array<double>>")
+        made = rows.mapInArrow(textops.tidied(sparse), "label double, features struct<type: tinyint, size: int, indices: array<int>, values: array<double>>")
         vectors = kept(spark, made, "vectors", schema=T.StructType([T.StructField("label", T.DoubleType()), T.StructField("features", VectorUDT())]))
         fitted = LogisticRegression(maxIter=60, regParam=0.0004, elasticNetParam=1.0, standardization=False).fit(vectors)
     weights = np.zeros(1 << FEATURE_BITS)
@@ -530,7 +530,7 @@ def score(spark: SparkSession, docs: DataFrame, model: Model, name: str = "score
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(1 / (1 + np.exp(-z)))], names=[*batch.schema.names, name])
         model.chars.forget()
 
-    return docs.mapInArrow(work, T.StructType([*docs.schema, T.StructField(name, T.DoubleType())]))
+    return docs.mapInArrow(textops.tidied(work), T.StructType([*docs.schema, T.StructField(name, T.DoubleType())]))
 
 
 def held_out(doc_id: str = "doc_id"):

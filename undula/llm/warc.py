@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bitfilter
+from . import bitfilter, textops
 from ..shared import fresh
 from .shared import kept, open_store, scratch
 
@@ -94,7 +94,7 @@ def _write_all(spark: SparkSession, pages: DataFrame, least: int) -> DataFrame:
         return _write(folder, batches)
 
     schema = "path string, size long, records long"
-    return kept(spark, clear.mapInArrow(work, schema).union(possible.join(decided, "page_id", "left").mapInArrow(work, schema)), "manifest", stays=True)
+    return kept(spark, clear.mapInArrow(textops.tidied(work), schema).union(possible.join(decided, "page_id", "left").mapInArrow(textops.tidied(work), schema)), "manifest", stays=True)
 
 
 def _write(folder: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -178,7 +178,7 @@ def candidates(parts: DataFrame, size: int = RANGE) -> DataFrame:
                 n = len(places)
                 yield pa.RecordBatch.from_arrays([pa.array([path] * n, pa.string()), pa.array([start] * n, pa.int64()), pa.array(places, pa.int64()), pa.array([leaves[p] for p in places], pa.int64())], names=["path", "start", "place", "leaves"])
 
-    return parts.mapInArrow(work, "path string, start long, place long, leaves long")
+    return parts.mapInArrow(textops.tidied(work), "path string, start long, place long, leaves long")
 
 
 def entries(spark: SparkSession, found: DataFrame) -> DataFrame:
@@ -238,4 +238,4 @@ def read(spark: SparkSession, manifest: DataFrame, size: int = RANGE) -> DataFra
                 names = ["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to"]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
 
-    return start.repartition(tasks, "path", "start").mapInArrow(work, RECORD)
+    return start.repartition(tasks, "path", "start").mapInArrow(textops.tidied(work), RECORD)
