@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import argparse
+import time
 from dataclasses import fields, replace
 
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
 from .config import DIALECTS, PRESETS, MagnifyConfig
 from .operators import metrics
@@ -25,6 +27,8 @@ def parser() -> argparse.ArgumentParser:
     for f in fields(MagnifyConfig):
         kind = type(f.default)
         run.add_argument(f"--{f.name}", type=(lambda v: v.lower() in ("1", "true", "yes")) if kind is bool else kind)
+    run.add_argument("--warm_up", type=int, default=0, help="runs that aren't measured")
+    run.add_argument("--runs", type=int, default=1)
     report = sub.add_parser("psnr")
     for name in ("first", "second", "target"):
         report.add_argument(name)
@@ -41,12 +45,30 @@ def main(argv: list[str] | None = None) -> None:
     spark = ship(SparkSession.builder.appName("undula").getOrCreate())
     if args.command == "magnify":
         clip = fr.read_frames(spark, args.source)
-        size = clip.select("h", "w").first()
-        out = magnify(clip, config_of(args), (size.h, size.w))
-        fr.write_images(out, args.target)
+        first = clip.select("h", "w", fr.effective_fps(F.col("fps")).alias("fps")).first()
+        config = config_of(args)
+        if args.fps is None:  # the clip's own rate, unless one is given
+            config = replace(config, fps=first.fps)
+        out = magnify(clip, config, (first.h, first.w))
+        took = []
+        for k in range(args.warm_up + args.runs):
+            began = time.time()
+            if args.target.lower().endswith(".avi"):
+                fr.write_avi(out, args.target, config.fps)
+            else:
+                fr.write_images(out, args.target)
+            if k >= args.warm_up:
+                took.append((time.time() - began,))
+        if args.runs > 1 or args.warm_up:
+            s = metrics.bench_stats(spark.createDataFrame(took, "seconds double"), "seconds").first()
+            print(f"{args.runs} runs: mean {s.mean_v:.3f} s, sd {s.sd_v:.3f} s, CV {s.cv_pct:.1f} %, from {s.min_v:.3f} to {s.max_v:.3f} s")
     else:
-        a, b = (fr.to_pixels(fr.read_frames(spark, p)).drop("video_id") for p in (args.first, args.second))
-        fr.write_report(metrics.psnr_per_frame(metrics.aligned(a, b, ["t", "y", "x", "ch"])), args.target)
+        a, b = (fr.read_frames(spark, p) for p in (args.first, args.second))
+        key = ["video_id", "t", "y", "x", "ch"]
+        if all(x.select("video_id").distinct().count() == 1 for x in (a, b)):  # one clip each, whatever their names
+            a, b = a.withColumn("video_id", F.lit(".")), b.withColumn("video_id", F.lit("."))
+        metrics.same_shapes(a, b)
+        fr.write_report(metrics.psnr_per_frame(metrics.aligned(fr.to_pixels(a), fr.to_pixels(b), key)), args.target)
 
 
 if __name__ == "__main__":

@@ -6,6 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Consecutive frames in a task of a moving average.
+RUN = 4096
+
+
 def psnr(mse: Column) -> Column:
     """Decibels; equal frames are 100."""
     return F.when(mse == 0, F.lit(100.0)).otherwise(20 * F.log10(F.lit(255.0) / F.sqrt(mse)))
@@ -16,9 +20,14 @@ def aligned(a: DataFrame, b: DataFrame, key: list[str]) -> DataFrame:
     return a.join(b.withColumnRenamed("v", "other"), key)
 
 
+def frame_key(df: DataFrame) -> list[str]:
+    """What names a frame: its clip, where the rows have one, and t."""
+    return [c for c in ("video_id", "t") if c in df.columns]
+
+
 def psnr_per_frame(both: DataFrame) -> DataFrame:
-    d = F.col("v") - F.col("other")
-    return both.groupBy("t").agg(F.avg(d * d).alias("mse")).select("t", psnr(F.col("mse")).alias("psnr"))
+    d, key = F.col("v") - F.col("other"), frame_key(both)
+    return both.groupBy(*key).agg(F.avg(d * d).alias("mse")).select(*key, psnr(F.col("mse")).alias("psnr"))
 
 
 def psnr_summary(frames: DataFrame) -> DataFrame:
@@ -28,14 +37,20 @@ def psnr_summary(frames: DataFrame) -> DataFrame:
 
 def lowest(frames: DataFrame, k: int = 10) -> DataFrame:
     """The k worst frames: a top-k, not a sort of all."""
-    return frames.orderBy("psnr", "t").limit(k)
+    return frames.orderBy("psnr", *frame_key(frames)).limit(k)
 
 
 def moving_average(frames: DataFrame, width: int = 10, by: str | None = None) -> DataFrame:
-    """Means of full windows only.  With `by`, one clip to a partition."""
-    w = (Window.partitionBy(by) if by else Window.partitionBy()).orderBy("t").rowsBetween(1 - width, 0)
-    out = frames.withColumn("smooth", F.avg("psnr").over(w)).withColumn("_n", F.count("*").over(w))
-    return out.where(F.col("_n") == width).drop("_n")
+    """Means of full windows only, of consecutive rows by t.  A window job needs a key: rows are dealt
+    into runs of RUN consecutive t, each with the width - 1 rows before it, so that no clip is one task.
+    That needs t without gaps, which holds for frames; `by` names another key to split by as well."""
+    key = [by] if by else [c for c in ("video_id",) if c in frames.columns]
+    block = F.floor(F.col("t") / RUN)
+    # a row also goes to the next run if it is among the last ones before it
+    dealt = frames.withColumn("_run", F.explode(F.array_distinct(F.array(block, F.floor((F.col("t") + width - 1) / RUN)))))
+    w = Window.partitionBy(*key, "_run").orderBy("t").rowsBetween(1 - width, 0)
+    out = dealt.withColumn("smooth", F.avg("psnr").over(w)).withColumn("_n", F.count("*").over(w))
+    return out.where((F.col("_n") == width) & (F.col("_run") == block)).drop("_n", "_run")
 
 
 def histogram(frames: DataFrame, bins: int = 50) -> DataFrame:
@@ -55,7 +70,7 @@ def thresholds(frames: DataFrame, at: tuple[float, ...] = (25.0, 30.0, 35.0)) ->
 
 def diff_stats(both: DataFrame) -> DataFrame:
     d = F.abs(F.col("v") - F.col("other"))
-    return both.groupBy("t").agg(F.max(d).alias("max_diff"), F.avg(d).alias("mean_diff"))
+    return both.groupBy(*frame_key(both)).agg(F.max(d).alias("max_diff"), F.avg(d).alias("mean_diff"))
 
 
 def ssim(both: DataFrame) -> DataFrame:
@@ -64,7 +79,7 @@ def ssim(both: DataFrame) -> DataFrame:
     a, b = F.avg("v"), F.avg("other")
     va, vb, cov = F.var_pop("v"), F.var_pop("other"), F.covar_pop("v", "other")
     index = ((2 * a * b + c1) * (2 * cov + c2)) / ((a * a + b * b + c1) * (va + vb + c2))
-    return both.groupBy("t").agg(index.alias("ssim"))
+    return both.groupBy(*frame_key(both)).agg(index.alias("ssim"))
 
 
 def max_diff_location(both: DataFrame, key: list[str]) -> DataFrame:
@@ -79,6 +94,15 @@ def bench_stats(runs: DataFrame, value: str) -> DataFrame:
     return runs.agg(F.avg(value).alias("mean_v"), sd.alias("sd_v"), (100 * sd / F.avg(value)).alias("cv_pct"), F.min(value).alias("min_v"), F.max(value).alias("max_v"))
 
 
+def same_shapes(a: DataFrame, b: DataFrame) -> None:
+    """Raises where frames of one clip and t differ in size or channels."""
+    shape = F.struct("h", "w", "c")
+    both = a.select(*frame_key(a), shape.alias("one")).join(b.select(*frame_key(b), shape.alias("two")), frame_key(a))
+    odd = both.where("one <> two").first()
+    if odd is not None:
+        raise ValueError(f"frame {odd.t}: {tuple(odd.one)} and {tuple(odd.two)}")
+
+
 def same_length(a: DataFrame, b: DataFrame) -> None:
     """Raises unless both clips have the same number of frames."""
     n, m = (x.select("t").distinct().count() for x in (a, b))

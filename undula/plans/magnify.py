@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from ..config import MagnifyConfig
 from ..functions import coeffs, color
 from ..operators import arrays
+from ..streaming.recursive import refuse_stream
 
 _YIQ = np.array(color.YIQ)
 
@@ -74,7 +75,11 @@ def magnify(frames: DataFrame, config: MagnifyConfig, shape: tuple[int, int]) ->
     """frames (video_id, t, h, w, c=3, data RGB 0..255) of one size to rows (video_id, t, h, w, c, data)
     of unsigned 8-bit values, as an array of ints."""
     h, w = shape
-    yiq = yiq_frames(frames.where(F.size("data") == h * w * 3))
+    # frames without values, or of another size, have no signal; another number of channels is an error
+    whole = F.when(F.size("data") <= 0, F.lit(False)).when(F.col("c") != 3, F.raise_error("frames must have three channels").cast("boolean")).otherwise(F.size("data") == h * w * 3)
+    if config.mode == "gaussian":
+        refuse_stream(frames)
+    yiq = yiq_frames(frames.where(whole))
     if config.mode == "gaussian":
         levels = config.levels
         bands = arrays.gaussian_frames(yiq, levels, config.border, config.size_rule, full=not config.optimize)

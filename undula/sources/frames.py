@@ -1,8 +1,10 @@
 """Frame sources and sinks.
 
 `frames_from_vectors` reads rasters out of array columns.  The Python data source `frames` reads
-binary PPM/PGM images (one file a frame, read by the tasks) and writes them; AVI output is
-uncompressed, one file a clip.  Canonical storage is Parquet partitioned by video_id.
+binary PPM/PGM images (one file a frame) and uncompressed AVI (one file a clip), both by ranges of frames
+in the tasks, as Arrow batches.  A clip's frame rate is a column: the AVI header's, or what a file `fps`
+beside the images says, else null (`effective_fps` makes that 30).  Canonical storage is Parquet
+partitioned by video_id.
 """
 
 from __future__ import annotations
@@ -12,6 +14,8 @@ import re
 import struct
 from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -53,33 +57,90 @@ def read_image(path: str) -> tuple[int, int, int, bytes]:
     return h, w, c, raw[m.end() : m.end() + h * w * c]
 
 
+def avi_layout(path: str) -> tuple[int, int, float, list[tuple[int, int]]]:
+    """(h, w, fps, (place, size) of every frame) of an uncompressed 24-bit AVI.  Empty frames are skipped."""
+    size, frames, shape, fps = os.path.getsize(path), [], None, 0.0
+    with open(path, "rb") as f:
+
+        def walk(at: int, end: int) -> None:
+            nonlocal shape, fps
+            while at + 8 <= end:
+                f.seek(at)
+                tag, n = struct.unpack("<4sI", f.read(8))
+                if tag in (b"RIFF", b"LIST"):
+                    walk(at + 12, min(end, at + 8 + n))
+                elif tag == b"strh":
+                    kind, _, _, _, _, _, scale, rate = struct.unpack("<4s4sIHHIII", f.read(32)[:32])
+                    fps = rate / scale if kind == b"vids" and scale else fps
+                elif tag == b"strf" and shape is None:
+                    _, w, h, _, bits, codec = struct.unpack("<IiiHHI", f.read(20))
+                    if bits != 24 or codec != 0:
+                        raise ValueError(f"only uncompressed 24-bit AVI is read: {path}")
+                    shape = h, w
+                elif tag in (b"00db", b"00dc") and n and at + 8 + n <= end:
+                    frames.append((at + 8, n))
+                at += 8 + n + n % 2
+
+        walk(0, size)
+    if shape is None or not frames:
+        raise ValueError(f"no frames in {path}")
+    return *shape, fps, frames
+
+
+def avi_frame(raw: bytes, h: int, w: int) -> np.ndarray:
+    """RGB values of a stored frame: rows bottom-up (top-down for a negative height), blue first, padded."""
+    rows = np.frombuffer(raw, np.uint8).reshape(abs(h), (w * 3 + 3) // 4 * 4)[:, : w * 3].reshape(abs(h), w, 3)
+    return (rows[::-1] if h > 0 else rows)[:, :, ::-1].ravel()
+
+
 class _Files(InputPartition):
-    def __init__(self, files: list[tuple[str, int, str]]):
+    def __init__(self, files: list[tuple]):
         super().__init__(None)
         self.files = files
 
 
+ARROW = pa.schema([("video_id", pa.string()), ("t", pa.int32()), ("h", pa.int32()), ("w", pa.int32()), ("c", pa.int32()), ("fps", pa.float64()), ("data", pa.list_(pa.float64()))])
+
+
 class _FramesReader(DataSourceReader):
     def __init__(self, options):
         self.path, self.per_task = options["path"], int(options.get("frames_per_task", 64))
 
     def partitions(self) -> list[InputPartition]:
-        """Clips are folders (or the folder itself); frames are in order of file name."""
-        clips: dict[str, list[str]] = {}
-        for folder, _, names in sorted(os.walk(self.path)):
+        """Clips are AVI files, and folders of images in order of file name (or the folder itself)."""
+        clips: dict[str, list[tuple]] = {}
+        found = [(os.path.dirname(self.path), [], [os.path.basename(self.path)])] if os.path.isfile(self.path) else sorted(os.walk(self.path))
+        for folder, _, names in found:
             images = sorted(n for n in names if n.lower().endswith((".ppm", ".pgm")))
+            rate = None
+            if "fps" in names:
+                with open(os.path.join(folder, "fps")) as f:
+                    rate = float(f.read())
+            name = os.path.relpath(folder, self.path) if os.path.isdir(self.path) else "."
             if images:
-                clips[os.path.relpath(folder, self.path)] = [os.path.join(folder, n) for n in images]
+                clips[name] = [(rate, os.path.join(folder, n), None) for n in images]
+            for n in sorted(n for n in names if n.lower().endswith(".avi")):
+                h, w, fps, frames = avi_layout(os.path.join(folder, n))
+                clips[os.path.normpath(os.path.join(name, n))] = [(fps, os.path.join(folder, n), (h, w, *at)) for at in frames]
         if not clips:
             raise ValueError(f"no frames in {self.path}")
-        files = [(clip, t, f) for clip, own in clips.items() for t, f in enumerate(own)]
+        files = [(clip, t, *f) for clip, own in clips.items() for t, f in enumerate(own)]
         return [_Files(files[i : i + self.per_task]) for i in range(0, len(files), self.per_task)]
 
-    def read(self, partition: _Files) -> Iterator[tuple]:
-        for clip, t, path in partition.files:
-            h, w, c, values = read_image(path)
-            if len(values) == h * w * c:  # a cut-off frame is skipped
-                yield clip, t, h, w, c, [float(v) for v in values]
+    def read(self, partition: _Files) -> Iterator[pa.RecordBatch]:
+        for clip, t, fps, path, place in partition.files:
+            if place is None:
+                h, w, c, raw = read_image(path)
+                if len(raw) != h * w * c:  # a cut-off frame is skipped
+                    continue
+                values = np.frombuffer(raw, np.uint8)
+            else:
+                h, w, at, n = place
+                with open(path, "rb") as f:
+                    f.seek(at)
+                    values, h, c = avi_frame(f.read(n), h, w), abs(h), 3
+            data = pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), pa.array(values.astype(np.float64)))
+            yield pa.RecordBatch.from_arrays([*(pa.array([v], k) for v, k in zip((clip, t, h, w, c, fps), ARROW.types, strict=False)), data], schema=ARROW)
 
 
 class FramesSource(DataSource):
@@ -88,7 +149,7 @@ class FramesSource(DataSource):
         return "frames"
 
     def schema(self) -> str:
-        return "video_id string, t int, h int, w int, c int, data array<double>"
+        return "video_id string, t int, h int, w int, c int, fps double, data array<double>"
 
     def reader(self, schema) -> DataSourceReader:
         return _FramesReader(self.options)
@@ -103,22 +164,22 @@ def write_images(frames: DataFrame, folder: str) -> int:
     """One PPM/PGM file a frame, written by the tasks; frames of a wrong size are skipped.  The folder
     must be one that all executors share.  Returns the number of files."""
 
-    def work(rows) -> Iterator:
-        import pandas as pd
-
-        for pdf in rows:
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
             n = 0
-            for r in pdf.itertuples():
-                if r.h > 0 and r.w > 0 and len(r.data) == r.h * r.w * r.c:
-                    os.makedirs(os.path.join(folder, r.video_id), exist_ok=True)
-                    name = os.path.join(folder, r.video_id, f"{r.t:08d}.{'ppm' if r.c == 3 else 'pgm'}")
+            for row, (clip, t, h, w, c) in enumerate(zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True)):
+                data = batch.column(5)[row]
+                values = data.values.to_numpy(zero_copy_only=False) if data.is_valid else np.zeros(0)
+                if h > 0 and w > 0 and len(values) == h * w * c:
+                    os.makedirs(os.path.join(folder, clip), exist_ok=True)
+                    name = os.path.join(folder, clip, f"{t:08d}.{'ppm' if c == 3 else 'pgm'}")
                     with open(f"{name}.tmp", "wb") as f:
-                        f.write(b"P%d\n%d %d\n255\n" % (6 if r.c == 3 else 5, r.w, r.h) + bytes(int(v) for v in r.data))
+                        f.write(b"P%d\n%d %d\n255\n" % (6 if c == 3 else 5, w, h) + values.astype(np.uint8).tobytes())
                     os.replace(f"{name}.tmp", name)
                     n += 1
-            yield pd.DataFrame({"n": [n]})
+            yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], names=["n"])
 
-    return frames.select("video_id", "t", "h", "w", "c", "data").mapInPandas(work, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    return frames.select("video_id", "t", "h", "w", "c", "data").mapInArrow(work, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
 
 
 def write_avi(frames: DataFrame, path: str, fps: float) -> int:
@@ -147,11 +208,9 @@ def write_avi(frames: DataFrame, path: str, fps: float) -> int:
         for r in ordered.toLocalIterator():
             if (r.h, r.w, len(r.data)) != (h, w, h * w * 3):
                 continue
-            body = bytearray()
-            for y in range(h - 1, -1, -1):  # bottom-up rows, blue first
-                line = r.data[y * w * 3 : (y + 1) * w * 3]
-                body += bytes(int(line[3 * x + 2 - k]) for x in range(w) for k in range(3)) + b"\0" * (row - 3 * w)
-            f.write(b"00db" + struct.pack("<I", size) + body)
+            body = np.zeros((h, row), np.uint8)  # bottom-up rows, blue first
+            body[:, : 3 * w] = np.array(r.data).astype(np.uint8).reshape(h, w, 3)[::-1, :, ::-1].reshape(h, 3 * w)
+            f.write(b"00db" + struct.pack("<I", size) + body.tobytes())
             count += 1
         f.seek(0)
         f.write(head(count))
