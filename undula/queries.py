@@ -9,7 +9,7 @@ from math import hypot
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .config import BABY, CPP, PYTHON
+from .config import BABY, CPP, CUDA, PYTHON
 from .functions import coeffs, color, stencils
 from .operators import arrays, metrics
 from .operators import pixels as px
@@ -84,8 +84,8 @@ def sql_down(name: str, n: int, size: int, step: int, border: str = "reflect101"
     return f"{name} AS (SELECT o::INT AS o, {sql_mirror(f'{step} * o + d', n, border)} AS i, sum(k) AS w FROM range({size}) r(o), taps GROUP BY ALL)"
 
 
-def sql_up(name: str, n: int, size: int) -> str:
-    return f"{name} AS (SELECT o::INT AS o, j // 2 AS i, sum(2 * k) AS w FROM (SELECT o, {sql_mirror('o + d', size)} AS j, k FROM range({size}) r(o), taps) WHERE j % 2 = 0 AND j // 2 < {n} GROUP BY ALL)"
+def sql_up(name: str, n: int, size: int, border: str = "reflect101") -> str:
+    return f"{name} AS (SELECT o::INT AS o, j // 2 AS i, sum(2 * k) AS w FROM (SELECT o, {sql_mirror('o + d', size, border)} AS j, k FROM range({size}) r(o), taps) WHERE j % 2 = 0 AND j // 2 < {n} GROUP BY ALL)"
 
 
 def sql_apply(name: str, source: str, matrix: str, extra: str = "") -> str:
@@ -160,6 +160,11 @@ def yiq_to_rgb_clamped(spark, d):
     return triples(spark, d).select("t", "y", "x", *[r6(color.clamp(c / 200, 0.0, 1.0)).alias(n) for c, n in zip(_back(spark, d, "constants"), "rgb", strict=True)])
 
 
+@query(_sql_back("constants", "{}"))
+def yiq_to_rgb_constants(spark, d):
+    return triples(spark, d).select("t", "y", "x", *[r6(c).alias(n) for c, n in zip(_back(spark, d, "constants"), "rgb", strict=True)])
+
+
 @query(sql_of(TRIPLES, select="SELECT t, y, x, round(r, 6) + 0.0 AS r, round(g, 6) + 0.0 AS g, round(b, 6) + 0.0 AS b FROM tri"))
 def flat_to_struct(spark, d):
     return triples(spark, d).select("t", "y", "x", *[r6(c).alias(c) for c in "rgb"])
@@ -190,7 +195,6 @@ def _cut(spark, d, n: int) -> DataFrame:
 
 
 GREY7 = GREY.replace("px AS", "all8 AS") + ", px AS (SELECT * FROM all8 WHERE y < 7 AND x < 7)"
-GREY4 = GREY.replace("px AS", "all8 AS") + ", px AS (SELECT * FROM all8 WHERE y < 4 AND x < 4)"
 
 
 @query(sql_of(GREY7, TAPS, sql_down("m", 7, 4, 2), sql_apply("o1", "px", "m"), select=V + "o1"))
@@ -203,14 +207,34 @@ def pyr_down_floor(spark, d):
     return out(px.pyr_down(spark, px.by_frame(_cut(spark, d, 7)), 7, 7, "floor"))
 
 
-@query(sql_of(GREY4, TAPS, sql_up("m", 4, 8), sql_apply("o1", "px", "m"), select=V + "o1"))
+@query(sql_of(GREY, TAPS, sql_up("m", 8, 16), sql_apply("o1", "px", "m"), select=V + "o1"))
 def pyr_up(spark, d):
-    return out(px.pyr_up(spark, px.by_frame(_cut(spark, d, 4)), 4, 4))
+    return out(px.pyr_up(spark, px.by_frame(grey(spark, d)), 8, 8))
 
 
-@query(sql_of(GREY4, TAPS, sql_up("m", 4, 7), sql_apply("o1", "px", "m"), select=V + "o1"))
+@query(sql_of(GREY, TAPS, sql_up("m", 8, 15), sql_apply("o1", "px", "m"), select=V + "o1"))
 def pyr_up_odd(spark, d):
-    return out(px.pyr_up(spark, px.by_frame(_cut(spark, d, 4)), 4, 4, (7, 7)))
+    return out(px.pyr_up(spark, px.by_frame(grey(spark, d)), 8, 8, (15, 15)))
+
+
+@query(sql_of(GREY, TAPS, sql_up("m", 8, 16, "reflect"), sql_apply("o1", "px", "m"), select=V + "o1"))
+def pyr_up_reflect(spark, d):
+    return out(px.pyr_up(spark, px.by_frame(grey(spark, d)), 8, 8, border="reflect"))
+
+
+@query(sql_of(GREY, TAPS, sql_down("m", 8, 4, 2, "reflect"), sql_apply("o1", "px", "m"), select=V + "o1"))
+def pyr_down_reflect(spark, d):
+    return out(px.pyr_down(spark, px.by_frame(grey(spark, d)), 8, 8, border="reflect"))
+
+
+@query(sql_of(GREY7, TAPS, sql_down("m", 7, 3, 2, "reflect"), sql_apply("o1", "px", "m"), select=V + "o1"))
+def pyr_down_reflect_floor(spark, d):
+    return out(px.pyr_down(spark, px.by_frame(_cut(spark, d, 7)), 7, 7, "floor", "reflect"))
+
+
+@query(sql_of(GREY, TAPS, *[f(*a, "reflect") for f, a in ((sql_down, ("d8", 8, 4, 2)), (sql_down, ("d4", 4, 2, 2)), (sql_up, ("u2", 2, 4)), (sql_up, ("u4", 4, 8)))], sql_apply("g1", "px", "d8"), sql_apply("g2", "g1", "d4"), sql_apply("e1", "g2", "u2"), sql_apply("e0", "e1", "u4"), select=V + "e0"))
+def gaussian_frames_reflect(spark, d):
+    return out(fr.to_pixels(arrays.gaussian_frames(grey_frames(spark, d), 2, "reflect", "floor"), channels=False))
 
 
 @query(sql_of(GREY, *BLUR2, select=V + "e0"))
@@ -225,8 +249,8 @@ def gaussian_frames_l2(spark, d):
     return out(fr.to_pixels(made, channels=False))
 
 
-def _sql_levels(residual: bool) -> str:
-    parts = [GREY, TAPS, sql_down("d8", 8, 4, 2), sql_down("d4", 4, 2, 2), sql_up("u2", 2, 4), sql_up("u4", 4, 8), sql_apply("g1", "px", "d8"), sql_apply("g2", "g1", "d4"), sql_apply("e1", "g2", "u2"), sql_apply("e0", "g1", "u4")]
+def _sql_levels(residual: bool, border: str = "reflect101") -> str:
+    parts = [GREY, TAPS, sql_down("d8", 8, 4, 2, border), sql_down("d4", 4, 2, 2, border), sql_up("u2", 2, 4, border), sql_up("u4", 4, 8, border), sql_apply("g1", "px", "d8"), sql_apply("g2", "g1", "d4"), sql_apply("e1", "g2", "u2"), sql_apply("e0", "g1", "u4")]
     select = "SELECT 0 AS level, t, y, x, round(px.v - e0.v, 6) + 0.0 AS v FROM px JOIN e0 USING (t, y, x) UNION ALL SELECT 1, t, y, x, round(g1.v - e1.v, 6) + 0.0 FROM g1 JOIN e1 USING (t, y, x)"
     return sql_of(*parts, select=select + (" UNION ALL SELECT 2, t, y, x, round(v, 6) + 0.0 FROM g2" if residual else ""))
 
@@ -236,6 +260,13 @@ def laplacian_levels(spark, d):
     return px.laplacian(spark, grey(spark, d), 8, 8, 2).select("level", "t", "y", "x", r6("v").alias("v"))
 
 
+@query(_sql_levels(True, "reflect"))
+def laplacian_levels_reflect(spark, d):
+    made = arrays.laplacian_frames(grey_frames(spark, d), 2, True, "reflect")
+    rows = made.select("level", "t", "w", F.posexplode("data").alias("i", "v"))
+    return rows.select("level", "t", F.expr("i div w").cast("int").alias("y"), F.expr("i % w").cast("int").alias("x"), r6("v").alias("v"))
+
+
 @query(_sql_levels(True))
 def laplacian_levels_residual(spark, d):
     made = arrays.laplacian_frames(grey_frames(spark, d), 2, True)
@@ -337,7 +368,9 @@ def ideal_bandpass_tiles(spark, d):
 
 # --- recursive filters -----------------------------------------------------------------------------
 
-def _sql_first(name: str, hz: float) -> str:
+def _sql_first(name: str, hz: float, kind: str = "butterworth") -> str:
+    if kind == "halved":
+        return f"{name} AS (SELECT k / (1 + k) AS b0, -(1 - k / (1 + k)) AS a1 FROM (SELECT tan(pi() * {hz} / 30) AS k))"
     return f"{name} AS (SELECT tan(pi() * {hz} / 30) / (1 + tan(pi() * {hz} / 30)) AS b0, (tan(pi() * {hz} / 30) - 1) / (tan(pi() * {hz} / 30) + 1) AS a1)"
 
 
@@ -367,7 +400,23 @@ def iir_bandpass(spark, d):
     return _untiled(arrays.iir_bandpass(_series(spark, d), FPS, LOW, HIGH))
 
 
-@query()
+@query(sql_of(SQL_IIR[0], _sql_first("lo", LOW, "halved"), _sql_first("hi", HIGH, "halved"), SQL_IIR[3], select="SELECT t, y, x, round(CASE WHEN t = 0 THEN v ELSE fast - slow END, 6) + 0.0 AS v FROM run"))
+def iir_bandpass_halved(spark, d):
+    return _untiled(arrays.iir_bandpass(_series(spark, d), FPS, LOW, HIGH, kind="halved"))
+
+
+@query(sql_of(*SQL_IIR, select="SELECT t, y, x, round(CASE WHEN t = 0 THEN 0 ELSE fast - slow END, 6) + 0.0 AS v FROM run"))
+def iir_bandpass_zero_first(spark, d):
+    return _untiled(arrays.iir_bandpass(_series(spark, d), FPS, LOW, HIGH, first_frame="zero"))
+
+
+@query("WITH f AS (SELECT tan(pi() * 3.0 / 30) AS k), g AS (SELECT k, 1 / (1 + sqrt(2.0) * k + k * k) AS n FROM f) SELECT round(k * k * n, 12) AS b0, round(2 * k * k * n, 12) AS b1, round(k * k * n, 12) AS b2, round(2 * (k * k - 1) * n, 12) AS a1, round((1 - sqrt(2.0) * k + k * k) * n, 12) AS a2 FROM g")
+def butter2_low(spark, d):
+    b, a = coeffs.butterworth(2, 3.0, "low", 30.0)
+    return spark.createDataFrame([tuple(round(float(v), 12) for v in (*b, *a[1:]))], "b0 double, b1 double, b2 double, a1 double, a2 double")
+
+
+@query(sql_of(*SQL_IIR, select="SELECT t, y, x, round(CASE WHEN t = 0 THEN v ELSE fast - slow END, 6) + 0.0 AS v FROM run"))
 def iir_stream_batches(spark, d):
     """The stateful stream over files of frames, one micro-batch a file, as its rows come out."""
     folder = fresh(spark, "stream")
@@ -382,6 +431,14 @@ def iir_stream_batches(spark, d):
     return _untiled(spark.read.parquet(f"{folder}/out"))
 
 
+@query(sql_of(*_sql_bandpass(SQL_ONESIDED, RGB, "y, x, ch"), select="SELECT t, y, x, ch, round(v * CASE WHEN ch = 0 THEN 100 ELSE 50 END, 6) + 0.0 AS v FROM band"))
+def gaussian_filter_attenuated(spark, d):
+    """One-sided band, gain 100, chroma at half of it."""
+    n = _count(spark, d)
+    band = px.bandpass(rgb(spark, d), n, coeffs.kept_bins(n, FPS, LOW, HIGH, "onesided"))
+    return band.select("t", "y", "x", "ch", r6(F.col("v") * F.when(F.col("ch") == 0, 100.0).otherwise(50.0)).alias("v"))
+
+
 # --- gains and reconstruction ----------------------------------------------------------------------
 
 
@@ -540,11 +597,22 @@ def _values(frames: DataFrame) -> DataFrame:
     return rows.select("t", F.expr("i div 12").cast("int").alias("y"), F.expr("(i % 12) div 3").cast("int").alias("x"), F.expr("i % 3").cast("int").alias("ch"), F.col("v").cast("int").alias("v"))
 
 
-def _sql_pipeline(kind: str) -> str:
+def _sql_pipeline(kind: str, border: str = "reflect101", kept: str = SQL_SYMMETRIC, gain_of_chroma: float = 1.0, alpha: float = 50.0, inverse: str = "exact", rounding: str = "rint") -> str:
     yiq = " UNION ALL ".join(f"SELECT t, y, x, {k} AS ch, {_sql_dot(row, 'rgb')} AS v FROM tri" for k, row in enumerate(color.YIQ))
-    base = [TRIPLES.replace("px AS", "rgb AS", 1).replace("FROM px", "FROM rgb"), f"yiq AS ({yiq})", TAPS, sql_down("d4", 4, 2, 2), sql_up("u2", 2, 4)]
+    base = [TRIPLES.replace("px AS", "rgb AS", 1).replace("FROM px", "FROM rgb"), f"yiq AS ({yiq})", TAPS, sql_down("d4", 4, 2, 2, border), sql_up("u2", 2, 4, border)]
     if kind == "gaussian":
-        parts = [*base, sql_apply("px", "yiq", "d4", "ch, "), *_sql_bandpass(SQL_SYMMETRIC, "one AS (SELECT 1)", "y, x, ch"), "gained AS (SELECT t, y, x, ch, v * CASE WHEN ch = 0 THEN 50 ELSE 50 END AS v FROM band)", sql_apply("sig", "gained", "u2", "ch, ")]
+        parts = [*base, sql_apply("px", "yiq", "d4", "ch, "), *_sql_bandpass(kept, "one AS (SELECT 1)", "y, x, ch"), f"gained AS (SELECT t, y, x, ch, v * CASE WHEN ch = 0 THEN {alpha!r}::DOUBLE ELSE {alpha * gain_of_chroma!r}::DOUBLE END AS v FROM band)", sql_apply("sig", "gained", "u2", "ch, ")]
+    elif kind == "outer":  # level 0 as it is, level 1 with its gain, no residual
+        delta = CUDA.lambda_cutoff / (8 * (1 + BABY.alpha))
+        gain = min(BABY.alpha, hypot(2, 2) / (8 * delta) - 1)
+        parts = [
+            *base, sql_down("d2", 2, 1, 2, border), "u1 AS (SELECT o::INT AS o, 0 AS i, sum(2 * k) AS w FROM (SELECT o, CASE WHEN o + d < 0 THEN -(o + d) - 1 WHEN o + d >= 2 THEN 3 - (o + d) ELSE o + d END AS j, k FROM range(2) r(o), taps) WHERE j = 0 GROUP BY ALL)",
+            sql_apply("g1", "yiq", "d4", "ch, "), sql_apply("g2", "g1", "d2", "ch, "), sql_apply("e0", "g1", "u2", "ch, "), sql_apply("e1", "g2", "u1", "ch, "),
+            "px AS (SELECT 0 AS level, t, y, x, ch, yiq.v - e0.v AS v FROM yiq JOIN e0 USING (t, y, x, ch) UNION ALL SELECT 1, t, y, x, ch, g1.v - e1.v FROM g1 JOIN e1 USING (t, y, x, ch))", _sql_first("lo", BABY.low_hz, "halved"), _sql_first("hi", BABY.high_hz, "halved"),
+            "run(level, t, y, x, ch, v, slow, fast) AS (SELECT level, t, y, x, ch, v, v, v FROM px WHERE t = 0 UNION ALL SELECT p.level, p.t, p.y, p.x, p.ch, p.v, lo.b0 * (p.v + run.v) - lo.a1 * slow, hi.b0 * (p.v + run.v) - hi.a1 * fast FROM run JOIN px p ON p.level = run.level AND p.t = run.t + 1 AND p.y = run.y AND p.x = run.x AND p.ch = run.ch, lo, hi)",
+            f"band AS (SELECT level, t, y, x, ch, CASE WHEN t = 0 THEN v ELSE (fast - slow) * CASE WHEN level = 0 THEN 1 WHEN ch = 0 THEN {gain!r}::DOUBLE ELSE {gain * BABY.attenuation!r}::DOUBLE END END AS v FROM run)",
+            "b1 AS (SELECT t, y, x, ch, v FROM band WHERE level = 1)", sql_apply("f1", "b1", "u2", "ch, "), "sig AS (SELECT t, y, x, ch, sum(v) AS v FROM (SELECT t, y, x, ch, v FROM band WHERE level = 0 UNION ALL SELECT t, y, x, ch, v FROM f1) GROUP BY ALL)",
+        ]
     else:
         low, high = BABY.low_hz, BABY.high_hz
         delta = BABY.lambda_cutoff / (8 * (1 + BABY.alpha))
@@ -558,7 +626,8 @@ def _sql_pipeline(kind: str) -> str:
             "b2 AS (SELECT t, y, x, ch, v FROM band WHERE level = 2)", sql_apply("f2", "b2", "u1", "ch, "), "f1 AS (SELECT t, y, x, ch, v FROM band WHERE level = 1 UNION ALL SELECT t, y, x, ch, v FROM f2)", "s1 AS (SELECT t, y, x, ch, sum(v) AS v FROM f1 GROUP BY ALL)", sql_apply("sig", "s1", "u2", "ch, "),
         ]
     total = "z AS (SELECT t, y, x, max(yiq.v + coalesce(sig.v, 0)) FILTER (ch = 0) AS z0, max(yiq.v + coalesce(sig.v, 0)) FILTER (ch = 1) AS z1, max(yiq.v + coalesce(sig.v, 0)) FILTER (ch = 2) AS z2 FROM yiq LEFT JOIN sig USING (t, y, x, ch) GROUP BY ALL)"
-    cells = " UNION ALL ".join(f"SELECT t, y, x, {k} AS ch, round_even(least(greatest({_sql_dot(row, ('z0', 'z1', 'z2'))}, 0), 255), 0)::INT AS v FROM z" for k, row in enumerate(color.inverse()))
+    whole = "round_even({}, 0)" if rounding == "rint" else "floor({})"
+    cells = " UNION ALL ".join(f"SELECT t, y, x, {k} AS ch, {whole.format(f'least(greatest({_sql_dot(row, ("z0", "z1", "z2"))}, 0), 255)')}::INT AS v FROM z" for k, row in enumerate(color.inverse(inverse)))
     return sql_of(*parts, total, select=cells)
 
 
@@ -570,3 +639,89 @@ def magnify_gaussian(spark, d):
 @query(_sql_pipeline("laplacian"))
 def magnify_laplacian(spark, d):
     return _values(magnify(rgb_frames(spark, d), SMALL_LAPLACIAN, (4, 4)))
+
+
+SMALL_PYTHON = replace(PYTHON, levels=1, low_hz=LOW, attenuation=0.5)
+
+
+@query(_sql_pipeline("gaussian", kept=SQL_ONESIDED, alpha=PYTHON.alpha, gain_of_chroma=0.5, rounding="truncate"))
+def magnify_gaussian_python(spark, d):
+    return _values(magnify(rgb_frames(spark, d), SMALL_PYTHON, (4, 4)))
+
+
+@query(_sql_pipeline("gaussian", border="reflect", inverse="constants"))
+def magnify_gaussian_cuda(spark, d):
+    return _values(magnify(rgb_frames(spark, d), replace(CUDA, levels=1, size_rule="floor"), (4, 4)))
+
+
+@query(_sql_pipeline("outer", border="reflect", inverse="constants"))
+def magnify_laplacian_cuda(spark, d):
+    return _values(magnify(rgb_frames(spark, d), replace(CUDA, mode="laplacian", levels=2, alpha=BABY.alpha, low_hz=BABY.low_hz, high_hz=BABY.high_hz, attenuation=BABY.attenuation), (4, 4)))
+
+
+# --- files: written, and read again ----------------------------------------------------------------
+
+
+SQL_U8 = sql_of(RGB, select="SELECT t, y, x, ch, floor(least(greatest(v, 0), 255))::INT AS v, {} AS fps FROM px")
+
+
+def _local(path: str) -> str:
+    """Files of frames are written and read by plain paths of the shared folder."""
+    return path.removeprefix("file://")
+
+
+def _u8_frames(spark, d) -> DataFrame:
+    frames = rgb_frames(spark, d)
+    return frames.withColumn("data", F.transform("data", lambda v: color.to_u8(v, "truncate").cast("double")))
+
+
+def _read_back(frames: DataFrame) -> DataFrame:
+    values = fr.to_pixels(frames).select("t", "y", "x", "ch", F.col("v").cast("int").alias("v"))
+    return values.withColumn("fps", F.lit(frames.select(fr.effective_fps(F.col("fps")).alias("fps")).first().fps))
+
+
+@query(SQL_U8.format("30.0::DOUBLE"))
+def source_images(spark, d):
+    folder = _local(fresh(spark, "images"))
+    fr.write_images(_u8_frames(spark, d), folder)
+    return _read_back(fr.read_frames(spark, folder))
+
+
+@query(SQL_U8.format("25.0::DOUBLE"))
+def source_avi(spark, d):
+    path = _local(fresh(spark, "clip")) + ".avi"
+    fr.write_avi(_u8_frames(spark, d), path, 25.0)
+    return _read_back(fr.read_frames(spark, path))
+
+
+@query(sql_of(RGB, select="SELECT t * 4 + y AS y, x, ch, v FROM px"))
+def matrix_text(spark, d):
+    """All frames under each other as one matrix of text."""
+    path = fresh(spark, "matrix")
+    fr.write_matrix(rgb(spark, d).select((F.col("t") * 4 + F.col("y")).alias("y"), "x", "ch", "v"), path)
+    return fr.read_matrix(spark, path)
+
+
+@query("SELECT (i - 1)::INT AS i, embedding[i]::DOUBLE AS v FROM (SELECT arg_min(embedding, vec_id) AS embedding FROM embeddings), range(1, 65) r(i)")
+def vector_text(spark, d):
+    path = fresh(spark, "vector")
+    first = vectors(spark, d).orderBy("vec_id").limit(1)
+    first.select(F.array_join(F.transform("embedding", lambda v: v.cast("double").cast("string")), ",").alias("value")).coalesce(1).write.text(path)
+    return spark.createDataFrame(list(enumerate(fr.read_vector(spark, path))), "i int, v double")
+
+
+@query(sql_of(PSNR, "s AS (SELECT t, max(abs(v - other)) AS a, avg(abs(v - other)) AS b FROM pair GROUP BY t)", select="SELECT t AS frame, round(psnr, 6) AS psnr, 1.0::DOUBLE AS ssim, round(a, 6) AS max_diff, round(b, 6) AS mean_diff FROM q JOIN s USING (t)"))
+def metric_csv(spark, d):
+    path = fresh(spark, "metrics")
+    both = _pair(spark, d)
+    rows = metrics.psnr_per_frame(both).join(metrics.diff_stats(both), "t").select(F.col("t").alias("frame"), r6("psnr").alias("psnr"), F.lit(1.0).alias("ssim"), r6("max_diff").alias("max_diff"), r6("mean_diff").alias("mean_diff"))
+    rows.write.csv(path, header=True)
+    return fr.read_metrics(spark, path)
+
+
+@query(sql_of(PSNR, select="SELECT printf('Frame %d: %.2f dB', t, psnr) AS line, count(*) AS n FROM (SELECT t, psnr FROM q UNION ALL (SELECT t, psnr FROM q ORDER BY q.psnr, t LIMIT 10)) GROUP BY 1"))
+def psnr_report(spark, d):
+    """The report's lines: each frame once, the ten lowest twice."""
+    path = fresh(spark, "report")
+    fr.write_report(_psnr(spark, d), path)
+    return spark.read.text(path).where("value like 'Frame %'").groupBy(F.col("value").alias("line")).agg(F.count("*").alias("n"))

@@ -70,7 +70,7 @@ def avi_layout(path: str) -> tuple[int, int, float, list[tuple[int, int]]]:
                 if tag in (b"RIFF", b"LIST"):
                     walk(at + 12, min(end, at + 8 + n))
                 elif tag == b"strh":
-                    kind, _, _, _, _, _, scale, rate = struct.unpack("<4s4sIHHIII", f.read(32)[:32])
+                    kind, _, _, _, _, _, scale, rate = struct.unpack("<4s4sIHHIII", f.read(28))
                     fps = rate / scale if kind == b"vids" and scale else fps
                 elif tag == b"strf" and shape is None:
                     _, w, h, _, bits, codec = struct.unpack("<IiiHHI", f.read(20))
