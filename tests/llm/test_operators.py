@@ -678,6 +678,13 @@ def test_pipeline(spark, docs, texts, tmp_path):
     spark.createDataFrame([(1, texts[9][1])], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
     out = {r.doc_id: r for r in corpus_pipeline.run(spark, folder).collect()}
     shared = set(zip(*[ALNUM.findall(lower(texts[9][1]))[k:] for k in range(10)], strict=False))
+    # all labels are 0, so no text is toxic; of near copies the first stays, if it holds no window of the item
+    every = {**dict(texts), 2000: f"some text with {key} inside"}
+    words = {i: SPACE.findall(lower(t)) for i, t in every.items()}
+    sets = {i: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set() for i, w in words.items()}
+    first = groups([(a, b) for a in sets for b in sets if a < b and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])], sets)
+    clean = {i for i, t in every.items() if not shared & set(zip(*[ALNUM.findall(lower(t))[k:] for k in range(10)], strict=False))}
+    assert set(out) == {i for i in every if first[i] == i and i in clean}
     for i, r in out.items():
         w = ALNUM.findall(lower(dict(texts).get(i, "")))
         assert not shared & set(zip(*[w[k:] for k in range(10)], strict=False)) and r.n_tokens == len(r.ids) // 4
