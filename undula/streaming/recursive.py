@@ -2,8 +2,8 @@
 
 Rows are series tiles (video_id, level, tile, t, data).  Within a batch a tile's rows are ordered by t;
 rows at or before the last t are dropped as duplicates; after a gap the policy either repeats the
-previous output for the missing t without touching the state (hold) or fails (error).  The frequency
-path needs all frames and refuses streams.
+previous output for the missing t without touching the state (hold, for gaps of at most longest_gap) or
+fails (error).  The frequency path needs all frames and refuses streams.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ OUT = "video_id string, level int, tile int, t int, data array<double>"
 STATE = "t int, x array<double>, slow array<double>, fast array<double>, out array<double>"
 
 
-def iir_stream(series: DataFrame, fps: float, low: float, high: float, first_frame: str = "raw", gaps: str = "hold") -> DataFrame:
+def iir_stream(series: DataFrame, fps: float, low: float, high: float, first_frame: str = "raw", gaps: str = "hold", longest_gap: int = 100_000) -> DataFrame:
     l0, l1, la = coeffs.first_order(low, fps)
     h0, h1, ha = coeffs.first_order(high, fps)
 
@@ -39,7 +39,7 @@ def iir_stream(series: DataFrame, fps: float, low: float, high: float, first_fra
                 out = x if first_frame == "raw" else np.zeros_like(x)
             else:
                 if t > last + 1:
-                    if gaps == "error":
+                    if gaps == "error" or t - last > longest_gap:
                         raise ValueError(f"frames {last + 1}..{t - 1} are missing")
                     made += [(k, out) for k in range(last + 1, t)]
                 slow = l0 * x + l1 * x0 - la * slow
