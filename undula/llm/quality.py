@@ -10,7 +10,8 @@ Counts cover every whole text; the target model is fitted on a bounded sample of
 The k-th largest key is found by histograms of fixed size over ever smaller ranges, so no more than a
 few thousand rows reach the driver.
 
-Defined cases: null and empty texts have log weight 0; ties in the key go to the smaller doc_id;
+Defined cases: null and empty texts have log weight 0; texts of any length count whole; rows that share a
+doc_id are weighed each, with the same noise; ties in the key go to the smaller doc_id;
 null labels aren't used; without target rows all weights are 0 and the sample is uniform; further
 columns are ignored; an empty table gives an empty table.
 """

@@ -15,7 +15,7 @@ starts at a multiple of `block` in the earlier document, wherever the run starts
 Window hashes have 64 bits of well mixed state; equal hashes count as equal word sequences.
 
 Defined cases: a null or empty text has no words and keeps an empty text; texts of fewer than
-`window` words are untouched; further columns, whatever their names, are ignored; doc_id must be
+`window` words are untouched; texts of any length are windowed whole; further columns, whatever their names, are ignored; doc_id must be
 unique; rows without one are left out.  An empty table gives an empty table.
 """
 
