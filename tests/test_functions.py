@@ -56,6 +56,18 @@ def test_projection_is_the_masked_transform(n, low, width):
     assert np.allclose(arrays.fft_bandpass(x, 10, low, low + width), full, atol=1e-9)
 
 
+@pytest.mark.parametrize("n", [500, 501])
+def test_wide_bands_are_transformed(n):
+    x = np.random.default_rng(n).normal(size=(n, 3))
+    f = np.abs(np.fft.fftfreq(n, 1 / 10))
+    full = np.real(np.fft.ifft(np.fft.fft(x, axis=0) * ((f >= 0) & (f <= 5))[:, None], axis=0))
+    assert np.allclose(arrays.fft_bandpass(x, 10, 0, 5), full, atol=1e-9)
+    one = [k for k, _ in coeffs.kept_bins(n, 10, 1, 4, "onesided")]
+    spectrum = np.fft.fft(x, axis=0)
+    spectrum[[k for k in range(n) if k not in one]] = 0
+    assert np.allclose(arrays.fft_bandpass(x, 10, 1, 4, "onesided"), np.real(np.fft.ifft(spectrum, axis=0)), atol=1e-9)
+
+
 def test_onesided_mask_is_half():
     t = np.arange(60)
     x = np.sin(2 * np.pi * 2 * t / 60)[:, None]  # 1 Hz at 30 fps

@@ -5,7 +5,7 @@ import pytest
 from pyspark.errors import AnalysisException
 
 from undula.config import BABY, CPP, CUDA, PYTHON
-from undula.functions import color, stencils
+from undula.functions import coeffs, color, stencils
 from undula.operators import arrays, metrics, pixels
 from undula.plans.magnify import magnify
 from undula.sources import frames as fr
@@ -65,6 +65,39 @@ def test_tile_size_does_not_matter(spark, values, monkeypatch):
     assert want.shape == (48, 210)
 
 
+def test_filters_in_blocks_of_time_and_narrow_tiles(spark, values, monkeypatch):
+    """Blocks that don't divide the clip, gaps, and repeated frames against one pass over each series."""
+    t = [k for k in range(48) if k not in (9, 10, 11, 30)]
+    rows = [("v", 0, 0, k, values[k].ravel().tolist()) for k in (*t, 5, 47)]
+    series = spark.createDataFrame(rows, "video_id string, level int, tile int, t int, data array<double>")
+    x = values[t].reshape(len(t), -1)
+    for kind, first in (("butterworth", "raw"), ("halved", "zero")):
+        want, slow, fast = np.empty_like(x), x[0], x[0]
+        (l0, l1, la), (h0, h1, ha) = (coeffs.first_order(hz, 30.0, kind) for hz in (0.4, 3.0))
+        want[0] = x[0] if first == "raw" else 0
+        for k in range(1, len(x)):
+            slow, fast = l0 * x[k] + l1 * x[k - 1] - la * slow, h0 * x[k] + h1 * x[k - 1] - ha * fast
+            want[k] = fast - slow
+        for block in (1, 7, 1024):
+            monkeypatch.setattr(arrays, "BLOCK", block)
+            got = sorted(arrays.iir_bandpass(series, 30.0, 0.4, 3.0, first, kind).collect(), key=lambda r: r.t)
+            assert [r.t for r in got] == t and np.allclose([r.data for r in got], want, atol=1e-9)
+    for base in (SMALL, replace(BABY, levels=3, high_hz=3.0)):
+        monkeypatch.setattr(arrays, "BLOCK", 1024)
+        monkeypatch.setattr(arrays, "GROUP", 1 << 22)
+        whole = result(magnify(clip(spark, values), base, (7, 10)))
+        monkeypatch.setattr(arrays, "BLOCK", 7)
+        monkeypatch.setattr(arrays, "GROUP", 48 * 4)
+        assert (result(magnify(clip(spark, values), base, (7, 10))) == whole).mean() > 0.999
+
+
+def test_long_clips_in_blocks_read_once(spark):
+    series = spark.range(5000).selectExpr("'v' as video_id", "0 as level", "0 as tile", "cast(id as int) as t", "array(cast(id % 7 as double)) as data")
+    made = arrays.iir_lowpass(series, 30.0, 0.4)
+    assert made.count() == 5000
+    assert arrays.whole_width(series.selectExpr("video_id", "t")) == min(arrays.TILE, arrays.GROUP // 5000)
+
+
 def test_constant_clip_is_unchanged(spark):
     x = np.full((32, 6, 6, 3), 90.0)
     assert (result(magnify(clip(spark, x), SMALL, (6, 6))) == 90).all()

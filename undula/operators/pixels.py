@@ -10,7 +10,7 @@ from __future__ import annotations
 from math import pi
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import stencils
@@ -87,26 +87,18 @@ def from_series(series: DataFrame) -> DataFrame:
     return series.select(*key, F.posexplode("data").alias("t", "v"))
 
 
-def bandpass(pixels: DataFrame, n: int, bins: list[tuple[int, float]]) -> DataFrame:
-    """The kept bins of each pixel's series of n frames: two sums for each bin, aggregated before the
-    exchange, then a projection.  No array of a whole series is ever held."""
-    key = [c for c in ("video_id", "y", "x", "ch") if c in pixels.columns]
-    angle = lambda k: F.lit(2 * pi * k / n) * F.col("t")
-    sums = []
-    for k, _ in bins:
-        sums += [F.sum(F.col("v") * F.cos(angle(k))).alias(f"a{k}"), F.sum(F.col("v") * F.sin(angle(k))).alias(f"b{k}")]
+def bandpass(spark: SparkSession, pixels: DataFrame, n: int, bins: list[tuple[int, float]]) -> DataFrame:
+    """The kept bins of each pixel's series of n frames: two sums for each pixel and bin, aggregated before
+    the exchange, then a projection.  Bins are rows, so the plan has one width however long the clip is,
+    and no array of a whole series is ever held."""
     if not bins:
         return pixels.withColumn("v", F.lit(0.0))
-    value: Column = F.lit(0.0)
-    for k, weight in bins:
-        value = value + F.lit(weight / n) * (F.col(f"a{k}") * F.cos(angle(k)) + F.col(f"b{k}") * F.sin(angle(k)))
-    return pixels.drop("v").join(pixels.groupBy(*key).agg(*sums), key).withColumn("v", value).select(*pixels.columns)
-
-
-def recursive_lowpass(series: DataFrame, b0: float, b1: float, a1: float) -> DataFrame:
-    """y = b0 x + b1 x' - a1 y' over each ordered array, from y = x at the first: an exact fold inside
-    the JVM.  The fold appends, so arrays tier kernels are the choice for long series."""
-    step = F.expr(
-        f"aggregate(sequence(1, size(data) - 1), array(data[0]), (acc, i) -> concat(acc, array({b0!r}D * data[i] + {b1!r}D * data[i - 1] - ({a1!r}D) * acc[i - 1])))"
-    )
-    return series.withColumn("data", F.when(F.size("data") > 1, step).otherwise(F.col("data")))
+    key = [c for c in ("video_id", "y", "x", "ch") if c in pixels.columns]
+    table = spark.createDataFrame([(k, w / n) for k, w in bins], "k int, w double")
+    kept = F.broadcast(table) if len(bins) <= MAX_ENTRIES else table
+    angle = F.lit(2 * pi / n) * F.pmod(F.col("k").cast("long") * F.col("t"), F.lit(n))
+    sums = pixels.crossJoin(kept).groupBy(*key, "k", "w").agg(F.sum(F.col("v") * F.cos(angle)).alias("a"), F.sum(F.col("v") * F.sin(angle)).alias("b"))
+    coefs = sums.groupBy(*key).agg(F.collect_list(F.struct("k", "w", "a", "b")).alias("coefs"))
+    turn = lambda c: F.lit(2 * pi / n) * F.pmod(c["k"].cast("long") * F.col("t"), F.lit(n))
+    value = F.aggregate("coefs", F.lit(0.0), lambda v, c: v + c["w"] * (c["a"] * F.cos(turn(c)) + c["b"] * F.sin(turn(c))))
+    return pixels.drop("v").join(coefs, key).withColumn("v", value).select(*pixels.columns)

@@ -3,7 +3,8 @@
 Every step before clipping is linear, so the builder may reorder them (config.optimize):
 filters run on shrunk frames and the result is grown afterwards, levels that are never added back are
 pruned before the exchange, and gains are folded into the filter.  Two exchanges carry the signal (by
-tile, then by frame) and one the original frames.
+tile, then by frame) and one the original frames; a recursive filter adds one of a short row for each
+block of frames.
 """
 
 from __future__ import annotations
@@ -47,28 +48,26 @@ def _scaled(x: np.ndarray, gain: float, attenuation: float, channels: np.ndarray
     return x * np.where(channels == 0, gain, gain * attenuation)
 
 
-def _signal(series: DataFrame, config: MagnifyConfig, shape: tuple[int, int], levels: int) -> DataFrame:
-    """Filters tiles and applies gains."""
-    sizes = coeffs.level_sizes(*shape, levels)
-    gains = coeffs.level_gains(sizes[: levels + int(config.residual)], config.alpha, config.lambda_cutoff)
-    cfg, tile = config, arrays.TILE
+def _signal(bands: DataFrame, frames: DataFrame, config: MagnifyConfig, shape: tuple[int, int], levels: int) -> DataFrame:
+    """Cuts bands into tiles, filters them and applies gains."""
+    cfg = config
+    if cfg.mode == "gaussian":
+        width = arrays.whole_width(frames)
+
+        def gain(y: np.ndarray, level: int, tile: int, begins: bool) -> np.ndarray:
+            return _scaled(y, cfg.alpha, cfg.attenuation, (tile * width + np.arange(y.shape[1])) % 3)
+
+        return arrays.ideal_bandpass(arrays.tiles(bands, width), cfg.fps, cfg.low_hz, cfg.high_hz, cfg.mask, cfg.padding, gain)
+    width = arrays.TILE
+    gains = coeffs.level_gains(coeffs.level_sizes(*shape, levels)[: levels + int(cfg.residual)], cfg.alpha, cfg.lambda_cutoff)
 
-    def work(table: pa.Table) -> pa.Table:
-        t, x = arrays._ordered(table)
-        level, place = table["level"][0].as_py(), table["tile"][0].as_py()
-        channels = (place * tile + np.arange(x.shape[1])) % 3
-        if cfg.mode == "gaussian":
-            y = _scaled(arrays.fft_bandpass(x, cfg.fps, cfg.low_hz, cfg.high_hz, cfg.mask, cfg.padding), cfg.alpha, cfg.attenuation, channels)
-        else:
-            y = arrays.recursive_bandpass(x, cfg.fps, cfg.low_hz, cfg.high_hz, cfg.first_frame, cfg.coefficients)
-            if 0 < level < len(gains) - 1:
-                y[1:] = _scaled(y[1:], gains[level], cfg.attenuation, channels)
-        n = len(t)
-        same = lambda name, kind: pa.array([table[name][0].as_py()] * n, kind)
-        data = pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * x.shape[1], pa.int32()), pa.array(np.ascontiguousarray(y).ravel()))
-        return pa.table({"video_id": same("video_id", pa.string()), "level": same("level", pa.int32()), "tile": same("tile", pa.int32()), "t": pa.array(t, pa.int32()), "data": data})
+    def inner_gain(y: np.ndarray, level: int, tile: int, begins: bool) -> np.ndarray:
+        if 0 < level < len(gains) - 1:
+            own = y[int(begins) :]  # a clip's first frame has no gain
+            own[:] = _scaled(own, gains[level], cfg.attenuation, (tile * width + np.arange(y.shape[1])) % 3)
+        return y
 
-    return series.groupBy("video_id", "level", "tile").applyInArrow(work, "video_id string, level int, tile int, t int, data array<double>")
+    return arrays.iir_bandpass(arrays.tiles(bands, width), cfg.fps, cfg.low_hz, cfg.high_hz, cfg.first_frame, cfg.coefficients, inner_gain)
 
 
 def magnify(frames: DataFrame, config: MagnifyConfig, shape: tuple[int, int]) -> DataFrame:
@@ -89,7 +88,7 @@ def magnify(frames: DataFrame, config: MagnifyConfig, shape: tuple[int, int]) ->
             levels -= 1
         wanted = added_levels(levels, config)
         bands = arrays.laplacian_frames(yiq, levels, config.residual, config.border, wanted if config.optimize else None)
-    signal = arrays.untile(_signal(arrays.tiles(bands), config, shape, levels))
+    signal = arrays.untile(_signal(bands, frames, config, shape, levels))
     if config.mode == "laplacian":
         signal = signal.where(F.col("level").isin(*added_levels(levels, config)) if added_levels(levels, config) else F.lit(False))
     per_frame = signal.groupBy("video_id", "t").agg(F.collect_list(F.struct("level", "data")).alias("bands"))

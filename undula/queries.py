@@ -320,9 +320,7 @@ def nearest_bin(spark, d):
 
 @query(sql_of(SQL_BINS, select=f"SELECT k FROM bins WHERE abs(hz) BETWEEN {LOW} AND {HIGH}"))
 def band_mask_cpp(spark, d):
-    n = _count(spark, d)
-    kept = {k for k, _ in coeffs.kept_bins(n, FPS, LOW, HIGH)}
-    return spark.range(n).where(F.col("id").isin(*kept, *(n - k for k in kept))).select(F.col("id").cast("int").alias("k"))
+    return fft_bins(spark, d).where(F.abs("hz").between(LOW, HIGH)).select("k")
 
 
 @query(sql_of(SQL_BINS, SQL_ONESIDED, select="SELECT k FROM kept"))
@@ -342,28 +340,29 @@ def _sql_bandpass(kept: str, source: str = GREY, key: str = "y, x") -> list[str]
 @query(sql_of(*_sql_bandpass(SQL_SYMMETRIC), select=V + "band"))
 def ideal_bandpass_symmetric(spark, d):
     n = _count(spark, d)
-    return out(px.bandpass(grey(spark, d), n, coeffs.kept_bins(n, FPS, LOW, HIGH)))
+    return out(px.bandpass(spark, grey(spark, d), n, coeffs.kept_bins(n, FPS, LOW, HIGH)))
 
 
 @query(sql_of(*_sql_bandpass(SQL_ONESIDED), select=V + "band"))
 def ideal_bandpass_onesided(spark, d):
     n = _count(spark, d)
-    return out(px.bandpass(grey(spark, d), n, coeffs.kept_bins(n, FPS, LOW, HIGH, "onesided")))
+    return out(px.bandpass(spark, grey(spark, d), n, coeffs.kept_bins(n, FPS, LOW, HIGH, "onesided")))
 
 
-def _series(spark, d) -> DataFrame:
-    return arrays.tiles(grey_frames(spark, d).select("video_id", F.lit(0).alias("level"), "t", "data"))
+def _series(spark, d, width: int = arrays.TILE) -> DataFrame:
+    return arrays.tiles(grey_frames(spark, d).select("video_id", F.lit(0).alias("level"), "t", "data"), width)
 
 
-def _untiled(series: DataFrame) -> DataFrame:
-    rows = series.select("t", "tile", F.posexplode("data").alias("i", "v")).withColumn("i", F.col("i") + F.col("tile") * arrays.TILE)
+def _untiled(series: DataFrame, width: int = arrays.TILE) -> DataFrame:
+    rows = series.select("t", "tile", F.posexplode("data").alias("i", "v")).withColumn("i", F.col("i") + F.col("tile") * width)
     return rows.select("t", F.expr("i div 8").cast("int").alias("y"), F.expr("i % 8").cast("int").alias("x"), r6("v").alias("v"))
 
 
 @query(sql_of(*_sql_bandpass(SQL_SYMMETRIC), select=V + "band"))
 def ideal_bandpass_tiles(spark, d):
     """The array tier's filter over tiles."""
-    return _untiled(arrays.ideal_bandpass(_series(spark, d), FPS, LOW, HIGH))
+    width = arrays.whole_width(grey_frames(spark, d))
+    return _untiled(arrays.ideal_bandpass(_series(spark, d, width), FPS, LOW, HIGH), width)
 
 
 # --- recursive filters -----------------------------------------------------------------------------
@@ -391,8 +390,7 @@ def butter1_high(spark, d):
 
 @query(sql_of(*SQL_IIR, select="SELECT t, y, x, round(slow, 6) + 0.0 AS v FROM run"))
 def iir_lowpass(spark, d):
-    series = px.recursive_lowpass(px.to_series(grey(spark, d)), *coeffs.first_order(LOW, FPS))
-    return out(px.from_series(series))
+    return _untiled(arrays.iir_lowpass(_series(spark, d), FPS, LOW))
 
 
 @query(sql_of(*SQL_IIR, select="SELECT t, y, x, round(CASE WHEN t = 0 THEN v ELSE fast - slow END, 6) + 0.0 AS v FROM run"))
@@ -435,7 +433,7 @@ def iir_stream_batches(spark, d):
 def gaussian_filter_attenuated(spark, d):
     """One-sided band, gain 100, chroma at half of it."""
     n = _count(spark, d)
-    band = px.bandpass(rgb(spark, d), n, coeffs.kept_bins(n, FPS, LOW, HIGH, "onesided"))
+    band = px.bandpass(spark, rgb(spark, d), n, coeffs.kept_bins(n, FPS, LOW, HIGH, "onesided"))
     return band.select("t", "y", "x", "ch", r6(F.col("v") * F.when(F.col("ch") == 0, 100.0).otherwise(50.0)).alias("v"))
 
 
