@@ -304,23 +304,27 @@ def _count(spark, d) -> int:
     return vectors(spark, d).count()
 
 
+def _bins(spark, d) -> DataFrame:
+    """(k, hz) of every bin."""
+    n, k = _count(spark, d), F.col("id")
+    hz = F.when(k < (n + 1) // 2, k).otherwise(k - n) * FPS / n
+    return spark.range(n).select(k.cast("int").alias("k"), hz.alias("hz"))
+
+
 @query(sql_of(SQL_BINS, select="SELECT k, round(hz, 6) + 0.0 AS hz FROM bins"))
 def fft_bins(spark, d):
-    n = _count(spark, d)
-    k = F.col("id")
-    hz = F.when(k < (n + 1) // 2, k).otherwise(k - n) * FPS / n
-    return spark.range(n).select(k.cast("int").alias("k"), r6(hz).alias("hz"))
+    return _bins(spark, d).select("k", r6("hz").alias("hz"))
 
 
 @query(sql_of(SQL_BINS, select=f"SELECT arg_min(k, (abs(hz - {LOW}), k)) AS low_bin, arg_min(k, (abs(hz - {HIGH}), k)) AS high_bin FROM bins"))
 def nearest_bin(spark, d):
-    bins = fft_bins(spark, d)
+    bins = _bins(spark, d)
     return bins.agg(*[F.min_by("k", F.struct(F.abs(F.col("hz") - hz), "k")).alias(f"{n}_bin") for n, hz in (("low", LOW), ("high", HIGH))])
 
 
 @query(sql_of(SQL_BINS, select=f"SELECT k FROM bins WHERE abs(hz) BETWEEN {LOW} AND {HIGH}"))
 def band_mask_cpp(spark, d):
-    return fft_bins(spark, d).where(F.abs("hz").between(LOW, HIGH)).select("k")
+    return _bins(spark, d).where(F.abs("hz").between(LOW, HIGH)).select("k")
 
 
 @query(sql_of(SQL_BINS, SQL_ONESIDED, select="SELECT k FROM kept"))
