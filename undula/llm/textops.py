@@ -49,6 +49,13 @@ def tidied(work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]])
     return run
 
 
+def distinct(values: np.ndarray) -> np.ndarray:
+    """The distinct values, sorted: by a sort, which is many times faster on whole numbers than the hash
+    table behind numpy's own function."""
+    values = np.sort(values, axis=None)
+    return values[np.append(True, values[1:] != values[:-1])] if len(values) else values
+
+
 def powers(n: int, base: np.uint64 = _BASE) -> np.ndarray:
     """base ** 0 .. base ** (n - 1) modulo 2 ** 64."""
     global _power

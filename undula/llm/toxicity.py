@@ -80,7 +80,7 @@ class CharModel:
         pairs = self.grams >> 21
         first = np.flatnonzero(np.diff(pairs, prepend=-1))
         self.pairs, total = pairs[first], np.add.reduceat(n, first) if len(n) else n
-        letters = np.unique(np.concatenate([(self.grams >> k) & 0x1FFFFF for k in (42, 21, 0)]))
+        letters = textops.distinct(np.concatenate([(self.grams >> k) & 0x1FFFFF for k in (42, 21, 0)]))
         self.letters = [c for c in map(chr, letters.tolist()) if c not in "^."] or list("abcdefghijklmnopqrstuvwxyz")
         size = len(self.letters) + 1
         self.cost = -np.log((n + 0.1) / (np.repeat(total, np.diff(first, append=len(n))) + 0.1 * size)).astype(np.float32)
@@ -473,7 +473,7 @@ def train(docs: DataFrame, labels: DataFrame, seed: int = 11) -> Model:
         for batch in batches:
             for lo, hi, buf, offsets in textops.slices(batch.column(1)):
                 rows, which, slots = make.slice(buf, offsets)
-                pair = np.unique(rows << 32 | which)
+                pair = textops.distinct(rows << 32 | which)
                 pair, times = np.unique(np.repeat(pair >> 32, slots.shape[1]) << 32 | slots[pair & 0xFFFFFFFF].ravel(), return_counts=True)
                 first = pa.array(np.searchsorted(pair >> 32, np.arange(hi - lo + 1)), pa.int32())
                 lists = [pa.ListArray.from_arrays(first, pa.array(x, t)) for x, t in ((pair & 0xFFFFFFFF, pa.int32()), (times, pa.float64()))]
@@ -524,7 +524,7 @@ def score(spark: SparkSession, docs: DataFrame, model: Model, name: str = "score
                 rows, which, slots = make.slice(buf, offsets)
                 weight = model.weights[slots].sum(1)
                 own = weight[which] != 0
-                pair = np.unique(rows[own] << 32 | which[own])
+                pair = textops.distinct(rows[own] << 32 | which[own])
                 parts.append(np.bincount(pair >> 32, weight[pair & 0xFFFFFFFF], len(offsets) - 1))
             z = np.clip(np.concatenate([*parts, np.zeros(0)]) + model.intercept, -500, 500)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(1 / (1 + np.exp(-z)))], names=[*batch.schema.names, name])
