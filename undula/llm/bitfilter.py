@@ -25,7 +25,7 @@ def places(hashes: Iterable[np.ndarray], bits: int) -> Iterator[pa.RecordBatch]:
     held: list[np.ndarray] = []
 
     def flush() -> pa.RecordBatch:
-        at = np.unique(np.concatenate(held))
+        at = textops.distinct(np.concatenate(held))
         held.clear()
         per = bits - segment_bits(bits)
         segment = (at >> np.uint32(per)).astype(np.int64)
@@ -36,7 +36,7 @@ def places(hashes: Iterable[np.ndarray], bits: int) -> Iterator[pa.RecordBatch]:
 
     for h in hashes:
         if len(h):
-            held.append(np.unique((h >> np.uint64(64 - bits)).astype(np.uint32)))
+            held.append(textops.distinct((h >> np.uint64(64 - bits)).astype(np.uint32)))
             if sum(map(len, held)) > _HELD:
                 yield flush()
     if held:
