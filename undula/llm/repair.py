@@ -21,29 +21,24 @@ LEAST, COARSE_BITS = 4, 20
 _SHIFT = np.uint64(32)
 
 
-def _heavy(seq: np.ndarray, head: np.ndarray, least: int) -> tuple[np.ndarray, int]:
-    """(the places whose pair may come `least` times or more, the most that any pair may come)."""
-    left, right = seq[:-1], seq[1:]
-    slot = ((left * np.uint32(0x9E3779B1)) ^ (right * np.uint32(0x85EBCA6B))) * np.uint32(0xC2B2AE35) >> np.uint32(32 - COARSE_BITS)
-    count = np.bincount(slot, minlength=1 << COARSE_BITS)
-    # a pair is no more frequent than its slot; pairs over a document's end only add to slots
-    at = np.flatnonzero((count >= least)[slot])
-    return at[~head[at + 1]], int(count.max())
-
-
-def _chosen(pair: np.ndarray, at: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """(places to replace, their pairs) among places `at` of pairs: pairs of at least `least` places, no
-    two places overlapping."""
+def _slots(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """The counters of pairs in the coarse count."""
+    return (((left * np.uint32(0x9E3779B1)) ^ (right * np.uint32(0x85EBCA6B))) * np.uint32(0xC2B2AE35) >> np.uint32(32 - COARSE_BITS)).astype(np.intp)
+
+
+def _chosen(pair: np.ndarray, at: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(places to replace, their pairs as numbers, the numbered pairs) among places `at` of pairs: pairs of
+    at least `least` places, no two places overlapping."""
     values, which, count = np.unique(pair, return_inverse=True, return_counts=True)
     good = count >= least
-    if not good.any():
-        return at[:0], pair[:0]
-    # rank 0 is the most frequent pair
-    rank = np.empty(len(values), np.int64)
-    rank[np.lexsort((values, -count))] = np.arange(len(values))
     keep = good[which]
-    at, pair, own = at[keep], pair[keep], rank[which[keep]]
-    while True:
+    at, which = at[keep], (np.cumsum(good) - 1)[which[keep]]
+    values, count = values[good], count[good]
+    # rank 0 is the most frequent pair; of equally frequent ones, the smaller
+    rank = np.empty(len(values), np.int64)
+    rank[np.argsort(-count, kind="stable")] = np.arange(len(values))
+    while len(at):
+        own = rank[which]
         # a place stands if its neighbours, which it would overlap, are of rarer pairs
         before = np.append(False, (at[1:] == at[:-1] + 1))
         after = np.append(before[1:], False)
@@ -54,16 +49,23 @@ def _chosen(pair: np.ndarray, at: np.ndarray, least: int) -> tuple[np.ndarray, n
         beaten = odd.copy()
         beaten[1:] |= before[1:] & (own[:-1] < own[1:])
         beaten[:-1] |= after[:-1] & (own[1:] < own[:-1])
-        won, won_pair = at[~beaten], pair[~beaten]
-        _, which, count = np.unique(won_pair, return_inverse=True, return_counts=True)
-        enough = (count >= LEAST)[which]
+        won, won_which = at[~beaten], which[~beaten]
+        count = np.bincount(won_which, minlength=len(values))
+        enough = (count >= LEAST)[won_which]
         if enough.any():
-            return won[enough], won_pair[enough]
+            return won[enough], won_which[enough], values
         # every winner is short of places: without them others may stand
-        lost = np.isin(pair, won_pair)
-        at, pair, own = at[~lost], pair[~lost], own[~lost]
-        if not len(at):
-            return at, pair
+        lost = (count > 0)[which]
+        at, which = at[~lost], which[~lost]
+    return at, which, values
+
+
+def _around(at: np.ndarray, n: int) -> np.ndarray:
+    """A mask of n places: those `at` and the ones before them."""
+    out = np.zeros(n + 1, bool)
+    out[at] = True
+    out[at - 1] = True  # place -1 is the one past the end
+    return out[:n]
 
 
 def compress(ids: np.ndarray, first: np.ndarray, terminals: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -74,12 +76,20 @@ def compress(ids: np.ndarray, first: np.ndarray, terminals: int) -> tuple[np.nda
     head[first] = True
     rules: list[np.ndarray] = []
     size, least, most = terminals, 1 << 40, 0
+    # the coarse count of all pairs is kept up as places change; the last symbol starts no pair
+    none = 1 << COARSE_BITS
+    slot = np.append(_slots(seq[:-1], seq[1:]), np.full(min(len(seq), 1), none, np.intp))
+    total = np.bincount(slot, minlength=none + 1)
     while len(seq) > 1:
-        at, top = _heavy(seq, head, min(least, len(seq)))
+        # a pair is no more frequent than its slot; pairs over a document's end only add to slots
+        hot = total >= min(least, len(seq))
+        hot[none] = False
+        at = np.flatnonzero(hot[slot])
+        at = at[~head[at + 1]]
         if least > LEAST and not len(at):
-            least, most = max(LEAST, min(least, top) // 2), 0
+            least, most = max(LEAST, min(least, int(total[:none].max())) // 2), 0
             continue
-        at, pair = _chosen(seq[at].astype(np.uint64) << _SHIFT | seq[at + 1].astype(np.uint64), at, least)
+        at, which, values = _chosen(seq[at].astype(np.uint64) << _SHIFT | seq[at + 1].astype(np.uint64), at, least)
         if not len(at) and least <= LEAST:
             break
         most = max(most, len(at))
@@ -87,11 +97,18 @@ def compress(ids: np.ndarray, first: np.ndarray, terminals: int) -> tuple[np.nda
             least, most = max(LEAST, least // 2), 0
         if not len(at):
             continue
-        new, rule = np.unique(pair, return_inverse=True)
-        seq[at] = (size + rule).astype(np.uint32)
+        used = np.bincount(which, minlength=len(values)) > 0
+        new = values[used]
+        seq[at] = (size - 1 + np.cumsum(used)[which]).astype(np.uint32)
         keep = np.ones(len(seq), bool)
         keep[at + 1] = False
-        seq, head = seq[keep], np.append(head[:-1][keep], True)
+        total -= np.bincount(slot[_around(at, len(seq)) | ~keep], minlength=none + 1)
+        seq, slot, head = seq[keep], slot[keep], np.append(head[:-1][keep], True)
+        touched = np.flatnonzero(_around(at - np.arange(len(at)), len(seq)))
+        left = touched[touched < len(seq) - 1]
+        slot[left] = _slots(seq[left], seq[left + 1])
+        slot[-1] = none
+        total += np.bincount(slot[touched], minlength=none + 1)
         rules.append(np.stack([new >> _SHIFT, new & np.uint64(0xFFFFFFFF)], 1).astype(np.uint32))
         size += len(new)
     # empty documents share a place with the next one, so ends are counted, not read from the marks
