@@ -11,6 +11,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from undula.llm import bpe, bytebpe, components, decontamination, embedding_dedup, lexicon, ngram_join, quality, repair, secret_scan, substring_dedup, textops, token_files, toxicity, warc
 
@@ -655,12 +656,56 @@ def test_substring_dedup(spark, docs, texts, none):
                 gone[k : k + 20] = [True] * 20
             seen.add(run)
         want[i] = (len(w), sum(gone), " ".join(x for x, g in zip(w, gone, strict=True) if not g))
+    want[None] = (2, 0, "no id")
     got = substring_dedup.dedup_substrings(spark, docs, filter_bits=20).collect()
     assert {r.doc_id: (r.n_words, r.n_removed, r.text) for r in got} == want and len(got) == len(want)
     assert sum(v[1] for v in want.values()) > 1000
     assert substring_dedup.dedup_substrings(spark, none, filter_bits=20).count() == 0
 
 
+def test_substring_dedup_layouts(spark):
+    """Repeats that only meet across partitions, rows that repeat whole, ids with two texts, no id."""
+    line = lambda a, n: " ".join(f"w{k}" for k in range(a, a + n))
+    rows = [(1, line(0, 40)), (2, line(0, 40)), (3, line(100, 30)), (4, line(10, 25)), (5, ""), (6, line(200, 19)), (7, None), (None, line(5, 30))]
+    want = [(1, 0), (2, 40), (3, 0), (4, 25), (5, 0), (6, 0), (7, 0), (None, 30)]
+    removed = lambda df: [(r.doc_id, r.n_removed) for r in substring_dedup.dedup_substrings(spark, df, filter_bits=16).orderBy(F.col("doc_id").isNull(), "doc_id").collect()]
+    table = lambda r, n: spark.createDataFrame(spark.sparkContext.parallelize(r, n), "doc_id long, text string")
+    assert removed(table(rows, 1)) == removed(table(rows, 8)) == removed(table(rows[::-1], 3)) == want
+    # one document in two rows, in one task and in two
+    for n in (1, 2, 16):
+        assert removed(table(rows + rows, n)) == [x for x in want for _ in (0, 1)]
+    # two texts of one id: one of them comes first, the other loses what it shares
+    for n in (1, 2):
+        got = substring_dedup.dedup_substrings(spark, table([(1, line(0, 30)), (1, line(1, 40))], n), filter_bits=16).collect()
+        assert sorted((r.n_words, r.n_removed) for r in got) in ([(30, 29), (40, 0)], [(30, 0), (40, 29)])
+
+
+def test_words_with_equal_polynomial_hashes():
+    """Words by the Thue-Morse rule, whose sums over powers of any number agree modulo 2 ** 64."""
+    for size in (1024, 4096):
+        word = "".join("ab"[bin(k).count("1") % 2] for k in range(size)).encode()
+        other = word.translate(bytes.maketrans(b"ab", b"ba"))
+        raw = np.frombuffer(word + b" " + other, np.uint8)
+        starts, ends = np.array([0, size + 1]), np.array([size, 2 * size + 1])
+        assert len(set(textops.hashes(raw, starts, ends).tolist())) == 2
+        texts = [word.decode(), other.decode()]
+        lib = token_files.library(bpe.vocabulary())
+        import pyarrow as pa
+
+        for _, _, ids, first in bpe.encode_slices(pa.array(texts), bpe.vocabulary(), None):
+            assert [ids[a:b].tolist() for a, b in zip(first[:-1], first[1:], strict=True)] == [lib.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_words_are_told_apart_by_their_bytes(monkeypatch):
+    """With a hash that maps all words to one number, words still stay apart."""
+    monkeypatch.setattr(textops, "hashes", lambda buf, starts, ends, lower=False: np.zeros(len(starts), np.uint64))
+    words = ["one", "two", "one", "three", "two", ""]
+    raw = np.frombuffer("".join(words).encode(), np.uint8)
+    ends = np.cumsum([len(w) for w in words])
+    at, back = textops.distinct_words(raw, ends - [len(w) for w in words], ends)
+    assert [words[at[k]] for k in back] == words and at.tolist() == [0, 1, 3, 5]
+
+
 def test_full_bitmap_changes_nothing(spark, docs):
     rows = [sorted(map(tuple, substring_dedup.dedup_substrings(spark, docs, filter_bits=b).collect())) for b in (8, 22)]
     assert rows[0] == rows[1]

@@ -46,11 +46,8 @@ def _pretokens(column, limit: int = SLICE):
     distinct ends, which of them each word is)."""
     for lo, hi, buf, offsets in textops.slices(column, limit):
         starts, ends, first = bytebpe.pretokens(buf, offsets)
-        _, at, back = np.unique(textops.hashes(buf, starts, ends), return_index=True, return_inverse=True)
-        order = np.argsort(at)
-        rank = np.empty(len(at), np.int64)
-        rank[order] = np.arange(len(at))
-        yield lo, hi, buf, starts, ends, first, starts[at[order]], ends[at[order]], rank[back]
+        at, which = textops.distinct_words(buf, starts, ends)
+        yield lo, hi, buf, starts, ends, first, starts[at], ends[at], which
 
 
 def frequent_words(docs: DataFrame) -> list[bytes]:

@@ -14,9 +14,13 @@ starts at a multiple of `block` in the earlier document, wherever the run starts
 
 Window hashes have 64 bits of well mixed state; equal hashes count as equal word sequences.
 
+Documents are named by doc_id and a hash of the text, and ordered by both; rows without a doc_id come
+after all others.  So rows that repeat whole (same id, same text) are one document and keep the same
+words, and rows that share an id but not the text are documents after each other.
+
 Defined cases: a null or empty text has no words and keeps an empty text; texts of fewer than
-`window` words are untouched; texts of any length are windowed whole; further columns, whatever their names, are ignored; doc_id must be
-unique; rows without one are left out.  An empty table gives an empty table.
+`window` words are untouched; texts of any length are windowed whole; further columns, whatever their
+names, are ignored.  An empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -33,47 +37,55 @@ from . import bitfilter, textops
 #: A task hands on what it has found after so many windows, which bounds its memory.
 HELD = 1 << 21
 
+#: What names a document: its place in order (doc_id, the greatest number where there is none) and a hash.
+NAME = ["doc", "own"]
+
+
+def named(docs: DataFrame, *columns: str) -> DataFrame:
+    """(doc, own, the given columns)."""
+    return docs.select(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("doc"), F.xxhash64(F.col("doc_id").isNull(), "text").alias("own"), *columns)
+
 
-def _words(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """(doc ids, bytes, starts, ends, first word of each row, word hashes) of each slice of a batch."""
-    ids = batch.column(0).to_numpy(zero_copy_only=False)
-    for lo, hi, buf, offsets in textops.slices(batch.column(1)):
+def _words(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(names as rows of two numbers, first word of each row, word hashes) of each slice of (doc, own, text)."""
+    names = np.stack([batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1)], 1)
+    for lo, hi, buf, offsets in textops.slices(batch.column(2)):
         starts, ends, first = textops.words(buf, offsets)
-        yield ids[lo:hi], buf, starts, ends, first, textops.hashes(buf, starts, ends)
+        yield names[lo:hi], first, textops.hashes(buf, starts, ends)
 
 
-def _earliest(h: np.ndarray, doc: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Sorted by (hash, doc, place), with a mark on the first of each hash."""
-    order = np.lexsort((at, doc, h))
-    h, doc, at = h[order], doc[order], at[order]
-    first = np.ones(len(h), bool)
-    first[1:] = h[1:] != h[:-1]
-    return h, doc, at, first
+def _earliest(h: np.ndarray, name: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Distinct places sorted by (hash, document, place), with a mark on the first of each hash."""
+    order = np.lexsort((at, name[:, 1], name[:, 0], h))
+    h, name, at = h[order], name[order], at[order]
+    first = np.append(True, h[1:] != h[:-1])
+    new = np.append(True, (name[1:] != name[:-1]).any(1) | (at[1:] != at[:-1])) | first
+    return h[new], name[new], at[new], first[new]
 
 
-def _runs_of(doc: np.ndarray, at: np.ndarray, n: int) -> pa.RecordBatch:
-    """One row per document: its windows as merged [start, end) runs of words."""
-    order = np.lexsort((at, doc))
-    doc, at = doc[order], at[order]
-    begin = np.ones(len(doc), bool)
-    begin[1:] = (doc[1:] != doc[:-1]) | (at[1:] > at[:-1] + n)
-    last = np.append(np.flatnonzero(begin)[1:], len(doc)) - 1
-    run_doc, run = doc[begin], np.stack([at[begin], at[last] + n], 1).astype("<i4")
-    cuts = np.flatnonzero(np.diff(run_doc)) + 1
-    rows = [r.tobytes() for r in np.split(run, cuts)] if len(run) else []
-    return pa.RecordBatch.from_arrays([pa.array(run_doc[np.concatenate([[0], cuts])] if len(run) else [], pa.int64()), pa.array(rows, pa.binary())], names=["doc_id", "runs"])
+def _runs_of(name: np.ndarray, at: np.ndarray, n: int) -> tuple[np.ndarray, list[bytes]]:
+    """(names of documents, their windows as merged [start, end) runs of words)."""
+    if not len(at):
+        return name, []
+    order = np.lexsort((at, name[:, 1], name[:, 0]))
+    name, at = name[order], at[order]
+    begin = np.append(True, (name[1:] != name[:-1]).any(1) | (at[1:] > at[:-1] + n))
+    last = np.append(np.flatnonzero(begin)[1:], len(at)) - 1
+    owner, run = name[begin], np.stack([at[begin], at[last] + n], 1).astype("<i4")
+    cuts = np.flatnonzero((owner[1:] != owner[:-1]).any(1)) + 1
+    return owner[np.append(0, cuts)], [r.tobytes() for r in np.split(run, cuts)]
 
 
 def repeated_runs(spark: SparkSession, docs: DataFrame, window: int = 20, filter_bits: int = 28) -> DataFrame:
-    """Rows (doc_id, at, runs): the starts of windows that repeat an earlier place, and word ranges
+    """Rows (doc, own, at, runs): the starts of windows that repeat an earlier place, and word ranges
     that do, as little-endian int32 pairs.  Together they are what a document repeats."""
     block, bits = window // 2, filter_bits
-    docs = docs.where("doc_id is not null").select("doc_id", "text")
+    docs = named(docs, "text")
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def blocks() -> Iterator[np.ndarray]:
             for batch in batches:
-                for _, _, _, _, first, word in _words(batch):
+                for _, first, word in _words(batch):
                     valid, row = textops.window_rows(first, block)
                     yield textops.windows(word, block)[valid & ((np.arange(len(row)) - first[row]) % block == 0)]
 
@@ -83,7 +95,7 @@ def repeated_runs(spark: SparkSession, docs: DataFrame, window: int = 20, filter
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, _, _, _, first, word in _words(batch):
+            for _, first, word in _words(batch):
                 valid, row = textops.window_rows(first, block)
                 h = textops.windows(word, block)
                 keep = np.flatnonzero(valid & bitfilter.has(indexed.value, h, bits))
@@ -102,43 +114,41 @@ def repeated_runs(spark: SparkSession, docs: DataFrame, window: int = 20, filter
 
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        names = ["h", "doc_id", "at", "runs"]
+        columns = ["h", *NAME, "at", "runs"]
 
         def flush() -> Iterator[pa.RecordBatch]:
-            h, doc, at, first = _earliest(*(np.concatenate(x) for x in zip(*held, strict=True)))
+            h, name, at, first = _earliest(*(np.concatenate(x) for x in zip(*held, strict=True)))
             held.clear()
-            late = _runs_of(doc[~first], at[~first], window)
-            n = len(late)
-            own = textops.mix(late.column(0).to_numpy().view(np.uint64)).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(own), late.column(0), pa.nulls(n, pa.int32()), late.column(1)], names=names)
-            n = int(first.sum())
-            yield pa.RecordBatch.from_arrays([pa.array(h[first].view(np.int64)), pa.array(doc[first]), pa.array(at[first].astype(np.int32)), pa.nulls(n, pa.binary())], names=names)
+            owner, runs = _runs_of(name[~first], at[~first], window)
+            yield pa.RecordBatch.from_arrays([pa.array(textops.mix(owner[:, 1].astype(np.uint64)).view(np.int64)), pa.array(owner[:, 0]), pa.array(owner[:, 1]), pa.nulls(len(runs), pa.int32()), pa.array(runs, pa.binary())], names=columns)
+            name = name[first]
+            yield pa.RecordBatch.from_arrays([pa.array(h[first].view(np.int64)), pa.array(name[:, 0]), pa.array(name[:, 1]), pa.array(at[first].astype(np.int32)), pa.nulls(len(name), pa.binary())], names=columns)
 
         for batch in batches:
-            for ids, _, _, _, first, word in _words(batch):
+            for names, first, word in _words(batch):
                 near = np.concatenate([[0], np.cumsum(bitfilter.has(anchors.value, textops.windows(word, block), bits))])
                 valid, row = textops.window_rows(first, window)
                 start = np.flatnonzero(valid)
                 start = start[near[start + window - block + 1] > near[start]]
                 if len(start):
-                    held.append((textops.windows(word, window)[start], ids[row[start]].astype(np.int64), start - first[row[start]]))
+                    held.append((textops.windows(word, window)[start], names[row[start]], start - first[row[start]]))
                 if sum(len(x[0]) for x in held) > HELD:
                     yield from flush()
         if held:
             yield from flush()
 
-    found = docs.mapInArrow(textops.tidied(extend), "h long, doc_id long, at int, runs binary")
-    # What a task settled by itself travels with its windows, under a hash of the document.
-    order = Window.partitionBy("h").orderBy(F.col("at").isNull(), "doc_id", "at")
-    late = found.withColumn("place", F.row_number().over(order)).where("at is null or place > 1")
-    return late.groupBy("doc_id").agg(F.collect_list("at").alias("at"), F.collect_list("runs").alias("runs"))
+    found = docs.mapInArrow(textops.tidied(extend), "h long, doc long, own long, at int, runs binary")
+    # What a task settled by itself travels with its windows, under a hash of the document.  A row that is
+    # in the table twice has one place twice: equal places have one rank.
+    order = Window.partitionBy("h").orderBy(F.col("at").isNull(), *NAME, "at")
+    late = found.withColumn("place", F.rank().over(order)).where("at is null or place > 1")
+    return late.groupBy(*NAME).agg(F.collect_list("at").alias("at"), F.collect_list("runs").alias("runs"))
 
 
 def dedup_substrings(spark: SparkSession, docs: DataFrame, window: int = 20, filter_bits: int = 28) -> DataFrame:
     """Rows (doc_id, n_words, n_removed, text): each document with its later repeats removed; the
     words that stay are joined by one space."""
-    docs = docs.where("doc_id is not null").select("doc_id", "text")
-    both = docs.join(repeated_runs(spark, docs, window, filter_bits), "doc_id", "left")
+    both = named(docs, "doc_id", "text").join(repeated_runs(spark, docs, window, filter_bits), NAME, "left").select("doc_id", "text", "at", "runs")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -30,10 +30,11 @@ ALNUM_WORD[0x30:0x3A] = ALNUM_WORD[0x61:0x7B] = ALNUM_WORD[0x41:0x5B] = ALNUM_WO
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 32
 
-_BASE = np.uint64(0x9E3779B97F4A7C15)
-_BYTE = np.random.default_rng(20240607).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_STEP = np.uint64(0x9E3779B97F4A7C15)
+#: A byte's value: differences of two have at most seven factors of two.
+_BYTE = np.arange(1, 257, dtype=np.uint64)
 _BYTE_LOWER = _BYTE[LOWER]
-_power = np.ones(1, np.uint64)
+_place = np.zeros(0, np.uint64)
 
 
 def tidied(work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
@@ -56,16 +57,6 @@ def distinct(values: np.ndarray) -> np.ndarray:
     return values[np.append(True, values[1:] != values[:-1])] if len(values) else values
 
 
-def powers(n: int, base: np.uint64 = _BASE) -> np.ndarray:
-    """base ** 0 .. base ** (n - 1) modulo 2 ** 64."""
-    global _power
-    if len(_power) < n:
-        out = np.full(max(n, 1024), base, np.uint64)
-        out[0] = 1
-        _power = np.multiply.accumulate(out)
-    return _power[:n]
-
-
 def mix(h: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit values that spreads every input bit."""
     h = h ^ (h >> np.uint64(31))
@@ -75,6 +66,15 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(33))
 
 
+def places(n: int) -> np.ndarray:
+    """An odd random-looking factor for each of the first n places of a word.  They have no structure
+    (powers of a number have: words that repeat a pattern at doubling distances would get equal sums)."""
+    global _place
+    if len(_place) < n:
+        _place = mix((np.arange(max(n, 1024), dtype=np.uint64) + np.uint64(1)) * _STEP) | np.uint64(1)
+    return _place[:n]
+
+
 def filled(column: pa.Array | pa.ChunkedArray) -> pa.Array:
     """The text column as one array without nulls (null reads as empty)."""
     if isinstance(column, pa.ChunkedArray):
@@ -127,12 +127,40 @@ def hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool =
     small = np.int32 if max(total, len(buf)) < 1 << 31 else np.int64
     at = np.arange(total, dtype=small)
     at -= np.repeat(first.astype(small), lens)  # place within its range
-    value = powers(int(lens.max()))[at]
+    value = places(int(lens.max()))[at]
     at += np.repeat(starts.astype(small), lens)
     value *= (_BYTE_LOWER if lower else _BYTE)[buf[at]]
     return mix(np.add.reduceat(value, first) + lens.astype(np.uint64))
 
 
+def same(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, other: np.ndarray, other_starts: np.ndarray, other_ends: np.ndarray) -> np.ndarray:
+    """Whether byte range i of buf equals byte range i of other."""
+    lens = ends - starts
+    equal = lens == other_ends - other_starts
+    rows = np.flatnonzero(equal & (lens > 0))
+    if len(rows):
+        n = lens[rows]
+        differ = buf[spans(starts[rows], n)] != other[spans(other_starts[rows], n)]
+        if differ.any():
+            equal[rows] = ~np.logical_or.reduceat(differ, np.cumsum(n) - n)
+    return equal
+
+
+def distinct_words(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(at, back): the first place of each distinct word, in order of places, and which of them each word
+    is.  Words are grouped by hash and then compared byte by byte; should two have one hash, the slice is
+    grouped by the words themselves."""
+    _, at, back = np.unique(hashes(buf, starts, ends), return_index=True, return_inverse=True)
+    if not same(buf, starts, ends, buf, starts[at][back], ends[at][back]).all():
+        raw, number = buf.tobytes(), {}
+        back = np.array([number.setdefault(raw[a:b], len(number)) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)], np.int64)
+        return np.unique(back, return_index=True)[1], back
+    order = np.argsort(at)
+    rank = np.empty(len(at), np.int64)
+    rank[order] = np.arange(len(at))
+    return at[order], rank[back]
+
+
 def windows(h: np.ndarray, n: int, base: int = 0xD6E8FEB86659FD93) -> np.ndarray:
     """The hash of every n consecutive values (len(h) - n + 1 of them), by doubling."""
     if len(h) < n:

@@ -39,7 +39,7 @@ END_ID = 0
 SLICE = 4 << 20
 NEWLINE = b"\n"
 #: Distinct pretokens whose ids a worker keeps.
-KEPT_WORDS = 400_000
+KEPT_WORDS, KEPT_BYTES = 400_000, 1 << 23
 
 
 class Library:
@@ -59,8 +59,8 @@ class Library:
         self.clear()
 
     def clear(self) -> None:
-        self.known: dict[int, int] = {}
-        self.size, self.count = [], 0
+        self.known: dict[bytes, int] = {}
+        self.size, self.count, self.bytes = [], 0, 0
         self.pool: list[np.ndarray] = []
 
     def ids_of(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -90,16 +90,20 @@ class Library:
     def encode(self, buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids, first) of a slice of documents."""
         starts, ends, first = bytebpe.pretokens(buf, offsets)
-        h, at, back = np.unique(textops.hashes(buf, starts, ends), return_index=True, return_inverse=True)
-        if len(self.known) > KEPT_WORDS:
+        at, back = textops.distinct_words(buf, starts, ends)
+        begin, end = starts[at], ends[at]
+        if len(self.known) > KEPT_WORDS or self.bytes > KEPT_BYTES:
             self.clear()
-        number = np.array([self.known.get(x, -1) for x in h.tolist()], np.int64)
+        raw = buf.tobytes()
+        words = [raw[a:b] for a, b in zip(begin.tolist(), end.tolist(), strict=True)]
+        number = np.array([self.known.get(w, -1) for w in words], np.int64)
         new = np.flatnonzero(number < 0)
         if len(new):
-            raw = buf.tobytes()
-            ids, sizes = self.ids_of([raw[a:b] for a, b in zip(starts[at[new]].tolist(), ends[at[new]].tolist(), strict=True)])
+            fresh = [words[i] for i in new.tolist()]
+            ids, sizes = self.ids_of(fresh)
             number[new] = self.count + np.arange(len(new))
-            self.known.update(zip(h[new].tolist(), number[new].tolist(), strict=True))
+            self.bytes += sum(map(len, fresh))
+            self.known.update(zip(fresh, number[new].tolist(), strict=True))
             self.count += len(new)
             self.pool.append(ids)
             self.size.append(sizes)
