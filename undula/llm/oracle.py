@@ -55,3 +55,37 @@ each AS (SELECT doc_id, p, ws[p + 1] AS word FROM w, unnest(range(len(ws))) r(p)
 kept AS (SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY p) AS text FROM each ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id)
 SELECT w.doc_id, len(ws)::BIGINT AS n_words, (len(ws) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(text, '')) AS kept_sha256 FROM w LEFT JOIN kept USING (doc_id)
 """
+
+SEARCH_TERMS = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+OP12 = f"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS id, regexp_extract_all({LOWER}, '{SEARCH_TERMS}') AS ws FROM documents),
+q AS (SELECT item_id, row_number() OVER () AS item, regexp_extract_all({LOWER}, '{SEARCH_TERMS}') AS ws FROM benchmark),
+s AS (SELECT count(*)::BIGINT AS n, sum(len(ws))::BIGINT AS l FROM d WHERE len(ws) > 0),
+qt AS (SELECT item, item_id, term, count(*) AS times FROM (SELECT item, item_id, unnest(ws) AS term FROM q) GROUP BY ALL),
+tf AS (SELECT id, doc_id, term, size, count(*) AS tf FROM (SELECT id, doc_id, len(ws) AS size, unnest(ws) AS term FROM d) WHERE term IN (SELECT term FROM qt) GROUP BY ALL),
+w AS (SELECT term, floor(1000 * ln((2 * any_value(s.n) + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM tf, s GROUP BY term),
+hit AS (SELECT item, item_id, id, doc_id, sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * size * s.n) // s.l))))::BIGINT AS score FROM tf JOIN w USING (term) JOIN qt USING (term), s GROUP BY ALL),
+r AS (SELECT item_id, row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id, id)::INT AS rank, doc_id, score FROM hit WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 20
+"""
+
+LETTERS = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
+OP13 = f"""
+WITH d AS (SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all({LOWER}, '{LETTERS}') AS ws FROM documents),
+t AS (SELECT id, lang, source, unnest(ws) AS term FROM d),
+k AS (SELECT lang, term, count(*) AS total FROM t GROUP BY ALL HAVING count(DISTINCT id) >= 3),
+l AS (SELECT lang, count(*) AS v, sum(total) AS n FROM k GROUP BY lang),
+c AS (SELECT lang, source, term, count(*) AS n FROM t JOIN k USING (lang, term) GROUP BY ALL),
+g AS (SELECT lang, source, coalesce(sum(c.n), 0) AS n FROM (SELECT DISTINCT lang, source FROM d) LEFT JOIN c USING (lang, source) GROUP BY ALL),
+p AS (
+  SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, 1 + (1000000000 * (coalesce(c.n, 0) + 1))::HUGEINT // (g.n + l.v) AS p, 1 + (1000000000 * (k.total + 1))::HUGEINT // (l.n + l.v) AS q
+  FROM g JOIN k USING (lang) JOIN l USING (lang) LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term
+),
+f AS (SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // b.p) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+o AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(f.value, 0)::BIGINT AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source
+  UNION ALL SELECT lang, source, 'term', term, (((p - q) * (p - q)) // q)::BIGINT FROM p WHERE n > 0 AND p > q
+),
+r AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INT AS rank FROM o)
+SELECT lang, source, part, item, value, rank FROM r WHERE part = 'pair' OR rank <= 200
+"""

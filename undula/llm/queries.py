@@ -80,7 +80,13 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_substrings(spark, table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 
-OPERATORS = (op1_ngram_jaccard_join, op2_bpe, op3_toxicity, op4_warc, op5_secret_scan, op6_decontamination, op7_embedding_dedup, op8_quality, op9_token_files, op10_substring_dedup)
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .divergence import divergences
+
+    return divergences(spark, table(spark, sf_dir, "documents"))
+
+
+OPERATORS = (op1_ngram_jaccard_join, op2_bpe, op3_toxicity, op4_warc, op5_secret_scan, op6_decontamination, op7_embedding_dedup, op8_quality, op9_token_files, op10_substring_dedup, op13_source_divergence)
 QUERIES = {f.__name__: f for f in OPERATORS}
 ORACLE_SQL = {
     "op1_ngram_jaccard_join": oracle.OP1,
@@ -88,4 +94,5 @@ ORACLE_SQL = {
     "op6_decontamination": oracle.OP6,
     "op7_embedding_dedup": oracle.OP7,
     "op10_substring_dedup": oracle.OP10,
+    "op13_source_divergence": oracle.OP13,
 }
