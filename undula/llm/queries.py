@@ -80,13 +80,30 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_substrings(spark, table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op11_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import lm_score
+    from .shared import kept, scratch
+
+    with scratch(spark):
+        return kept(spark, lm_score.score(spark, table(spark, sf_dir, "documents")), "scores", stays=True)
+
+
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import ranked_search
+    from .shared import kept, scratch
+
+    with scratch(spark):
+        index = ranked_search.build(spark, table(spark, sf_dir, "documents"))
+        return kept(spark, ranked_search.search(spark, index, table(spark, sf_dir, "benchmark")), "ranked", stays=True)
+
+
 def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .divergence import divergences
 
     return divergences(spark, table(spark, sf_dir, "documents"))
 
 
-OPERATORS = (op1_ngram_jaccard_join, op2_bpe, op3_toxicity, op4_warc, op5_secret_scan, op6_decontamination, op7_embedding_dedup, op8_quality, op9_token_files, op10_substring_dedup, op13_source_divergence)
+OPERATORS = (op1_ngram_jaccard_join, op2_bpe, op3_toxicity, op4_warc, op5_secret_scan, op6_decontamination, op7_embedding_dedup, op8_quality, op9_token_files, op10_substring_dedup, op11_lm_score, op12_ranked_search, op13_source_divergence)
 QUERIES = {f.__name__: f for f in OPERATORS}
 ORACLE_SQL = {
     "op1_ngram_jaccard_join": oracle.OP1,
@@ -94,5 +111,6 @@ ORACLE_SQL = {
     "op6_decontamination": oracle.OP6,
     "op7_embedding_dedup": oracle.OP7,
     "op10_substring_dedup": oracle.OP10,
+    "op12_ranked_search": oracle.OP12,
     "op13_source_divergence": oracle.OP13,
 }
