@@ -6,7 +6,7 @@ from pyspark.errors import AnalysisException
 
 from undula.config import BABY, CPP, CUDA, PYTHON
 from undula.functions import coeffs, color, stencils
-from undula.operators import arrays, metrics, pixels
+from undula.operators import arrays, metrics, pixels, recursive, spectral, tiles
 from undula.plans.magnify import magnify
 from undula.sources import frames as fr
 from undula.streaming.recursive import iir_stream, refuse_stream
@@ -36,7 +36,7 @@ def brute_gaussian(x, cfg):
     yiq = x @ np.array(color.YIQ).T
     m, k = stencils.gaussian(x.shape[1], cfg.levels, cfg.border, cfg.size_rule), stencils.gaussian(x.shape[2], cfg.levels, cfg.border, cfg.size_rule)
     band = np.einsum("ab,tbxc,dx->tadc", m, yiq, k)
-    f = np.abs(np.fft.fftfreq(len(x), 1 / cfg.fps))
+    f = np.abs(np.fft.fftfreq(len(x), 1 / (cfg.fps or 30)))
     mask = (f >= cfg.low_hz) & (f <= cfg.high_hz)
     signal = np.real(np.fft.ifft(np.fft.fft(band, axis=0) * mask[:, None, None, None], axis=0)) * cfg.alpha * np.array([1, cfg.attenuation, cfg.attenuation])
     return np.rint(np.clip((yiq + signal) @ np.array(color.inverse()).T, 0, 255))
@@ -46,21 +46,21 @@ def test_gaussian_pipeline(spark, values):
     cfg = replace(SMALL, attenuation=0.3, alpha=8.0)
     want = brute_gaussian(values, cfg).reshape(48, -1)
     for optimize in (True, False):
-        got = result(magnify(clip(spark, values), replace(cfg, optimize=optimize), (7, 10)))
+        got = result(magnify(clip(spark, values), replace(cfg, optimize=optimize)))
         assert np.abs(got - want).max() <= 1 and (got != want).mean() < 0.001
 
 
 @pytest.mark.parametrize("base", [BABY, PYTHON, CUDA])
 def test_laplacian_optimised_is_the_same(spark, values, base):
     cfg = replace(base, mode="laplacian", levels=3, low_hz=0.4, high_hz=3.0, alpha=10.0)
-    a, b = (result(magnify(clip(spark, values), replace(cfg, optimize=o), (7, 10))) for o in (True, False))
+    a, b = (result(magnify(clip(spark, values), replace(cfg, optimize=o))) for o in (True, False))
     assert np.abs(a - b).max() <= 1 and (a != b).mean() < 0.001 and a.shape == (48, 210)
 
 
 def test_tile_size_does_not_matter(spark, values, monkeypatch):
-    want = result(magnify(clip(spark, values), SMALL, (7, 10)))
-    monkeypatch.setattr(arrays, "TILE", 5)
-    made = arrays.untile(arrays.tiles(clip(spark, values).selectExpr("video_id", "0 as level", "t", "data"), 5))
+    want = result(magnify(clip(spark, values), SMALL))
+    monkeypatch.setattr(tiles, "TILE", 5)
+    made = tiles.untile(tiles.tiles(clip(spark, values).selectExpr("video_id", "0 as level", "t", "data"), 5))
     assert {r.t: r.data for r in made.collect()} == {t: values[t].ravel().tolist() for t in range(48)}
     assert want.shape == (48, 210)
 
@@ -79,33 +79,32 @@ def test_filters_in_blocks_of_time_and_narrow_tiles(spark, values, monkeypatch):
             slow, fast = l0 * x[k] + l1 * x[k - 1] - la * slow, h0 * x[k] + h1 * x[k - 1] - ha * fast
             want[k] = fast - slow
         for block in (1, 7, 1024):
-            monkeypatch.setattr(arrays, "BLOCK", block)
-            got = sorted(arrays.iir_bandpass(series, 30.0, 0.4, 3.0, first, kind).collect(), key=lambda r: r.t)
+            monkeypatch.setattr(recursive, "BLOCK", block)
+            got = sorted(recursive.iir_bandpass(series, 30.0, 0.4, 3.0, first, kind).collect(), key=lambda r: r.t)
             assert [r.t for r in got] == t and np.allclose([r.data for r in got], want, atol=1e-9)
     for base in (SMALL, replace(BABY, levels=3, high_hz=3.0)):
-        monkeypatch.setattr(arrays, "BLOCK", 1024)
-        monkeypatch.setattr(arrays, "GROUP", 1 << 22)
-        whole = result(magnify(clip(spark, values), base, (7, 10)))
-        monkeypatch.setattr(arrays, "BLOCK", 7)
-        monkeypatch.setattr(arrays, "GROUP", 48 * 4)
-        assert (result(magnify(clip(spark, values), base, (7, 10))) == whole).mean() > 0.999
+        monkeypatch.setattr(recursive, "BLOCK", 1024)
+        monkeypatch.setattr(spectral, "GROUP", 1 << 22)
+        whole = result(magnify(clip(spark, values), base))
+        monkeypatch.setattr(recursive, "BLOCK", 7)
+        monkeypatch.setattr(spectral, "GROUP", 48 * 4)
+        assert (result(magnify(clip(spark, values), base)) == whole).mean() > 0.999
 
 
 def test_long_clips_in_blocks_read_once(spark):
     series = spark.range(5000).selectExpr("'v' as video_id", "0 as level", "0 as tile", "cast(id as int) as t", "array(cast(id % 7 as double)) as data")
-    made = arrays.iir_lowpass(series, 30.0, 0.4)
+    made = recursive.iir_lowpass(series, 30.0, 0.4)
     assert made.count() == 5000
-    assert arrays.whole_width(series.selectExpr("video_id", "t")) == min(arrays.TILE, arrays.GROUP // 5000)
 
 
 def test_constant_clip_is_unchanged(spark):
     x = np.full((32, 6, 6, 3), 90.0)
-    assert (result(magnify(clip(spark, x), SMALL, (6, 6))) == 90).all()
+    assert (result(magnify(clip(spark, x), SMALL)) == 90).all()
 
 
 def test_clips_do_not_mix(spark, values):
-    alone = result(magnify(clip(spark, values), SMALL, (7, 10)))
-    both = magnify(clip(spark, values).union(clip(spark, 255 - values, "w")), SMALL, (7, 10))
+    alone = result(magnify(clip(spark, values), SMALL))
+    both = magnify(clip(spark, values).union(clip(spark, 255 - values, "w")), SMALL)
     assert (result(both.where("video_id = 'v'")) == alone).all()
 
 

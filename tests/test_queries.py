@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from undula import queries
+from undula import clip_queries as queries
 
 DATA = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")

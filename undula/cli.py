@@ -26,7 +26,7 @@ def parser() -> argparse.ArgumentParser:
     run.add_argument("--preset", choices=sorted(PRESETS))
     for f in fields(MagnifyConfig):
         kind = type(f.default)
-        run.add_argument(f"--{f.name}", type=(lambda v: v.lower() in ("1", "true", "yes")) if kind is bool else kind)
+        run.add_argument(f"--{f.name}", type=(lambda v: v.lower() in ("1", "true", "yes")) if kind is bool else float if f.default is None else kind)
     run.add_argument("--warm_up", type=int, default=0, help="runs that aren't measured")
     run.add_argument("--runs", type=int, default=1)
     report = sub.add_parser("psnr")
@@ -45,16 +45,13 @@ def main(argv: list[str] | None = None) -> None:
     spark = ship(SparkSession.builder.appName("undula").getOrCreate())
     if args.command == "magnify":
         clip = fr.read_frames(spark, args.source)
-        first = clip.select("h", "w", fr.effective_fps(F.col("fps")).alias("fps")).first()
         config = config_of(args)
-        if args.fps is None:  # the clip's own rate, unless one is given
-            config = replace(config, fps=first.fps)
-        out = magnify(clip, config, (first.h, first.w))
+        out = magnify(clip, config)
         took = []
         for k in range(args.warm_up + args.runs):
             began = time.time()
             if args.target.lower().endswith(".avi"):
-                fr.write_avi(out, args.target, config.fps)
+                fr.write_avi(out, args.target, config.fps or clip.select(fr.effective_fps(F.col("fps"))).first()[0])
             else:
                 fr.write_images(out, args.target)
             if k >= args.warm_up:

@@ -15,10 +15,11 @@ class MagnifyConfig:
     lambda_cutoff: float = 16.0
     low_hz: float = 0.8333
     high_hz: float = 1.0
-    fps: float = 30.0
+    fps: float | None = None  # for all clips; else each clip's own, or 30
     attenuation: float = 1.0
     border: str = "reflect101"  # or reflect (edge repeating)
     size_rule: str = "ceil"  # or floor
+    repair: bool = False  # up-sample by doubling sides only, and bring the result to the frame's size
     residual: bool = True  # keep the coarsest level in a Laplacian pyramid
     added_levels: str = "inner_residual"  # inner_residual: 1..n-1; inner: 1..n-2; outer: 0..n-2
     mask: str = "symmetric"  # or onesided: positive bins [low, high) only
@@ -36,11 +37,11 @@ class MagnifyConfig:
             raise ValueError("levels must be from 1 (0 for gaussian) to 10")
         if self.alpha < 0:
             raise ValueError("alpha must not be negative")
-        if self.fps <= 0:
+        if self.fps is not None and self.fps <= 0:
             raise ValueError("fps must be positive")
         if not 0 < self.low_hz < self.high_hz:
             raise ValueError("0 < low_hz < high_hz is needed")
-        if self.mode == "laplacian" and self.high_hz >= self.fps / 2:
+        if self.mode == "laplacian" and self.fps is not None and self.high_hz >= self.fps / 2:
             raise ValueError("high_hz must be under half of fps")
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from math import hypot, pi, tan
+from math import hypot, pi, sin, tan
 
 import numpy as np
 
@@ -32,6 +32,32 @@ def first_order(cutoff: float, fs: float, kind: str = "butterworth") -> tuple[fl
     return float(b[0]), float(b[1]), float(a[1])
 
 
+def first_order_section(cutoff: float, fs: float, kind: str = "butterworth") -> tuple[tuple[float, ...], ...]:
+    """An order-1 low-pass as a cascade of one section, whose first output is its first input."""
+    b0, b1, a1 = first_order(cutoff, fs, kind)
+    return ((b0, b1, 0.0, a1, 0.0, 1.0),)
+
+
+def sections(order: int, cutoff: float, btype: str, fs: float) -> tuple[tuple[float, ...], ...]:
+    """A Butterworth filter of any order as second-order sections (b0, b1, b2, a1, a2, gain at rest), one for
+    each pair of poles and an order-1 section where one pole is left."""
+    if order < 1 or fs <= 0 or not 0 < cutoff < fs / 2:
+        raise ValueError("order >= 1 and 0 < cutoff < fs / 2 are needed")
+    if btype not in ("low", "high"):
+        raise ValueError(f"btype {btype!r}")
+    k, low = tan(pi * cutoff / fs), btype == "low"
+    out = []
+    for j in range(order // 2):
+        damping = 2 * sin(pi * (2 * j + 1) / (2 * order))
+        norm = 1 / (1 + damping * k + k * k)
+        b = k * k * norm if low else norm
+        out.append((b, 2 * b if low else -2 * b, b, 2 * (k * k - 1) * norm, (1 - damping * k + k * k) * norm, float(low)))
+    if order % 2:
+        b = k / (1 + k) if low else 1 / (1 + k)
+        out.append((b, b if low else -b, 0.0, (k - 1) / (k + 1), 0.0, float(low)))
+    return tuple(out)
+
+
 def frequencies(n: int, fps: float) -> np.ndarray:
     """The frequency of every bin, negative ones in the upper half."""
     k = np.arange(n)
@@ -47,8 +73,8 @@ def kept_bins(n: int, fps: float, low: float, high: float, mask: str = "symmetri
     """(bin, weight) so that y_t = 1/n * sum of weight * (a cos + b sin) over non-negative bins."""
     if mask == "onesided":
         return [(k, 1.0) for k in range(nearest_bin(n, fps, low), nearest_bin(n, fps, high))]
-    f = np.abs(frequencies(n, fps))
-    return [(k, 1.0 if k == 0 or 2 * k == n else 2.0) for k in range(n // 2 + 1) if low <= f[k] <= high]
+    f = np.abs(frequencies(n, fps))[: n // 2 + 1]
+    return [(k, 1.0 if k == 0 or 2 * k == n else 2.0) for k in np.flatnonzero((low <= f) & (f <= high)).tolist()]
 
 
 def smooth_length(n: int) -> int:

@@ -63,6 +63,15 @@ def bilinear(n: int, size: int) -> np.ndarray:
     return out
 
 
+def window(n: int, size: int = 11, sigma: float = 1.5, border: str = "reflect101") -> np.ndarray:
+    """n x n: means under a Gaussian window of `size` places around each one."""
+    out, reach = np.zeros((n, n)), size // 2
+    weight = np.exp(-0.5 * (np.arange(-reach, reach + 1) / sigma) ** 2)
+    for d, k in zip(range(-reach, reach + 1), weight / weight.sum(), strict=True):
+        np.add.at(out, (np.arange(n), mirror(np.arange(n) + d, n, border)), k)
+    return out
+
+
 def gaussian(n: int, levels: int, border: str = "reflect101", rule: str = "ceil") -> np.ndarray:
     """n x n: `levels` times down and up again to the recorded sizes, as one matrix."""
     sizes = [n]

@@ -1,9 +1,7 @@
-"""The array tier: the same operators on whole frames and tiles, as NumPy inside Arrow batches.
+"""The array tier: the spatial operators on whole frames, as NumPy inside Arrow batches.
 
-Spatial operators are frame-local (mapInArrow, no exchange).  Temporal operators exchange by tiles, bounded
-runs of a frame's values.  Recursive filters also cut time into blocks and carry the state over them.  The
-frequency filter needs a series whole, so its tiles get narrower as clips get longer.  Groups are bounded
-in both, whatever the resolution and the length.
+They are frame-local (mapInArrow, no exchange) and take frames of any sizes together.  Filters along time
+are in spectral.py and recursive.py; both work on tiles, bounded runs of a frame's values.
 """
 
 from __future__ import annotations
@@ -13,23 +11,18 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from ..functions import coeffs, stencils
+from . import clips
 
-TILE = 2048
-#: Values in a group of a filter that needs whole series: frames x width of a tile.
-GROUP = 1 << 22
-#: Frames in a group of a recursive filter.
-BLOCK = 1024
-SERIES = "video_id string, level int, tile int, t int, data array<double>"
-#: (values, level, tile, whether they begin at the clip's first frame) to values: gains, inside a filter's task.
-Finish = Callable[[np.ndarray, int, int, bool], np.ndarray]
-BANDS = "video_id string, level int, t int, h int, w int, c int, data array<double>"
+#: A band of a frame: its level, its own size, the clip's rate and the gain that the level gets (null: none).
+BANDS = "video_id string, level int, t int, h int, w int, c int, fps double, gain double, data array<double>"
+#: (values of frames of one size) to (level, gain, values of the band).
+Make = Callable[[np.ndarray], Iterator[tuple[int, float | None, np.ndarray]]]
 
 
 def _frames(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, tuple[int, int, int], np.ndarray]]:
-    """(rows, shape, values) for each frame shape in a batch of (video_id, t, h, w, c, data)."""
+    """(rows, shape, values) for each frame shape in a batch of (video_id, t, h, w, c, data, ...)."""
     shape = np.stack([batch.column(i).to_numpy(zero_copy_only=False) for i in (2, 3, 4)], 1)
     for own in np.unique(shape, axis=0):
         rows = np.flatnonzero((shape == own).all(1))
@@ -38,25 +31,25 @@ def _frames(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, tuple[int, int,
         yield rows, (h, w, c), data.reshape(len(rows), h, w, c)
 
 
-def _rows(batch: pa.RecordBatch, rows: np.ndarray, level: int, values: np.ndarray) -> pa.RecordBatch:
+def _rows(batch: pa.RecordBatch, rows: np.ndarray, level: int, gain: float | None, values: np.ndarray) -> pa.RecordBatch:
     n, h, w, c = values.shape
     offsets = pa.array(np.arange(n + 1) * (h * w * c), pa.int32())
     take = pa.array(rows)
     same = lambda v: pa.array(np.full(n, v), pa.int32())
     return pa.RecordBatch.from_arrays(
-        [batch.column(0).take(take), same(level), batch.column(1).take(take), same(h), same(w), same(c), pa.ListArray.from_arrays(offsets, pa.array(values.ravel()))],
-        names=["video_id", "level", "t", "h", "w", "c", "data"],
+        [batch.column(0).take(take), same(level), batch.column(1).take(take), same(h), same(w), same(c), batch.column(6).take(take), pa.array([gain] * n, pa.float64()), pa.ListArray.from_arrays(offsets, pa.array(values.ravel()))],
+        names=["video_id", "level", "t", "h", "w", "c", "fps", "gain", "data"],
     )
 
 
-def _bands(frames: DataFrame, make: Callable[[np.ndarray], Iterator[tuple[int, np.ndarray]]]) -> DataFrame:
+def _bands(frames: DataFrame, make: Make) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows, _, values in _frames(batch):
-                for level, band in make(values):
-                    yield _rows(batch, rows, level, band)
+                for level, gain, band in make(values):
+                    yield _rows(batch, rows, level, gain, band)
 
-    return frames.select("video_id", "t", "h", "w", "c", "data").mapInArrow(work, BANDS)
+    return clips.rated(frames).select("video_id", "t", "h", "w", "c", "data", "fps").mapInArrow(work, BANDS)
 
 
 def shrink(x: np.ndarray, levels: int, border: str, rule: str) -> np.ndarray:
@@ -67,186 +60,57 @@ def shrink(x: np.ndarray, levels: int, border: str, rule: str) -> np.ndarray:
     return x
 
 
-def grow(x: np.ndarray, sizes: list[tuple[int, int]], border: str) -> np.ndarray:
-    """Up-samples through the given sizes, coarse to fine."""
+def grow(x: np.ndarray, sizes: list[tuple[int, int]], border: str, repair: bool = False) -> np.ndarray:
+    """Up-samples through the given sizes, coarse to fine.  With `repair` each step only doubles a side (or
+    doubles it less one), and what doesn't end in the last size is brought to it by linear interpolation."""
     for h, w in sizes:
+        if repair:
+            h, w = stencils.up_size(x.shape[1], h), stencils.up_size(x.shape[2], w)
         x = stencils.along(x, stencils.up(x.shape[1], h, border), 1)
         x = stencils.along(x, stencils.up(x.shape[2], w, border), 2)
+    for axis, side in enumerate(sizes[-1] if sizes and repair else (), 1):
+        if x.shape[axis] != side:
+            x = stencils.along(x, stencils.bilinear(x.shape[axis], side), axis)
     return x
 
 
-def gaussian_frames(frames: DataFrame, levels: int, border: str = "reflect101", rule: str = "ceil", full: bool = True) -> DataFrame:
+def gaussian_frames(frames: DataFrame, levels: int, border: str = "reflect101", rule: str = "ceil", full: bool = True, repair: bool = False) -> DataFrame:
     """Blurred frames at full size, or (full=False) only shrunk: what a filter needs to see."""
 
     def make(x: np.ndarray):
         sizes = coeffs.level_sizes(*x.shape[1:3], levels, rule)
         small = shrink(x, levels, border, rule)
-        yield levels, grow(small, sizes[-2::-1], border) if full and levels else small
+        yield levels, None, grow(small, sizes[-2::-1], border, repair) if full and levels else small
 
     return _bands(frames, make)
 
 
-def laplacian_frames(frames: DataFrame, levels: int, residual: bool, border: str = "reflect101", wanted: tuple[int, ...] | None = None) -> DataFrame:
-    """One row per frame and band; `wanted` prunes levels that are never added back."""
+def usable_levels(h: int, w: int, levels: int) -> int:
+    """How many bands a frame of this size has: halving ends where a side is 1."""
+    while levels > 1 and min(coeffs.level_sizes(h, w, levels - 1)[-1]) <= 1:
+        levels -= 1
+    return levels
+
+
+def laplacian_frames(frames: DataFrame, levels: int, residual: bool, border: str = "reflect101", wanted: Callable[[int], tuple[int, ...]] | None = None, gains: Callable[[list[tuple[int, int]]], list[float]] | None = None) -> DataFrame:
+    """One row per frame and band, by each frame's own size.  `wanted` says of how many bands which are made,
+    `gains` what the levels of these sizes get."""
 
     def make(x: np.ndarray):
-        for level in range(levels):
+        h, w = x.shape[1:3]
+        n = usable_levels(h, w, levels)
+        gain = gains(coeffs.level_sizes(h, w, n)[: n + int(residual)]) if gains else [None] * (n + 1)
+        own = range(n + 1) if wanted is None else wanted(n)
+        for level in range(n):
             h, w = x.shape[1:3]
-            if min(h, w) <= 1:
+            if min(h, w) <= 1:  # a frame of one line has no band
+                n = level
                 break
             small = shrink(x, 1, border, "ceil")
-            if wanted is None or level in wanted:
-                yield level, x - grow(small, [(h, w)], border)
+            if level in own:
+                yield level, gain[level], x - grow(small, [(h, w)], border)
             x = small
-        else:
-            level = levels
-        if residual and (wanted is None or level in wanted):
-            yield level, x
+        if residual and n in own:
+            yield n, gain[n], x
 
     return _bands(frames, make)
-
-
-def tiles(bands: DataFrame, tile: int | None = None) -> DataFrame:
-    """Rows (video_id, level, tile, t, data): runs of a frame's values."""
-    width = tile or TILE
-    cut = F.posexplode(F.transform(F.sequence(F.lit(0), F.greatest(F.size("data") - 1, F.lit(0)), F.lit(width)), lambda i: F.slice("data", i + 1, F.lit(width))))
-    return bands.select("video_id", "level", "t", cut.alias("tile", "data"))
-
-
-def whole_width(frames: DataFrame) -> int:
-    """The width of tiles for a filter that needs whole series: the longer the longest clip, the narrower,
-    so that a group never holds more than GROUP values.  Counts the frames of each clip."""
-    longest = frames.groupBy("video_id").count().agg(F.max("count")).first()[0] or 1
-    return max(1, min(TILE, GROUP // longest))
-
-
-def _ordered(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    """(t, values by t): duplicates of a t keep the first."""
-    table = table.sort_by("t").combine_chunks()
-    t = table["t"].to_numpy()
-    x = table["data"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(t), -1)
-    keep = np.append(True, t[1:] != t[:-1])
-    return t[keep], x[keep]
-
-
-def _series(table: pa.Table, t: np.ndarray, y: np.ndarray) -> pa.Table:
-    n = len(t)
-    same = lambda name, kind: pa.array([table[name][0].as_py()] * n, kind)
-    data = pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * y.shape[1], pa.int32()), pa.array(np.ascontiguousarray(y).ravel()))
-    return pa.table({"video_id": same("video_id", pa.string()), "level": same("level", pa.int32()), "tile": same("tile", pa.int32()), "t": pa.array(t, pa.int32()), "data": data})
-
-
-def fft_bandpass(x: np.ndarray, fps: float, low: float, high: float, mask: str = "symmetric", padding: str = "none") -> np.ndarray:
-    """Keeps the band of every column's series: a projection where few bins are kept, else a transform."""
-    n = len(x)
-    if padding == "optimal":
-        size = coeffs.smooth_length(n)
-        return fft_bandpass(np.concatenate([x, np.zeros((size - n, x.shape[1]))]), fps, low, high, mask)[:n]
-    bins = coeffs.kept_bins(n, fps, low, high, mask)
-    if not bins:
-        return np.zeros_like(x)
-    if len(bins) > 4 * np.log2(n + 1) and bins[-1][0] <= n // 2:
-        weight = np.zeros(n // 2 + 1)
-        for k, w in bins:  # the inverse transform counts a bin twice, but for the first and the middle one
-            weight[k] = w if k == 0 or 2 * k == n else w / 2
-        return np.fft.irfft(np.fft.rfft(x, axis=0) * weight[:, None], n, axis=0)
-    angle = 2 * np.pi * np.outer(np.arange(n), [k for k, _ in bins]) / n
-    weight = np.array([w for _, w in bins]) / n
-    c, s = np.cos(angle), np.sin(angle)
-    return (c * weight) @ (c.T @ x) + (s * weight) @ (s.T @ x)
-
-
-def ideal_bandpass(series: DataFrame, fps: float, low: float, high: float, mask: str = "symmetric", padding: str = "none", finish: Finish | None = None) -> DataFrame:
-    """One group for each tile's whole series; cut tiles by whole_width."""
-
-    def work(table: pa.Table) -> pa.Table:
-        t, x = _ordered(table)
-        y = fft_bandpass(x, fps, low, high, mask, padding)
-        return _series(table, t, finish(y, table["level"][0].as_py(), table["tile"][0].as_py(), True) if finish else y)
-
-    return series.groupBy("video_id", "level", "tile").applyInArrow(work, SERIES)
-
-
-def low_passes(x: np.ndarray, passes: list[tuple[float, float, float]], before: list[np.ndarray] | None) -> list[np.ndarray]:
-    """Every order-1 low-pass (b0, b1, a1) over rows of x, after the state (last input, each pass's last
-    output); without one, outputs start at the first input."""
-    out = []
-    for k, (b0, b1, a1) in enumerate(passes):
-        y = np.empty_like(x)
-        y[0] = x[0] if before is None else b0 * x[0] + b1 * before[0] - a1 * before[1 + k]
-        drive = b0 * x[1:] + b1 * x[:-1]
-        for t in range(1, len(x)):
-            y[t] = drive[t - 1] - a1 * y[t - 1]
-        out.append(y)
-    return out
-
-
-def recursive_bandpass(x: np.ndarray, fps: float, low: float, high: float, first_frame: str = "raw", kind: str = "butterworth") -> np.ndarray:
-    """The band-pass of iir_bandpass over rows of one array that begins with a clip."""
-    if not len(x):
-        return np.empty_like(x)
-    fast, slow = low_passes(x, [coeffs.first_order(hz, fps, kind) for hz in (high, low)], None)
-    out = fast - slow
-    out[0] = x[0] if first_frame == "raw" else 0.0
-    return out
-
-
-def recursive(series: DataFrame, passes: list[tuple[float, float, float]], weights: list[float], first_frame: str = "raw", finish: Finish | None = None) -> DataFrame:
-    """The weighted sum of order-1 low-passes along each tile's series, in blocks of BLOCK frames.
-
-    The filters are linear: each block first runs from a zero state, the states at the blocks' ends are
-    carried along a series (one short row a block, streamed in order), and each block runs again from the
-    state before it.  Groups hold BLOCK frames of a tile whatever the clip's length, and the blocks of one
-    series are separate tasks.
-    """
-    start, span, n = first_frame, BLOCK, 1 + len(passes)
-    blocks = series.select("video_id", "level", "tile", "t", "data", F.floor(F.col("t") / span).cast("int").alias("block"))
-    key = ["video_id", "level", "tile", "block"]
-
-    def ends(table: pa.Table) -> pa.Table:
-        _, x = _ordered(table)
-        zero = [np.zeros(x.shape[1])] * n
-        state = np.concatenate([x[0], x[-1], *(y[-1] for y in low_passes(x, passes, zero))])
-        return table.select(key).slice(0, 1).append_column("frames", pa.array([len(x)], pa.int32())).append_column("state", pa.array([state], pa.list_(pa.float64())))
-
-    def carry(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, state = None, None
-        for batch in batches:
-            given = []
-            for row, (own, m) in enumerate(zip(zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True), batch.column(4).to_pylist(), strict=True)):
-                if own != at:
-                    at, state = own, None
-                given.append(None if state is None else np.concatenate(state))
-                first, last, *zero = batch.column(5)[row].values.to_numpy().reshape(n + 1, -1)
-                more = [(1 - b0) * first if state is None else b1 * state[0] - a1 * state[1 + k] for k, (b0, b1, a1) in enumerate(passes)]
-                state = [last, *(y + (-a1) ** (m - 1) * z for y, z, (_, _, a1) in zip(zero, more, passes, strict=True))]
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(4)), pa.array(given, pa.list_(pa.float64()))], names=[*key, "state"])
-
-    def work(table: pa.Table, states: pa.Table) -> pa.Table:
-        t, x = _ordered(table)
-        before = states["state"].combine_chunks()[0].values
-        runs = low_passes(x, passes, None if before is None else list(before.to_numpy().reshape(n, -1)))
-        y = sum(w * run for w, run in zip(weights, runs, strict=True))
-        if before is None:
-            y[0] = x[0] if start == "raw" else 0.0
-        return _series(table, t, finish(y, table["level"][0].as_py(), table["tile"][0].as_py(), before is None) if finish else y)
-
-    kinds = "video_id string, level int, tile int, block int"
-    summary = blocks.groupBy(*key).applyInArrow(ends, f"{kinds}, frames int, state array<double>")
-    states = summary.repartition(*key[:3]).sortWithinPartitions(*key).mapInArrow(carry, f"{kinds}, state array<double>")
-    return blocks.groupBy(*key).cogroup(states.groupBy(*key)).applyInArrow(work, SERIES)
-
-
-def iir_lowpass(series: DataFrame, fps: float, cutoff: float, kind: str = "butterworth") -> DataFrame:
-    return recursive(series, [coeffs.first_order(cutoff, fps, kind)], [1.0])
-
-
-def iir_bandpass(series: DataFrame, fps: float, low: float, high: float, first_frame: str = "raw", kind: str = "butterworth", finish: Finish | None = None) -> DataFrame:
-    """The difference of two order-1 low-passes that start at the first frame."""
-    return recursive(series, [coeffs.first_order(hz, fps, kind) for hz in (high, low)], [1.0, -1.0], first_frame, finish)
-
-
-def untile(series: DataFrame) -> DataFrame:
-    """Rows (video_id, level, t, data) from tiles."""
-    parts = F.transform(F.array_sort(F.collect_list(F.struct("tile", "data"))), lambda p: p["data"])
-    return series.groupBy("video_id", "level", "t").agg(F.flatten(parts).alias("data"))

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import stencils
+from . import clips
 
 #: Consecutive frames in a task of a moving average.
 RUN = 4096
@@ -41,16 +46,17 @@ def lowest(frames: DataFrame, k: int = 10) -> DataFrame:
 
 
 def moving_average(frames: DataFrame, width: int = 10, by: str | None = None) -> DataFrame:
-    """Means of full windows only, of consecutive rows by t.  A window job needs a key: rows are dealt
-    into runs of RUN consecutive t, each with the width - 1 rows before it, so that no clip is one task.
-    That needs t without gaps, which holds for frames; `by` names another key to split by as well."""
+    """Means of full windows only, of consecutive rows by t, whatever gaps t has.  Rows are numbered within
+    their clip (or `by`) and dealt into runs of RUN numbers, each with the width - 1 rows before it, so that
+    no clip is one task."""
     key = [by] if by else [c for c in ("video_id",) if c in frames.columns]
-    block = F.floor(F.col("t") / RUN)
-    # a row also goes to the next run if it is among the last ones before it
-    dealt = frames.withColumn("_run", F.explode(F.array_distinct(F.array(block, F.floor((F.col("t") + width - 1) / RUN)))))
+    placed = frames.join(clips.numbered(frames, key), [*key, "t"]) if key else frames.join(clips.numbered(frames, []), "t")
+    block = F.floor(F.col("pos") / RUN)
+    # a row also goes to the later runs whose windows reach back to it
+    dealt = placed.withColumn("_run", F.explode(F.sequence(block, F.floor((F.col("pos") + width - 1) / RUN))))
     w = Window.partitionBy(*key, "_run").orderBy("t").rowsBetween(1 - width, 0)
     out = dealt.withColumn("smooth", F.avg("psnr").over(w)).withColumn("_n", F.count("*").over(w))
-    return out.where((F.col("_n") == width) & (F.col("_run") == block)).drop("_n", "_run")
+    return out.where((F.col("_n") == width) & (F.col("_run") == block)).select(*frames.columns, "smooth")
 
 
 def histogram(frames: DataFrame, bins: int = 50) -> DataFrame:
@@ -82,6 +88,32 @@ def ssim(both: DataFrame) -> DataFrame:
     return both.groupBy(*frame_key(both)).agg(index.alias("ssim"))
 
 
+def local_ssim(frames: DataFrame, other: DataFrame, size: int = 11, sigma: float = 1.5) -> DataFrame:
+    """The mean over a frame of the published index under a Gaussian window (range 255), for frames of two
+    clips with one (video_id, t).  Moments are separable stencils, within each frame.  Frames of different
+    sizes fail by their clip and t."""
+    c1, c2 = (0.01 * 255) ** 2, (0.03 * 255) ** 2
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for clip, t, h, w, c, a, b in zip(*(batch.column(k) for k in range(7)), strict=True):
+                h, w, c = h.as_py(), w.as_py(), c.as_py()
+                x, y = (v.values.to_numpy(zero_copy_only=False).astype(float).reshape(h, w, c) for v in (a, b))
+                rows, columns = stencils.window(h, size, sigma), stencils.window(w, size, sigma)
+                mean = lambda v: stencils.along(stencils.along(v, rows, 0), columns, 1)  # noqa: B023, E731
+                mx, my = mean(x), mean(y)
+                vx, vy, both = mean(x * x) - mx * mx, mean(y * y) - my * my, mean(x * y) - mx * my
+                found.append(float((((2 * mx * my + c1) * (2 * both + c2)) / ((mx * mx + my * my + c1) * (vx + vy + c2))).mean()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.float64())], names=["video_id", "t", "ssim"])
+
+    size_of = lambda s: F.struct(*[F.col(f"{s}.{c}") for c in ("h", "w", "c")], F.size(f"{s}.data"))
+    said = F.concat(F.lit("clip "), F.coalesce("a.video_id", F.lit("null")), F.lit(", frame "), F.col("a.t").cast("string"), F.lit(": sizes differ"))
+    pairs = frames.alias("a").join(other.alias("b"), F.col("a.video_id").eqNullSafe(F.col("b.video_id")) & (F.col("a.t") == F.col("b.t")))
+    same = F.when(size_of("a") == size_of("b"), F.col("b.data")).otherwise(F.raise_error(said).cast("array<double>"))
+    return pairs.select("a.video_id", "a.t", "a.h", "a.w", "a.c", F.col("a.data").cast("array<double>"), same.alias("other")).mapInArrow(work, "video_id string, t int, ssim double")
+
+
 def max_diff_location(both: DataFrame, key: list[str]) -> DataFrame:
     """Where the clips differ most; ties go to the first place."""
     d = F.abs(F.col("v") - F.col("other"))

@@ -7,8 +7,6 @@ it.  Matrix tables have a few entries per line of one frame and are broadcast on
 
 from __future__ import annotations
 
-from math import pi
-
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -85,20 +83,3 @@ def from_series(series: DataFrame) -> DataFrame:
     """Pixel layout back to rows of frames."""
     key = [c for c in series.columns if c != "data"]
     return series.select(*key, F.posexplode("data").alias("t", "v"))
-
-
-def bandpass(spark: SparkSession, pixels: DataFrame, n: int, bins: list[tuple[int, float]]) -> DataFrame:
-    """The kept bins of each pixel's series of n frames: two sums for each pixel and bin, aggregated before
-    the exchange, then a projection.  Bins are rows, so the plan has one width however long the clip is,
-    and no array of a whole series is ever held."""
-    if not bins:
-        return pixels.withColumn("v", F.lit(0.0))
-    key = [c for c in ("video_id", "y", "x", "ch") if c in pixels.columns]
-    table = spark.createDataFrame([(k, w / n) for k, w in bins], "k int, w double")
-    kept = F.broadcast(table) if len(bins) <= MAX_ENTRIES else table
-    angle = F.lit(2 * pi / n) * F.pmod(F.col("k").cast("long") * F.col("t"), F.lit(n))
-    sums = pixels.crossJoin(kept).groupBy(*key, "k", "w").agg(F.sum(F.col("v") * F.cos(angle)).alias("a"), F.sum(F.col("v") * F.sin(angle)).alias("b"))
-    coefs = sums.groupBy(*key).agg(F.collect_list(F.struct("k", "w", "a", "b")).alias("coefs"))
-    turn = lambda c: F.lit(2 * pi / n) * F.pmod(c["k"].cast("long") * F.col("t"), F.lit(n))
-    value = F.aggregate("coefs", F.lit(0.0), lambda v, c: v + c["w"] * (c["a"] * F.cos(turn(c)) + c["b"] * F.sin(turn(c))))
-    return pixels.drop("v").join(coefs, key).withColumn("v", value).select(*pixels.columns)

@@ -3,8 +3,8 @@
 Every step before clipping is linear, so the builder may reorder them (config.optimize):
 filters run on shrunk frames and the result is grown afterwards, levels that are never added back are
 pruned before the exchange, and gains are folded into the filter.  Two exchanges carry the signal (by
-tile, then by frame) and one the original frames; a recursive filter adds one of a short row for each
-block of frames.
+tile, then by frame) and one the original frames; a recursive filter adds some of a short row for each
+block of frames, and the frequency filter takes clips beyond a group's size by four steps.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ..config import MagnifyConfig
 from ..functions import coeffs, color
-from ..operators import arrays
+from ..operators import arrays, clips, recursive, spectral, tiles
 from ..streaming.recursive import refuse_stream
 
 _YIQ = np.array(color.YIQ)
@@ -44,56 +44,62 @@ def added_levels(levels: int, config: MagnifyConfig) -> tuple[int, ...]:
     return {"inner": tuple(range(1, n - 1)), "inner_residual": tuple(range(1, n)), "outer": tuple(range(0, n - 1))}[config.added_levels]
 
 
-def _scaled(x: np.ndarray, gain: float, attenuation: float, channels: np.ndarray) -> np.ndarray:
-    return x * np.where(channels == 0, gain, gain * attenuation)
+def _scaled(x: np.ndarray, gain: float, attenuation: float, tile: int) -> np.ndarray:
+    return x * np.where((tile + np.arange(x.shape[1])) % 3 == 0, gain, gain * attenuation)
 
 
-def _signal(bands: DataFrame, frames: DataFrame, config: MagnifyConfig, shape: tuple[int, int], levels: int) -> DataFrame:
-    """Cuts bands into tiles, filters them and applies gains."""
+def _signal(bands: DataFrame, frames: DataFrame, config: MagnifyConfig) -> DataFrame:
+    """Cuts bands into tiles, filters them and applies gains.  Rates and gains are columns of the bands."""
     cfg = config
     if cfg.mode == "gaussian":
-        width = arrays.whole_width(frames)
 
-        def gain(y: np.ndarray, level: int, tile: int, begins: bool) -> np.ndarray:
-            return _scaled(y, cfg.alpha, cfg.attenuation, (tile * width + np.arange(y.shape[1])) % 3)
+        def gain(y: np.ndarray, own: dict, begins: bool) -> np.ndarray:
+            return _scaled(y, cfg.alpha, cfg.attenuation, own["tile"])
 
-        return arrays.ideal_bandpass(arrays.tiles(bands, width), cfg.fps, cfg.low_hz, cfg.high_hz, cfg.mask, cfg.padding, gain)
-    width = arrays.TILE
-    gains = coeffs.level_gains(coeffs.level_sizes(*shape, levels)[: levels + int(cfg.residual)], cfg.alpha, cfg.lambda_cutoff)
+        return spectral.ideal_bandpass(tiles.tiles(bands), None, cfg.low_hz, cfg.high_hz, cfg.mask, cfg.padding, gain, None, frames)
 
-    def inner_gain(y: np.ndarray, level: int, tile: int, begins: bool) -> np.ndarray:
-        if 0 < level < len(gains) - 1:
-            own = y[int(begins) :]  # a clip's first frame has no gain
-            own[:] = _scaled(own, gains[level], cfg.attenuation, (tile * width + np.arange(y.shape[1])) % 3)
+    def inner_gain(y: np.ndarray, own: dict, begins: bool) -> np.ndarray:
+        if own["gain"] is not None:
+            rows = y[int(begins) :]  # a clip's first frame has no gain
+            rows[:] = _scaled(rows, own["gain"], cfg.attenuation, own["tile"])
         return y
 
-    return arrays.iir_bandpass(arrays.tiles(bands, width), cfg.fps, cfg.low_hz, cfg.high_hz, cfg.first_frame, cfg.coefficients, inner_gain)
+    return recursive.iir_bandpass(tiles.tiles(bands), None, cfg.low_hz, cfg.high_hz, cfg.first_frame, cfg.coefficients, inner_gain)
 
 
-def magnify(frames: DataFrame, config: MagnifyConfig, shape: tuple[int, int]) -> DataFrame:
-    """frames (video_id, t, h, w, c=3, data RGB 0..255) of one size to rows (video_id, t, h, w, c, data)
-    of unsigned 8-bit values, as an array of ints."""
-    h, w = shape
-    # frames without values, or of another size, have no signal; another number of channels is an error
-    whole = F.when(F.size("data") <= 0, F.lit(False)).when(F.col("c") != 3, F.raise_error("frames must have three channels").cast("boolean")).otherwise(F.size("data") == h * w * 3)
+def magnify(frames: DataFrame, config: MagnifyConfig) -> DataFrame:
+    """frames (video_id, t, h, w, c=3, data RGB 0..255[, fps]) to rows (video_id, t, h, w, c, data) of unsigned
+    8-bit values, as an array of ints.
+
+    Every clip has its own size and rate: pyramids follow the rows' sizes, filters and gains the rates and
+    sizes that come with them.  config.fps, where it is given, holds for all clips, else the column `fps`,
+    else 30.  A clip of different sizes, channels or rates fails by its name, and so does a recursive filter
+    on a clip whose rate is too low for it.  Frames with other than h * w * c values have no signal.
+    """
     if config.mode == "gaussian":
         refuse_stream(frames)
-    yiq = yiq_frames(frames.where(whole))
+    size = F.col("h") * F.col("w") * F.col("c")
+    given = clips.rated(frames, config.fps)
+    whole = F.when(F.size("data") <= 0, F.lit(False)).when(F.col("c") != 3, F.raise_error("frames must have three channels").cast("boolean")).otherwise(F.size("data") == size)
+    if config.mode == "laplacian":
+        fast = F.concat(F.lit("clip "), F.coalesce("video_id", F.lit("null")), F.lit(": high_hz must be under half of fps"))
+        whole = F.when(F.col("fps") <= 2 * config.high_hz, F.raise_error(fast).cast("boolean")).otherwise(whole)
+    checked = clips.described(given.where("h > 0 and w > 0").select("video_id", "t", "h", "w", "c", "fps"))
+    yiq = yiq_frames(given.where(whole))
+    levels = config.levels
     if config.mode == "gaussian":
-        levels = config.levels
-        bands = arrays.gaussian_frames(yiq, levels, config.border, config.size_rule, full=not config.optimize)
+        bands = arrays.gaussian_frames(yiq, levels, config.border, config.size_rule, not config.optimize, config.repair)
     else:
-        levels = config.levels
-        while levels > 1 and min(coeffs.level_sizes(h, w, levels - 1)[-1]) <= 1:
-            levels -= 1
-        wanted = added_levels(levels, config)
-        bands = arrays.laplacian_frames(yiq, levels, config.residual, config.border, wanted if config.optimize else None)
-    signal = arrays.untile(_signal(bands, frames, config, shape, levels))
-    if config.mode == "laplacian":
-        signal = signal.where(F.col("level").isin(*added_levels(levels, config)) if added_levels(levels, config) else F.lit(False))
+        wanted = (lambda n: added_levels(n, config)) if config.optimize else None
+        gains = lambda sizes: [g if 0 < k < len(sizes) - 1 else None for k, g in enumerate(coeffs.level_gains(sizes, config.alpha, config.lambda_cutoff))]
+        bands = arrays.laplacian_frames(yiq, levels, config.residual, config.border, wanted, gains)
+    signal = tiles.untile(_signal(bands, given.where(whole), config))
     per_frame = signal.groupBy("video_id", "t").agg(F.collect_list(F.struct("level", "data")).alias("bands"))
     both = frames.select("video_id", "t", "h", "w", "c", "data").join(per_frame, ["video_id", "t"], "left")
-    return reconstruct(both, config, levels)
+    made = reconstruct(both, config, levels)
+    # no clip has fewer than 0 frames; asking every clip is where a mix within one fails, in the same job
+    none = checked.where("frames < 0 or h < 0 or w < 0 or c < 0 or fps < 0")
+    return made.unionByName(none.select("video_id", *[F.lit(0).alias(c) for c in ("t", "h", "w", "c")], F.array(F.lit(0)).alias("data")))
 
 
 def reconstruct(both: DataFrame, config: MagnifyConfig, levels: int) -> DataFrame:
@@ -108,12 +114,15 @@ def reconstruct(both: DataFrame, config: MagnifyConfig, levels: int) -> DataFram
                 h, w = h.as_py(), w.as_py()
                 rgb = data.values.to_numpy(zero_copy_only=False).reshape(-1, 3)
                 yiq = rgb @ _YIQ.T
+                added = range(levels + 1) if cfg.mode == "gaussian" else added_levels(arrays.usable_levels(h, w, levels), cfg)
                 for band in bands.values if bands.is_valid else ():
+                    if band["level"].as_py() not in added:
+                        continue
                     level, value = band["level"].as_py(), band["data"].values.to_numpy(zero_copy_only=False)
                     if cfg.mode == "gaussian":
                         sizes = coeffs.level_sizes(h, w, levels, cfg.size_rule)
                         if cfg.optimize and levels:
-                            value = arrays.grow(value.reshape(1, *sizes[-1], 3), sizes[-2::-1], cfg.border)
+                            value = arrays.grow(value.reshape(1, *sizes[-1], 3), sizes[-2::-1], cfg.border, cfg.repair)
                     else:
                         sizes = coeffs.level_sizes(h, w, level)
                         value = arrays.grow(value.reshape(1, *sizes[-1], 3), sizes[-2::-1], cfg.border)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .config import BABY, CPP, CUDA, PYTHON
 from .functions import coeffs, color, stencils
-from .operators import arrays, metrics
+from .operators import arrays, clips, metrics, recursive, spectral, tiles
 from .operators import pixels as px
 from .plans.magnify import magnify
 from .shared import fresh
@@ -129,19 +129,19 @@ def bgr_to_rgb(spark, d):
     return fr.to_pixels(rgb_frames(spark, d), channel_order="bgr").select("t", "y", "x", "ch", r6("v").alias("v"))
 
 
-def _sql_dot(row, names) -> str:
+def _dot_sql(row, names) -> str:
     return " + ".join(f"({w!r}::DOUBLE) * {n}" for w, n in zip(row, names, strict=True))
 
 
-@query(sql_of(TRIPLES, select=f"SELECT t, y, x, round({_sql_dot(color.YIQ[0], 'rgb')}, 6) + 0.0 AS c0, round({_sql_dot(color.YIQ[1], 'rgb')}, 6) + 0.0 AS c1, round({_sql_dot(color.YIQ[2], 'rgb')}, 6) + 0.0 AS c2 FROM tri"))
+@query(sql_of(TRIPLES, select=f"SELECT t, y, x, round({_dot_sql(color.YIQ[0], 'rgb')}, 6) + 0.0 AS c0, round({_dot_sql(color.YIQ[1], 'rgb')}, 6) + 0.0 AS c1, round({_dot_sql(color.YIQ[2], 'rgb')}, 6) + 0.0 AS c2 FROM tri"))
 def rgb_to_yiq(spark, d):
     made = color.rgb_to_yiq(F.col("r"), F.col("g"), F.col("b"))
     return triples(spark, d).select("t", "y", "x", *[r6(c).alias(f"c{k}") for k, c in enumerate(made)])
 
 
 def _sql_back(kind: str, wrap: str) -> str:
-    inner = f"SELECT t, y, x, {_sql_dot(color.YIQ[0], 'rgb')} AS c0, {_sql_dot(color.YIQ[1], 'rgb')} AS c1, {_sql_dot(color.YIQ[2], 'rgb')} AS c2 FROM tri"
-    cells = ", ".join(f"round({wrap.format(_sql_dot(row, ('c0', 'c1', 'c2')))}, 6) + 0.0 AS {n}" for row, n in zip(color.inverse(kind), "rgb", strict=True))
+    inner = f"SELECT t, y, x, {_dot_sql(color.YIQ[0], 'rgb')} AS c0, {_dot_sql(color.YIQ[1], 'rgb')} AS c1, {_dot_sql(color.YIQ[2], 'rgb')} AS c2 FROM tri"
+    cells = ", ".join(f"round({wrap.format(_dot_sql(row, ('c0', 'c1', 'c2')))}, 6) + 0.0 AS {n}" for row, n in zip(color.inverse(kind), "rgb", strict=True))
     return sql_of(TRIPLES, select=f"SELECT t, y, x, {cells} FROM ({inner})")
 
 
@@ -274,11 +274,6 @@ def laplacian_levels_residual(spark, d):
     return rows.select("level", "t", F.expr("i div w").cast("int").alias("y"), F.expr("i % w").cast("int").alias("x"), r6("v").alias("v"))
 
 
-@query("SELECT level::INT AS level, h::INT AS h, w::INT AS w FROM (VALUES (0, 529, 592), (1, 265, 296), (2, 133, 148), (3, 67, 74), (4, 34, 37)) s(level, h, w)")
-def level_dimensions(spark, d):
-    return spark.createDataFrame([(k, h, w) for k, (h, w) in enumerate(coeffs.level_sizes(529, 592, 4))], "level int, h int, w int")
-
-
 # --- layout ----------------------------------------------------------------------------------------
 
 
@@ -304,35 +299,6 @@ def _count(spark, d) -> int:
     return vectors(spark, d).count()
 
 
-def _bins(spark, d) -> DataFrame:
-    """(k, hz) of every bin."""
-    n, k = _count(spark, d), F.col("id")
-    hz = F.when(k < (n + 1) // 2, k).otherwise(k - n) * FPS / n
-    return spark.range(n).select(k.cast("int").alias("k"), hz.alias("hz"))
-
-
-@query(sql_of(SQL_BINS, select="SELECT k, round(hz, 6) + 0.0 AS hz FROM bins"))
-def fft_bins(spark, d):
-    return _bins(spark, d).select("k", r6("hz").alias("hz"))
-
-
-@query(sql_of(SQL_BINS, select=f"SELECT arg_min(k, (abs(hz - {LOW}), k)) AS low_bin, arg_min(k, (abs(hz - {HIGH}), k)) AS high_bin FROM bins"))
-def nearest_bin(spark, d):
-    bins = _bins(spark, d)
-    return bins.agg(*[F.min_by("k", F.struct(F.abs(F.col("hz") - hz), "k")).alias(f"{n}_bin") for n, hz in (("low", LOW), ("high", HIGH))])
-
-
-@query(sql_of(SQL_BINS, select=f"SELECT k FROM bins WHERE abs(hz) BETWEEN {LOW} AND {HIGH}"))
-def band_mask_cpp(spark, d):
-    return _bins(spark, d).where(F.abs("hz").between(LOW, HIGH)).select("k")
-
-
-@query(sql_of(SQL_BINS, SQL_ONESIDED, select="SELECT k FROM kept"))
-def band_mask_python(spark, d):
-    n = _count(spark, d)
-    return spark.range(n).where(F.col("id").isin(*[k for k, _ in coeffs.kept_bins(n, FPS, LOW, HIGH, "onesided")])).select(F.col("id").cast("int").alias("k"))
-
-
 def _sql_bandpass(kept: str, source: str = GREY, key: str = "y, x") -> list[str]:
     return [
         source, SQL_BINS, kept,
@@ -341,32 +307,34 @@ def _sql_bandpass(kept: str, source: str = GREY, key: str = "y, x") -> list[str]
     ]
 
 
+#: Values in a group of the long-series queries: a series of a few hundred frames already goes the four steps.
+SMALL_GROUP = 1 << 10
+
+
 @query(sql_of(*_sql_bandpass(SQL_SYMMETRIC), select=V + "band"))
 def ideal_bandpass_symmetric(spark, d):
-    n = _count(spark, d)
-    return out(px.bandpass(spark, grey(spark, d), n, coeffs.kept_bins(n, FPS, LOW, HIGH)))
+    """Transformed in four steps, as a series is that no group can hold."""
+    return _untiled(spectral.ideal_bandpass(_series(spark, d), FPS, LOW, HIGH, group=SMALL_GROUP))
 
 
 @query(sql_of(*_sql_bandpass(SQL_ONESIDED), select=V + "band"))
 def ideal_bandpass_onesided(spark, d):
-    n = _count(spark, d)
-    return out(px.bandpass(spark, grey(spark, d), n, coeffs.kept_bins(n, FPS, LOW, HIGH, "onesided")))
+    return _untiled(spectral.ideal_bandpass(_series(spark, d), FPS, LOW, HIGH, "onesided", group=SMALL_GROUP))
 
 
-def _series(spark, d, width: int = arrays.TILE) -> DataFrame:
-    return arrays.tiles(grey_frames(spark, d).select("video_id", F.lit(0).alias("level"), "t", "data"), width)
+def _series(spark, d, width: int = tiles.TILE) -> DataFrame:
+    return tiles.tiles(grey_frames(spark, d).select("video_id", F.lit(0).alias("level"), "t", "data"), width)
 
 
-def _untiled(series: DataFrame, width: int = arrays.TILE) -> DataFrame:
-    rows = series.select("t", "tile", F.posexplode("data").alias("i", "v")).withColumn("i", F.col("i") + F.col("tile") * width)
+def _untiled(series: DataFrame) -> DataFrame:
+    rows = series.select("t", "tile", F.posexplode("data").alias("i", "v")).withColumn("i", F.col("i") + F.col("tile"))
     return rows.select("t", F.expr("i div 8").cast("int").alias("y"), F.expr("i % 8").cast("int").alias("x"), r6("v").alias("v"))
 
 
 @query(sql_of(*_sql_bandpass(SQL_SYMMETRIC), select=V + "band"))
 def ideal_bandpass_tiles(spark, d):
     """The array tier's filter over tiles."""
-    width = arrays.whole_width(grey_frames(spark, d))
-    return _untiled(arrays.ideal_bandpass(_series(spark, d, width), FPS, LOW, HIGH), width)
+    return _untiled(spectral.ideal_bandpass(_series(spark, d), FPS, LOW, HIGH))
 
 
 # --- recursive filters -----------------------------------------------------------------------------
@@ -380,42 +348,24 @@ def _sql_first(name: str, hz: float, kind: str = "butterworth") -> str:
 SQL_IIR = [GREY, _sql_first("lo", LOW), _sql_first("hi", HIGH), "run(t, y, x, v, slow, fast) AS (SELECT t, y, x, v, v, v FROM px WHERE t = 0 UNION ALL SELECT p.t, p.y, p.x, p.v, lo.b0 * (p.v + run.v) - lo.a1 * slow, hi.b0 * (p.v + run.v) - hi.a1 * fast FROM run JOIN px p ON p.t = run.t + 1 AND p.y = run.y AND p.x = run.x, lo, hi)"]
 
 
-@query("WITH f AS (SELECT tan(pi() * 0.4 / 30) AS k) SELECT round(k / (1 + k), 12) AS b0, round(k / (1 + k), 12) AS b1, round((k - 1) / (k + 1), 12) AS a1 FROM f")
-def butter1_low(spark, d):
-    b, a = coeffs.butterworth(1, 0.4, "low", 30.0)
-    return spark.createDataFrame([(round(float(b[0]), 12), round(float(b[1]), 12), round(float(a[1]), 12))], "b0 double, b1 double, a1 double")
-
-
-@query("WITH f AS (SELECT tan(pi() * 3.0 / 30) AS k) SELECT round(1 / (1 + k), 12) AS b0, round(-1 / (1 + k), 12) AS b1, round((k - 1) / (k + 1), 12) AS a1 FROM f")
-def butter1_high(spark, d):
-    b, a = coeffs.butterworth(1, 3.0, "high", 30.0)
-    return spark.createDataFrame([(round(float(b[0]), 12), round(float(b[1]), 12), round(float(a[1]), 12))], "b0 double, b1 double, a1 double")
-
-
 @query(sql_of(*SQL_IIR, select="SELECT t, y, x, round(slow, 6) + 0.0 AS v FROM run"))
 def iir_lowpass(spark, d):
-    return _untiled(arrays.iir_lowpass(_series(spark, d), FPS, LOW))
+    return _untiled(recursive.iir_lowpass(_series(spark, d), FPS, LOW))
 
 
 @query(sql_of(*SQL_IIR, select="SELECT t, y, x, round(CASE WHEN t = 0 THEN v ELSE fast - slow END, 6) + 0.0 AS v FROM run"))
 def iir_bandpass(spark, d):
-    return _untiled(arrays.iir_bandpass(_series(spark, d), FPS, LOW, HIGH))
+    return _untiled(recursive.iir_bandpass(_series(spark, d), FPS, LOW, HIGH))
 
 
 @query(sql_of(SQL_IIR[0], _sql_first("lo", LOW, "halved"), _sql_first("hi", HIGH, "halved"), SQL_IIR[3], select="SELECT t, y, x, round(CASE WHEN t = 0 THEN v ELSE fast - slow END, 6) + 0.0 AS v FROM run"))
 def iir_bandpass_halved(spark, d):
-    return _untiled(arrays.iir_bandpass(_series(spark, d), FPS, LOW, HIGH, kind="halved"))
+    return _untiled(recursive.iir_bandpass(_series(spark, d), FPS, LOW, HIGH, kind="halved"))
 
 
 @query(sql_of(*SQL_IIR, select="SELECT t, y, x, round(CASE WHEN t = 0 THEN 0 ELSE fast - slow END, 6) + 0.0 AS v FROM run"))
 def iir_bandpass_zero_first(spark, d):
-    return _untiled(arrays.iir_bandpass(_series(spark, d), FPS, LOW, HIGH, first_frame="zero"))
-
-
-@query("WITH f AS (SELECT tan(pi() * 3.0 / 30) AS k), g AS (SELECT k, 1 / (1 + sqrt(2.0) * k + k * k) AS n FROM f) SELECT round(k * k * n, 12) AS b0, round(2 * k * k * n, 12) AS b1, round(k * k * n, 12) AS b2, round(2 * (k * k - 1) * n, 12) AS a1, round((1 - sqrt(2.0) * k + k * k) * n, 12) AS a2 FROM g")
-def butter2_low(spark, d):
-    b, a = coeffs.butterworth(2, 3.0, "low", 30.0)
-    return spark.createDataFrame([tuple(round(float(v), 12) for v in (*b, *a[1:]))], "b0 double, b1 double, b2 double, a1 double, a2 double")
+    return _untiled(recursive.iir_bandpass(_series(spark, d), FPS, LOW, HIGH, first_frame="zero"))
 
 
 @query(sql_of(*SQL_IIR, select="SELECT t, y, x, round(CASE WHEN t = 0 THEN v ELSE fast - slow END, 6) + 0.0 AS v FROM run"))
@@ -436,22 +386,16 @@ def iir_stream_batches(spark, d):
 @query(sql_of(*_sql_bandpass(SQL_ONESIDED, RGB, "y, x, ch"), select="SELECT t, y, x, ch, round(v * CASE WHEN ch = 0 THEN 100 ELSE 50 END, 6) + 0.0 AS v FROM band"))
 def gaussian_filter_attenuated(spark, d):
     """One-sided band, gain 100, chroma at half of it."""
-    n = _count(spark, d)
-    band = px.bandpass(spark, rgb(spark, d), n, coeffs.kept_bins(n, FPS, LOW, HIGH, "onesided"))
-    return band.select("t", "y", "x", "ch", r6(F.col("v") * F.when(F.col("ch") == 0, 100.0).otherwise(50.0)).alias("v"))
+    series = tiles.tiles(rgb_frames(spark, d).select("video_id", F.lit(0).alias("level"), "t", "data"))
+    band = spectral.ideal_bandpass(series, FPS, LOW, HIGH, "onesided", group=SMALL_GROUP)
+    rows = band.select("t", "tile", F.posexplode("data").alias("i", "v")).withColumn("i", F.col("i") + F.col("tile"))
+    gained = rows.withColumn("v", F.col("v") * F.when(F.col("i") % 3 == 0, 100.0).otherwise(50.0))
+    return gained.select("t", F.expr("i div 12").cast("int").alias("y"), F.expr("(i % 12) div 3").cast("int").alias("x"), F.expr("i % 3").cast("int").alias("ch"), r6("v").alias("v"))
 
 
 # --- gains and reconstruction ----------------------------------------------------------------------
 
 
-@query("SELECT level::INT AS level, round(CASE WHEN level > 0 AND level < 4 THEN least(a, sqrt(h * h + w * w) / (8 * (lc / (8 * (1 + a)))) - 1) ELSE 1 END, 6) AS gain, config FROM (VALUES (0, 528, 592), (1, 264, 296), (2, 132, 148), (3, 66, 74), (4, 33, 37)) s(level, h, w), (VALUES ('cpp', 50.0::DOUBLE, 16.0::DOUBLE), ('python', 100.0, 1000.0)) c(config, a, lc)")
-def level_gain(spark, d):
-    rows = []
-    for name, cfg in (("cpp", CPP), ("python", PYTHON)):
-        rows += [(k, round(g, 6), name) for k, g in enumerate(coeffs.level_gains(coeffs.level_sizes(528, 592, 4), cfg.alpha, cfg.lambda_cutoff))]
-    return spark.createDataFrame(rows, "level int, gain double, config string")
-
-
 @query(sql_of(RGB, select="SELECT t, y, x, ch, round(v * CASE WHEN ch = 0 THEN 50 ELSE 5 END, 6) + 0.0 AS v FROM px"))
 def amplify_chroma(spark, d):
     gain = F.when(F.col("ch") == 0, F.lit(50.0)).otherwise(F.lit(50.0 * 0.1))
@@ -472,8 +416,8 @@ def _recon(spark, d, rounding: str, how: str = "inner", keep: Column | None = No
 
 def _sql_recon(rounding: str, join: str = "JOIN", where: str = "") -> str:
     f = "round_even({}, 0)" if rounding == "rint" else "floor({})"
-    yiq = ", ".join(f"{_sql_dot(row, 'rgb')} AS c{k}" for k, row in enumerate(color.YIQ))
-    cells = ", ".join(f"{f.format(f'least(greatest(round({_sql_dot(row, ("z0", "z1", "z2"))}, 6), 0), 255)')}::INT AS {n}" for row, n in zip(color.inverse(), "rgb", strict=True))
+    yiq = ", ".join(f"{_dot_sql(row, 'rgb')} AS c{k}" for k, row in enumerate(color.YIQ))
+    cells = ", ".join(f"{f.format(f'least(greatest(round({_dot_sql(row, ("z0", "z1", "z2"))}, 6), 0), 255)')}::INT AS {n}" for row, n in zip(color.inverse(), "rgb", strict=True))
     return sql_of(
         TRIPLES, f"yiq AS (SELECT t, y, x, {yiq} FROM tri)", f"sig AS (SELECT t - 1 AS t, y, x, 0.5 * c0 AS s0, 0.5 * c1 AS s1, 0.5 * c2 AS s2 FROM yiq {where})",
         f"z AS (SELECT t, y, x, c0 + coalesce(s0, 0) AS z0, c1 + coalesce(s1, 0) AS z1, c2 + coalesce(s2, 0) AS z2 FROM yiq {join} sig USING (t, y, x))",
@@ -600,7 +544,7 @@ def _values(frames: DataFrame) -> DataFrame:
 
 
 def _sql_pipeline(kind: str, border: str = "reflect101", kept: str = SQL_SYMMETRIC, gain_of_chroma: float = 1.0, alpha: float = 50.0, inverse: str = "exact", rounding: str = "rint") -> str:
-    yiq = " UNION ALL ".join(f"SELECT t, y, x, {k} AS ch, {_sql_dot(row, 'rgb')} AS v FROM tri" for k, row in enumerate(color.YIQ))
+    yiq = " UNION ALL ".join(f"SELECT t, y, x, {k} AS ch, {_dot_sql(row, 'rgb')} AS v FROM tri" for k, row in enumerate(color.YIQ))
     base = [TRIPLES.replace("px AS", "rgb AS", 1).replace("FROM px", "FROM rgb"), f"yiq AS ({yiq})", TAPS, sql_down("d4", 4, 2, 2, border), sql_up("u2", 2, 4, border)]
     if kind == "gaussian":
         parts = [*base, sql_apply("px", "yiq", "d4", "ch, "), *_sql_bandpass(kept, "one AS (SELECT 1)", "y, x, ch"), f"gained AS (SELECT t, y, x, ch, v * CASE WHEN ch = 0 THEN {alpha!r}::DOUBLE ELSE {alpha * gain_of_chroma!r}::DOUBLE END AS v FROM band)", sql_apply("sig", "gained", "u2", "ch, ")]
@@ -629,18 +573,18 @@ def _sql_pipeline(kind: str, border: str = "reflect101", kept: str = SQL_SYMMETR
         ]
     total = "z AS (SELECT t, y, x, max(yiq.v + coalesce(sig.v, 0)) FILTER (ch = 0) AS z0, max(yiq.v + coalesce(sig.v, 0)) FILTER (ch = 1) AS z1, max(yiq.v + coalesce(sig.v, 0)) FILTER (ch = 2) AS z2 FROM yiq LEFT JOIN sig USING (t, y, x, ch) GROUP BY ALL)"
     whole = "round_even({}, 0)" if rounding == "rint" else "floor({})"
-    cells = " UNION ALL ".join(f"SELECT t, y, x, {k} AS ch, {whole.format(f'least(greatest({_sql_dot(row, ("z0", "z1", "z2"))}, 0), 255)')}::INT AS v FROM z" for k, row in enumerate(color.inverse(inverse)))
+    cells = " UNION ALL ".join(f"SELECT t, y, x, {k} AS ch, {whole.format(f'least(greatest({_dot_sql(row, ("z0", "z1", "z2"))}, 0), 255)')}::INT AS v FROM z" for k, row in enumerate(color.inverse(inverse)))
     return sql_of(*parts, total, select=cells)
 
 
 @query(_sql_pipeline("gaussian"))
 def magnify_gaussian(spark, d):
-    return _values(magnify(rgb_frames(spark, d), SMALL_GAUSSIAN, (4, 4)))
+    return _values(magnify(rgb_frames(spark, d), SMALL_GAUSSIAN))
 
 
 @query(_sql_pipeline("laplacian"))
 def magnify_laplacian(spark, d):
-    return _values(magnify(rgb_frames(spark, d), SMALL_LAPLACIAN, (4, 4)))
+    return _values(magnify(rgb_frames(spark, d), SMALL_LAPLACIAN))
 
 
 SMALL_PYTHON = replace(PYTHON, levels=1, low_hz=LOW, attenuation=0.5)
@@ -648,17 +592,17 @@ SMALL_PYTHON = replace(PYTHON, levels=1, low_hz=LOW, attenuation=0.5)
 
 @query(_sql_pipeline("gaussian", kept=SQL_ONESIDED, alpha=PYTHON.alpha, gain_of_chroma=0.5, rounding="truncate"))
 def magnify_gaussian_python(spark, d):
-    return _values(magnify(rgb_frames(spark, d), SMALL_PYTHON, (4, 4)))
+    return _values(magnify(rgb_frames(spark, d), SMALL_PYTHON))
 
 
 @query(_sql_pipeline("gaussian", border="reflect", inverse="constants"))
 def magnify_gaussian_cuda(spark, d):
-    return _values(magnify(rgb_frames(spark, d), replace(CUDA, levels=1, size_rule="floor"), (4, 4)))
+    return _values(magnify(rgb_frames(spark, d), replace(CUDA, levels=1, size_rule="floor")))
 
 
 @query(_sql_pipeline("outer", border="reflect", inverse="constants"))
 def magnify_laplacian_cuda(spark, d):
-    return _values(magnify(rgb_frames(spark, d), replace(CUDA, mode="laplacian", levels=2, alpha=BABY.alpha, low_hz=BABY.low_hz, high_hz=BABY.high_hz, attenuation=BABY.attenuation), (4, 4)))
+    return _values(magnify(rgb_frames(spark, d), replace(CUDA, mode="laplacian", levels=2, alpha=BABY.alpha, low_hz=BABY.low_hz, high_hz=BABY.high_hz, attenuation=BABY.attenuation)))
 
 
 # --- files: written, and read again ----------------------------------------------------------------
@@ -712,11 +656,11 @@ def vector_text(spark, d):
     return spark.createDataFrame(list(enumerate(fr.read_vector(spark, path))), "i int, v double")
 
 
-@query(sql_of(PSNR, "s AS (SELECT t, max(abs(v - other)) AS a, avg(abs(v - other)) AS b FROM pair GROUP BY t)", select="SELECT t AS frame, round(psnr, 6) AS psnr, 1.0::DOUBLE AS ssim, round(a, 6) AS max_diff, round(b, 6) AS mean_diff FROM q JOIN s USING (t)"))
+@query(sql_of(PSNR, "s AS (SELECT t, max(abs(v - other)) AS a, avg(abs(v - other)) AS b, (2 * avg(v) * avg(other) + 6.5025) * (2 * covar_pop(v, other) + 58.5225) / ((avg(v) * avg(v) + avg(other) * avg(other) + 6.5025) * (var_pop(v) + var_pop(other) + 58.5225)) AS i FROM pair GROUP BY t)", select="SELECT t AS frame, round(psnr, 6) AS psnr, round(i, 6) + 0.0 AS ssim, round(a, 6) AS max_diff, round(b, 6) AS mean_diff FROM q JOIN s USING (t)"))
 def metric_csv(spark, d):
     path = fresh(spark, "metrics")
     both = _pair(spark, d)
-    rows = metrics.psnr_per_frame(both).join(metrics.diff_stats(both), "t").select(F.col("t").alias("frame"), r6("psnr").alias("psnr"), F.lit(1.0).alias("ssim"), r6("max_diff").alias("max_diff"), r6("mean_diff").alias("mean_diff"))
+    rows = metrics.psnr_per_frame(both).join(metrics.diff_stats(both), "t").join(metrics.ssim(both), "t").select(F.col("t").alias("frame"), r6("psnr").alias("psnr"), r6("ssim").alias("ssim"), r6("max_diff").alias("max_diff"), r6("mean_diff").alias("mean_diff"))
     rows.write.csv(path, header=True)
     return fr.read_metrics(spark, path)
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def folder(spark: SparkSession) -> str:
@@ -22,3 +22,10 @@ def folder(spark: SparkSession) -> str:
 def fresh(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that nothing uses yet."""
     return f"{folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def kept(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
+    """Writes df to the shared folder and reads it again: later jobs start from the files."""
+    path = fresh(spark, name)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
