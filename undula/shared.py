@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 
@@ -29,3 +30,10 @@ def kept(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     path = fresh(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def open_store(path: str):
+    """(file system, path in it) of a path, inside a task or the driver."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(path if "://" in path else os.path.abspath(path))

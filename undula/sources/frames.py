@@ -1,27 +1,34 @@
 """Frame sources and sinks.
 
 `frames_from_vectors` reads rasters out of array columns.  The Python data source `frames` reads
-binary PPM/PGM images (one file a frame) and uncompressed AVI (one file a clip), both by ranges of frames
-in the tasks, as Arrow batches.  A clip's frame rate is a column: the AVI header's, or what a file `fps`
-beside the images says, else null (`effective_fps` makes that 30).  Canonical storage is Parquet
-partitioned by video_id.
+binary PPM/PGM images (one file a frame), uncompressed AVI (one file a clip) and folders NAME.clip of AVI
+parts, all by ranges of frames in the tasks, as Arrow batches, through the path's own file system.  A clip's
+frame rate is a column: the AVI header's, or what a file `fps` beside the images says, else null
+(`effective_fps` makes that 30).  The same source writes clips: tasks write parts of a bounded number of
+frames, the commit numbers them, and what isn't committed goes.  As a stream the source gives the frames
+that came since the last batch.  Canonical storage is Parquet partitioned by video_id.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
-import struct
+import uuid
 from collections.abc import Iterator
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, DataSourceStreamReader, InputPartition, WriterCommitMessage
 
 from ..functions.color import swap_channels
 from ..schemas import METRICS
+from ..shared import kept, open_store
+from . import avi
 
 
 def frames_from_vectors(df: DataFrame, key: str, vector: str, h: int, w: int, c: int, video_id: str = "v") -> DataFrame:
@@ -48,7 +55,8 @@ def effective_fps(fps):
 
 def read_image(path: str) -> tuple[int, int, int, bytes]:
     """(h, w, c, values) of a binary PGM or PPM file of 8-bit values."""
-    with open(path, "rb") as f:
+    store, at = open_store(path)
+    with store.open_input_file(at) as f:
         raw = f.read()
     m = re.match(rb"P([56])\s+(?:#[^\n]*\n\s*)*(\d+)\s+(\d+)\s+(\d+)\s", raw)
     if not m or int(m[4]) != 255:
@@ -57,49 +65,90 @@ def read_image(path: str) -> tuple[int, int, int, bytes]:
     return h, w, c, raw[m.end() : m.end() + h * w * c]
 
 
-def avi_layout(path: str) -> tuple[int, int, float, list[tuple[int, int]]]:
-    """(h, w, fps, (place, size) of every frame) of an uncompressed 24-bit AVI.  Empty frames are skipped."""
-    size, frames, shape, fps = os.path.getsize(path), [], None, 0.0
-    with open(path, "rb") as f:
-
-        def walk(at: int, end: int) -> None:
-            nonlocal shape, fps
-            while at + 8 <= end:
-                f.seek(at)
-                tag, n = struct.unpack("<4sI", f.read(8))
-                if tag in (b"RIFF", b"LIST"):
-                    walk(at + 12, min(end, at + 8 + n))
-                elif tag == b"strh":
-                    kind, _, _, _, _, _, scale, rate = struct.unpack("<4s4sIHHIII", f.read(28))
-                    fps = rate / scale if kind == b"vids" and scale else fps
-                elif tag == b"strf" and shape is None:
-                    _, w, h, _, bits, codec = struct.unpack("<IiiHHI", f.read(20))
-                    if bits != 24 or codec != 0:
-                        raise ValueError(f"only uncompressed 24-bit AVI is read: {path}")
-                    shape = h, w
-                elif tag in (b"00db", b"00dc") and n and at + 8 + n <= end:
-                    frames.append((at + 8, n))
-                at += 8 + n + n % 2
-
-        walk(0, size)
-    if shape is None or not frames:
-        raise ValueError(f"no frames in {path}")
-    return *shape, fps, frames
-
-
-def avi_frame(raw: bytes, h: int, w: int) -> np.ndarray:
-    """RGB values of a stored frame: rows bottom-up (top-down for a negative height), blue first, padded."""
-    rows = np.frombuffer(raw, np.uint8).reshape(abs(h), (w * 3 + 3) // 4 * 4)[:, : w * 3].reshape(abs(h), w, 3)
-    return (rows[::-1] if h > 0 else rows)[:, :, ::-1].ravel()
-
-
-class _Files(InputPartition):
-    def __init__(self, files: list[tuple]):
-        super().__init__(None)
-        self.files = files
+@dataclass
+class _Part(InputPartition):
+    """Frames of one clip: images with their numbers, or frames first to last of an AVI file, the first of
+    which has number t."""
+
+    clip: str
+    fps: float | None
+    images: list[tuple[int, str]]
+    avi: str | None = None
+    t: int = 0
+    first: int = 0
+    last: int | None = None
 
 
 ARROW = pa.schema([("video_id", pa.string()), ("t", pa.int32()), ("h", pa.int32()), ("w", pa.int32()), ("c", pa.int32()), ("fps", pa.float64()), ("data", pa.list_(pa.float64()))])
+#: Values in an Arrow batch; bytes of an AVI file from which on a head is read to deal it out.
+BATCH, LARGE = 1 << 20, 1 << 26
+
+
+def clip_parts(path: str, per_task: int) -> list[_Part]:
+    """The parts of all clips in a folder (or of one file).  The driver lists files; of large AVI files it reads
+    the heads of their lists, and no frames."""
+    store, root = open_store(path)
+    info = store.get_file_info(root)
+    found = [info] if info.type == fs.FileType.File else store.get_file_info(fs.FileSelector(root, recursive=True, allow_not_found=True))
+    files = sorted((f for f in found if f.type == fs.FileType.File and not os.path.basename(f.path).startswith("_") and "/_" not in f.path[len(root) :]), key=lambda f: f.path)
+    at = lambda f: path if f is info else path.rstrip("/") + f.path[len(root.rstrip("/")) :]
+    images: dict[str, list[str]] = {}
+    rates: dict[str, float] = {}
+    parts = []
+    for f in files:
+        inner = os.path.basename(f.path) if f is info else f.path[len(root.rstrip("/")) + 1 :]
+        folder, name = os.path.dirname(inner), os.path.basename(inner)
+        if name.lower().endswith((".ppm", ".pgm")):
+            images.setdefault(folder or ".", []).append(at(f))
+        elif name == "fps":
+            with store.open_input_file(f.path) as rate:
+                rates[folder or "."] = float(rate.read())
+        elif name.lower().endswith(".avi"):
+            clip, start = (folder[:-5], int(name[:-4])) if folder.endswith(".clip") else (inner, 0)
+            if f.size < LARGE:
+                parts.append(_Part(clip, None, [], at(f), start))
+                continue
+            with store.open_input_file(f.path) as whole:
+                n = avi.layout(whole, f.size).frames
+            parts += [_Part(clip, None, [], at(f), start, k, min(n, k + per_task)) for k in range(0, n, per_task)]
+    for clip, own in images.items():
+        numbered = list(enumerate(own))
+        parts += [_Part(clip, rates.get(clip), numbered[k : k + per_task]) for k in range(0, len(own), per_task)]
+    return parts
+
+
+def read_part(part: _Part) -> Iterator[pa.RecordBatch]:
+    """Batches of about BATCH values.  A cut-off frame is skipped."""
+    held: list[tuple] = []
+
+    def flush() -> pa.RecordBatch:
+        values = [x.astype(np.float64) for *_, x in held]
+        data = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, values)]), pa.int32()), pa.array(np.concatenate(values)))
+        columns = [pa.array([row[k] for row in held], kind) for k, kind in enumerate(ARROW.types[:-1])]
+        held.clear()
+        return pa.RecordBatch.from_arrays([*columns, data], schema=ARROW)
+
+    def frames() -> Iterator[tuple]:
+        for t, path in part.images:
+            h, w, c, raw = read_image(path)
+            if len(raw) == h * w * c:
+                yield part.clip, t, h, w, c, part.fps, np.frombuffer(raw, np.uint8)
+        if part.avi:
+            store, at = open_store(part.avi)
+            with store.open_input_file(at) as f:
+                try:
+                    found = avi.layout(f, store.get_file_info(at).size)
+                except ValueError as e:
+                    raise ValueError(f"{e}: {part.avi}") from e
+                for k in range(part.first, found.frames if part.last is None else part.last):
+                    yield part.clip, part.t + k, abs(found.h), found.w, 3, found.fps, avi.decode(f.read_at(found.size, found.place(k)), found.h, found.w)
+
+    for row in frames():
+        held.append(row)
+        if sum(len(r[-1]) for r in held) >= BATCH:
+            yield flush()
+    if held:
+        yield flush()
 
 
 class _FramesReader(DataSourceReader):
@@ -107,40 +156,140 @@ class _FramesReader(DataSourceReader):
         self.path, self.per_task = options["path"], int(options.get("frames_per_task", 64))
 
     def partitions(self) -> list[InputPartition]:
-        """Clips are AVI files, and folders of images in order of file name (or the folder itself)."""
-        clips: dict[str, list[tuple]] = {}
-        found = [(os.path.dirname(self.path), [], [os.path.basename(self.path)])] if os.path.isfile(self.path) else sorted(os.walk(self.path))
-        for folder, _, names in found:
-            images = sorted(n for n in names if n.lower().endswith((".ppm", ".pgm")))
-            rate = None
-            if "fps" in names:
-                with open(os.path.join(folder, "fps")) as f:
-                    rate = float(f.read())
-            name = os.path.relpath(folder, self.path) if os.path.isdir(self.path) else "."
-            if images:
-                clips[name] = [(rate, os.path.join(folder, n), None) for n in images]
-            for n in sorted(n for n in names if n.lower().endswith(".avi")):
-                h, w, fps, frames = avi_layout(os.path.join(folder, n))
-                clips[os.path.normpath(os.path.join(name, n))] = [(fps, os.path.join(folder, n), (h, w, *at)) for at in frames]
-        if not clips:
+        parts = clip_parts(self.path, self.per_task)
+        if not parts:
             raise ValueError(f"no frames in {self.path}")
-        files = [(clip, t, *f) for clip, own in clips.items() for t, f in enumerate(own)]
-        return [_Files(files[i : i + self.per_task]) for i in range(0, len(files), self.per_task)]
-
-    def read(self, partition: _Files) -> Iterator[pa.RecordBatch]:
-        for clip, t, fps, path, place in partition.files:
-            if place is None:
-                h, w, c, raw = read_image(path)
-                if len(raw) != h * w * c:  # a cut-off frame is skipped
-                    continue
-                values = np.frombuffer(raw, np.uint8)
+        return parts
+
+    def read(self, partition: _Part) -> Iterator[pa.RecordBatch]:
+        return read_part(partition)
+
+
+class _FramesStream(DataSourceStreamReader):
+    """Frames by batches.  An offset is how many frames of each clip have been given, and frames of a clip are
+    numbered from there, so a restart goes on where the last committed batch ended."""
+
+    def __init__(self, options):
+        self.path, self.per_task = options["path"], int(options.get("frames_per_task", 64))
+
+    def initialOffset(self) -> dict:
+        return {"clips": "{}"}
+
+    def _available(self) -> dict[str, int]:
+        ends: dict[str, int] = {}
+        for part in clip_parts(self.path, self.per_task):
+            if part.images:
+                end = part.images[-1][0] + 1
+            elif part.last is not None:
+                end = part.t + part.last
             else:
-                h, w, at, n = place
-                with open(path, "rb") as f:
-                    f.seek(at)
-                    values, h, c = avi_frame(f.read(n), h, w), abs(h), 3
-            data = pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), pa.array(values.astype(np.float64)))
-            yield pa.RecordBatch.from_arrays([*(pa.array([v], k) for v, k in zip((clip, t, h, w, c, fps), ARROW.types, strict=False)), data], schema=ARROW)
+                store, at = open_store(part.avi)
+                with store.open_input_file(at) as f:
+                    end = part.t + avi.layout(f, store.get_file_info(at).size).frames
+            ends[part.clip] = max(end, ends.get(part.clip, 0))
+        return ends
+
+    def latestOffset(self) -> dict:
+        return {"clips": json.dumps(self._available(), sort_keys=True)}
+
+    def partitions(self, start: dict, end: dict) -> list[InputPartition]:
+        given, until = json.loads(start["clips"]), json.loads(end["clips"])
+        out = []
+        for part in clip_parts(self.path, self.per_task):
+            low, high = given.get(part.clip, 0), until.get(part.clip, 0)
+            images = [x for x in part.images if low <= x[0] < high]
+            if images:
+                out.append(replace(part, images=images))
+            elif part.avi:
+                first = max(part.first, low - part.t)
+                last = min(high - part.t, part.last) if part.last is not None else high - part.t
+                store, at = open_store(part.avi)
+                with store.open_input_file(at) as f:
+                    last = min(last, avi.layout(f, store.get_file_info(at).size).frames)
+                if first < last:
+                    out.append(replace(part, first=first, last=last))
+        return out
+
+    def read(self, partition: _Part) -> Iterator[pa.RecordBatch]:
+        return read_part(partition)
+
+    def commit(self, end: dict) -> None:
+        pass
+
+
+@dataclass
+class _Written(WriterCommitMessage):
+    """Parts of a task: (clip, first t, last t, frames, h, w, fps, file)."""
+
+    parts: list[tuple]
+
+
+class _ClipsWriter(DataSourceArrowWriter):
+    """Tasks write AVI parts under a folder of their own, the commit numbers a clip's parts by the frames before
+    them and moves them to NAME.clip; the rest of that folder goes, and with it what lost attempts left."""
+
+    def __init__(self, options, overwrite: bool):
+        self.path, self.overwrite = options["path"].rstrip("/"), overwrite
+        self.segment, self.fps = int(options.get("segment", 64)), float(options["fps"]) if "fps" in options else None
+        self.scratch = f"{self.path}/_writing-{uuid.uuid4().hex}"
+
+    def write(self, iterator: Iterator[pa.RecordBatch]) -> _Written:
+        store, folder = open_store(self.scratch)
+        store.create_dir(folder, recursive=True)
+        done: list[tuple] = []
+        held: list[tuple[int, bytes]] = []
+        own: tuple | None = None
+
+        def flush() -> None:
+            if held:
+                name = f"{folder}/{uuid.uuid4().hex}.avi"
+                clip, h, w, fps = own
+                with store.open_output_stream(name) as out:
+                    avi.write(out, (raw for _, raw in held), len(held), h, w, fps)
+                done.append((clip, held[0][0], held[-1][0], len(held), h, w, fps, name))
+                held.clear()
+
+        for batch in iterator:
+            clip, t, h, w, data = (batch.column(batch.schema.get_field_index(c)) for c in ("video_id", "t", "h", "w", "data"))
+            rates = batch.column(batch.schema.get_field_index("fps")).to_pylist() if "fps" in batch.schema.names else [None] * len(batch)
+            for i, key in enumerate(zip(clip.to_pylist(), h.to_pylist(), w.to_pylist(), rates, strict=True)):
+                values = data[i].values
+                if values is None or not key[1] or not key[2] or len(values) != key[1] * key[2] * 3:
+                    continue  # an empty frame, or one of a wrong size, is skipped
+                key = (key[0] or "null", *key[1:3], self.fps or (key[3] if key[3] and key[3] > 0 else 30.0))
+                if key != own or len(held) == self.segment or held and t[i].as_py() <= held[-1][0]:
+                    flush()
+                    own = key
+                held.append((t[i].as_py(), avi.encode(values.to_numpy(zero_copy_only=False), key[1], key[2])))
+        flush()
+        return _Written(done)
+
+    def commit(self, messages: list[_Written | None]) -> None:
+        store, folder = open_store(self.path)
+        parts = sorted(p for m in messages if m for p in m.parts)
+        for a, b in zip(parts[:-1], parts[1:], strict=True):
+            if a[0] == b[0] and (a[2] >= b[1] or a[4:7] != b[4:7]):
+                self.abort(messages)
+                raise ValueError(f"clip {a[0]}: frames {b[1]} to {b[2]} come twice, or differ in size or rate")
+        if self.overwrite:
+            for old in store.get_file_info(fs.FileSelector(folder, allow_not_found=True)):
+                if old.type == fs.FileType.Directory and old.path.endswith(".clip"):
+                    store.delete_dir(old.path)
+        before: dict[str, int] = {}
+        for clip, _, _, n, *_, name in parts:
+            start = before.get(clip, 0)
+            store.create_dir(f"{folder}/{clip}.clip", recursive=True)
+            store.move(name, f"{folder}/{clip}.clip/{start:010d}.avi")
+            before[clip] = start + n
+        self._clear()
+
+    def abort(self, messages: list[_Written | None]) -> None:
+        self._clear()
+
+    def _clear(self) -> None:
+        store, folder = open_store(self.scratch)
+        if store.get_file_info(folder).type == fs.FileType.Directory:
+            store.delete_dir(folder)
 
 
 class FramesSource(DataSource):
@@ -154,69 +303,109 @@ class FramesSource(DataSource):
     def reader(self, schema) -> DataSourceReader:
         return _FramesReader(self.options)
 
+    def streamReader(self, schema) -> DataSourceStreamReader:
+        return _FramesStream(self.options)
+
+    def writer(self, schema, overwrite: bool) -> DataSourceArrowWriter:
+        return _ClipsWriter(self.options, overwrite)
+
 
 def read_frames(spark: SparkSession, path: str, frames_per_task: int = 64) -> DataFrame:
     spark.dataSource.register(FramesSource)
     return spark.read.format("frames").option("path", path).option("frames_per_task", str(frames_per_task)).load()
 
 
+def stream_frames(spark: SparkSession, path: str, frames_per_task: int = 64) -> DataFrame:
+    """A stream of the frames that come into a folder: images in order of name, and AVI files or parts."""
+    spark.dataSource.register(FramesSource)
+    return spark.readStream.format("frames").option("path", path).option("frames_per_task", str(frames_per_task)).load()
+
+
+def write_clips(frames: DataFrame, folder: str, fps: float | None = None, segment: int = 64) -> None:
+    """Every clip as a folder NAME.clip of AVI parts of up to `segment` frames, written by the tasks.  Frames
+    are numbered from 0 in order of t.  Frames of a wrong size are skipped; a clip of several sizes or rates, or
+    with a t twice, fails and leaves nothing."""
+    frames.sparkSession.dataSource.register(FramesSource)
+    columns = ["video_id", "t", "h", "w", "c", *(["fps"] if "fps" in frames.columns else [])]
+    rows = frames.select(*columns, F.col("data").cast("array<double>").alias("data"))
+    out = rows.repartitionByRange("video_id", "t").sortWithinPartitions("video_id", "t").write.format("frames").mode("append").option("path", folder).option("segment", str(segment))
+    (out if fps is None else out.option("fps", str(fps))).save()
+
+
+def join_clips(spark: SparkSession, folder: str) -> DataFrame:
+    """Makes one file NAME.avi of each NAME.clip in a folder, a task for each, frame by frame; rows (video_id,
+    frames) of what was written."""
+    store, root = open_store(folder)
+    clips = [os.path.basename(f.path)[:-5] for f in store.get_file_info(fs.FileSelector(root)) if f.path.endswith(".clip")]
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, root = open_store(folder)
+        for batch in batches:
+            for clip in batch.column(0).to_pylist():
+                files = sorted(store.get_file_info(fs.FileSelector(f"{root}/{clip}.clip")), key=lambda f: f.path)
+                layouts = []
+                for f in files:
+                    with store.open_input_file(f.path) as part:
+                        layouts.append(avi.layout(part, f.size))
+
+                def frames(files=files, layouts=layouts) -> Iterator[bytes]:
+                    for f, found in zip(files, layouts, strict=True):
+                        with store.open_input_file(f.path) as part:
+                            for k in range(found.frames):
+                                yield part.read_at(found.size, found.place(k))
+
+                n, one = sum(x.frames for x in layouts), layouts[0]
+                name = f"{root}/_{uuid.uuid4().hex}"
+                with store.open_output_stream(name) as out:
+                    avi.write(out, frames(), n, one.h, one.w, one.fps)
+                store.move(name, f"{root}/{clip}.avi")
+                yield pa.RecordBatch.from_arrays([pa.array([clip]), pa.array([n], pa.int64())], names=["video_id", "frames"])
+
+    table = spark.createDataFrame([(c,) for c in clips], "video_id string").repartition(max(1, len(clips)))
+    return kept(spark, table.mapInArrow(work, "video_id string, frames long"), "joined")
+
+
+def write_avi(frames: DataFrame, path: str, fps: float) -> int:
+    """One clip as one uncompressed AVI file, its frames in order of t.  Parts are written by the tasks and joined
+    by one, none by the driver.  Returns the number of frames."""
+    spark, folder = frames.sparkSession, f"{os.path.dirname(path) or '.'}/_parts-{uuid.uuid4().hex}"
+    write_clips(frames.withColumn("video_id", F.lit("clip")), folder, fps)
+    store, root = open_store(folder)
+    try:
+        made = join_clips(spark, folder).first()
+        if made is None:
+            raise ValueError("no frames")
+        store.move(f"{root}/clip.avi", open_store(path)[1])
+    finally:
+        if store.get_file_info(root).type == fs.FileType.Directory:
+            store.delete_dir(root)
+    return made.frames
+
+
 def write_images(frames: DataFrame, folder: str) -> int:
     """One PPM/PGM file a frame, written by the tasks; frames of a wrong size are skipped.  The folder
     must be one that all executors share.  Returns the number of files."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, root = open_store(folder)
         for batch in batches:
             n = 0
             for row, (clip, t, h, w, c) in enumerate(zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True)):
                 data = batch.column(5)[row]
                 values = data.values.to_numpy(zero_copy_only=False) if data.is_valid else np.zeros(0)
                 if h > 0 and w > 0 and len(values) == h * w * c:
-                    os.makedirs(os.path.join(folder, clip), exist_ok=True)
-                    name = os.path.join(folder, clip, f"{t:08d}.{'ppm' if c == 3 else 'pgm'}")
-                    with open(f"{name}.tmp", "wb") as f:
+                    store.create_dir(f"{root}/{clip}", recursive=True)
+                    name = f"{root}/{clip}/{t:08d}.{'ppm' if c == 3 else 'pgm'}"
+                    hidden = f"{root}/{clip}/_{uuid.uuid4().hex}"
+                    with store.open_output_stream(hidden) as f:
                         f.write(b"P%d\n%d %d\n255\n" % (6 if c == 3 else 5, w, h) + values.astype(np.uint8).tobytes())
-                    os.replace(f"{name}.tmp", name)
+                    store.move(hidden, name)
                     n += 1
             yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], names=["n"])
 
     return frames.select("video_id", "t", "h", "w", "c", "data").mapInArrow(work, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
 
 
-def write_avi(frames: DataFrame, path: str, fps: float) -> int:
-    """An uncompressed AVI of one clip, frames in order of t, streamed partition by partition."""
-    ordered = frames.select("t", "h", "w", "data").orderBy("t")
-    first = ordered.first()
-    if first is None:
-        raise ValueError("no frames")
-    h, w = first.h, first.w
-    row = (w * 3 + 3) // 4 * 4
-    size, count = row * h, 0
-
-    def chunk(tag: bytes, body: bytes) -> bytes:
-        return tag + struct.pack("<I", len(body)) + body + b"\0" * (len(body) % 2)
-
-    def head(n: int) -> bytes:
-        avih = struct.pack("<14I", round(1e6 / fps), size * round(fps), 0, 0x10, n, 0, 1, size, w, h, 0, 0, 0, 0)
-        strh = b"vids" + b"DIB " + struct.pack("<IHHIIIIIIIIhhhh", 0, 0, 0, 0, 1000, round(fps * 1000), 0, n, size, 0, 0, 0, 0, w, h)
-        strf = struct.pack("<IiiHHIIiiII", 40, w, h, 1, 24, 0, size, 0, 0, 0, 0)
-        hdrl = b"hdrl" + chunk(b"avih", avih) + chunk(b"LIST", b"strl" + chunk(b"strh", strh) + chunk(b"strf", strf))
-        movi = 4 + n * (8 + size)
-        return b"RIFF" + struct.pack("<I", 4 + 8 + len(hdrl) + 8 + movi) + b"AVI " + chunk(b"LIST", hdrl) + b"LIST" + struct.pack("<I", movi) + b"movi"
-
-    with open(path, "wb") as f:
-        f.write(head(0))
-        for r in ordered.toLocalIterator():
-            if (r.h, r.w, len(r.data)) != (h, w, h * w * 3):
-                continue
-            body = np.zeros((h, row), np.uint8)  # bottom-up rows, blue first
-            body[:, : 3 * w] = np.array(r.data).astype(np.uint8).reshape(h, w, 3)[::-1, :, ::-1].reshape(h, 3 * w)
-            f.write(b"00db" + struct.pack("<I", size) + body.tobytes())
-            count += 1
-        f.seek(0)
-        f.write(head(count))
-    return count
-
-
 def read_matrix(spark: SparkSession, path: str, channels: int = 3) -> DataFrame:
     """A comma-separated matrix of H lines with W * channels values, as rows (y, x, ch, v)."""
     text = spark.read.text(path, wholetext=True)
