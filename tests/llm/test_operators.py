@@ -663,6 +663,24 @@ def test_substring_dedup(spark, docs, texts, none):
     assert substring_dedup.dedup_substrings(spark, none, filter_bits=20).count() == 0
 
 
+@pytest.mark.parametrize(
+    "text, word",
+    [
+        *((t, "idiot") for t in ("id|ot", "|diot", "an !diot here", "*diot", "idi0+", "(idi0+)", "i,d,i,o,t", "i:d:i:o:t", "i~d~i~o~t", "id\u200bi\u200bot", "i\u00addiot", "'!D!0T'", "i d i o t", "i.d.i.o.t")),
+        *((t, "clown") for t in ("(lown", "such a (lown!", "c|own", "c;l;o;w;n")),
+        *((t, "stupid") for t in ("+upid $tup!d", "stup|d", "5tupi*", "s=t=u=p=i=d")),
+    ],
+)
+def test_obfuscated_words_through_the_path_of_texts(text, word):
+    """What a document's features are made of, not only the lattice."""
+    words = Counter({"idiot": 40, "clown": 40, "stupid": 40, "kill": 10, "such": 30, "here": 30, "there": 20, "window": 10, "string": 10})
+    made = toxicity.Features(toxicity.CharModel(toxicity._trigrams(words)))
+    raw = text.encode()
+    slots = made.slice(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
+    plain = made.slice(np.frombuffer(word.encode(), np.uint8), np.array([0, len(word)]))
+    assert plain[2][plain[1]][0, 0] in slots[2][np.unique(slots[1])][:, 0]
+
+
 def test_substring_dedup_layouts(spark):
     """Repeats that only meet across partitions, rows that repeat whole, ids with two texts, no id."""
     line = lambda a, n: " ".join(f"w{k}" for k in range(a, a + n))

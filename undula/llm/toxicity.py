@@ -4,9 +4,10 @@ Obfuscated tokens (digits and signs for letters, repeated letters, letters apart
 become a lattice: each observed character may stand for itself, for the letters it imitates, for any
 letter if it is a mask, or for nothing where it repeats the one before or separates letters.  Viterbi
 decoding under a character trigram model picks the restored word.  Words that show no such sign stay
-as they are.  Runs of spaced letters, and words joined by points, dashes or slashes, are decoded further:
-each gap is closed or ends a word.  What comes of that, the words and the whole without gaps, is added.
-Runs and words may have any length.
+as they are.  Runs of spaced letters, and words with signs or unseen characters between letters, are decoded
+further: each gap is closed or ends a word.  What comes of that, the words and the whole without gaps, is
+added, and so is a word with the one look-alike that stands at an edge of it, where it may be punctuation
+as well.  Runs and words may have any length.
 
 Each distinct restored word of a document gives hashed features (the word, and its first four, five
 and six characters); an L1 logistic regression trained by Spark on labelled rows scores a document by the sum
@@ -51,7 +52,12 @@ THRESHOLD = 0.3
 IMITATES = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e"}
 MASKS = "*#%_"
 APART = " .-_*|/"
-GAP = re.compile(r"[.\-/]+")
+#: What parts letters within a word: signs that stand for no letter, and characters that aren't seen.
+UNSEEN = "\u00ad\u200b\u200c\u200d\u2060\ufeff"
+PARTS = ".-/,:;~=&^`\"<>[]{}\\?)"
+GAP = re.compile("[" + re.escape(PARTS) + UNSEEN + "]+")
+UNDOUBTED = re.compile(r"[.\-/" + UNSEEN + "]")
+_FILL = "".join(c for c in APART if c not in MASKS and c not in IMITATES)
 
 LOOKALIKE = np.zeros(256, bool)
 LOOKALIKE[[ord(c) for c in "0123456789@$!|+(*#%_"]] = True
@@ -59,6 +65,8 @@ LOOKALIKE[[ord(c) for c in "0123456789@$!|+(*#%_"]] = True
 LOOKALIKE_WIDE = np.array([int.from_bytes(c.encode(), "big") for c in IMITATES if not c.isascii()], np.uint32)
 LETTER = np.zeros(256, bool)
 LETTER[[*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
+#: What stands for no letter at a word's edge.
+CUT_PLAIN = ~(LETTER | LOOKALIKE)
 #: What is cut from the start and from the end of a word; a leading $ or @ may stand for a letter.
 CUT_START = ~(LETTER | LOOKALIKE)
 CUT_START[[ord(c) for c in "!*#%|_(+"]] = True
@@ -298,10 +306,17 @@ def _suspicious(buf: np.ndarray, places: np.ndarray, number: np.ndarray, starts:
 
 
 def _joined(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Words (edges cut) with points, dashes or slashes inside."""
+    """Words (edges cut) with signs or unseen characters inside that may part letters."""
     sign = np.zeros(256, bool)
-    sign[[ord(c) for c in ".-/"]] = True
-    signs, letters = (np.concatenate([np.zeros(1, np.int32), np.cumsum(x[buf], dtype=np.int32)]) for x in (sign, LETTER))
+    sign[[ord(c) for c in PARTS]] = True
+    found = sign[buf]
+    for c in UNSEEN:
+        raw = c.encode()
+        own = np.ones(max(0, len(buf) - len(raw) + 1), bool)
+        for k, b in enumerate(raw):
+            own &= buf[k : k + len(own)] == b
+        found[: len(own)] |= own
+    signs, letters = (np.concatenate([np.zeros(1, np.int32), np.cumsum(x, dtype=np.int32)]) for x in (found, LETTER[buf]))
     return (signs[ends] > signs[starts]) & (letters[ends] > letters[starts])
 
 
@@ -323,14 +338,14 @@ class Features:
         return got
 
     def word(self, raw: bytes) -> bytes:
-        token = lambda: "".join(c for c in raw.decode("utf-8", "replace").lower() if c not in APART or c in MASKS)
+        token = lambda: "".join(c for c in raw.decode("utf-8", "replace").lower() if c not in _FILL)
         return self._known(raw, lambda: restore(token(), self.model).encode())
 
     def words(self, chunks: tuple[str, ...]) -> list[bytes]:
         """The words behind letters or parts of words that are kept apart, and all of them as one."""
 
         def make() -> list[bytes]:
-            parts = ["".join(c for c in x.lower() if c not in APART or c in MASKS) for x in chunks]
+            parts = ["".join(c for c in x.lower() if c not in _FILL) for x in chunks]
             return sorted({x.encode() for x in (restore("".join(parts), self.model), *restore_words(parts, self.model)) if x})
 
         return self._known(chunks, make)
@@ -346,6 +361,8 @@ class Features:
         a = head[np.minimum(np.searchsorted(head, starts), len(head) - 1)]
         b = tail[np.maximum(np.searchsorted(tail, ends) - 1, 0)] + 1
         whole = (a >= starts) & (b <= ends) & (a < b)
+        plain = np.flatnonzero(~CUT_PLAIN[buf])
+        wide = plain[np.searchsorted(plain, starts[whole])], plain[np.searchsorted(plain, ends[whole]) - 1] + 1
         starts, ends, row = a[whole], b[whole], row[whole]
         h, at, back = np.unique(textops.hashes(buf, starts, ends, lower=True), return_index=True, return_inverse=True)
         word_start, word_end = starts[at], ends[at]
@@ -358,6 +375,17 @@ class Features:
                 extra_rows.append(rows)
                 extra_which.append(np.full(len(rows), len(h) + extra.setdefault(w, len(extra)), np.int64))
 
+        # signs at the edges that may stand for letters
+        seen = np.append(0, np.cumsum(LETTER[buf], dtype=np.int32))
+        left, right = starts - wide[0] == 1, wide[1] - ends == 1  # rows of signs are ornament
+        for begin, end, edged in ((wide[0], ends, left), (starts, wide[1], right), (*wide, left & right)):
+            own = np.flatnonzero(edged & (seen[ends] > seen[starts]))
+            one, which = textops.distinct_words(buf, begin[own], end[own])
+            order = np.argsort(which, kind="stable")
+            for rows, x, y in zip(np.split(row[own][order], np.cumsum(np.bincount(which))[:-1]), begin[own][one], end[own][one], strict=True) if len(own) else ():
+                made = self.word(buf[x:y].tobytes())
+                if made:
+                    add(rows, [made])
         # letters apart by spaces: runs of three or more one-letter words
         one = number[ends] - number[starts] == 1
         single = np.flatnonzero(one & (LETTER[buf[starts]] | LOOKALIKE[buf[starts]]))
@@ -375,7 +403,8 @@ class Features:
             lo, hi = np.searchsorted(back[order], joined), np.searchsorted(back[order], joined, "right")
             for w, x, y in zip(joined.tolist(), lo.tolist(), hi.tolist(), strict=True):
                 chunks = tuple(c for c in GAP.split(buf[word_start[w] : word_end[w]].tobytes().decode("utf-8", "replace")) if c)
-                if len(chunks) > 1:
+                # signs that often stand between whole words part letters only
+                if len(chunks) > 1 and (max(map(len, chunks)) <= 2 or UNDOUBTED.search(buf[word_start[w] : word_end[w]].tobytes().decode("utf-8", "replace"))):
                     add(row[order[x:y]], self.words(chunks))
         odd = np.flatnonzero(_suspicious(buf, places, number, word_start, word_end))
         changed = [self.word(buf[x:y].tobytes()) for x, y in zip(word_start[odd], word_end[odd], strict=True)]
@@ -468,8 +497,11 @@ def train(docs: DataFrame, labels: DataFrame, seed: int = 11) -> Model:
         p = min(max(share, 1e-6), 1 - 1e-6)
         return Model(chars, np.zeros(1 << FEATURE_BITS), log(p / (1 - p)))
 
+    spark = docs.sparkSession
+    shared = spark.sparkContext.broadcast(chars)
+
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        make = Features(chars)
+        make = Features(shared.value)
         for batch in batches:
             for lo, hi, buf, offsets in textops.slices(batch.column(1)):
                 rows, which, slots = make.slice(buf, offsets)
@@ -478,9 +510,8 @@ def train(docs: DataFrame, labels: DataFrame, seed: int = 11) -> Model:
                 first = pa.array(np.searchsorted(pair >> 32, np.arange(hi - lo + 1)), pa.int32())
                 lists = [pa.ListArray.from_arrays(first, pa.array(x, t)) for x, t in ((pair & 0xFFFFFFFF, pa.int32()), (times, pa.float64()))]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), *lists], names=["label", "slots", "times"])
-        chars.forget()
+        shared.value.forget()
 
-    spark = docs.sparkSession
     with scratch(spark):
         # Files cut the lineage, so that the regression's many small jobs carry no model along.
         rows = kept(spark, text.select("label", "text").mapInArrow(textops.tidied(features), "label double, slots array<int>, times array<double>"), "features")
@@ -504,6 +535,7 @@ def train(docs: DataFrame, labels: DataFrame, seed: int = 11) -> Model:
         made = rows.mapInArrow(textops.tidied(sparse), "label double, features struct<type: tinyint, size: int, indices: array<int>, values: array<double>>")
         vectors = kept(spark, made, "vectors", schema=T.StructType([T.StructField("label", T.DoubleType()), T.StructField("features", VectorUDT())]))
         fitted = LogisticRegression(maxIter=60, regParam=0.0004, elasticNetParam=1.0, standardization=False).fit(vectors)
+    shared.destroy()
     weights = np.zeros(1 << FEATURE_BITS)
     weights[used] = fitted.coefficients.toArray()
     return Model(chars, weights, fitted.intercept)
