@@ -3,7 +3,9 @@ from dataclasses import replace
 import numpy as np
 import pytest
 from pyspark.errors import AnalysisException
+from pyspark.sql import functions as F
 
+from undula import cli
 from undula.config import BABY, CPP, CUDA, PYTHON
 from undula.functions import coeffs, color, stencils
 from undula.operators import arrays, metrics, pixels, recursive, spectral, tiles
@@ -159,13 +161,53 @@ def test_metrics(spark, tmp_path):
     assert {r.t: round(r.psnr, 6) for r in found.collect()} == {t: round(20 * np.log10(255 / 2), 6) for t in range(3)}
     assert {r.psnr for r in metrics.psnr_per_frame(metrics.aligned(a, a, ["t", "y", "x", "ch"])).collect()} == {100.0}
     assert metrics.histogram(found).collect()[0].n == 3 and metrics.moving_average(found, 2).count() == 2
-    with pytest.raises(ValueError):
-        metrics.same_length(a, b)
     fr.write_report(found, str(tmp_path / "r"))
     lines = "".join(p.read_text() for p in sorted((tmp_path / "r").glob("part-*"))).splitlines()
     assert len(lines) == 1 + 3 + 3 and lines[0].startswith("mean 42.11")
 
 
+def test_frames_that_do_not_match_fail_by_clip(spark):
+    x = np.random.default_rng(5).uniform(0, 255, (4, 3, 2, 3))
+    a, b = clip(spark, x, "a").unionByName(clip(spark, x, "b")), clip(spark, x + 2, "a").unionByName(clip(spark, x[:3], "b"))
+    with pytest.raises(Exception, match="clip b, frame 3 is in one table only"):
+        metrics.compared(a, b).collect()
+    found = {(r.video_id, r.t): r for r in metrics.frame_quality(metrics.compared(a, b, cut=True), 1.0).collect()}
+    assert set(found) == {("a", t) for t in range(4)} | {("b", t) for t in range(3)}
+    assert {(round(r.psnr, 6), round(r.max_diff, 6), r.n_over) for k, r in found.items() if k[0] == "a"} == {(round(20 * np.log10(255 / 2), 6), 2.0, 18)}
+    assert {(r.psnr, r.max_diff, r.place, r.n_over) for k, r in found.items() if k[0] == "b"} == {(100.0, 0.0, 0, 0)}
+    with pytest.raises(Exception, match="clip a, frame 0: sizes differ"):
+        metrics.compared(clip(spark, x[:1], "a"), clip(spark, x[:1, :2], "a")).collect()
+    with pytest.raises(Exception, match="clip a, frame 0 lacks values"):
+        metrics.compared(clip(spark, x[:1], "a"), clip(spark, x[:1], "a").withColumn("data", F.slice("data", 1, 5))).collect()
+    assert metrics.assert_close(clip(spark, x), clip(spark, x + 0.5), 0.6).count() == 4
+    with pytest.raises(Exception, match="clip v, frame 2: value 7 differs by 5"):
+        y = x.copy()
+        y[2].ravel()[7] += 5
+        metrics.assert_close(clip(spark, x), clip(spark, y), 0.6).collect()
+    summary = {r.video_id: r.n for r in metrics.psnr_summary(metrics.frame_quality(metrics.compared(a, b, cut=True))).collect()}
+    assert summary == {"a": 4, "b": 3}
+
+
+def test_command_line(spark, tmp_path, capsys):
+    """Two clips of their own rates magnified to files, with the time of each stage, and a report of both."""
+    x = np.rint(np.random.default_rng(5).uniform(50, 200, (12, 6, 6, 3)))
+    both = clip(spark, x, "a").withColumn("fps", F.lit(30.0)).unionByName(clip(spark, x[:9, :5], "b").withColumn("fps", F.lit(20.0)))
+    fr.write_clips(both, str(tmp_path / "in"))
+    for mode, stages in (("gaussian", {"colour", "pyramid", "filter", "reconstruction"}), ("laplacian", {"colour", "pyramid", "filter", "filter, ends of blocks", "reconstruction"})):
+        out = str(tmp_path / mode)
+        cli.main(["magnify", str(tmp_path / "in"), out, "--mode", mode, "--levels", "2", "--high_hz", "3.0", "--alpha", "5", "--video", "--timing"])
+        lines = [line for line in capsys.readouterr().out.splitlines() if "task seconds" in line]
+        assert {line.split(":")[0] for line in lines} == stages
+        rows = {line.split(":")[0]: int(line.split()[-7]) for line in lines}
+        # each frame once; a recursive filter reads its bands for the blocks' states and for the result
+        assert rows["reconstruction"] == 21 and rows["colour"] == rows["pyramid"] == (21 if mode == "gaussian" else 42)
+        back = fr.read_frames(spark, out).where("video_id like '%.avi'")
+        assert {(r.video_id, r.fps, r.n) for r in back.groupBy("video_id", "fps").agg(F.count("*").alias("n")).collect()} == {("a.avi", 30.0, 12), ("b.avi", 20.0, 9)}
+    cli.main(["psnr", str(tmp_path / "in"), str(tmp_path / "in"), str(tmp_path / "report")])
+    text = "".join(p.read_text() for p in sorted((tmp_path / "report").glob("part-*"))).splitlines()
+    assert text[0].startswith("a: mean 100.00") and "b: Frame 8: 100.00 dB" in text and len(text) == 2 + 10 + 9 + 21
+
+
 def test_plans_have_no_extra_exchange(spark, values):
     px = pixels.by_frame(fr.to_pixels(clip(spark, values)))
     plan = pixels.gaussian_blur(spark, px, 7, 10, 2)._jdf.queryExecution().executedPlan().toString()

@@ -10,10 +10,11 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from .config import DIALECTS, PRESETS, MagnifyConfig
-from .operators import metrics
+from .operators import clips, metrics
 from .plans.magnify import magnify
 from .ship import ship
 from .sources import frames as fr
+from .timing import StageTimers
 
 
 def parser() -> argparse.ArgumentParser:
@@ -27,9 +28,12 @@ def parser() -> argparse.ArgumentParser:
     for f in fields(MagnifyConfig):
         kind = type(f.default)
         run.add_argument(f"--{f.name}", type=(lambda v: v.lower() in ("1", "true", "yes")) if kind is bool else float if f.default is None else kind)
+    run.add_argument("--video", action="store_true", help="a folder of video files instead of images")
+    run.add_argument("--timing", action="store_true", help="print the time that each stage took in the tasks")
     run.add_argument("--warm_up", type=int, default=0, help="runs that aren't measured")
     run.add_argument("--runs", type=int, default=1)
     report = sub.add_parser("psnr")
+    report.add_argument("--cut", action="store_true", help="leave out frames that only one side has, instead of failing")
     for name in ("first", "second", "target"):
         report.add_argument(name)
     return out
@@ -46,26 +50,32 @@ def main(argv: list[str] | None = None) -> None:
     if args.command == "magnify":
         clip = fr.read_frames(spark, args.source)
         config = config_of(args)
-        out = magnify(clip, config)
+        timers = StageTimers(spark) if args.timing else None
+        out = magnify(clip, config, timers)
         took = []
         for k in range(args.warm_up + args.runs):
             began = time.time()
-            if args.target.lower().endswith(".avi"):
+            if args.target.lower().endswith(".avi"):  # one clip, one file
                 fr.write_avi(out, args.target, config.fps or clip.select(fr.effective_fps(F.col("fps"))).first()[0])
+            elif args.video:  # every clip with its own rate
+                rates = clips.rated(clip, config.fps).groupBy("video_id").agg(F.first("fps").alias("fps"))
+                fr.write_clips(out.join(rates, "video_id"), args.target)
+                fr.join_clips(spark, args.target)
             else:
                 fr.write_images(out, args.target)
             if k >= args.warm_up:
                 took.append((time.time() - began,))
+        if timers:
+            for name, (seconds, calls, rows) in timers.found().items():
+                print(f"{name}: {seconds:.3f} task seconds, {rows} rows in {calls} batches or groups")
         if args.runs > 1 or args.warm_up:
             s = metrics.bench_stats(spark.createDataFrame(took, "seconds double"), "seconds").first()
             print(f"{args.runs} runs: mean {s.mean_v:.3f} s, sd {s.sd_v:.3f} s, CV {s.cv_pct:.1f} %, from {s.min_v:.3f} to {s.max_v:.3f} s")
     else:
         a, b = (fr.read_frames(spark, p) for p in (args.first, args.second))
-        key = ["video_id", "t", "y", "x", "ch"]
-        if all(x.select("video_id").distinct().count() == 1 for x in (a, b)):  # one clip each, whatever their names
+        if all(len(x.select("video_id").distinct().limit(2).collect()) == 1 for x in (a, b)):  # one clip each, whatever their names
             a, b = a.withColumn("video_id", F.lit(".")), b.withColumn("video_id", F.lit("."))
-        metrics.same_shapes(a, b)
-        fr.write_report(metrics.psnr_per_frame(metrics.aligned(fr.to_pixels(a), fr.to_pixels(b), key)), args.target)
+        fr.write_report(metrics.frame_quality(metrics.compared(a, b, args.cut)).select("video_id", "t", "psnr"), args.target)
 
 
 if __name__ == "__main__":

@@ -347,3 +347,58 @@ def ssim_local(spark, d):
     """Each frame and the next one under a Gaussian window of 11 x 11."""
     frames = grey_frames(spark, d)
     return metrics.local_ssim(frames, frames.withColumn("t", F.col("t") - 1)).select("t", r6("ssim").alias("ssim"))
+
+
+# --- video files of several clips -------------------------------------------------------------------------------
+
+SQL_FILES = " UNION ALL ".join(
+    f"SELECT '{{}}{name}{{}}' AS video_id, {h} AS h, {w} AS w, {fps!r}::DOUBLE AS fps, (vec_id // 2)::INT AS t, i::INT AS i, floor(least(greatest(127.5 * (1 + embedding[i + 1]::DOUBLE), 0), 255))::INT AS v FROM embeddings, range({3 * h * w}) r(i) WHERE vec_id % 2 = {turn}"
+    for name, (turn, h, w, fps) in SHAPES.items()
+)
+
+
+def _whole_values(spark, d) -> DataFrame:
+    return two_clips(spark, d).withColumn("data", F.transform("data", lambda v: color.to_u8(v, "truncate").cast("double")))
+
+
+def _listed(frames: DataFrame) -> DataFrame:
+    return frames.select("video_id", "h", "w", "fps", "t", F.posexplode("data").alias("i", "v")).withColumn("v", F.col("v").cast("int"))
+
+
+@query(SQL_FILES.format("", "", "", ""))
+def source_clips(spark, d):
+    """Two clips, each written in parts by several tasks, and read again."""
+    folder = fresh(spark, "clips")
+    fr.write_clips(_whole_values(spark, d), folder, segment=32)
+    return _listed(fr.read_frames(spark, folder))
+
+
+@query(SQL_FILES.format("", ".avi", "", ".avi"))
+def source_joined_clips(spark, d):
+    """Parts become one file for each clip, of several lists of frames."""
+    folder = fresh(spark, "joined")
+    fr.write_clips(_whole_values(spark, d), f"{folder}/parts", segment=32)
+    fr.join_clips(spark, f"{folder}/parts")
+    return _listed(fr.read_frames(spark, f"{folder}/parts").where("video_id like '%.avi'"))
+
+
+@query(SQL_FILES.format("", "", "", ""))
+def source_stream(spark, d):
+    """The frames of a folder as a stream, in two runs: the second goes on behind the first."""
+    folder, whole = fresh(spark, "frame-source"), kept(spark, _whole_values(spark, d), "frame-source-rows")
+    for k in range(2):
+        fr.write_clips(whole.where(F.col("video_id") == "ab"[k]), f"{folder}/in", segment=32)
+        run = fr.stream_frames(spark, f"{folder}/in").writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+        run.awaitTermination()
+    return _listed(spark.read.parquet(f"{folder}/out"))
+
+
+PAIR8 = GREY + ", pair AS (SELECT a.t, 8 * a.y + a.x AS i, abs(a.v - b.v) AS d FROM px a JOIN px b ON b.t = a.t + 1 AND a.y = b.y AND a.x = b.x)"
+
+
+@query(sql_of(PAIR8, select="SELECT t, round(CASE WHEN avg(d * d) = 0 THEN 100 ELSE 20 * log10(255 / sqrt(avg(d * d))) END, 6) AS psnr, round(max(d), 6) AS max_diff, round(avg(d), 6) AS mean_diff, arg_min(i, (-d, i))::BIGINT AS place, count(*) FILTER (d > 40) AS n_over FROM pair GROUP BY t"))
+def frame_tolerance(spark, d):
+    """Each frame and the next one: quality, the place of the largest difference, and values beyond a tolerance."""
+    frames = grey_frames(spark, d)
+    found = metrics.frame_quality(metrics.compared(frames, frames.withColumn("t", F.col("t") - 1), cut=True), 40.0)
+    return found.select("t", *[r6(c).alias(c) for c in ("psnr", "max_diff", "mean_diff")], F.col("place").cast("long").alias("place"), "n_over")

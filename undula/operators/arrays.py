@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from ..functions import coeffs, stencils
+from ..timing import StageTimers
 from . import clips
 
 #: A band of a frame: its level, its own size, the clip's rate and the gain that the level gets (null: none).
@@ -42,14 +43,14 @@ def _rows(batch: pa.RecordBatch, rows: np.ndarray, level: int, gain: float | Non
     )
 
 
-def _bands(frames: DataFrame, make: Make) -> DataFrame:
+def _bands(frames: DataFrame, make: Make, timers: StageTimers | None = None) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows, _, values in _frames(batch):
                 for level, gain, band in make(values):
                     yield _rows(batch, rows, level, gain, band)
 
-    return clips.rated(frames).select("video_id", "t", "h", "w", "c", "data", "fps").mapInArrow(work, BANDS)
+    return clips.rated(frames).select("video_id", "t", "h", "w", "c", "data", "fps").mapInArrow(timers.batches("pyramid", work) if timers else work, BANDS)
 
 
 def shrink(x: np.ndarray, levels: int, border: str, rule: str) -> np.ndarray:
@@ -74,7 +75,7 @@ def grow(x: np.ndarray, sizes: list[tuple[int, int]], border: str, repair: bool
     return x
 
 
-def gaussian_frames(frames: DataFrame, levels: int, border: str = "reflect101", rule: str = "ceil", full: bool = True, repair: bool = False) -> DataFrame:
+def gaussian_frames(frames: DataFrame, levels: int, border: str = "reflect101", rule: str = "ceil", full: bool = True, repair: bool = False, timers: StageTimers | None = None) -> DataFrame:
     """Blurred frames at full size, or (full=False) only shrunk: what a filter needs to see."""
 
     def make(x: np.ndarray):
@@ -82,7 +83,7 @@ def gaussian_frames(frames: DataFrame, levels: int, border: str = "reflect101",
         small = shrink(x, levels, border, rule)
         yield levels, None, grow(small, sizes[-2::-1], border, repair) if full and levels else small
 
-    return _bands(frames, make)
+    return _bands(frames, make, timers)
 
 
 def usable_levels(h: int, w: int, levels: int) -> int:
@@ -92,7 +93,7 @@ def usable_levels(h: int, w: int, levels: int) -> int:
     return levels
 
 
-def laplacian_frames(frames: DataFrame, levels: int, residual: bool, border: str = "reflect101", wanted: Callable[[int], tuple[int, ...]] | None = None, gains: Callable[[list[tuple[int, int]]], list[float]] | None = None) -> DataFrame:
+def laplacian_frames(frames: DataFrame, levels: int, residual: bool, border: str = "reflect101", wanted: Callable[[int], tuple[int, ...]] | None = None, gains: Callable[[list[tuple[int, int]]], list[float]] | None = None, timers: StageTimers | None = None) -> DataFrame:
     """One row per frame and band, by each frame's own size.  `wanted` says of how many bands which are made,
     `gains` what the levels of these sizes get."""
 
@@ -113,4 +114,4 @@ def laplacian_frames(frames: DataFrame, levels: int, residual: bool, border: str
         if residual and n in own:
             yield n, gain[n], x
 
-    return _bands(frames, make)
+    return _bands(frames, make, timers)

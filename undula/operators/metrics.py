@@ -25,6 +25,42 @@ def aligned(a: DataFrame, b: DataFrame, key: list[str]) -> DataFrame:
     return a.join(b.withColumnRenamed("v", "other"), key)
 
 
+def _said(*parts: Column | str) -> Column:
+    return F.concat(*[F.lit(p) if isinstance(p, str) else F.coalesce(p.cast("string"), F.lit("null")) for p in parts])
+
+
+def compared(a: DataFrame, b: DataFrame, cut: bool = False) -> DataFrame:
+    """Rows (video_id, t, h, w, c, data, other) of the frames of two tables.  Frames of different sizes or
+    channels, without all their values, or (unless `cut`, which leaves them out) in one table only, fail by
+    their clip and t, in the job that reads the rows."""
+    pairs = a.alias("a").join(b.alias("b"), F.col("a.video_id").eqNullSafe(F.col("b.video_id")) & (F.col("a.t") == F.col("b.t")), "inner" if cut else "full")
+    clip, t = F.coalesce("a.video_id", "b.video_id"), F.coalesce("a.t", "b.t")
+    fail = lambda why: F.raise_error(_said("clip ", clip, ", frame ", t, why)).cast("array<double>")
+    shape = lambda s: F.struct(*[F.col(f"{s}.{c}") for c in ("h", "w", "c")])
+    whole = lambda s: F.size(f"{s}.data") == F.col(f"{s}.h") * F.col(f"{s}.w") * F.col(f"{s}.c")
+    other = F.when(F.col("a.t").isNull() | F.col("b.t").isNull(), fail(" is in one table only")).when(shape("a") != shape("b"), fail(": sizes differ")).when(whole("a") & whole("b"), F.col("b.data").cast("array<double>")).otherwise(fail(" lacks values"))
+    return pairs.select(clip.alias("video_id"), t.alias("t"), *[F.col(f"a.{c}").alias(c) for c in ("h", "w", "c")], F.col("a.data").cast("array<double>").alias("data"), other.alias("other"))
+
+
+def frame_quality(pairs: DataFrame, tolerance: float = 0.0) -> DataFrame:
+    """Rows (video_id, t, psnr, max_diff, mean_diff, place, n_over) of compared frames: values are taken in whole
+    arrays, so no pixel is a row.  place is the first of the largest difference, n_over how many values
+    differ by more than the tolerance."""
+    d = F.zip_with("data", "other", lambda x, y: F.abs(x - y))
+    n = F.size("d")
+    total = lambda f: F.aggregate("d", F.lit(0.0), lambda s, x: s + f(x)) / n
+    found = pairs.select("video_id", "t", d.alias("d"))
+    most = F.array_max("d")
+    return found.select("video_id", "t", psnr(total(lambda x: x * x)).alias("psnr"), most.alias("max_diff"), total(lambda x: x).alias("mean_diff"), (F.array_position("d", most) - 1).alias("place"), F.size(F.filter("d", lambda x: x > tolerance)).cast("long").alias("n_over"))
+
+
+def assert_close(a: DataFrame, b: DataFrame, tolerance: float) -> DataFrame:
+    """The rows of frame_quality; a frame that differs by more than the tolerance fails with its place."""
+    found = frame_quality(compared(a, b), tolerance)
+    said = _said("clip ", F.col("video_id"), ", frame ", F.col("t"), ": value ", F.col("place"), " differs by ", F.col("max_diff"))
+    return found.withColumn("max_diff", F.when(F.col("n_over") > 0, F.raise_error(said).cast("double")).otherwise(F.col("max_diff")))
+
+
 def frame_key(df: DataFrame) -> list[str]:
     """What names a frame: its clip, where the rows have one, and t."""
     return [c for c in ("video_id", "t") if c in df.columns]
@@ -36,8 +72,9 @@ def psnr_per_frame(both: DataFrame) -> DataFrame:
 
 
 def psnr_summary(frames: DataFrame) -> DataFrame:
+    """One row for each clip, or for all frames where rows have no video_id."""
     low = F.min_by("t", F.struct("psnr", "t"))
-    return frames.agg(F.avg("psnr").alias("mean_psnr"), F.min("psnr").alias("min_psnr"), F.max("psnr").alias("max_psnr"), F.stddev_pop("psnr").alias("sd_psnr"), low.alias("worst_t"), F.count("*").alias("n"))
+    return frames.groupBy(*frame_key(frames)[:-1]).agg(F.avg("psnr").alias("mean_psnr"), F.min("psnr").alias("min_psnr"), F.max("psnr").alias("max_psnr"), F.stddev_pop("psnr").alias("sd_psnr"), low.alias("worst_t"), F.count("*").alias("n"))
 
 
 def lowest(frames: DataFrame, k: int = 10) -> DataFrame:
@@ -124,19 +161,3 @@ def bench_stats(runs: DataFrame, value: str) -> DataFrame:
     """Mean, population deviation, CV in percent, least and greatest of measured times."""
     sd = F.stddev_pop(value)
     return runs.agg(F.avg(value).alias("mean_v"), sd.alias("sd_v"), (100 * sd / F.avg(value)).alias("cv_pct"), F.min(value).alias("min_v"), F.max(value).alias("max_v"))
-
-
-def same_shapes(a: DataFrame, b: DataFrame) -> None:
-    """Raises where frames of one clip and t differ in size or channels."""
-    shape = F.struct("h", "w", "c")
-    both = a.select(*frame_key(a), shape.alias("one")).join(b.select(*frame_key(b), shape.alias("two")), frame_key(a))
-    odd = both.where("one <> two").first()
-    if odd is not None:
-        raise ValueError(f"frame {odd.t}: {tuple(odd.one)} and {tuple(odd.two)}")
-
-
-def same_length(a: DataFrame, b: DataFrame) -> None:
-    """Raises unless both clips have the same number of frames."""
-    n, m = (x.select("t").distinct().count() for x in (a, b))
-    if n != m:
-        raise ValueError(f"{n} and {m} frames")

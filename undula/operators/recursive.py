@@ -20,12 +20,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import coeffs
+from ..shared import kept
+from ..timing import StageTimers
 from . import clips
 from .spectral import Finish
 from .tiles import SERIES, ordered, own_values, series_rows
 
-#: Frames in a block; blocks that are folded into one map; levels of maps below the highest.
-BLOCK, RADIX, LEVELS = 1024, 128, 1
+#: Frames in a block; blocks that are folded into one map.
+BLOCK, RADIX = 1024, 128
 
 #: (b0, b1, b2, a1, a2, how many times its first input a section's first output is).
 Section = tuple[float, float, float, float, float, float]
@@ -100,9 +102,13 @@ def apply(x: np.ndarray, bank: Bank, state: np.ndarray | None) -> tuple[np.ndarr
     return total, np.concatenate(behind)
 
 
-def recursive(series: DataFrame, design: Callable[[float], Bank], fps: float | None = None, first_frame: str = "filter", finish: Finish | None = None, levels: int | None = None) -> DataFrame:
+def recursive(series: DataFrame, design: Callable[[float], Bank], fps: float | None = None, first_frame: str = "filter", finish: Finish | None = None, levels: int = 0, timers: StageTimers | None = None) -> DataFrame:
     """Every series of rows (video_id, level, tile, t, data[, fps, gain]) through the bank that `design`
-    makes for its rate.  first_frame: what comes out at a clip's first frame, raw, zero, or as filtered."""
+    makes for its rate.  first_frame: what comes out at a clip's first frame, raw, zero, or as filtered.
+
+    levels: how often maps are folded RADIX at a time before one group holds a series' maps; levels_of says how
+    many keep that group at RADIX of them.  The rows are read twice, for the blocks' maps and for the result;
+    with levels the maps, short rows, are written to the shared folder, so that it stays at that."""
     start, span, radix = first_frame, BLOCK, RADIX
     series = clips.rated(series, fps)
     blocks = series.withColumn("block", F.floor(F.col("t") / span).cast("int"))
@@ -156,13 +162,25 @@ def recursive(series: DataFrame, design: Callable[[float], Bank], fps: float | N
             y[0] = x[0] if start == "raw" else 0.0
         return series_rows(table, t, finish(y, own, begins) if finish else y)
 
-    tower = [blocks.groupBy(*KEY, "block").applyInArrow(ends, _MAPS)]
-    for _ in range(LEVELS if levels is None else levels):
+    timed = timers.groups("filter", work) if timers else work
+    tower = [blocks.groupBy(*KEY, "block").applyInArrow(timers.groups("filter, ends of blocks", ends) if timers else ends, _MAPS)]
+    if levels:
+        tower = [kept(series.sparkSession, tower[0], "maps")]
+    for _ in range(levels):
         tower.append(tower[-1].groupBy(*KEY, F.floor(F.col("block") / radix).alias("above")).applyInArrow(fold, _MAPS))
     found = tower.pop().groupBy(*KEY).applyInArrow(lambda table: unfold(table), _STATES)
     while tower:
         found = tower.pop().groupBy(*KEY, F.floor(F.col("block") / radix).cast("int").alias("above")).cogroup(found.groupBy(*KEY, "block")).applyInArrow(unfold, _STATES)
-    return blocks.groupBy(*KEY, "block").cogroup(found.groupBy(*KEY, "block")).applyInArrow(work, SERIES)
+    return blocks.groupBy(*KEY, "block").cogroup(found.groupBy(*KEY, "block")).applyInArrow(timed, SERIES)
+
+
+def levels_of(frames: DataFrame) -> int:
+    """How many levels the longest clip of rows (video_id, t) needs.  Reads t only."""
+    longest = frames.groupBy("video_id").agg((F.max("t") - F.min("t")).alias("n")).agg(F.max("n")).first()[0] or 0
+    blocks, levels = longest // BLOCK + 1, 0
+    while blocks > RADIX:
+        blocks, levels = -(-blocks // RADIX), levels + 1
+    return levels
 
 
 def low_pass_pair(low: float, high: float, kind: str = "butterworth") -> Callable[[float], Bank]:
@@ -170,16 +188,16 @@ def low_pass_pair(low: float, high: float, kind: str = "butterworth") -> Callabl
     return lambda fps: ((coeffs.first_order_section(high, fps, kind), 1.0), (coeffs.first_order_section(low, fps, kind), -1.0))
 
 
-def iir_lowpass(series: DataFrame, fps: float | None, cutoff: float, kind: str = "butterworth", levels: int | None = None) -> DataFrame:
+def iir_lowpass(series: DataFrame, fps: float | None, cutoff: float, kind: str = "butterworth", levels: int = 0) -> DataFrame:
     return recursive(series, lambda rate: ((coeffs.first_order_section(cutoff, rate, kind), 1.0),), fps, "filter", None, levels)
 
 
-def iir_bandpass(series: DataFrame, fps: float | None, low: float, high: float, first_frame: str = "raw", kind: str = "butterworth", finish: Finish | None = None, levels: int | None = None) -> DataFrame:
+def iir_bandpass(series: DataFrame, fps: float | None, low: float, high: float, first_frame: str = "raw", kind: str = "butterworth", finish: Finish | None = None, levels: int = 0, timers: StageTimers | None = None) -> DataFrame:
     """The difference of two order-1 low-passes that start at the first frame."""
-    return recursive(series, low_pass_pair(low, high, kind), fps, first_frame, finish, levels)
+    return recursive(series, low_pass_pair(low, high, kind), fps, first_frame, finish, levels, timers)
 
 
-def butterworth(series: DataFrame, fps: float | None, order: int, low: float | None, high: float | None, levels: int | None = None) -> DataFrame:
+def butterworth(series: DataFrame, fps: float | None, order: int, low: float | None, high: float | None, levels: int = 0) -> DataFrame:
     """A Butterworth filter of any order: a low-pass under `high`, a high-pass over `low`, or with both a
     band of twice the order, one after the other.  It starts as if the first value had always been there."""
 

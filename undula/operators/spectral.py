@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import coeffs
+from ..timing import StageTimers
 from . import clips
 from .tiles import SERIES, TILE, ordered, own_values, series_rows
 
@@ -64,7 +65,7 @@ _STEP = "video_id string, level int, tile int, k long, b long, fps double, gain
 _KEPT = [c.split()[0] for c in _STEP.split(", ")]
 
 
-def four_steps(series: DataFrame, low: float, high: float, mask: str, finish: Finish | None, group: int) -> DataFrame:
+def four_steps(series: DataFrame, low: float, high: float, mask: str, finish: Finish | None, group: int, timed: Callable[[Callable], Callable] = lambda work: work) -> DataFrame:
     """The band of series with (pos, frames, size, lines, columns, fps, gain): rows (..., pos, data)."""
     key = ["video_id", "level", "tile"]
 
@@ -133,12 +134,12 @@ def four_steps(series: DataFrame, low: float, high: float, mask: str, finish: Fi
 
     columns = F.greatest(F.lit(1), F.expr(f"{group} div (lines * size(data))"))
     dealt = series.withColumn("b", F.floor(F.pmod(F.col("pos"), F.col("columns")) / columns)).withColumn("k", F.lit(0).cast("long"))
-    spectra = dealt.groupBy(*key, "b").applyInArrow(over_lines, _STEP)
-    turned = spectra.groupBy(*key, "k").applyInArrow(over_columns, _STEP)
-    return turned.groupBy(*key, "b").applyInArrow(back_over_lines, SERIES.replace("t int", "pos int"))
+    spectra = dealt.groupBy(*key, "b").applyInArrow(timed(over_lines), _STEP)
+    turned = spectra.groupBy(*key, "k").applyInArrow(timed(over_columns), _STEP)
+    return turned.groupBy(*key, "b").applyInArrow(timed(back_over_lines), SERIES.replace("t int", "pos int"))
 
 
-def ideal_bandpass(series: DataFrame, fps: float | None, low: float, high: float, mask: str = "symmetric", padding: str = "none", finish: Finish | None = None, group: int | None = None, frames: DataFrame | None = None) -> DataFrame:
+def ideal_bandpass(series: DataFrame, fps: float | None, low: float, high: float, mask: str = "symmetric", padding: str = "none", finish: Finish | None = None, group: int | None = None, frames: DataFrame | None = None, timers: StageTimers | None = None) -> DataFrame:
     """Keeps low..high of every series of rows (video_id, level, tile, t, data[, fps, gain]).  `frames` may
     name a cheaper table with the same (video_id, t); without fps, rows have their own.
 
@@ -150,6 +151,7 @@ def ideal_bandpass(series: DataFrame, fps: float | None, low: float, high: float
     short = frames if frames is not None else series
     known, least, most, dense = clips.with_lengths(series, clips.described(short.select("video_id", "t")), padding)
     width = F.size("data")
+    timed = (lambda work: timers.groups("filter", work)) if timers else (lambda work: work)
 
     def work(table: pa.Table) -> pa.Table:
         own = own_values(table)
@@ -160,15 +162,15 @@ def ideal_bandpass(series: DataFrame, fps: float | None, low: float, high: float
     parts = []
     if least <= group:  # where a tile of some width may fit
         some = known if most * TILE <= group else known.where(F.col("size") * width <= group)
-        parts.append(some.groupBy("video_id", "level", "tile").applyInArrow(work, SERIES))
+        parts.append(some.groupBy("video_id", "level", "tile").applyInArrow(timed(work), SERIES))
     if most * TILE > group:
         some = known.where(F.col("size") * width > group)
         if dense:
-            made = four_steps(some.withColumn("pos", F.col("t") - F.col("first_t")), low, high, mask, finish, group)
+            made = four_steps(some.withColumn("pos", F.col("t") - F.col("first_t")), low, high, mask, finish, group, timed)
             start = known.select("video_id", "first_t").distinct()
             parts.append(made.join(F.broadcast(start) if least else start, "video_id").withColumn("t", F.col("pos") + F.col("first_t")).select("video_id", "level", "tile", "t", "data"))
         else:
             places = clips.numbered(short, ["video_id"])
-            made = four_steps(some.join(places, ["video_id", "t"]), low, high, mask, finish, group)
+            made = four_steps(some.join(places, ["video_id", "t"]), low, high, mask, finish, group, timed)
             parts.append(made.join(places, ["video_id", "pos"]).select("video_id", "level", "tile", "t", "data"))
     return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])

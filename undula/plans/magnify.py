@@ -20,11 +20,12 @@ from ..config import MagnifyConfig
 from ..functions import coeffs, color
 from ..operators import arrays, clips, recursive, spectral, tiles
 from ..streaming.recursive import refuse_stream
+from ..timing import StageTimers
 
 _YIQ = np.array(color.YIQ)
 
 
-def yiq_frames(frames: DataFrame) -> DataFrame:
+def yiq_frames(frames: DataFrame, timers: StageTimers | None = None) -> DataFrame:
     """Frames of three channels in YIQ, as a frame-local map."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -35,7 +36,7 @@ def yiq_frames(frames: DataFrame) -> DataFrame:
             made = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(data.value_lengths().to_numpy(zero_copy_only=False))]), pa.int32()), pa.array(values.ravel()))
             yield pa.RecordBatch.from_arrays([made if i == at else batch.column(i) for i in range(batch.num_columns)], names=batch.schema.names)
 
-    return frames.mapInArrow(work, frames.schema)
+    return frames.mapInArrow(timers.batches("colour", work) if timers else work, frames.schema)
 
 
 def added_levels(levels: int, config: MagnifyConfig) -> tuple[int, ...]:
@@ -48,7 +49,7 @@ def _scaled(x: np.ndarray, gain: float, attenuation: float, tile: int) -> np.nda
     return x * np.where((tile + np.arange(x.shape[1])) % 3 == 0, gain, gain * attenuation)
 
 
-def _signal(bands: DataFrame, frames: DataFrame, config: MagnifyConfig) -> DataFrame:
+def _signal(bands: DataFrame, frames: DataFrame, config: MagnifyConfig, timers: StageTimers | None) -> DataFrame:
     """Cuts bands into tiles, filters them and applies gains.  Rates and gains are columns of the bands."""
     cfg = config
     if cfg.mode == "gaussian":
@@ -56,7 +57,7 @@ def _signal(bands: DataFrame, frames: DataFrame, config: MagnifyConfig) -> DataF
         def gain(y: np.ndarray, own: dict, begins: bool) -> np.ndarray:
             return _scaled(y, cfg.alpha, cfg.attenuation, own["tile"])
 
-        return spectral.ideal_bandpass(tiles.tiles(bands), None, cfg.low_hz, cfg.high_hz, cfg.mask, cfg.padding, gain, None, frames)
+        return spectral.ideal_bandpass(tiles.tiles(bands), None, cfg.low_hz, cfg.high_hz, cfg.mask, cfg.padding, gain, None, frames, timers)
 
     def inner_gain(y: np.ndarray, own: dict, begins: bool) -> np.ndarray:
         if own["gain"] is not None:
@@ -64,10 +65,10 @@ def _signal(bands: DataFrame, frames: DataFrame, config: MagnifyConfig) -> DataF
             rows[:] = _scaled(rows, own["gain"], cfg.attenuation, own["tile"])
         return y
 
-    return recursive.iir_bandpass(tiles.tiles(bands), None, cfg.low_hz, cfg.high_hz, cfg.first_frame, cfg.coefficients, inner_gain)
+    return recursive.iir_bandpass(tiles.tiles(bands), None, cfg.low_hz, cfg.high_hz, cfg.first_frame, cfg.coefficients, inner_gain, recursive.levels_of(frames.select("video_id", "t")), timers)
 
 
-def magnify(frames: DataFrame, config: MagnifyConfig) -> DataFrame:
+def magnify(frames: DataFrame, config: MagnifyConfig, timers: StageTimers | None = None) -> DataFrame:
     """frames (video_id, t, h, w, c=3, data RGB 0..255[, fps]) to rows (video_id, t, h, w, c, data) of unsigned
     8-bit values, as an array of ints.
 
@@ -85,24 +86,24 @@ def magnify(frames: DataFrame, config: MagnifyConfig) -> DataFrame:
         fast = F.concat(F.lit("clip "), F.coalesce("video_id", F.lit("null")), F.lit(": high_hz must be under half of fps"))
         whole = F.when(F.col("fps") <= 2 * config.high_hz, F.raise_error(fast).cast("boolean")).otherwise(whole)
     checked = clips.described(given.where("h > 0 and w > 0").select("video_id", "t", "h", "w", "c", "fps"))
-    yiq = yiq_frames(given.where(whole))
+    yiq = yiq_frames(given.where(whole), timers)
     levels = config.levels
     if config.mode == "gaussian":
-        bands = arrays.gaussian_frames(yiq, levels, config.border, config.size_rule, not config.optimize, config.repair)
+        bands = arrays.gaussian_frames(yiq, levels, config.border, config.size_rule, not config.optimize, config.repair, timers)
     else:
         wanted = (lambda n: added_levels(n, config)) if config.optimize else None
         gains = lambda sizes: [g if 0 < k < len(sizes) - 1 else None for k, g in enumerate(coeffs.level_gains(sizes, config.alpha, config.lambda_cutoff))]
-        bands = arrays.laplacian_frames(yiq, levels, config.residual, config.border, wanted, gains)
-    signal = tiles.untile(_signal(bands, given.where(whole), config))
+        bands = arrays.laplacian_frames(yiq, levels, config.residual, config.border, wanted, gains, timers)
+    signal = tiles.untile(_signal(bands, given.where(whole), config, timers))
     per_frame = signal.groupBy("video_id", "t").agg(F.collect_list(F.struct("level", "data")).alias("bands"))
     both = frames.select("video_id", "t", "h", "w", "c", "data").join(per_frame, ["video_id", "t"], "left")
-    made = reconstruct(both, config, levels)
+    made = reconstruct(both, config, levels, timers)
     # no clip has fewer than 0 frames; asking every clip is where a mix within one fails, in the same job
     none = checked.where("frames < 0 or h < 0 or w < 0 or c < 0 or fps < 0")
     return made.unionByName(none.select("video_id", *[F.lit(0).alias(c) for c in ("t", "h", "w", "c")], F.array(F.lit(0)).alias("data")))
 
 
-def reconstruct(both: DataFrame, config: MagnifyConfig, levels: int) -> DataFrame:
+def reconstruct(both: DataFrame, config: MagnifyConfig, levels: int, timers: StageTimers | None = None) -> DataFrame:
     """Original frames and their bands (null where a frame has none) to clipped 8-bit frames."""
     inverse = np.array(color.inverse(config.inverse))
     cfg = config
@@ -133,4 +134,4 @@ def reconstruct(both: DataFrame, config: MagnifyConfig, levels: int) -> DataFram
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(x) for x in out])]), pa.int32()), pa.array(flat))
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(5)), lists], names=["video_id", "t", "h", "w", "c", "data"])
 
-    return both.mapInArrow(work, "video_id string, t int, h int, w int, c int, data array<int>")
+    return both.mapInArrow(timers.batches("reconstruction", work) if timers else work, "video_id string, t int, h int, w int, c int, data array<int>")

@@ -611,11 +611,6 @@ def magnify_laplacian_cuda(spark, d):
 SQL_U8 = sql_of(RGB, select="SELECT t, y, x, ch, floor(least(greatest(v, 0), 255))::INT AS v, {} AS fps FROM px")
 
 
-def _local(path: str) -> str:
-    """Files of frames are written and read by plain paths of the shared folder."""
-    return path.removeprefix("file://")
-
-
 def _u8_frames(spark, d) -> DataFrame:
     frames = rgb_frames(spark, d)
     return frames.withColumn("data", F.transform("data", lambda v: color.to_u8(v, "truncate").cast("double")))
@@ -628,14 +623,14 @@ def _read_back(frames: DataFrame) -> DataFrame:
 
 @query(SQL_U8.format("30.0::DOUBLE"))
 def source_images(spark, d):
-    folder = _local(fresh(spark, "images"))
+    folder = fresh(spark, "images")
     fr.write_images(_u8_frames(spark, d), folder)
     return _read_back(fr.read_frames(spark, folder))
 
 
 @query(SQL_U8.format("25.0::DOUBLE"))
 def source_avi(spark, d):
-    path = _local(fresh(spark, "clip")) + ".avi"
+    path = fresh(spark, "clip") + ".avi"
     fr.write_avi(_u8_frames(spark, d), path, 25.0)
     return _read_back(fr.read_frames(spark, path))
 

@@ -225,7 +225,7 @@ class _Written(WriterCommitMessage):
 
 
 class _ClipsWriter(DataSourceArrowWriter):
-    """Tasks write AVI parts under a folder of their own, the commit numbers a clip's parts by the frames before
+    """Tasks write AVI parts of runs of `segment` numbers under a folder of their own, the commit numbers a clip's parts by the frames before
     them and moves them to NAME.clip; the rest of that folder goes, and with it what lost attempts left."""
 
     def __init__(self, options, overwrite: bool):
@@ -257,10 +257,11 @@ class _ClipsWriter(DataSourceArrowWriter):
                 if values is None or not key[1] or not key[2] or len(values) != key[1] * key[2] * 3:
                     continue  # an empty frame, or one of a wrong size, is skipped
                 key = (key[0] or "null", *key[1:3], self.fps or (key[3] if key[3] and key[3] > 0 else 30.0))
-                if key != own or len(held) == self.segment or held and t[i].as_py() <= held[-1][0]:
+                number = t[i].as_py()
+                if key != own or held and (number // self.segment != held[0][0] // self.segment or number <= held[-1][0]):
                     flush()
                     own = key
-                held.append((t[i].as_py(), avi.encode(values.to_numpy(zero_copy_only=False), key[1], key[2])))
+                held.append((number, avi.encode(values.to_numpy(zero_copy_only=False), key[1], key[2])))
         flush()
         return _Written(done)
 
@@ -328,7 +329,8 @@ def write_clips(frames: DataFrame, folder: str, fps: float | None = None, segmen
     frames.sparkSession.dataSource.register(FramesSource)
     columns = ["video_id", "t", "h", "w", "c", *(["fps"] if "fps" in frames.columns else [])]
     rows = frames.select(*columns, F.col("data").cast("array<double>").alias("data"))
-    out = rows.repartitionByRange("video_id", "t").sortWithinPartitions("video_id", "t").write.format("frames").mode("append").option("path", folder).option("segment", str(segment))
+    # runs of `segment` numbers are dealt out by a hash: ranges would ask for a first pass over the frames
+    out = rows.repartition("video_id", F.floor(F.col("t") / segment)).sortWithinPartitions("video_id", "t").write.format("frames").mode("append").option("path", folder).option("segment", str(segment))
     (out if fps is None else out.option("fps", str(fps))).save()
 
 
@@ -438,11 +440,17 @@ def read_metrics(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_report(frames: DataFrame, path: str) -> None:
-    """The quality report as text: summary, the ten lowest, then every frame in order."""
+    """The quality report as text: for each clip (or for all frames where rows have no video_id) a summary, the
+    ten lowest, then every frame in order.  Lines name the clip."""
     from ..operators import metrics
 
-    s = metrics.psnr_summary(frames).select(F.format_string("mean %.2f min %.2f max %.2f sd %.2f dB, lowest at frame %d of %d", "mean_psnr", "min_psnr", "max_psnr", "sd_psnr", "worst_t", "n").alias("value"), F.lit(0).alias("part"), F.lit(0).alias("k"))
-    line = F.format_string("Frame %d: %.2f dB", "t", "psnr").alias("value")
-    low = metrics.lowest(frames).select(line, F.lit(1).alias("part"), F.row_number().over(Window.orderBy("psnr", "t")).alias("k"))
-    every = frames.select(line, F.lit(2).alias("part"), F.col("t").alias("k"))
-    s.unionByName(low).unionByName(every).orderBy("part", "k").select("value").write.mode("overwrite").text(path)
+    own = "video_id" in frames.columns
+    key, clip = (["video_id"], F.concat(F.coalesce("video_id", F.lit("null")), F.lit(": "))) if own else ([], F.lit(""))
+    first = F.col("video_id") if own else F.lit("").alias("video_id")
+    text = F.format_string("mean %.2f min %.2f max %.2f sd %.2f dB, lowest at frame %d of %d", "mean_psnr", "min_psnr", "max_psnr", "sd_psnr", "worst_t", "n")
+    s = metrics.psnr_summary(frames).select(first, F.concat(clip, text).alias("value"), F.lit(0).alias("part"), F.lit(0).alias("k"))
+    line = F.concat(clip, F.format_string("Frame %d: %.2f dB", "t", "psnr")).alias("value")
+    place = F.row_number().over(Window.partitionBy(*key).orderBy("psnr", "t"))
+    low = frames.withColumn("k", place).where("k <= 10").select(first, line, F.lit(1).alias("part"), "k") if own else metrics.lowest(frames).select(first, line, F.lit(1).alias("part"), place.alias("k"))
+    every = frames.select(first, line, F.lit(2).alias("part"), F.col("t").alias("k"))
+    s.unionByName(low).unionByName(every).orderBy("video_id", "part", "k").select("value").write.mode("overwrite").text(path)
