@@ -36,6 +36,8 @@ from .shared import kept, scratch
 SAMPLE = 50_000
 #: Classes of one label aimed at in a cell, classes in a block, rows of a strip.
 PER_CELL, BLOCK, STRIP = 2048, 4096, 512
+#: Vectors times centres that a task compares at once.
+NEAR = 1 << 22
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -118,18 +120,20 @@ def _linked(spark: SparkSession, classes: DataFrame, centre: np.ndarray, cosine:
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = shared.value
-        gap = np.sqrt(np.maximum(0, 2 - 2 * (c @ c.T)))
-        for batch in batches:
-            if not len(batch):
-                continue
-            near = _unit(_matrix(batch.column(1))) @ c.T
-            own = near.argmax(1)
-            inside = near[np.arange(len(own)), own][:, None] - near <= reach * gap[own]
-            inside[np.arange(len(own)), own] = True
-            row, cell = np.nonzero(inside)
-            cells = np.split(cell.astype(np.int32), np.cumsum(np.bincount(row, minlength=len(own)))[:-1])
-            out = batch.take(pa.array(row))
-            yield pa.RecordBatch.from_arrays([*out.columns, pa.array(cell, pa.int32()), pa.array(own[row], pa.int32()), pa.array([cells[r] for r in row], pa.list_(pa.int32()))], names=["id", "vector", "size", "label", "cell", "own", "cells"])
+        strip = max(16, NEAR // len(c))
+        for whole in batches:
+            for lo in range(0, len(whole), strip):
+                batch = whole.slice(lo, strip)
+                near = _unit(_matrix(batch.column(1))) @ c.T
+                own = near.argmax(1)
+                # how far the other cells' centres are from each vector's own one
+                gap = np.sqrt(np.maximum(0, 2 - 2 * (c[own] @ c.T)))
+                inside = near[np.arange(len(own)), own][:, None] - near <= reach * gap
+                inside[np.arange(len(own)), own] = True
+                row, cell = np.nonzero(inside)
+                cells = np.split(cell.astype(np.int32), np.cumsum(np.bincount(row, minlength=len(own)))[:-1])
+                out = batch.take(pa.array(row))
+                yield pa.RecordBatch.from_arrays([*out.columns, pa.array(cell, pa.int32()), pa.array(own[row], pa.int32()), pa.array([cells[r] for r in row], pa.list_(pa.int32()))], names=["id", "vector", "size", "label", "cell", "own", "cells"])
 
     kind = classes.schema["vector"].dataType.simpleString()
     label = classes.schema["label"].dataType.simpleString()
