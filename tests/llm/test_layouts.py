@@ -65,7 +65,7 @@ def op13(spark, docs):
 
 
 #: What a row that is in the table twice gives: both rows, one row for the document, or counts of its own.
-TWICE = {op1: None, op2: "each", op3: None, op5: "each", op6: "one", op8: None, op9: None, op10: "each", op11: None, op12: None, op13: None}
+TWICE = {op1: None, op2: "each", op3: None, op5: None, op6: "one", op8: None, op9: None, op10: "each", op11: None, op12: None, op13: None}
 
 
 def found(spark, make, rows, partitions, kind="doc_id long, text string, lang string, source string, h int"):
