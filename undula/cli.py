@@ -48,7 +48,7 @@ def main(argv: list[str] | None = None) -> None:
     args = parser().parse_args(argv)
     spark = ship(SparkSession.builder.appName("undula").getOrCreate())
     if args.command == "magnify":
-        clip = fr.read_frames(spark, args.source)
+        clip = fr.read_frames(spark, args.source, values="byte")
         config = config_of(args)
         timers = StageTimers(spark) if args.timing else None
         out = magnify(clip, config, timers)

@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
 from ..functions import coeffs, stencils
 from ..timing import StageTimers
@@ -22,14 +23,56 @@ BANDS = "video_id string, level int, t int, h int, w int, c int, fps double, gai
 Make = Callable[[np.ndarray], Iterator[tuple[int, float | None, np.ndarray]]]
 
 
+def values_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(values of all rows, where each row's begin and the last one's end) of frames that are arrays of numbers, or
+    bytes with one unsigned 8-bit value each.  A null has no values."""
+    if pa.types.is_list(column.type) or pa.types.is_large_list(column.type):
+        sizes = np.array([0 if n is None else n for n in column.value_lengths().to_pylist()], np.int64)
+        values = column.flatten().to_numpy(zero_copy_only=False)
+        return values, np.concatenate([[0], np.cumsum(sizes)])
+    if not len(column):
+        return np.zeros(0), np.zeros(1, np.int64)
+    _, places, raw = column.buffers()
+    ends = np.frombuffer(places, np.int64 if pa.types.is_large_binary(column.type) else np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    held = np.frombuffer(raw, np.uint8) if raw is not None else np.zeros(0, np.uint8)
+    return held[ends[0] : ends[-1]], ends - ends[0]
+
+
+def number_rows(flat: np.ndarray, ends: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))
+
+
+def byte_rows(flat: np.ndarray, ends: np.ndarray) -> pa.Array:
+    return pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(flat, np.uint8))])
+
+
+def is_bytes(frames: DataFrame) -> bool:
+    return isinstance(frames.schema["data"].dataType, T.BinaryType)
+
+
+def numbers(frames: DataFrame) -> DataFrame:
+    """Frames of bytes as frames of numbers; others as they are."""
+    if not is_bytes(frames):
+        return frames
+    at = frames.columns.index("data")
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            flat, ends = values_of(batch.column(at))
+            yield pa.RecordBatch.from_arrays([number_rows(flat.astype(np.float64), ends) if i == at else c for i, c in enumerate(batch.columns)], names=batch.schema.names)
+
+    kinds = [T.StructField("data", T.ArrayType(T.DoubleType())) if f.name == "data" else f for f in frames.schema]
+    return frames.mapInArrow(work, T.StructType(kinds))
+
+
 def _frames(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, tuple[int, int, int], np.ndarray]]:
     """(rows, shape, values) for each frame shape in a batch of (video_id, t, h, w, c, data, ...)."""
     shape = np.stack([batch.column(i).to_numpy(zero_copy_only=False) for i in (2, 3, 4)], 1)
     for own in np.unique(shape, axis=0):
         rows = np.flatnonzero((shape == own).all(1))
-        data = batch.column(5).take(pa.array(rows)).flatten().to_numpy(zero_copy_only=False)
+        data = values_of(batch.column(5).take(pa.array(rows)))[0]
         h, w, c = map(int, own)
-        yield rows, (h, w, c), data.reshape(len(rows), h, w, c)
+        yield rows, (h, w, c), data.astype(np.float64, copy=False).reshape(len(rows), h, w, c)
 
 
 def _rows(batch: pa.RecordBatch, rows: np.ndarray, level: int, gain: float | None, values: np.ndarray) -> pa.RecordBatch:
@@ -43,14 +86,20 @@ def _rows(batch: pa.RecordBatch, rows: np.ndarray, level: int, gain: float | Non
     )
 
 
-def _bands(frames: DataFrame, make: Make, timers: StageTimers | None = None) -> DataFrame:
+#: A map over batches that runs in the same tasks before a pyramid, and what its time is called.
+Before = tuple[str, Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]]
+
+
+def _bands(frames: DataFrame, make: Make, timers: StageTimers | None = None, before: Before | None = None) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows, _, values in _frames(batch):
                 for level, gain, band in make(values):
                     yield _rows(batch, rows, level, gain, band)
 
-    return clips.rated(frames).select("video_id", "t", "h", "w", "c", "data", "fps").mapInArrow(timers.batches("pyramid", work) if timers else work, BANDS)
+    timed = timers.batches if timers else (lambda _, work: work)
+    first, then = timed(*before) if before else iter, timed("pyramid", work)
+    return clips.rated(frames).select("video_id", "t", "h", "w", "c", "data", "fps").mapInArrow(lambda batches: then(first(batches)), BANDS)
 
 
 def shrink(x: np.ndarray, levels: int, border: str, rule: str) -> np.ndarray:
@@ -75,7 +124,7 @@ def grow(x: np.ndarray, sizes: list[tuple[int, int]], border: str, repair: bool
     return x
 
 
-def gaussian_frames(frames: DataFrame, levels: int, border: str = "reflect101", rule: str = "ceil", full: bool = True, repair: bool = False, timers: StageTimers | None = None) -> DataFrame:
+def gaussian_frames(frames: DataFrame, levels: int, border: str = "reflect101", rule: str = "ceil", full: bool = True, repair: bool = False, timers: StageTimers | None = None, before: Before | None = None) -> DataFrame:
     """Blurred frames at full size, or (full=False) only shrunk: what a filter needs to see."""
 
     def make(x: np.ndarray):
@@ -83,7 +132,7 @@ def gaussian_frames(frames: DataFrame, levels: int, border: str = "reflect101",
         small = shrink(x, levels, border, rule)
         yield levels, None, grow(small, sizes[-2::-1], border, repair) if full and levels else small
 
-    return _bands(frames, make, timers)
+    return _bands(frames, make, timers, before)
 
 
 def usable_levels(h: int, w: int, levels: int) -> int:
@@ -93,7 +142,7 @@ def usable_levels(h: int, w: int, levels: int) -> int:
     return levels
 
 
-def laplacian_frames(frames: DataFrame, levels: int, residual: bool, border: str = "reflect101", wanted: Callable[[int], tuple[int, ...]] | None = None, gains: Callable[[list[tuple[int, int]]], list[float]] | None = None, timers: StageTimers | None = None) -> DataFrame:
+def laplacian_frames(frames: DataFrame, levels: int, residual: bool, border: str = "reflect101", wanted: Callable[[int], tuple[int, ...]] | None = None, gains: Callable[[list[tuple[int, int]]], list[float]] | None = None, timers: StageTimers | None = None, before: Before | None = None) -> DataFrame:
     """One row per frame and band, by each frame's own size.  `wanted` says of how many bands which are made,
     `gains` what the levels of these sizes get."""
 
@@ -114,4 +163,4 @@ def laplacian_frames(frames: DataFrame, levels: int, residual: bool, border: str
         if residual and n in own:
             yield n, gain[n], x
 
-    return _bands(frames, make, timers)
+    return _bands(frames, make, timers, before)

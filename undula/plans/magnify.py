@@ -25,18 +25,13 @@ from ..timing import StageTimers
 _YIQ = np.array(color.YIQ)
 
 
-def yiq_frames(frames: DataFrame, timers: StageTimers | None = None) -> DataFrame:
-    """Frames of three channels in YIQ, as a frame-local map."""
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at = batch.schema.get_field_index("data")
-            data = batch.column(at)
-            values = data.flatten().to_numpy(zero_copy_only=False).reshape(-1, 3) @ _YIQ.T
-            made = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(data.value_lengths().to_numpy(zero_copy_only=False))]), pa.int32()), pa.array(values.ravel()))
-            yield pa.RecordBatch.from_arrays([made if i == at else batch.column(i) for i in range(batch.num_columns)], names=batch.schema.names)
-
-    return frames.mapInArrow(timers.batches("colour", work) if timers else work, frames.schema)
+def to_yiq(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of frames of three channels in YIQ."""
+    for batch in batches:
+        at = batch.schema.get_field_index("data")
+        flat, ends = arrays.values_of(batch.column(at))
+        made = arrays.number_rows((flat.reshape(-1, 3) @ _YIQ.T).ravel(), ends)
+        yield pa.RecordBatch.from_arrays([made if i == at else batch.column(i) for i in range(batch.num_columns)], names=batch.schema.names)
 
 
 def added_levels(levels: int, config: MagnifyConfig) -> tuple[int, ...]:
@@ -70,7 +65,8 @@ def _signal(bands: DataFrame, frames: DataFrame, config: MagnifyConfig, timers:
 
 def magnify(frames: DataFrame, config: MagnifyConfig, timers: StageTimers | None = None) -> DataFrame:
     """frames (video_id, t, h, w, c=3, data RGB 0..255[, fps]) to rows (video_id, t, h, w, c, data) of unsigned
-    8-bit values, as an array of ints.
+    8-bit values, as an array of ints.  Where data is binary, a byte for each value, it is binary in the result too:
+    an eighth of what arrays of doubles take in scans, exchanges and on the way to Python.
 
     Every clip has its own size and rate: pyramids follow the rows' sizes, filters and gains the rates and
     sizes that come with them.  config.fps, where it is given, holds for all clips, else the column `fps`,
@@ -79,42 +75,41 @@ def magnify(frames: DataFrame, config: MagnifyConfig, timers: StageTimers | None
     """
     if config.mode == "gaussian":
         refuse_stream(frames)
-    size = F.col("h") * F.col("w") * F.col("c")
+    size, held = F.col("h") * F.col("w") * F.col("c"), F.length("data") if arrays.is_bytes(frames) else F.size("data")
     given = clips.rated(frames, config.fps)
-    whole = F.when(F.size("data") <= 0, F.lit(False)).when(F.col("c") != 3, F.raise_error("frames must have three channels").cast("boolean")).otherwise(F.size("data") == size)
+    whole = F.when(held <= 0, F.lit(False)).when(F.col("c") != 3, F.raise_error("frames must have three channels").cast("boolean")).otherwise(held == size)
     if config.mode == "laplacian":
         fast = F.concat(F.lit("clip "), F.coalesce("video_id", F.lit("null")), F.lit(": high_hz must be under half of fps"))
         whole = F.when(F.col("fps") <= 2 * config.high_hz, F.raise_error(fast).cast("boolean")).otherwise(whole)
     checked = clips.described(given.where("h > 0 and w > 0").select("video_id", "t", "h", "w", "c", "fps"))
-    yiq = yiq_frames(given.where(whole), timers)
-    levels = config.levels
+    usable, levels, colour = given.where(whole), config.levels, ("colour", to_yiq)
     if config.mode == "gaussian":
-        bands = arrays.gaussian_frames(yiq, levels, config.border, config.size_rule, not config.optimize, config.repair, timers)
+        bands = arrays.gaussian_frames(usable, levels, config.border, config.size_rule, not config.optimize, config.repair, timers, colour)
     else:
         wanted = (lambda n: added_levels(n, config)) if config.optimize else None
         gains = lambda sizes: [g if 0 < k < len(sizes) - 1 else None for k, g in enumerate(coeffs.level_gains(sizes, config.alpha, config.lambda_cutoff))]
-        bands = arrays.laplacian_frames(yiq, levels, config.residual, config.border, wanted, gains, timers)
-    signal = tiles.untile(_signal(bands, given.where(whole), config, timers))
+        bands = arrays.laplacian_frames(usable, levels, config.residual, config.border, wanted, gains, timers, colour)
+    signal = tiles.untile(_signal(bands, usable, config, timers))
     per_frame = signal.groupBy("video_id", "t").agg(F.collect_list(F.struct("level", "data")).alias("bands"))
     both = frames.select("video_id", "t", "h", "w", "c", "data").join(per_frame, ["video_id", "t"], "left")
     made = reconstruct(both, config, levels, timers)
     # no clip has fewer than 0 frames; asking every clip is where a mix within one fails, in the same job
     none = checked.where("frames < 0 or h < 0 or w < 0 or c < 0 or fps < 0")
-    return made.unionByName(none.select("video_id", *[F.lit(0).alias(c) for c in ("t", "h", "w", "c")], F.array(F.lit(0)).alias("data")))
+    return made.unionByName(none.select("video_id", *[F.lit(0).alias(c) for c in ("t", "h", "w", "c")], (F.lit(b"") if arrays.is_bytes(frames) else F.array(F.lit(0))).alias("data")))
 
 
 def reconstruct(both: DataFrame, config: MagnifyConfig, levels: int, timers: StageTimers | None = None) -> DataFrame:
     """Original frames and their bands (null where a frame has none) to clipped 8-bit frames."""
     inverse = np.array(color.inverse(config.inverse))
-    cfg = config
+    cfg, as_bytes = config, arrays.is_bytes(both)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for h, w, data, bands in zip(*(batch.column(i) for i in (2, 3, 5, 6)), strict=True):
+            flat, ends = arrays.values_of(batch.column(5))
+            for h, w, start, end, bands in zip(batch.column(2), batch.column(3), ends[:-1], ends[1:], batch.column(6), strict=True):
                 h, w = h.as_py(), w.as_py()
-                rgb = data.values.to_numpy(zero_copy_only=False).reshape(-1, 3)
-                yiq = rgb @ _YIQ.T
+                yiq = flat[start:end].reshape(-1, 3) @ _YIQ.T
                 added = range(levels + 1) if cfg.mode == "gaussian" else added_levels(arrays.usable_levels(h, w, levels), cfg)
                 for band in bands.values if bands.is_valid else ():
                     if band["level"].as_py() not in added:
@@ -129,9 +124,9 @@ def reconstruct(both: DataFrame, config: MagnifyConfig, levels: int, timers: Sta
                         value = arrays.grow(value.reshape(1, *sizes[-1], 3), sizes[-2::-1], cfg.border)
                     yiq = yiq + value.reshape(-1, 3)
                 value = np.clip(yiq @ inverse.T, 0, 255)
-                out.append((np.rint(value) if cfg.rounding == "rint" else np.floor(value)).astype(np.int32).ravel())
-            flat = np.concatenate([*out, np.zeros(0, np.int32)])
-            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(x) for x in out])]), pa.int32()), pa.array(flat))
+                out.append((np.rint(value) if cfg.rounding == "rint" else np.floor(value)).astype(np.uint8 if as_bytes else np.int32).ravel())
+            made = np.concatenate([*out, np.zeros(0, np.uint8 if as_bytes else np.int32)])
+            lists = (arrays.byte_rows if as_bytes else arrays.number_rows)(made, ends)
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(5)), lists], names=["video_id", "t", "h", "w", "c", "data"])
 
-    return both.mapInArrow(timers.batches("reconstruction", work) if timers else work, "video_id string, t int, h int, w int, c int, data array<int>")
+    return both.mapInArrow(timers.batches("reconstruction", work) if timers else work, f"video_id string, t int, h int, w int, c int, data {'binary' if as_bytes else 'array<int>'}")

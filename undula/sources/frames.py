@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, DataSourceStreamReader, InputPartition, WriterCommitMessage
 
 from ..functions.color import swap_channels
+from ..operators.arrays import byte_rows, is_bytes, number_rows, values_of
 from ..schemas import METRICS
 from ..shared import kept, open_store
 from . import avi
@@ -79,6 +80,8 @@ class _Part(InputPartition):
     last: int | None = None
 
 
+#: What frames are in tables: arrays of doubles, or a byte for each value.
+KINDS = {"double": ("array<double>", pa.list_(pa.float64())), "byte": ("binary", pa.binary())}
 ARROW = pa.schema([("video_id", pa.string()), ("t", pa.int32()), ("h", pa.int32()), ("w", pa.int32()), ("c", pa.int32()), ("fps", pa.float64()), ("data", pa.list_(pa.float64()))])
 #: Values in an Arrow batch; bytes of an AVI file from which on a head is read to deal it out.
 BATCH, LARGE = 1 << 20, 1 << 26
@@ -117,16 +120,17 @@ def clip_parts(path: str, per_task: int) -> list[_Part]:
     return parts
 
 
-def read_part(part: _Part) -> Iterator[pa.RecordBatch]:
+def read_part(part: _Part, kind: str = "double") -> Iterator[pa.RecordBatch]:
     """Batches of about BATCH values.  A cut-off frame is skipped."""
     held: list[tuple] = []
+    schema = ARROW.set(6, pa.field("data", KINDS[kind][1]))
 
     def flush() -> pa.RecordBatch:
-        values = [x.astype(np.float64) for *_, x in held]
-        data = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, values)]), pa.int32()), pa.array(np.concatenate(values)))
+        flat, ends = np.concatenate([x for *_, x in held]), np.cumsum([0, *(len(x) for *_, x in held)])
+        data = byte_rows(flat, ends) if kind == "byte" else number_rows(flat.astype(np.float64), ends)
         columns = [pa.array([row[k] for row in held], kind) for k, kind in enumerate(ARROW.types[:-1])]
         held.clear()
-        return pa.RecordBatch.from_arrays([*columns, data], schema=ARROW)
+        return pa.RecordBatch.from_arrays([*columns, data], schema=schema)
 
     def frames() -> Iterator[tuple]:
         for t, path in part.images:
@@ -153,7 +157,7 @@ def read_part(part: _Part) -> Iterator[pa.RecordBatch]:
 
 class _FramesReader(DataSourceReader):
     def __init__(self, options):
-        self.path, self.per_task = options["path"], int(options.get("frames_per_task", 64))
+        self.path, self.per_task, self.kind = options["path"], int(options.get("frames_per_task", 64)), options.get("values", "double")
 
     def partitions(self) -> list[InputPartition]:
         parts = clip_parts(self.path, self.per_task)
@@ -162,7 +166,7 @@ class _FramesReader(DataSourceReader):
         return parts
 
     def read(self, partition: _Part) -> Iterator[pa.RecordBatch]:
-        return read_part(partition)
+        return read_part(partition, self.kind)
 
 
 class _FramesStream(DataSourceStreamReader):
@@ -170,7 +174,7 @@ class _FramesStream(DataSourceStreamReader):
     numbered from there, so a restart goes on where the last committed batch ended."""
 
     def __init__(self, options):
-        self.path, self.per_task = options["path"], int(options.get("frames_per_task", 64))
+        self.path, self.per_task, self.kind = options["path"], int(options.get("frames_per_task", 64)), options.get("values", "double")
 
     def initialOffset(self) -> dict:
         return {"clips": "{}"}
@@ -211,7 +215,7 @@ class _FramesStream(DataSourceStreamReader):
         return out
 
     def read(self, partition: _Part) -> Iterator[pa.RecordBatch]:
-        return read_part(partition)
+        return read_part(partition, self.kind)
 
     def commit(self, end: dict) -> None:
         pass
@@ -252,16 +256,17 @@ class _ClipsWriter(DataSourceArrowWriter):
         for batch in iterator:
             clip, t, h, w, data = (batch.column(batch.schema.get_field_index(c)) for c in ("video_id", "t", "h", "w", "data"))
             rates = batch.column(batch.schema.get_field_index("fps")).to_pylist() if "fps" in batch.schema.names else [None] * len(batch)
+            flat, ends = values_of(data)
             for i, key in enumerate(zip(clip.to_pylist(), h.to_pylist(), w.to_pylist(), rates, strict=True)):
-                values = data[i].values
-                if values is None or not key[1] or not key[2] or len(values) != key[1] * key[2] * 3:
+                values = flat[ends[i] : ends[i + 1]]
+                if not key[1] or not key[2] or len(values) != key[1] * key[2] * 3:
                     continue  # an empty frame, or one of a wrong size, is skipped
                 key = (key[0] or "null", *key[1:3], self.fps or (key[3] if key[3] and key[3] > 0 else 30.0))
                 number = t[i].as_py()
                 if key != own or held and (number // self.segment != held[0][0] // self.segment or number <= held[-1][0]):
                     flush()
                     own = key
-                held.append((number, avi.encode(values.to_numpy(zero_copy_only=False), key[1], key[2])))
+                held.append((number, avi.encode(values, key[1], key[2])))
         flush()
         return _Written(done)
 
@@ -299,7 +304,7 @@ class FramesSource(DataSource):
         return "frames"
 
     def schema(self) -> str:
-        return "video_id string, t int, h int, w int, c int, fps double, data array<double>"
+        return f"video_id string, t int, h int, w int, c int, fps double, data {KINDS[self.options.get('values', 'double')][0]}"
 
     def reader(self, schema) -> DataSourceReader:
         return _FramesReader(self.options)
@@ -311,15 +316,15 @@ class FramesSource(DataSource):
         return _ClipsWriter(self.options, overwrite)
 
 
-def read_frames(spark: SparkSession, path: str, frames_per_task: int = 64) -> DataFrame:
+def read_frames(spark: SparkSession, path: str, frames_per_task: int = 64, values: str = "double") -> DataFrame:
     spark.dataSource.register(FramesSource)
-    return spark.read.format("frames").option("path", path).option("frames_per_task", str(frames_per_task)).load()
+    return spark.read.format("frames").option("path", path).option("frames_per_task", str(frames_per_task)).option("values", values).load()
 
 
-def stream_frames(spark: SparkSession, path: str, frames_per_task: int = 64) -> DataFrame:
+def stream_frames(spark: SparkSession, path: str, frames_per_task: int = 64, values: str = "double") -> DataFrame:
     """A stream of the frames that come into a folder: images in order of name, and AVI files or parts."""
     spark.dataSource.register(FramesSource)
-    return spark.readStream.format("frames").option("path", path).option("frames_per_task", str(frames_per_task)).load()
+    return spark.readStream.format("frames").option("path", path).option("frames_per_task", str(frames_per_task)).option("values", values).load()
 
 
 def write_clips(frames: DataFrame, folder: str, fps: float | None = None, segment: int = 64) -> None:
@@ -328,7 +333,7 @@ def write_clips(frames: DataFrame, folder: str, fps: float | None = None, segmen
     with a t twice, fails and leaves nothing."""
     frames.sparkSession.dataSource.register(FramesSource)
     columns = ["video_id", "t", "h", "w", "c", *(["fps"] if "fps" in frames.columns else [])]
-    rows = frames.select(*columns, F.col("data").cast("array<double>").alias("data"))
+    rows = frames.select(*columns, "data" if is_bytes(frames) else F.col("data").cast("array<double>").alias("data"))
     # runs of `segment` numbers are dealt out by a hash: ranges would ask for a first pass over the frames
     out = rows.repartition("video_id", F.floor(F.col("t") / segment)).sortWithinPartitions("video_id", "t").write.format("frames").mode("append").option("path", folder).option("segment", str(segment))
     (out if fps is None else out.option("fps", str(fps))).save()
@@ -392,9 +397,9 @@ def write_images(frames: DataFrame, folder: str) -> int:
         store, root = open_store(folder)
         for batch in batches:
             n = 0
+            flat, ends = values_of(batch.column(5))
             for row, (clip, t, h, w, c) in enumerate(zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True)):
-                data = batch.column(5)[row]
-                values = data.values.to_numpy(zero_copy_only=False) if data.is_valid else np.zeros(0)
+                values = flat[ends[row] : ends[row + 1]]
                 if h > 0 and w > 0 and len(values) == h * w * c:
                     store.create_dir(f"{root}/{clip}", recursive=True)
                     name = f"{root}/{clip}/{t:08d}.{'ppm' if c == 3 else 'pgm'}"
