@@ -117,10 +117,10 @@ def sql_clip(video: str, source: str, count: str, h: int, w: int, fps: float, co
     return f"SELECT * FROM ({sql_of(*parts, select=cells)})"
 
 
-def _sql_two_clips(config) -> str:
+def _sql_two_clips(config, cell: str = "{}") -> str:
     one = []
     for name, (turn, h, w, fps) in SHAPES.items():
-        source = f"SELECT (vec_id // 2)::INT AS t, (i // {3 * w})::INT AS y, ((i % {3 * w}) // 3)::INT AS x, (i % 3)::INT AS ch, 127.5 * (1 + embedding[i + 1]::DOUBLE) AS v FROM embeddings, range({3 * h * w}) r(i) WHERE vec_id % 2 = {turn}"
+        source = f"SELECT (vec_id // 2)::INT AS t, (i // {3 * w})::INT AS y, ((i % {3 * w}) // 3)::INT AS x, (i % 3)::INT AS ch, {cell.format('127.5 * (1 + embedding[i + 1]::DOUBLE)')} AS v FROM embeddings, range({3 * h * w}) r(i) WHERE vec_id % 2 = {turn}"
         one.append(sql_clip(name, source, f"SELECT count(*) FROM embeddings WHERE vec_id % 2 = {turn}", h, w, fps, config))
     return " UNION ALL ".join(one)
 
@@ -139,6 +139,17 @@ def magnify_laplacian_clips(spark, d):
     return _values(magnify(two_clips(spark, d), TWO_LAPLACIAN))
 
 
+@query(_sql_two_clips(TWO_LAPLACIAN, "floor(least(greatest({}, 0), 255))"))
+def magnify_laplacian_bytes(spark, d):
+    """Frames that hold a byte for each value, from the table to the result."""
+    return _values(arrays.numbers(magnify(arrays.to_bytes(two_clips(spark, d)), TWO_LAPLACIAN)))
+
+
+@query(_sql_two_clips(TWO_GAUSSIAN, "floor(least(greatest({}, 0), 255))"))
+def magnify_gaussian_bytes(spark, d):
+    return _values(arrays.numbers(magnify(arrays.to_bytes(two_clips(spark, d)), TWO_GAUSSIAN)))
+
+
 PYTHON_LAPLACIAN = replace(PYTHON, mode="laplacian", levels=3, low_hz=0.4, high_hz=3.0, alpha=20.0, lambda_cutoff=60.0, attenuation=0.5)
 WIDE = "SELECT (vec_id // 2)::INT AS t, (j // 21)::INT AS y, ((j % 21) // 3)::INT AS x, (j % 3)::INT AS ch, v FROM (SELECT vec_id, (vec_id % 2) * 64 + i AS j, 127.5 * (1 + embedding[i + 1]::DOUBLE) AS v FROM embeddings, range(64) r(i)) WHERE j < 126 AND (vec_id // 2) * 2 + 1 < (SELECT count(*) FROM embeddings)"
 

@@ -7,6 +7,8 @@ how a whole Gaussian pyramid becomes one pass per axis.
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 
 KERNEL = np.array([1, 4, 6, 4, 1]) / 16.0
@@ -91,15 +93,42 @@ def entries(matrix: np.ndarray) -> list[tuple[int, int, float]]:
     return [(int(a), int(b), float(matrix[a, b])) for a, b in zip(o, i, strict=True)]
 
 
+#: (index, weight) of each output's inputs, a column a tap.
+Taps = tuple[np.ndarray, np.ndarray]
+
+
+def taps(matrix: np.ndarray) -> Taps:
+    width = int((matrix != 0).sum(1).max()) if matrix.size else 0
+    index = np.argsort(matrix == 0, axis=1, kind="stable")[:, :width]
+    return index, np.take_along_axis(matrix, index, 1)
+
+
+@lru_cache(256)
+def down_taps(n: int, size: int, border: str = "reflect101") -> Taps:
+    """Of `down`, kept for the next frame of that size."""
+    return taps(down(n, size, 2, border))
+
+
+@lru_cache(256)
+def up_taps(n: int, size: int, border: str = "reflect101") -> Taps:
+    return taps(up(n, size, border))
+
+
+def tapped(x: np.ndarray, given: Taps, axis: int) -> np.ndarray:
+    """Shifted sums along one axis, in order of taps."""
+    index, weight = given
+    shape = [1] * x.ndim
+    shape[axis] = -1
+    out = np.zeros((*x.shape[:axis], len(index), *x.shape[axis + 1 :]))
+    for k in range(index.shape[1]):
+        part = np.take(x, index[:, k], axis)
+        part *= weight[:, k].reshape(shape)
+        out += part
+    return out
+
+
 def along(x: np.ndarray, matrix: np.ndarray, axis: int) -> np.ndarray:
     """The matrix applied along one axis; narrow matrices as shifted sums of taps."""
-    x = np.moveaxis(x, axis, 0)
-    width = int((matrix != 0).sum(1).max()) if matrix.size else 0
-    if width > 12:
-        out = np.tensordot(matrix, x, (1, 0))
-    else:
-        order = np.argsort(matrix == 0, axis=1, kind="stable")[:, :width]
-        weight = np.take_along_axis(matrix, order, 1)
-        shape = (-1,) + (1,) * (x.ndim - 1)
-        out = sum(weight[:, k].reshape(shape) * x[order[:, k]] for k in range(width))
-    return np.moveaxis(out, 0, axis)
+    if matrix.size and (matrix != 0).sum(1).max() > 12:
+        return np.moveaxis(np.tensordot(matrix, np.moveaxis(x, axis, 0), (1, 0)), 0, axis)
+    return tapped(x, taps(matrix), axis)

@@ -50,19 +50,25 @@ def is_bytes(frames: DataFrame) -> bool:
     return isinstance(frames.schema["data"].dataType, T.BinaryType)
 
 
-def numbers(frames: DataFrame) -> DataFrame:
-    """Frames of bytes as frames of numbers; others as they are."""
-    if not is_bytes(frames):
-        return frames
+def _as(frames: DataFrame, kind: T.DataType, make: Callable[[np.ndarray, np.ndarray], pa.Array]) -> DataFrame:
     at = frames.columns.index("data")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            flat, ends = values_of(batch.column(at))
-            yield pa.RecordBatch.from_arrays([number_rows(flat.astype(np.float64), ends) if i == at else c for i, c in enumerate(batch.columns)], names=batch.schema.names)
+            made = make(*values_of(batch.column(at)))
+            yield pa.RecordBatch.from_arrays([made if i == at else c for i, c in enumerate(batch.columns)], names=batch.schema.names)
+
+    return frames.mapInArrow(work, T.StructType([T.StructField("data", kind) if f.name == "data" else f for f in frames.schema]))
+
+
+def numbers(frames: DataFrame) -> DataFrame:
+    """Frames of bytes as frames of numbers; others as they are.  A null becomes empty."""
+    return _as(frames, T.ArrayType(T.DoubleType()), lambda flat, ends: number_rows(flat.astype(np.float64), ends)) if is_bytes(frames) else frames
+
 
-    kinds = [T.StructField("data", T.ArrayType(T.DoubleType())) if f.name == "data" else f for f in frames.schema]
-    return frames.mapInArrow(work, T.StructType(kinds))
+def to_bytes(frames: DataFrame) -> DataFrame:
+    """Frames of numbers, cut to whole ones from 0 to 255, as frames of bytes; others as they are."""
+    return frames if is_bytes(frames) else _as(frames, T.BinaryType(), lambda flat, ends: byte_rows(np.clip(flat, 0, 255).astype(np.uint8), ends))
 
 
 def _frames(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, tuple[int, int, int], np.ndarray]]:
@@ -105,8 +111,8 @@ def _bands(frames: DataFrame, make: Make, timers: StageTimers | None = None, bef
 def shrink(x: np.ndarray, levels: int, border: str, rule: str) -> np.ndarray:
     for _ in range(levels):
         h, w = x.shape[1:3]
-        x = stencils.along(x, stencils.down(h, max(1, coeffs.half(h, rule)), 2, border), 1)
-        x = stencils.along(x, stencils.down(w, max(1, coeffs.half(w, rule)), 2, border), 2)
+        x = stencils.tapped(x, stencils.down_taps(h, max(1, coeffs.half(h, rule)), border), 1)
+        x = stencils.tapped(x, stencils.down_taps(w, max(1, coeffs.half(w, rule)), border), 2)
     return x
 
 
@@ -116,8 +122,8 @@ def grow(x: np.ndarray, sizes: list[tuple[int, int]], border: str, repair: bool
     for h, w in sizes:
         if repair:
             h, w = stencils.up_size(x.shape[1], h), stencils.up_size(x.shape[2], w)
-        x = stencils.along(x, stencils.up(x.shape[1], h, border), 1)
-        x = stencils.along(x, stencils.up(x.shape[2], w, border), 2)
+        x = stencils.tapped(x, stencils.up_taps(x.shape[1], h, border), 1)
+        x = stencils.tapped(x, stencils.up_taps(x.shape[2], w, border), 2)
     for axis, side in enumerate(sizes[-1] if sizes and repair else (), 1):
         if x.shape[axis] != side:
             x = stencils.along(x, stencils.bilinear(x.shape[axis], side), axis)

@@ -98,6 +98,25 @@ def magnify(frames: DataFrame, config: MagnifyConfig, timers: StageTimers | None
     return made.unionByName(none.select("video_id", *[F.lit(0).alias(c) for c in ("t", "h", "w", "c")], (F.lit(b"") if arrays.is_bytes(frames) else F.array(F.lit(0))).alias("data")))
 
 
+def collapsed(bands: dict[int, np.ndarray], h: int, w: int, config: MagnifyConfig) -> np.ndarray:
+    """The sum of a frame's bands at full size.  Levels of a Laplacian pyramid go up together: each is added to
+    what comes from below it, so a frame is up-sampled once and not once for each level."""
+    if config.mode == "gaussian":
+        (value,) = bands.values()
+        sizes = coeffs.level_sizes(h, w, config.levels, config.size_rule)
+        if config.optimize and config.levels:
+            value = arrays.grow(value.reshape(1, *sizes[-1], 3), sizes[-2::-1], config.border, config.repair)
+        return value
+    sizes = coeffs.level_sizes(h, w, max(bands))
+    total = np.zeros((1, *sizes[-1], 3))
+    for level in range(max(bands), -1, -1):
+        if level < max(bands):
+            total = arrays.grow(total, [sizes[level]], config.border)
+        if level in bands:
+            total = total + bands[level].reshape(total.shape)
+    return total
+
+
 def reconstruct(both: DataFrame, config: MagnifyConfig, levels: int, timers: StageTimers | None = None) -> DataFrame:
     """Original frames and their bands (null where a frame has none) to clipped 8-bit frames."""
     inverse = np.array(color.inverse(config.inverse))
@@ -111,18 +130,10 @@ def reconstruct(both: DataFrame, config: MagnifyConfig, levels: int, timers: Sta
                 h, w = h.as_py(), w.as_py()
                 yiq = flat[start:end].reshape(-1, 3) @ _YIQ.T
                 added = range(levels + 1) if cfg.mode == "gaussian" else added_levels(arrays.usable_levels(h, w, levels), cfg)
-                for band in bands.values if bands.is_valid else ():
-                    if band["level"].as_py() not in added:
-                        continue
-                    level, value = band["level"].as_py(), band["data"].values.to_numpy(zero_copy_only=False)
-                    if cfg.mode == "gaussian":
-                        sizes = coeffs.level_sizes(h, w, levels, cfg.size_rule)
-                        if cfg.optimize and levels:
-                            value = arrays.grow(value.reshape(1, *sizes[-1], 3), sizes[-2::-1], cfg.border, cfg.repair)
-                    else:
-                        sizes = coeffs.level_sizes(h, w, level)
-                        value = arrays.grow(value.reshape(1, *sizes[-1], 3), sizes[-2::-1], cfg.border)
-                    yiq = yiq + value.reshape(-1, 3)
+                found = {band["level"].as_py(): band["data"].values.to_numpy(zero_copy_only=False) for band in bands.values} if bands.is_valid else {}
+                found = {level: value for level, value in found.items() if level in added}
+                if found:
+                    yiq = yiq + collapsed(found, h, w, cfg).reshape(-1, 3)
                 value = np.clip(yiq @ inverse.T, 0, 255)
                 out.append((np.rint(value) if cfg.rounding == "rint" else np.floor(value)).astype(np.uint8 if as_bytes else np.int32).ravel())
             made = np.concatenate([*out, np.zeros(0, np.uint8 if as_bytes else np.int32)])
