@@ -132,3 +132,48 @@ def test_frames_as_a_stream(spark, clips, tmp_path):
     found = spark.read.parquet(str(tmp_path / "out"))
     assert shown(found) == {k: (*v[:2], 25.0 if k[0] == "a" else None, v[3]) for k, v in want.items() if k[0] == "b" or k[1] < 20}
     assert found.count() == 29
+
+
+def test_many_small_frames_are_read_and_joined_in_stretches(spark, tmp_path, monkeypatch):
+    """Reads, ranges and writes don't grow with the number of frames of a few bytes, and hold the same frames: of
+    padded lines, and over the ends of lists."""
+    rnd = np.random.default_rng(3)
+    x = rnd.integers(0, 256, (3000, 5, 3, 3)).astype(np.uint8)
+    stored = [avi.encode(f.ravel(), 5, 3) for f in x]
+    out, blocks = io.BytesIO(), io.BytesIO()
+    avi.write(out, stored, 3000, 5, 3, 24.0, 700 * (8 + 60))
+    avi.write(blocks, (b"".join(stored[k : k + 900]) for k in range(0, 3000, 900)), 3000, 5, 3, 24.0, 700 * (8 + 60))
+    raw = blocks.getvalue()
+    assert raw == out.getvalue()
+    (tmp_path / "small.avi").write_bytes(raw)
+
+    class Counted:
+        def __init__(self, store):
+            self.store, self.get_file_info = store, store.get_file_info
+
+        def open_input_file(self, path):
+            f = self.store.open_input_file(path)
+
+            class File:
+                __enter__, __exit__ = (lambda s: s), (lambda s, *e: f.close())
+                seek, read = f.seek, f.read
+                read_at = lambda s, *a: reads.append(a) or f.read_at(*a)
+
+            return File()
+
+    reads: list[tuple] = []
+    opened = fr.open_store
+    monkeypatch.setattr(fr, "open_store", lambda path: (Counted(opened(path)[0]), opened(path)[1]))
+    monkeypatch.setattr(fr, "LARGE", 1 << 16)
+    parts = fr.clip_parts(str(tmp_path), 5)
+    assert len(parts) == 4 and [p.first for p in parts] == [0, 963, 1926, 2889]
+    for kind in fr.KINDS:
+        rows = [r for p in parts for b in fr.read_part(p, kind) for r in b.to_pylist()]
+        assert [r["t"] for r in rows] == list(range(3000)) and [list(r["data"]) for r in rows] == [f.ravel().tolist() for f in x]
+    assert len(reads) <= 2 * 12
+    monkeypatch.undo()
+    table = spark.createDataFrame([("c", t, 5, 3, 3, 24.0, f.ravel().astype(float).tolist()) for t, f in enumerate(x)], "video_id string, t int, h int, w int, c int, fps double, data array<double>")
+    fr.write_clips(table, str(tmp_path / "parts"), segment=500)
+    fr.join_clips(spark, str(tmp_path / "parts"), str(tmp_path / "whole"))
+    assert [p.name for p in (tmp_path / "whole").iterdir()] == ["c.avi"]
+    assert (tmp_path / "whole" / "c.avi").read_bytes()[-3000 * 68 :] == b"".join(b"00db" + struct.pack("<I", 60) + f for f in stored)

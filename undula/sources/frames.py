@@ -83,8 +83,8 @@ class _Part(InputPartition):
 #: What frames are in tables: arrays of doubles, or a byte for each value.
 KINDS = {"double": ("array<double>", pa.list_(pa.float64())), "byte": ("binary", pa.binary())}
 ARROW = pa.schema([("video_id", pa.string()), ("t", pa.int32()), ("h", pa.int32()), ("w", pa.int32()), ("c", pa.int32()), ("fps", pa.float64()), ("data", pa.list_(pa.float64()))])
-#: Values in an Arrow batch; bytes of an AVI file from which on a head is read to deal it out.
-BATCH, LARGE = 1 << 20, 1 << 26
+#: Values in an Arrow batch; bytes of an AVI file from which on a head is read to deal it out, in ranges of about as many.
+BATCH, LARGE = 1 << 20, 1 << 22
 
 
 def clip_parts(path: str, per_task: int) -> list[_Part]:
@@ -112,8 +112,9 @@ def clip_parts(path: str, per_task: int) -> list[_Part]:
                 parts.append(_Part(clip, None, [], at(f), start))
                 continue
             with store.open_input_file(f.path) as whole:
-                n = avi.layout(whole, f.size).frames
-            parts += [_Part(clip, None, [], at(f), start, k, min(n, k + per_task)) for k in range(0, n, per_task)]
+                found = avi.layout(whole, f.size)
+            n, some = found.frames, max(per_task, LARGE // found.step)
+            parts += [_Part(clip, None, [], at(f), start, k, min(n, k + some)) for k in range(0, n, some)]
     for clip, own in images.items():
         numbered = list(enumerate(own))
         parts += [_Part(clip, rates.get(clip), numbered[k : k + per_task]) for k in range(0, len(own), per_task)]
@@ -122,37 +123,36 @@ def clip_parts(path: str, per_task: int) -> list[_Part]:
 
 def read_part(part: _Part, kind: str = "double") -> Iterator[pa.RecordBatch]:
     """Batches of about BATCH values.  A cut-off frame is skipped."""
-    held: list[tuple] = []
     schema = ARROW.set(6, pa.field("data", KINDS[kind][1]))
 
-    def flush() -> pa.RecordBatch:
-        flat, ends = np.concatenate([x for *_, x in held]), np.cumsum([0, *(len(x) for *_, x in held)])
+    def batch(rows: list[tuple], flat: np.ndarray, ends: np.ndarray) -> pa.RecordBatch:
         data = byte_rows(flat, ends) if kind == "byte" else number_rows(flat.astype(np.float64), ends)
-        columns = [pa.array([row[k] for row in held], kind) for k, kind in enumerate(ARROW.types[:-1])]
-        held.clear()
-        return pa.RecordBatch.from_arrays([*columns, data], schema=schema)
-
-    def frames() -> Iterator[tuple]:
-        for t, path in part.images:
-            h, w, c, raw = read_image(path)
-            if len(raw) == h * w * c:
-                yield part.clip, t, h, w, c, part.fps, np.frombuffer(raw, np.uint8)
-        if part.avi:
-            store, at = open_store(part.avi)
-            with store.open_input_file(at) as f:
-                try:
-                    found = avi.layout(f, store.get_file_info(at).size)
-                except ValueError as e:
-                    raise ValueError(f"{e}: {part.avi}") from e
-                for k in range(part.first, found.frames if part.last is None else part.last):
-                    yield part.clip, part.t + k, abs(found.h), found.w, 3, found.fps, avi.decode(f.read_at(found.size, found.place(k)), found.h, found.w)
-
-    for row in frames():
-        held.append(row)
-        if sum(len(r[-1]) for r in held) >= BATCH:
-            yield flush()
+        return pa.RecordBatch.from_arrays([*(pa.array([row[k] for row in rows], own) for k, own in enumerate(ARROW.types[:-1])), data], schema=schema)
+
+    held: list[tuple] = []
+    ends = [0]
+    for t, path in part.images:
+        h, w, c, raw = read_image(path)
+        if len(raw) == h * w * c:
+            held.append((part.clip, t, h, w, c, part.fps, np.frombuffer(raw, np.uint8)))
+            ends.append(ends[-1] + len(raw))
+        if ends[-1] >= BATCH:
+            yield batch(held, np.concatenate([x for *_, x in held]), np.array(ends))
+            held, ends = [], [0]
     if held:
-        yield flush()
+        yield batch(held, np.concatenate([x for *_, x in held]), np.array(ends))
+    if part.avi:
+        store, at = open_store(part.avi)
+        with store.open_input_file(at) as f:
+            try:
+                found = avi.layout(f, store.get_file_info(at).size)
+            except ValueError as e:
+                raise ValueError(f"{e}: {part.avi}") from e
+            size = abs(found.h) * found.w * 3
+            for first, last in found.runs(part.first, found.frames if part.last is None else part.last, max(1, BATCH // size)):
+                flat = avi.decode_rows(avi.read_stored(f, found, first, last), found.h, found.w).ravel()
+                rows = [(part.clip, part.t + k, abs(found.h), found.w, 3, found.fps) for k in range(first, last)]
+                yield batch(rows, flat, np.arange(last - first + 1) * size)
 
 
 class _FramesReader(DataSourceReader):
@@ -339,14 +339,16 @@ def write_clips(frames: DataFrame, folder: str, fps: float | None = None, segmen
     (out if fps is None else out.option("fps", str(fps))).save()
 
 
-def join_clips(spark: SparkSession, folder: str) -> DataFrame:
-    """Makes one file NAME.avi of each NAME.clip in a folder, a task for each, frame by frame; rows (video_id,
-    frames) of what was written."""
+def join_clips(spark: SparkSession, folder: str, into: str | None = None) -> DataFrame:
+    """Makes one file NAME.avi of each NAME.clip in a folder, there or in the folder `into`, a task for each, part by
+    part; rows (video_id, frames) of what was written."""
     store, root = open_store(folder)
     clips = [os.path.basename(f.path)[:-5] for f in store.get_file_info(fs.FileSelector(root)) if f.path.endswith(".clip")]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, root = open_store(folder)
+        target = open_store(into)[1] if into else root
+        store.create_dir(target, recursive=True)
         for batch in batches:
             for clip in batch.column(0).to_pylist():
                 files = sorted(store.get_file_info(fs.FileSelector(f"{root}/{clip}.clip")), key=lambda f: f.path)
@@ -358,14 +360,14 @@ def join_clips(spark: SparkSession, folder: str) -> DataFrame:
                 def frames(files=files, layouts=layouts) -> Iterator[bytes]:
                     for f, found in zip(files, layouts, strict=True):
                         with store.open_input_file(f.path) as part:
-                            for k in range(found.frames):
-                                yield part.read_at(found.size, found.place(k))
+                            for first, last in found.runs(0, found.frames, max(1, BATCH // found.size)):
+                                yield avi.read_stored(part, found, first, last).tobytes()
 
                 n, one = sum(x.frames for x in layouts), layouts[0]
-                name = f"{root}/_{uuid.uuid4().hex}"
+                name = f"{target}/_{uuid.uuid4().hex}"
                 with store.open_output_stream(name) as out:
                     avi.write(out, frames(), n, one.h, one.w, one.fps)
-                store.move(name, f"{root}/{clip}.avi")
+                store.move(name, f"{target}/{clip}.avi")
                 yield pa.RecordBatch.from_arrays([pa.array([clip]), pa.array([n], pa.int64())], names=["video_id", "frames"])
 
     table = spark.createDataFrame([(c,) for c in clips], "video_id string").repartition(max(1, len(clips)))
