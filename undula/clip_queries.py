@@ -389,8 +389,8 @@ def source_joined_clips(spark, d):
     """Parts become one file for each clip, of several lists of frames."""
     folder = fresh(spark, "joined")
     fr.write_clips(_whole_values(spark, d), f"{folder}/parts", segment=32)
-    fr.join_clips(spark, f"{folder}/parts")
-    return _listed(fr.read_frames(spark, f"{folder}/parts").where("video_id like '%.avi'"))
+    fr.join_clips(spark, f"{folder}/parts", f"{folder}/whole")
+    return _listed(fr.read_frames(spark, f"{folder}/whole"))
 
 
 @query(SQL_FILES.format("", "", "", ""))
