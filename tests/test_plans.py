@@ -214,3 +214,14 @@ def test_plans_have_no_extra_exchange(spark, values):
     assert plan.count("Exchange hashpartitioning") == 1
     blurred = arrays.gaussian_frames(clip(spark, values), 2)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in blurred
+
+
+def test_pixels_are_dealt_out_by_their_number_in_one_exchange(spark, values, monkeypatch):
+    """Partitions follow the pixels, also of a clip whose name is a constant."""
+    monkeypatch.setattr(pixels, "PART", 150)
+    table = fr.to_pixels(clip(spark, values)).withColumn("video_id", F.lit("v"))
+    px = pixels.by_frame(table)
+    assert px.rdd.getNumPartitions() == -(-table.count() // 150) > 4
+    assert max(spark.createDataFrame([(n,) for n in px.rdd.glom().map(len).collect()], "n int").toPandas()["n"]) < table.count() / 2
+    for made in (pixels.pyr_up(spark, px, 7, 10), pixels.gaussian_blur(spark, px, 7, 10, 2)):
+        assert made._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1

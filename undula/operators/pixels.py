@@ -1,8 +1,9 @@
 """The relational tier: spatial and temporal operators as joins and aggregates over pixel rows.
 
 Rows are (video_id, t, y, x[, ch], v).  A spatial operator is a small matrix table per axis; both axes
-and chains of operators run within one exchange on (video_id, t), which satisfies every group-by below
-it.  Matrix tables have a few entries per line of one frame and are broadcast only up to MAX_ENTRIES.
+and chains of operators run within one exchange by frame, which satisfies every group-by below it: the
+column `frame` that by_frame adds stays among the keys.  Matrix tables have a few entries per line of one
+frame and are broadcast only up to MAX_ENTRIES.
 """
 
 from __future__ import annotations
@@ -14,6 +15,8 @@ from pyspark.sql import functions as F
 from ..functions import stencils
 
 MAX_ENTRIES = 1_000_000
+#: Pixels of a partition of whole frames, about.
+PART = 1 << 18
 
 
 def matrix_table(spark: SparkSession, matrix: np.ndarray, name: str) -> DataFrame:
@@ -24,13 +27,16 @@ def matrix_table(spark: SparkSession, matrix: np.ndarray, name: str) -> DataFram
 
 
 def by_frame(pixels: DataFrame) -> DataFrame:
-    """The one exchange that spatial operators need."""
-    return pixels.repartition("video_id", "t")
+    """The one exchange that spatial operators need, with a column `frame` to group by: video_id alone is no key of an
+    exchange where it is a constant.  A partition's sums are in memory at once, so pixels are counted and the number
+    of partitions follows them."""
+    parts = max(pixels.sparkSession.sparkContext.defaultParallelism, -(-pixels.count() // PART))
+    return pixels.withColumn("frame", F.xxhash64("video_id", "t")).repartition(parts, "frame")
 
 
 def separable(spark: SparkSession, pixels: DataFrame, rows: np.ndarray, columns: np.ndarray) -> DataFrame:
     """rows applied along y and columns along x."""
-    key = [c for c in ("video_id", "t", "ch") if c in pixels.columns]
+    key = [c for c in ("frame", "video_id", "t", "ch") if c in pixels.columns]
     over_y = pixels.join(matrix_table(spark, rows, "r"), F.col("y") == F.col("r_in")).groupBy(*key, F.col("r_out").alias("y"), "x").agg(F.sum(F.col("v") * F.col("r_w")).alias("v"))
     over_x = over_y.join(matrix_table(spark, columns, "c"), F.col("x") == F.col("c_in")).groupBy(*key, "y", F.col("c_out").alias("x")).agg(F.sum(F.col("v") * F.col("c_w")).alias("v"))
     return over_x.select(*pixels.columns)
@@ -56,9 +62,9 @@ def gaussian_blur(spark: SparkSession, pixels: DataFrame, h: int, w: int, levels
 
 
 def laplacian(spark: SparkSession, pixels: DataFrame, h: int, w: int, levels: int, residual: bool = False) -> DataFrame:
-    """Rows with `level`: each band, and with residual the coarsest image as level `levels`."""
-    key = [c for c in ("video_id", "t", "ch", "y", "x") if c in pixels.columns]
-    bands, image = [], by_frame(pixels)
+    """Rows with `level` and `frame`: each band, and with residual the coarsest image as level `levels`."""
+    image = by_frame(pixels)
+    bands, key = [], [c for c in ("frame", "video_id", "t", "ch", "y", "x") if c in image.columns]
     for level in range(levels):
         small = pyr_down(spark, image, h, w)
         back = pyr_up(spark, small, (h + 1) // 2, (w + 1) // 2, (h, w)).withColumnRenamed("v", "back")
