@@ -638,6 +638,17 @@ def test_repair_round_trip(wide):
     assert max(left.values()) < repair.LEAST
 
 
+@pytest.mark.parametrize("top", [1, 50_000, 1 << 19, (1 << 32) - 1])
+def test_repair_groups_pairs_as_unique_does(top):
+    """With symbols that fit one word beside a number, and with those that don't."""
+    rnd = np.random.default_rng(top)
+    for n in (0, 1, 3000):
+        left, right = (rnd.integers(0, top, n, np.uint64, endpoint=True) // (top // 7 + 1 if k else 1) for k in range(2))
+        pair = left << np.uint64(32) | right
+        for got, want in zip(repair._grouped(pair), np.unique(pair, return_inverse=True, return_counts=True), strict=True):
+            assert got.dtype.kind == want.dtype.kind and got.tolist() == want.tolist()
+
+
 def test_repair_of_equal_ids():
     for n in (0, 1, 2, 7, 100_000):
         ids = np.full(n, 3, np.uint32)
