@@ -735,6 +735,25 @@ def test_words_are_told_apart_by_their_bytes(monkeypatch):
     assert [words[at[k]] for k in back] == words and at.tolist() == [0, 1, 3, 5]
 
 
+def test_tasks_get_batches_of_bounded_bytes(spark):
+    """Of 40 texts of 500 KB, tasks hold a few at once, before a score's result is asked for and after."""
+    import pyarrow as pa
+
+    from undula.llm.shared import BATCH_BYTES, bounded_batches
+
+    key, size = "spark.sql.execution.arrow.maxBytesPerBatch", 500_000
+    docs = spark.range(40).coalesce(1).selectExpr("id as doc_id", f"repeat('word ', {size // 5}) as text")
+    spark.conf.unset(key)
+    try:
+        toxicity.score(spark, docs, toxicity.Model(toxicity.CharModel({}), np.zeros(1 << toxicity.FEATURE_BITS), 0.0))
+        got = docs.mapInArrow(lambda batches: (pa.RecordBatch.from_arrays([pa.array([len(b)]), pa.array([b.nbytes])], names=["rows", "bytes"]) for b in batches), "rows long, bytes long").collect()
+        assert sum(r.rows for r in got) == 40 and all(size <= r.bytes <= BATCH_BYTES + size for r in got)
+        spark.conf.set(key, "1k")  # a smaller bound stays
+        assert bounded_batches(spark).conf.get(key) == "1k"
+    finally:
+        spark.conf.unset(key)
+
+
 def test_full_bitmap_changes_nothing(spark, docs):
     rows = [sorted(map(repr, substring_dedup.dedup_substrings(spark, docs, filter_bits=b).collect())) for b in (8, 22)]
     assert rows[0] == rows[1]

@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textops
-from .shared import kept, scratch
+from .shared import bounded_batches, kept, scratch
 
 FEATURE_BITS = 18
 PREFIXES = (4, 5, 6)
@@ -46,6 +46,8 @@ PREFIXES = (4, 5, 6)
 SAMPLE = 20_000
 #: Distinct words a task counts before it hands on their trigrams.
 WORDS = 1 << 17
+#: Bytes of text whose features are made at once: dozens of arrays are as long.
+SLICE = 1 << 18
 THRESHOLD = 0.3
 
 # Letters that other characters imitate.
@@ -486,6 +488,7 @@ class Model:
 
 def train(docs: DataFrame, labels: DataFrame, seed: int = 11) -> Model:
     """Learns from labels (doc_id, toxic) whose texts are in docs."""
+    spark = bounded_batches(docs.sparkSession)
     labels = labels.where("toxic is not null and doc_id is not null").select("doc_id", F.col("toxic").cast("double").alias("label"))
     known = labels.groupBy("label").count().collect()
     total = sum(r["count"] for r in known)
@@ -497,13 +500,12 @@ def train(docs: DataFrame, labels: DataFrame, seed: int = 11) -> Model:
         p = min(max(share, 1e-6), 1 - 1e-6)
         return Model(chars, np.zeros(1 << FEATURE_BITS), log(p / (1 - p)))
 
-    spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(chars)
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make = Features(shared.value)
         for batch in batches:
-            for lo, hi, buf, offsets in textops.slices(batch.column(1)):
+            for lo, hi, buf, offsets in textops.slices(batch.column(1), SLICE):
                 rows, which, slots = make.slice(buf, offsets)
                 pair = textops.distinct(rows << 32 | which)
                 pair, times = np.unique(np.repeat(pair >> 32, slots.shape[1]) << 32 | slots[pair & 0xFFFFFFFF].ravel(), return_counts=True)
@@ -544,7 +546,7 @@ def train(docs: DataFrame, labels: DataFrame, seed: int = 11) -> Model:
 def score(spark: SparkSession, docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
     """docs with one more column, the score; a column of that name is replaced."""
     docs = docs.drop(name)
-    shared = spark.sparkContext.broadcast(model)
+    shared = bounded_batches(spark).sparkContext.broadcast(model)
     text = docs.columns.index("text")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -552,7 +554,7 @@ def score(spark: SparkSession, docs: DataFrame, model: Model, name: str = "score
         make = Features(model.chars)
         for batch in batches:
             parts = []
-            for _, _, buf, offsets in textops.slices(batch.column(text)):
+            for _, _, buf, offsets in textops.slices(batch.column(text), SLICE):
                 rows, which, slots = make.slice(buf, offsets)
                 weight = model.weights[slots].sum(1)
                 own = weight[which] != 0
