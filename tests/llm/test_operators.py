@@ -649,6 +649,39 @@ def test_repair_groups_pairs_as_unique_does(top):
             assert got.dtype.kind == want.dtype.kind and got.tolist() == want.tolist()
 
 
+def test_last_rounds_of_repair_look_at_few_places(monkeypatch):
+    """Places that can't be replaced any more aren't looked at again."""
+    seen, chosen = [], repair._chosen
+    monkeypatch.setattr(repair, "_chosen", lambda pair, at, least: (seen.append((least, len(at))), chosen(pair, at, least))[1])
+    rnd = np.random.default_rng(5)
+    ids = (rnd.zipf(1.2, 300_000) % 40_000).astype(np.uint32)
+    seq, _, rules = repair.compress(ids, np.arange(0, 300_001, 1000), 40_000)
+    assert (repair.expand(seq, rules, 40_000) == ids).all()
+    last = [n for least, n in seen if least == repair.LEAST]
+    assert len(last) > 2 and 4 * last[-1] < last[0]
+
+
+def test_pretokens_are_asked_in_one_call():
+    """White space, the special token and words of any script go to the library at once, each once."""
+    texts = ["", "a<|endoftext|>b <|endoftext|>", "\n\n  x\t\r\n", "\u0085\u2028 \u3000", "\u00e9\U0001f600 'll I'LL it's", "x" * 3000, "\x00\x01 \u00ad\u200b", " ", "12 \u00b3\u00bd", "a b"]
+    lib = token_files.Library(bpe.vocabulary())
+    calls, model = [], lib.model
+
+    class Counted:
+        def encode_batch_fast(self, batch, **how):
+            calls.extend(batch[0])
+            return model.encode_batch_fast(batch, **how)
+
+    lib.model = Counted()
+    raw = [t.encode() for t in texts]
+    for _ in range(2):
+        ids, first = lib.encode(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
+        assert [ids[a:b].tolist() for a, b in zip(first[:-1], first[1:], strict=True)] == [lib.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    assert len(calls) == len(set(calls)) == lib.count
+    ids, first = lib.encode(np.zeros(0, np.uint8), np.zeros(3, np.int64))
+    assert not len(ids) and first.tolist() == [0, 0, 0]
+
+
 def test_repair_of_equal_ids():
     for n in (0, 1, 2, 7, 100_000):
         ids = np.full(n, 3, np.uint32)

@@ -107,6 +107,13 @@ def pretokens(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     return starts, np.append(starts[1:], n), np.searchsorted(starts, offsets)
 
 
+def alphabet() -> str:
+    """The character that stands for each byte: printable ones for themselves, the others for 256, 257, ..."""
+    printable = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    rest = [b for b in range(256) if b not in printable]
+    return "".join(chr(b) if b in printable else chr(256 + rest.index(b)) for b in range(256))
+
+
 class StaticMap:
     """uint64 keys to int32 values: levels of first-come slots, each for what the one before left."""
 
@@ -144,12 +151,8 @@ class Merger:
             spec = json.load(f)
         vocab = spec["model"]["vocab"]
         merges = [tuple(x) if isinstance(x, list) else tuple(x.split(" ", 1)) for x in spec["model"]["merges"]]
-        # byte-level alphabet: printable bytes stand for themselves, the others for 256, 257, ...
-        printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-        rest = [b for b in range(256) if b not in set(printable)]
-        char = {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(rest)}
-        self.byte_id = np.array([vocab[char[b]] for b in range(256)], np.int32)
-        byte_of = {c: b for b, c in char.items()}
+        self.byte_id = np.array([vocab[c] for c in alphabet()], np.int32)
+        byte_of = {c: b for b, c in enumerate(alphabet())}
         size = max(max(vocab.values()), max(x["id"] for x in spec["added_tokens"])) + 1
         pieces = [b""] * size
         for piece, i in vocab.items():

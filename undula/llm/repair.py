@@ -2,9 +2,10 @@
 
 Pairs of neighbours are counted and frequent ones become rules, whose places become the new symbol,
 until no pair is left with LEAST places: fewer would not pay for a rule, which is stored in 12 bytes
-where a place saves 2 or 4.  Pairs come in order of frequency by halves: rounds replace those with at
-least half the places of the most frequent one, until a round finds few, and then rarer ones as well.
-The last rounds go on until they find none.  Where places of chosen pairs overlap, the more frequent pair takes the place, and in a run
+where a place saves 2 or 4.  Pairs come in order of frequency by halves: a round replaces those with at
+least half the places of the most frequent one, and each next one takes pairs half as frequent as well.
+The last rounds go on until they find none.  They look only at places that the round before left over or
+touched: elsewhere pairs are too rare, and pairs that are there never become more frequent.  Where places of chosen pairs overlap, the more frequent pair takes the place, and in a run
 of equal symbols every other place.  A pair whose places shrink below LEAST by that waits.
 
 No rule crosses a document's end, so a document is a range of the compressed sequence.  Every symbol's
@@ -47,13 +48,14 @@ def _grouped(pair: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return pair[place[begin]], which, np.diff(begin, append=len(word))
 
 
-def _chosen(pair: np.ndarray, at: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(places to replace, their pairs as numbers, the numbered pairs) among places `at` of pairs: pairs of
-    at least `least` places, no two places overlapping."""
+def _chosen(pair: np.ndarray, at: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(places to replace, their pairs as numbers, the numbered pairs, all places of those pairs) among places
+    `at` of pairs: pairs of at least `least` places, no two places overlapping."""
     values, which, count = _grouped(pair)
     good = count >= least
     keep = good[which]
     at, which = at[keep], (np.cumsum(good) - 1)[which[keep]]
+    whole = at
     values, count = values[good], count[good]
     # rank 0 is the most frequent pair; of equally frequent ones, the smaller
     rank = np.empty(len(values), np.int64)
@@ -74,11 +76,11 @@ def _chosen(pair: np.ndarray, at: np.ndarray, least: int) -> tuple[np.ndarray, n
         count = np.bincount(won_which, minlength=len(values))
         enough = (count >= LEAST)[won_which]
         if enough.any():
-            return won[enough], won_which[enough], values
+            return won[enough], won_which[enough], values, whole
         # every winner is short of places: without them others may stand
         lost = (count > 0)[which]
         at, which = at[~lost], which[~lost]
-    return at, which, values
+    return at, which, values, whole
 
 
 def _around(at: np.ndarray, n: int) -> np.ndarray:
@@ -96,42 +98,52 @@ def compress(ids: np.ndarray, first: np.ndarray, terminals: int) -> tuple[np.nda
     head = np.zeros(len(seq) + 1, bool)
     head[first] = True
     rules: list[np.ndarray] = []
-    size, least, most = terminals, 1 << 40, 0
+    size, least = terminals, 1 << 40
+    places: np.ndarray | None = None  # at the last threshold, where a pair may still have LEAST places
     # the coarse count of all pairs is kept up as places change; the last symbol starts no pair
     none = 1 << COARSE_BITS
     slot = np.append(_slots(seq[:-1], seq[1:]), np.full(min(len(seq), 1), none, np.intp))
     total = np.bincount(slot, minlength=none + 1)
     while len(seq) > 1:
-        # a pair is no more frequent than its slot; pairs over a document's end only add to slots
-        hot = total >= min(least, len(seq))
-        hot[none] = False
-        at = np.flatnonzero(hot.take(slot, mode="clip"))
+        at = places
+        if at is None:
+            # a pair is no more frequent than its slot; pairs over a document's end only add to slots
+            hot = total >= min(least, len(seq))
+            hot[none] = False
+            at = np.flatnonzero(hot.take(slot, mode="clip"))
         at = at[~head[at + 1]]
         if least > LEAST and not len(at):
-            least, most = max(LEAST, min(least, int(total[:none].max())) // 2), 0
+            least = max(LEAST, min(least, int(total[:none].max())) // 2)
             continue
-        at, which, values = _chosen(seq[at].astype(np.uint64) << _SHIFT | seq[at + 1].astype(np.uint64), at, least)
-        if not len(at) and least <= LEAST:
+        last = least <= LEAST
+        at, which, values, whole = _chosen(seq[at].astype(np.uint64) << _SHIFT | seq[at + 1].astype(np.uint64), at, least)
+        if not len(at) and last:
             break
-        most = max(most, len(at))
-        if least > LEAST and 8 * len(at) <= most:
-            least, most = max(LEAST, least // 2), 0
+        least = max(LEAST, least // 2)
         if not len(at):
             continue
         used = np.bincount(which, minlength=len(values)) > 0
         new = values[used]
         seq[at] = (size - 1 + np.cumsum(used)[which]).astype(np.uint32)
+        rules.append(np.stack([new >> _SHIFT, new & np.uint64(0xFFFFFFFF)], 1).astype(np.uint32))
+        size += len(new)
         keep = np.ones(len(seq), bool)
         keep[at + 1] = False
-        total -= np.bincount(slot[_around(at, len(seq)) | ~keep], minlength=none + 1)
-        seq, slot, head = seq[keep], slot[keep], np.append(head[:-1][keep], True)
-        touched = np.flatnonzero(_around(at - np.arange(len(at)), len(seq)))
+        if not last:
+            total -= np.bincount(slot[_around(at, len(seq)) | ~keep], minlength=none + 1)
+            slot = slot[keep]
+        seq, head = seq[keep], np.append(head[:-1][keep], True)
+        touched = _around(at - np.arange(len(at)), len(seq))
+        if last:
+            whole = whole[keep[whole]]
+            touched[whole - np.searchsorted(at + 1, whole)] = True
+            places = np.flatnonzero(touched[:-1])
+            continue
+        touched = np.flatnonzero(touched)
         left = touched[touched < len(seq) - 1]
         slot[left] = _slots(seq[left], seq[left + 1])
         slot[-1] = none
         total += np.bincount(slot[touched], minlength=none + 1)
-        rules.append(np.stack([new >> _SHIFT, new & np.uint64(0xFFFFFFFF)], 1).astype(np.uint32))
-        size += len(new)
     # empty documents share a place with the next one, so ends are counted, not read from the marks
     ends = np.cumsum(expansions(rules, terminals)[seq]) if len(seq) else np.zeros(0, np.int64)
     return seq, np.searchsorted(ends, first - first[0], "right") if len(seq) else np.zeros(len(first), np.int64), np.concatenate([*rules, np.zeros((0, 2), np.uint32)])

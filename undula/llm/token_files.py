@@ -21,6 +21,7 @@ import uuid
 import zlib
 from collections.abc import Iterator
 from functools import cache
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +38,6 @@ HEAD = struct.Struct("<8sIIQQ")  # magic, terminals, rules, symbols, documents
 SHARD = 2 << 20
 END_ID = 0
 SLICE = 4 << 20
-NEWLINE = b"\n"
 #: Distinct pretokens whose ids a worker keeps.
 KEPT_WORDS, KEPT_BYTES = 400_000, 1 << 23
 
@@ -51,11 +51,16 @@ class Library:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
-        self.terminals = self.tokenizer.get_vocab_size()
-        self.newline = self.tokenizer.encode("\n", add_special_tokens=False).ids[0]
+        self.tokenizer = whole = Tokenizer.from_file(path)
+        whole.no_truncation()
+        whole.no_padding()
+        self.terminals = whole.get_vocab_size()
+        self.special = whole.token_to_id(bytebpe.SPECIAL.decode())
+        # the file's model alone: it gets pretokens, in its alphabet of bytes
+        self.model, self.alphabet = Tokenizer(whole.model), np.array(list(map(ord, bytebpe.alphabet())), "<u4")
+        self.lengths = np.zeros(self.terminals, np.int64)  # bytes of each id
+        for piece, i in whole.get_vocab(with_added_tokens=False).items():
+            self.lengths[i] = len(piece)
         self.clear()
 
     def clear(self) -> None:
@@ -64,39 +69,32 @@ class Library:
         self.pool: list[np.ndarray] = []
 
     def ids_of(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, sizes).  Words that aren't white space are sent as lines of one text, where each is a
-        pretoken of its own and the line ends are the newline's id."""
-        alone = [w.isspace() or w == bytebpe.SPECIAL or not w.isascii() and w.decode().isspace() for w in words]
-        lines = np.flatnonzero(~np.array(alone, bool))
-        sizes = np.zeros(len(words), np.int64)
-        ids = np.zeros(0, np.uint32)
-        if len(lines):
-            text = NEWLINE.join([w for w, a in zip(words, alone, strict=True) if not a] + [b""]).decode()
-            got = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
-            ends = np.flatnonzero(got == self.newline)
-            if len(ends) != len(lines):
-                raise AssertionError("a line was not one pretoken")
-            sizes[lines] = np.diff(ends, prepend=-1) - 1
-            ids = got[got != self.newline]
-        rest = np.flatnonzero(alone)
-        if not len(rest):
-            return ids, sizes
-        begin = np.cumsum(sizes) - sizes
-        more = [e.ids for e in self.tokenizer.encode_batch_fast([words[i].decode() for i in rest], add_special_tokens=False)]
-        sizes[rest] = [len(x) for x in more]
-        begin[rest] = len(ids) + np.cumsum(sizes[rest]) - sizes[rest]
-        return np.concatenate([ids, np.array([i for x in more for i in x], np.uint32)])[textops.spans(begin, sizes)], sizes
+        """(ids, sizes) of distinct pretokens, all of them in one call."""
+        total = np.cumsum([len(w) for w in words])
+        text, at = self.alphabet[np.frombuffer(b"".join(words), np.uint8)].tobytes().decode("utf-32-le"), [0, *total.tolist()]
+        cut = [text[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
+        ids = np.array(self.model.encode_batch_fast([cut], is_pretokenized=True, add_special_tokens=False)[0].ids, np.uint32)
+        # no byte is lost, so the bytes of the ids tell where each word ends
+        ends = np.cumsum(self.lengths[ids])
+        last = np.searchsorted(ends, total)
+        if not np.array_equal(ends[last], total):
+            raise AssertionError("a pretoken's ids don't end where it does")
+        sizes = np.diff(last, prepend=-1)
+        if self.special is not None and bytebpe.SPECIAL in words:
+            i = words.index(bytebpe.SPECIAL)
+            ids[last[i]] = self.special
+            ids, sizes[i] = np.delete(ids, np.arange(last[i] - sizes[i] + 1, last[i])), 1
+        return ids, sizes
 
     def encode(self, buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids, first) of a slice of documents."""
-        starts, ends, first = bytebpe.pretokens(buf, offsets)
-        at, back = textops.distinct_words(buf, starts, ends)
-        begin, end = starts[at], ends[at]
+        starts, _, first = bytebpe.pretokens(buf, offsets)
         if len(self.known) > KEPT_WORDS or self.bytes > KEPT_BYTES:
             self.clear()
-        raw = buf.tobytes()
-        words = [raw[a:b] for a, b in zip(begin.tolist(), end.tolist(), strict=True)]
-        number = np.array([self.known.get(w, -1) for w in words], np.int64)
+        # pretokens follow each other without a gap; Arrow compares their bytes
+        found = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, *map(pa.py_buffer, (np.append(starts, len(buf)), np.ascontiguousarray(buf)))]).dictionary_encode()
+        words, back = found.dictionary.to_pylist(), found.indices.to_numpy()
+        number = np.fromiter(map(self.known.get, words, repeat(-1)), np.int64, len(words))
         new = np.flatnonzero(number < 0)
         if len(new):
             fresh = [words[i] for i in new.tolist()]
