@@ -128,6 +128,35 @@ def test_ngram_join_compares_large_buckets_in_blocks(spark, monkeypatch):
     assert got == want and called[0] > 20 and len(set(want.values())) >= 6
 
 
+def test_ngram_join_hands_few_pairs_of_a_large_group_on(spark, monkeypatch):
+    """Near copies whose original is gone, those with the most changes first: the first round tries two
+    centres for each, and large buckets hand on each open pair about once."""
+    monkeypatch.setattr(ngram_join, "SMALL_BUCKET", 8)
+    rnd = random.Random(5)
+    base = [f"w{k}" for k in range(200)]
+    rows = []
+    for i in range(120):
+        words = list(base)
+        for k in rnd.sample(range(200), 9 - i * 9 // 120):
+            words[k] = f"x{rnd.random()}"
+        rows.append((i, " ".join(words)))
+    tried, handed = [], []
+    verify, compare = ngram_join.verified, ngram_join.blocked
+    monkeypatch.setattr(ngram_join, "verified", lambda session, docs, pairs, *rest: tried.append(pairs.count()) or verify(session, docs, pairs, *rest))
+
+    def blocked(*args):
+        pairs = compare(*args)
+        handed.append((pairs.count(), pairs.distinct().count()))
+        return pairs
+
+    monkeypatch.setattr(ngram_join, "blocked", blocked)
+    got = {r.doc_id: r.component_id for r in ngram_join.join(spark, spark.createDataFrame(rows, "doc_id long, text string"), 5, 80, frequent=4).collect()}
+    sets = {i: {tuple(t.split()[k : k + 5]) for k in range(196)} for i, t in rows}
+    want = groups([(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])], sets)
+    assert got == want and len(set(want.values())) > 1
+    assert tried[0] <= 2 * len(rows) and handed[0][0] <= 2 * handed[0][1], (tried, handed)
+
+
 def test_signatures_meet():
     """Any two sets over the threshold share a signature, whichever tokens are frequent."""
     rnd = np.random.default_rng(3)
