@@ -157,6 +157,14 @@ def test_ngram_join_hands_few_pairs_of_a_large_group_on(spark, monkeypatch):
     assert tried[0] <= 2 * len(rows) and handed[0][0] <= 2 * handed[0][1], (tried, handed)
 
 
+def test_ngram_join_tries_two_centres_for_a_document_in_many_buckets(spark):
+    rows = [(sign, id, centre, centre, 2, 40, 40) for id in (100, 101) for centre in range(50) for sign in range(centre, centre + 9)]
+    buckets = spark.createDataFrame(rows, "sign long, id long, centre long, centre_weight long, size long, n long, centre_n long")
+    got = [(r.a, r.b) for r in ngram_join.stars(buckets, 90).collect()]
+    assert {b for _, b in got} == {100, 101} and len(got) == len(set(got)) <= 4
+    assert {(0, 100), (0, 101)} <= set(got)  # the fewest rare tokens
+
+
 def test_signatures_meet():
     """Any two sets over the threshold share a signature, whichever tokens are frequent."""
     rnd = np.random.default_rng(3)
